@@ -15,7 +15,7 @@ from ..sources import adaptors
 INGEST_TS = dt.datetime(2024, 1, 2, 3, 4, 5)
 BATCH_ID = "manual__2024-01-02T03:04:05"
 AS_OF = "2001-11-04"
-BACKFILL_AS_OF = "2001-08-01"
+BACKFILL_AS_OF = "1996-06-30"
 RUN_TS = dt.datetime(2024, 1, 2, 3, 4, 5)
 WINDOW_DAYS = 45
 SERIES_TICKER = "Brand#13"

@@ -52,7 +52,7 @@ UNIVERSE = """universe AS (
 
 OUTCOME = """fetched AS (
   SELECT CAST(o_custkey AS VARCHAR) AS ticker, count(*) AS rows_written FROM orders
-  WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '2001-08-01' - 1825 AND DATE '2001-08-01'
+  WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-06-30' - 1825 AND DATE '1996-06-30'
   GROUP BY 1),
 outcome AS (
   SELECT u.ticker,
@@ -177,8 +177,8 @@ WHERE concat(left(key, length(key) - 4), '.parquet') NOT IN (SELECT target_key F
     "state_table": "WITH " + UNIVERSE + ",\n" + OUTCOME + "\nSELECT * FROM outcome",
 
     "audit_errors": "WITH " + UNIVERSE + ",\n" + OUTCOME + """
-SELECT DATE '2001-08-01' AS run_date, ticker, concat(ticker, '.AX') AS vendor_symbol,
-       DATE '2001-08-01' - 1825 AS window_start, DATE '2001-08-01' AS window_end, error,
+SELECT DATE '1996-06-30' AS run_date, ticker, concat(ticker, '.AX') AS vendor_symbol,
+       DATE '1996-06-30' - 1825 AS window_start, DATE '1996-06-30' AS window_end, error,
        TIMESTAMP '2024-01-02 03:04:05' AS ts
 FROM outcome WHERE status = 'error'""",
 

@@ -47,6 +47,7 @@ def lake_session(master: str | None = None, app: str = "barlake", shuffle_partit
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.ui.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.ui.showConsoleProgress": "false",
     })
     conf.update(extra or {})
     for key, value in conf.items():
