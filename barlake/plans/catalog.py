@@ -376,3 +376,40 @@ def all_queries() -> dict:
     except ImportError:  # pragma: no cover
         pass
     return out
+
+
+# --- reports and listings -----------------------------------------------------------
+
+def q_eda_summary(spark: Q, sf: str) -> DataFrame:
+    from .reports import eda_summary
+    return eda_summary(frames.faulted(spark, sf))
+
+
+def q_object_inventory(spark: Q, sf: str) -> DataFrame:
+    """Listing of the landed table objects (path relative to the zone, time, size); content not read."""
+    from ..sources.files import list_objects, relative_key
+    listing = list_objects(spark, sf, glob="*.parquet")
+    return listing.select(relative_key(F.col("path"), sf).alias("key"), "modificationTime", "length")
+
+
+def q_storage_footprint(spark: Q, sf: str) -> DataFrame:
+    """Per table: objects, bytes, rows and bytes per row (rows from the Parquet footers' scan)."""
+    from ..sources.files import list_objects, relative_key
+    from ..sources.tables import DRIVER_TABLES
+    listing = list_objects(spark, sf, glob="*.parquet").select(
+        F.regexp_extract(relative_key(F.col("path"), sf), r"^([^/.]+)", 1).alias("table"), "length")
+    sizes = listing.groupBy("table").agg(F.count(F.lit(1)).alias("objects"), F.sum("length").alias("bytes"))
+    counts = None
+    for t in DRIVER_TABLES:  # a plan per table (metadata-only counts), unioned; no collect
+        c = read_table(spark, sf, t).groupBy(F.lit(t).alias("table")).agg(F.count(F.lit(1)).alias("rows"))
+        counts = c if counts is None else counts.unionByName(c)
+    return (sizes.join(counts, "table", "left")
+            .select("table", "objects", "bytes", "rows",
+                    F.try_divide(F.col("bytes"), F.col("rows")).alias("bytes_per_row")))
+
+
+QUERIES.update({
+    "eda_summary": q_eda_summary,
+    "object_inventory": q_object_inventory,
+    "storage_footprint": q_storage_footprint,
+})

@@ -357,3 +357,34 @@ ORDER BY rows DESC, exchange, ticker LIMIT 1""",
 }
 
 ORACLE["flagship_coverage"] = ORACLE["ticker_coverage"]
+ORACLE["stream_copy_promote"] = "SELECT * FROM events"
+ORACLE["stream_raw_to_conformed"] = W(["bars_brand"], CONFORMED) + "SELECT * EXCLUDE (source_object_key) FROM conformed"
+ORACLE["stream_snapshot_refresh"] = ORACLE["latest_wins_snapshot"]
+
+FMATRIX = "fm AS (SELECT trade_date, ticker, avg(ret_1d) AS ret_1d FROM fret WHERE ret_1d IS NOT NULL GROUP BY 1, 2)"
+ORACLE["eda_summary"] = W(["faulted"], FRET, ZS, FMATRIX) + """
+, met AS (
+  SELECT (SELECT count(*) FROM faulted) AS rows, (SELECT count(DISTINCT ticker) FROM faulted) AS tickers,
+         (SELECT min(trade_date) FROM faulted) AS date_min, (SELECT max(trade_date) FROM faulted) AS date_max,
+         CAST((SELECT count(*) FROM faulted)
+              - (SELECT count(*) FROM (SELECT DISTINCT exchange, ticker, trade_date FROM faulted)) AS BIGINT)
+           AS duplicate_business_keys,
+         (SELECT count_if(coalesce(open < 0, false) OR coalesce(high < 0, false) OR coalesce(low < 0, false)
+                 OR coalesce(close < 0, false) OR coalesce(adj_close < 0, false)) FROM faulted) AS rows_with_negative_price,
+         (SELECT count_if(coalesce(volume < 0, false)) FROM faulted) AS rows_with_negative_volume,
+         (SELECT count_if(coalesce(low > least(open, close), false) OR coalesce(high < greatest(open, close), false)
+                 OR coalesce(low > high, false)) FROM faulted) AS rows_failing_ohlc_bounds,
+         (SELECT count(*) FROM zs WHERE abs(ret_z) >= 6) AS return_anomalies,
+         (SELECT count(*) FROM (SELECT ticker FROM fm GROUP BY ticker
+                                HAVING count(ret_1d) >= floor((SELECT count(DISTINCT trade_date) FROM fm) * 0.8)))
+           AS correlation_tickers)
+SELECT *, concat_ws(chr(10),
+  'Rows: ' || format('{:,}', rows), 'Tickers: ' || format('{:,}', tickers),
+  'Date range: ' || strftime(date_min, '%Y-%m-%d') || ' to ' || strftime(date_max, '%Y-%m-%d'),
+  'Duplicate business keys (exchange,ticker,trade_date): ' || format('{:,}', duplicate_business_keys),
+  'Rows failing OHLC bounds: ' || format('{:,}', rows_failing_ohlc_bounds),
+  'Rows with negative price: ' || format('{:,}', rows_with_negative_price),
+  'Rows with negative volume: ' || format('{:,}', rows_with_negative_volume),
+  'Return anomalies (|z|>=6): ' || format('{:,}', return_anomalies),
+  'Correlation matrix tickers (>=80% obs): ' || format('{:,}', correlation_tickers)) AS summary
+FROM met"""
