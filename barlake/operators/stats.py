@@ -30,7 +30,7 @@ from ..session import shared_dir
 
 GRID = 1000
 ACCURACY = 10000
-COLLECT_LIMIT = 50000
+COLLECT_LIMIT = 200_000
 BROADCAST_TARGETS = 200000
 
 
@@ -38,11 +38,10 @@ def _grid_fractions(grid: int) -> list[float]:
     return [i / grid for i in range(grid + 1)]
 
 
-def _join_targets(base: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _join_targets(base: DataFrame, targets: DataFrame, keys: Sequence[str], n_targets: int) -> DataFrame:
     """Candidates of every open target: data rows inside the target's (lo, hi) interval."""
     # The target table has at most 2 rows per group and probability; it is
     # broadcast only below a checked row count, else joined by shuffle.
-    n_targets = targets.count()
     t = F.broadcast(targets) if n_targets <= BROADCAST_TARGETS else targets
     joined = base.join(t, list(keys), "inner")
     inside = (F.col("lo").isNull() | (F.col("x") > F.col("lo"))) & \
@@ -73,82 +72,69 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     fr = _grid_fractions(grid)
 
-    first = base.groupBy(*keys).agg(
-        F.count("x").alias("n"),
-        F.percentile_approx("x", fr, accuracy).alias("piv"),
-    )
+    # counted on the input so that all-null groups keep a (null) result row
+    counts = df.groupBy(*keys).agg(F.count(F.col(value)).alias("n"))
     prob_list = F.array(*[F.lit(float(p)) for p in probs])
     pos = F.col("prob") * (F.col("n") - 1)
-    ranks = (first.select(*keys, "n", "piv", F.explode(prob_list).alias("prob"))
-             .select(*keys, "n", "piv", "prob",
-                     F.floor(pos).alias("r_lo"),
-                     F.least(F.floor(pos) + 1, F.col("n") - 1).alias("r_hi"),
-                     (pos - F.floor(pos)).alias("frac")))
-    ranks = _cut(ranks)
-    targets = (ranks.select(*keys, "n", "piv", F.explode(F.array("r_lo", "r_hi")).alias("r"))
-               .dropDuplicates(keys + ["r"])
-               .select(*keys, "r", F.col("r").alias("k"), F.col("n").alias("cnt"), "piv",
-                       F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
-                       F.lit(None).cast("double").alias("val")))
-    targets = _cut(targets)
-
-    resolved = []
+    ranks = _cut(counts.select(*keys, "n", F.explode(prob_list).alias("prob"))
+                 .select(*keys, "prob", F.floor(pos).alias("r_lo"),
+                         F.least(F.floor(pos) + 1, F.col("n") - 1).alias("r_hi"),
+                         (pos - F.floor(pos)).alias("frac")))
+    # one target per distinct rank: find the k-th smallest value inside (lo, hi)
+    targets = _cut(ranks.select(*keys, F.explode(F.array("r_lo", "r_hi")).alias("r"))
+                   .dropDuplicates(keys + ["r"])
+                   .join(counts.where(F.col("n") > 0), keys)
+                   .select(*keys, "r", F.col("r").alias("k"), F.col("n").alias("cnt"),
+                           F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")))
+
+    resolved = [ranks.select(*keys, F.col("r_lo").alias("r"), F.lit(None).cast("double").alias("val"))
+                .where(F.lit(False))]
     for _ in range(64):
-        open_t = targets.where(F.col("val").isNull())
-        small = open_t.where(F.col("cnt") <= collect_limit)
-        large = open_t.where(F.col("cnt") > collect_limit)
-        n_small, n_large = small.count(), large.count()
-        done = targets.where(F.col("val").isNotNull()).select(*keys, "r", "val")
-        resolved.append(_cut(done))
-        if n_small:
-            cand = _join_targets(base, small.select(*keys, "r", "k", "lo", "hi"), keys)
+        sizes = {bool(r[0]): r[1] for r in
+                 targets.groupBy((F.col("cnt") <= collect_limit).alias("small")).count().collect()}
+        if sizes.get(True):
+            small = targets.where(F.col("cnt") <= collect_limit)
+            cand = _join_targets(base, small, keys, sizes[True])
             got = cand.groupBy(*keys, "r", "k").agg(F.sort_array(F.collect_list("x")).alias("xs"))
             resolved.append(_cut(got.select(*keys, "r", F.element_at("xs", F.col("k").cast("int") + 1)
                                             .alias("val"))))
-        if not n_large:
+        if not sizes.get(False):
             break
-        # pick two grid pivots around the wanted fraction, then count around them
+        large = targets.where(F.col("cnt") > collect_limit)
+        # a pivot grid of each large interval, two pivots around the wanted rank
+        piv = (_join_targets(base, large, keys, sizes[False])
+               .groupBy(*keys, "r", "k", "cnt", "lo", "hi")
+               .agg(F.percentile_approx("x", fr, accuracy).alias("piv")))
         gi = F.col("k") * grid / F.col("cnt")
         ia = F.greatest(F.floor(gi) - 1, F.lit(0)).cast("int")
         ib = F.least(F.ceil(gi) + 1, F.lit(grid)).cast("int")
-        piv = large.select(*keys, "r", "k", "cnt", "lo", "hi",
-                           F.element_at("piv", ia + 1).alias("pa"), F.element_at("piv", ib + 1).alias("pb"))
-        cand = _join_targets(base, piv, keys)
-        counts = cand.groupBy(*keys, "r", "k", "cnt", "lo", "hi", "pa", "pb").agg(
+        piv = _cut(piv.select(*keys, "r", "k", "cnt", "lo", "hi",
+                              F.element_at("piv", ia + 1).alias("pa"), F.element_at("piv", ib + 1).alias("pb")))
+        cnts = _join_targets(base, piv, keys, sizes[False]).groupBy(
+            *keys, "r", "k", "cnt", "lo", "hi", "pa", "pb").agg(
             F.count_if(F.col("x") < F.col("pa")).alias("lt_a"),
             F.count_if(F.col("x") <= F.col("pa")).alias("le_a"),
             F.count_if(F.col("x") < F.col("pb")).alias("lt_b"),
             F.count_if(F.col("x") <= F.col("pb")).alias("le_b"),
         )
         k = F.col("k")
-        step = counts.select(
+        hit_a = (k >= F.col("lt_a")) & (k < F.col("le_a"))
+        hit_b = (k >= F.col("lt_b")) & (k < F.col("le_b"))
+        step = _cut(cnts.select(
             *keys, "r",
-            F.when(k < F.col("lt_a"), k)
-             .when(k < F.col("le_a"), k)
-             .when(k < F.col("lt_b"), k - F.col("le_a"))
-             .when(k < F.col("le_b"), k)
+            F.when(k < F.col("lt_a"), k).when(k < F.col("lt_b"), k - F.col("le_a"))
              .otherwise(k - F.col("le_b")).alias("k"),
-            F.when(k < F.col("lt_a"), F.col("lt_a"))
-             .when(k < F.col("le_a"), F.lit(0))
-             .when(k < F.col("lt_b"), F.col("lt_b") - F.col("le_a"))
-             .when(k < F.col("le_b"), F.lit(0))
+            F.when(k < F.col("lt_a"), F.col("lt_a")).when(k < F.col("lt_b"), F.col("lt_b") - F.col("le_a"))
              .otherwise(F.col("cnt") - F.col("le_b")).cast("bigint").alias("cnt"),
-            F.when(k < F.col("lt_a"), F.col("lo"))
-             .when(k < F.col("lt_b"), F.col("pa"))
+            F.when(k < F.col("lt_a"), F.col("lo")).when(k < F.col("lt_b"), F.col("pa"))
              .otherwise(F.col("pb")).alias("lo"),
-            F.when(k < F.col("lt_a"), F.col("pa"))
-             .when(k < F.col("lt_b"), F.col("pb"))
+            F.when(k < F.col("lt_a"), F.col("pa")).when(k < F.col("lt_b"), F.col("pb"))
              .otherwise(F.col("hi")).alias("hi"),
-            F.when((k >= F.col("lt_a")) & (k < F.col("le_a")), F.col("pa"))
-             .when((k >= F.col("lt_b")) & (k < F.col("le_b")), F.col("pb")).alias("val"),
-        )
-        # intervals still above the collect limit get a fresh pivot grid of their candidates
-        still = step.where(F.col("val").isNull() & (F.col("cnt") > collect_limit))
-        regrid = (_join_targets(base, still.select(*keys, "r", "lo", "hi"), keys)
-                  .groupBy(*keys, "r").agg(F.percentile_approx("x", fr, accuracy).alias("piv")))
-        targets = _cut(step.join(regrid, keys + ["r"], "left")
-                       .select(*keys, "r", "k", "cnt", "piv", "lo", "hi", "val"))
-    else:  # pragma: no cover - each round strictly removes a pivot value
+            F.when(hit_a, F.col("pa")).when(hit_b, F.col("pb")).alias("val")))
+        resolved.append(step.where(F.col("val").isNotNull()).select(*keys, "r", "val"))
+        # a pivot is never inside its own next interval, so every round shrinks it
+        targets = step.where(F.col("val").isNull()).drop("val")
+    else:  # pragma: no cover
         raise RuntimeError("exact_quantiles did not converge")
 
     values = resolved[0]
@@ -159,7 +145,6 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     out = (ranks.join(lo_v, keys + ["r_lo"], "left").join(hi_v, keys + ["r_hi"], "left")
            .select(*keys, "prob",
                    (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("quantile")))
-    base.unpersist()
     return out
 
 
