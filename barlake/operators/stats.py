@@ -57,33 +57,37 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     keys: Sequence[str] = (), grid: int = GRID, accuracy: int = ACCURACY,
-                    collect_limit: int = COLLECT_LIMIT) -> DataFrame:
+                    collect_limit: int = COLLECT_LIMIT, extra: dict | None = None) -> DataFrame:
     """Linear-interpolation quantiles of ``value`` per group ``keys``.
 
     Returns ``keys..., prob, quantile`` (one row per group and probability);
-    nulls are ignored, an all-null group gives a null quantile.
+    nulls are ignored, an all-null group gives a null quantile.  ``extra``
+    maps output names to aggregate columns computed in the same counting
+    pass and carried on every output row.
     """
     keys = list(keys)
+    extra = dict(extra or {})
     if not keys:
         out = exact_quantiles(df.withColumn("_g", F.lit(0)), value, probs, ["_g"], grid, accuracy,
-                              collect_limit)
+                              collect_limit, extra)
         return out.drop("_g")
     base = df.select(*keys, F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull())
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     fr = _grid_fractions(grid)
 
     # counted on the input so that all-null groups keep a (null) result row
-    counts = df.groupBy(*keys).agg(F.count(F.col(value)).alias("n"))
+    counts = df.groupBy(*keys).agg(F.count(F.col(value)).alias("n"),
+                                   *[agg.alias(name) for name, agg in extra.items()])
     prob_list = F.array(*[F.lit(float(p)) for p in probs])
     pos = F.col("prob") * (F.col("n") - 1)
-    ranks = _cut(counts.select(*keys, "n", F.explode(prob_list).alias("prob"))
-                 .select(*keys, "prob", F.floor(pos).alias("r_lo"),
+    ranks = _cut(counts.select(*keys, "n", *extra, F.explode(prob_list).alias("prob"))
+                 .select(*keys, *extra, "prob", F.floor(pos).alias("r_lo"),
                          F.least(F.floor(pos) + 1, F.col("n") - 1).alias("r_hi"),
                          (pos - F.floor(pos)).alias("frac")))
     # one target per distinct rank: find the k-th smallest value inside (lo, hi)
     targets = _cut(ranks.select(*keys, F.explode(F.array("r_lo", "r_hi")).alias("r"))
                    .dropDuplicates(keys + ["r"])
-                   .join(counts.where(F.col("n") > 0), keys)
+                   .join(counts.where(F.col("n") > 0).select(*keys, "n"), keys)
                    .select(*keys, "r", F.col("r").alias("k"), F.col("n").alias("cnt"),
                            F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")))
 
@@ -143,7 +147,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     lo_v = values.select(*keys, F.col("r").alias("r_lo"), F.col("val").alias("v_lo"))
     hi_v = values.select(*keys, F.col("r").alias("r_hi"), F.col("val").alias("v_hi"))
     out = (ranks.join(lo_v, keys + ["r_lo"], "left").join(hi_v, keys + ["r_hi"], "left")
-           .select(*keys, "prob",
+           .select(*keys, *extra, "prob",
                    (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("quantile")))
     return out
 
@@ -153,20 +157,16 @@ def describe(df: DataFrame, value: str, percentiles: Sequence[float] = (0.01, 0.
     """pandas ``describe``: count, mean, std (sample), min, percentiles, max — one row per group.
 
     Percentile columns are named ``p01``, ``p05``, ``p50`` ... (hundredths).
+    The moments ride along the quantile counting pass, so no join is needed.
     """
     keys = list(keys)
-    if not keys:
-        return describe(df.withColumn("_g", F.lit(0)), value, percentiles, ["_g"]).drop("_g")
     x = F.col(value)
-    moments = df.groupBy(*keys).agg(
-        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), F.max(x).alias("max"))
-    q = exact_quantiles(df, value, percentiles, keys)
+    moments = {"count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
+    q = exact_quantiles(df, value, percentiles, keys, extra=moments)
     names = {float(p): f"p{round(p * 100):02d}" for p in percentiles}
-    wide = q.groupBy(*keys).agg(*[
+    wide = q.groupBy(*keys, *moments).agg(*[
         F.max(F.when(F.col("prob") == F.lit(p), F.col("quantile"))).alias(n) for p, n in names.items()])
-    out = moments.join(wide, keys, "left")
-    return out.select(*keys, "count", "mean", "std", "min", *names.values(), "max")
+    return wide.select(*keys, "count", "mean", "std", "min", *names.values(), "max")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 80, weight: str | None = None) -> DataFrame:
@@ -176,14 +176,16 @@ def histogram(df: DataFrame, value: str, bins: int = 80, weight: str | None = No
     then a grouped count per bin (partial aggregation).
     """
     x = F.col(value)
-    clean = df.where(x.isNotNull()).withColumn("_g", F.lit(0))
-    rng = clean.groupBy("_g").agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    width = F.col("hi") - F.col("lo")
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((x - F.col("lo")) * bins / width), F.lit(bins - 1))).cast("int")
+    clean = df.where(x.isNotNull())
+    lo_v, hi_v = clean.agg(F.min(x), F.max(x)).first()  # one metric row
+    if lo_v is None:
+        return clean.sparkSession.createDataFrame([], "bin int, bin_lo double, bin_hi double, count bigint")
+    lo, hi = F.lit(float(lo_v)), F.lit(float(hi_v))
+    width = hi - lo
+    b = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((x - lo) * bins / width), F.lit(bins - 1))).cast("int")
     w = F.col(weight) if weight else F.lit(1)
-    counted = (clean.join(F.broadcast(rng), "_g")  # one-row range table
-               .groupBy(b.alias("bin"), "lo", "hi").agg(F.sum(w).cast("bigint").alias("count")))
+    counted = (clean.groupBy(b.alias("bin")).agg(F.sum(w).cast("bigint").alias("count"))
+               .select("bin", lo.alias("lo"), hi.alias("hi"), "count"))
     return counted.select(
         "bin",
         (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("bin_lo"),

@@ -21,10 +21,6 @@ SUMMARY_LABELS = (
 )
 
 
-def _one(df: DataFrame) -> DataFrame:
-    return df.withColumn("_g", F.lit(0))
-
-
 def eda_metrics(bars: DataFrame, threshold: float = ANOMALY_Z) -> DataFrame:
     """One row: rows, tickers, date range, duplicate keys, sanity counts, anomalies, correlation size."""
     prof = bars.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("ticker").alias("tickers"),
@@ -35,10 +31,13 @@ def eda_metrics(bars: DataFrame, threshold: float = ANOMALY_Z) -> DataFrame:
     anoms = returns.return_anomalies(z, threshold).agg(F.count(F.lit(1)).alias("return_anomalies"))
     corr_n = correlation.tickers_min_obs(correlation.return_matrix(z)).agg(
         F.count(F.lit(1)).alias("correlation_tickers"))
-    out = _one(prof)
-    for part in (dups, checks, anoms, corr_n):
-        out = out.join(F.broadcast(_one(part)), "_g")
-    return out.drop("_g")
+    # one-row parts stacked and collapsed per column: no join between them
+    parts = [prof, dups, checks, anoms, corr_n]
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p, allowMissingColumns=True)
+    cols = [c for p in parts for c in p.columns]
+    return stacked.agg(*[F.max(c).alias(c) for c in cols])
 
 
 def eda_summary(bars: DataFrame, threshold: float = ANOMALY_Z) -> DataFrame:

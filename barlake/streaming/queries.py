@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..plans import frames
 from ..session import scratch_path
-from ..sources.files import write_parquet_partitions, write_raw_csv
+from ..sources.files import read_zone, write_parquet_partitions, write_raw_csv
+from ..spec import CONFORMED_SCHEMA
 from ..sources.tables import read_table
 from . import pipelines
 
@@ -29,7 +30,7 @@ def q_stream_raw_to_conformed(spark: SparkSession, sf: str) -> DataFrame:
     write_raw_csv(frames.bars(spark, sf), f"{base}/raw")
     pipelines.raw_to_conformed(spark, f"{base}/raw", f"{base}/conformed", f"{base}/_ckpt",
                                frames.INGEST_TS, frames.BATCH_ID)
-    out = spark.read.parquet(f"{base}/conformed")
+    out = read_zone(spark, f"{base}/conformed", CONFORMED_SCHEMA)
     return out.drop("source_object_key")
 
 
@@ -37,9 +38,9 @@ def q_stream_snapshot_refresh(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "snapshot-refresh")
     conformed = frames.hashed_ingests(spark, sf)
     write_parquet_partitions(conformed, f"{base}/conformed", "append")
-    schema = spark.read.parquet(f"{base}/conformed").schema
+    schema = conformed.schema  # declared types, partition columns included
     pipelines.snapshot_refresh(spark, f"{base}/conformed", f"{base}/curated", f"{base}/_ckpt", schema)
-    return spark.read.parquet(f"{base}/curated").select(*conformed.columns)
+    return read_zone(spark, f"{base}/curated", schema).select(*conformed.columns)
 
 
 QUERIES = {
