@@ -106,3 +106,22 @@ def state_doc_table(doc: DataFrame) -> DataFrame:
 
 
 STATE_DOC_DDL = STATE_DOC_SCHEMA
+
+
+def universe_snapshot(universe: DataFrame, snapshot_date) -> DataFrame:
+    """Dated constituent list: the universe tagged with ``constituents_snapshot_date`` (partition column)."""
+    return universe.select("*", F.lit(snapshot_date).cast("date").alias("constituents_snapshot_date"))
+
+
+def heartbeat_time_from_key(key) -> Column:
+    """Local wall-clock time encoded in ``heartbeat/airflow_time_yyyyMMdd_HHmmss.txt`` (null if absent)."""
+    stamp = F.regexp_extract(key if isinstance(key, Column) else F.col(key), r"airflow_time_(\d{8}_\d{6})\.txt$", 1)
+    return F.when(stamp != "", F.try_to_timestamp(stamp, F.lit("yyyyMMdd_HHmmss")))
+
+
+def retention_candidates(objects: DataFrame, as_of, keep_days: int, key: str = "key") -> DataFrame:
+    """Heartbeat objects older than ``keep_days`` before ``as_of`` (the delete list; deletion is left
+    to the operator).  Objects whose key carries no timestamp are never listed."""
+    t = heartbeat_time_from_key(key)
+    cutoff = F.date_sub(F.lit(as_of).cast("date"), keep_days)
+    return objects.select("*", t.alias("object_time")).where(F.col("object_time") < cutoff.cast("timestamp"))

@@ -408,7 +408,19 @@ def q_storage_footprint(spark: Q, sf: str) -> DataFrame:
                     F.try_divide(F.col("bytes"), F.col("rows")).alias("bytes_per_row")))
 
 
+def q_retention_candidates(spark: Q, sf: str) -> DataFrame:
+    """Heartbeat keys (one per event) older than 7 days before the last event day."""
+    keys = q_heartbeat_keys(spark, sf).select("event_id", "key")
+    return control.retention_candidates(keys, "2024-01-30", 7)
+
+
+def q_universe_snapshot(spark: Q, sf: str) -> DataFrame:
+    return control.universe_snapshot(q_ticker_universe(spark, sf), AS_OF)
+
+
 QUERIES.update({
+    "retention_candidates": q_retention_candidates,
+    "universe_snapshot": q_universe_snapshot,
     "eda_summary": q_eda_summary,
     "object_inventory": q_object_inventory,
     "storage_footprint": q_storage_footprint,

@@ -388,3 +388,13 @@ SELECT *, concat_ws(chr(10),
   'Return anomalies (|z|>=6): ' || format('{:,}', return_anomalies),
   'Correlation matrix tickers (>=80% obs): ' || format('{:,}', correlation_tickers)) AS summary
 FROM met"""
+
+ORACLE["retention_candidates"] = f"""
+SELECT * FROM (
+  SELECT event_id, concat('heartbeat/airflow_time_', strftime({MEL}, '%Y%m%d_%H%M%S'), '.txt') AS key,
+         CAST(strftime({MEL}, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) AS object_time
+  FROM events)
+WHERE object_time < CAST(DATE '2024-01-30' - 7 AS TIMESTAMP)"""
+
+ORACLE["universe_snapshot"] = ORACLE["ticker_universe"].replace(
+    "min(p_partkey) AS pos", "min(p_partkey) AS pos, DATE '2001-11-04' AS constituents_snapshot_date")
