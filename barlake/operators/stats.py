@@ -62,8 +62,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
 
     Returns ``keys..., prob, quantile`` (one row per group and probability);
     nulls are ignored, an all-null group gives a null quantile.  ``extra``
-    maps output names to aggregate columns computed in the same counting
-    pass and carried on every output row.
+    maps output names to aggregate functions (``Column -> Column``) applied to
+    the value in the same counting pass and carried on every output row.
     """
     keys = list(keys)
     extra = dict(extra or {})
@@ -71,13 +71,15 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         out = exact_quantiles(df.withColumn("_g", F.lit(0)), value, probs, ["_g"], grid, accuracy,
                               collect_limit, extra)
         return out.drop("_g")
-    base = df.select(*keys, F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull())
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    # the input is evaluated once: cached with its nulls (all-null groups keep a
+    # null result row); candidates below skip the nulls
+    cached = df.select(*keys, F.col(value).cast("double").alias("x"))
+    cached = cached.persist(StorageLevel.MEMORY_AND_DISK)
+    base = cached.where(F.col("x").isNotNull())
     fr = _grid_fractions(grid)
 
-    # counted on the input so that all-null groups keep a (null) result row
-    counts = df.groupBy(*keys).agg(F.count(F.col(value)).alias("n"),
-                                   *[agg.alias(name) for name, agg in extra.items()])
+    counts = _cut(cached.groupBy(*keys).agg(
+        F.count("x").alias("n"), *[fn(F.col("x")).alias(name) for name, fn in extra.items()]))
     prob_list = F.array(*[F.lit(float(p)) for p in probs])
     pos = F.col("prob") * (F.col("n") - 1)
     ranks = _cut(counts.select(*keys, "n", *extra, F.explode(prob_list).alias("prob"))
@@ -149,6 +151,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     out = (ranks.join(lo_v, keys + ["r_lo"], "left").join(hi_v, keys + ["r_hi"], "left")
            .select(*keys, *extra, "prob",
                    (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("quantile")))
+    cached.unpersist()  # everything above reads checkpointed state
     return out
 
 
@@ -160,8 +163,7 @@ def describe(df: DataFrame, value: str, percentiles: Sequence[float] = (0.01, 0.
     The moments ride along the quantile counting pass, so no join is needed.
     """
     keys = list(keys)
-    x = F.col(value)
-    moments = {"count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
+    moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     q = exact_quantiles(df, value, percentiles, keys, extra=moments)
     names = {float(p): f"p{round(p * 100):02d}" for p in percentiles}
     wide = q.groupBy(*keys, *moments).agg(*[
@@ -172,22 +174,19 @@ def describe(df: DataFrame, value: str, percentiles: Sequence[float] = (0.01, 0.
 def histogram(df: DataFrame, value: str, bins: int = 80, weight: str | None = None) -> DataFrame:
     """Equal-width bins over [min, max], last bin closed; non-empty bins only.
 
-    Returns ``bin, bin_lo, bin_hi, count``.  One scalar pass finds the range,
-    then a grouped count per bin (partial aggregation).
+    Returns ``bin, bin_lo, bin_hi, count``.  The range is a scalar subquery
+    (one partial aggregation), then a grouped count per bin.
     """
     x = F.col(value)
     clean = df.where(x.isNotNull())
-    lo_v, hi_v = clean.agg(F.min(x), F.max(x)).first()  # one metric row
-    if lo_v is None:
-        return clean.sparkSession.createDataFrame([], "bin int, bin_lo double, bin_hi double, count bigint")
-    lo, hi = F.lit(float(lo_v)), F.lit(float(hi_v))
+    rng = clean.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+    lo, hi = rng.getField("lo"), rng.getField("hi")
     width = hi - lo
     b = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((x - lo) * bins / width), F.lit(bins - 1))).cast("int")
     w = F.col(weight) if weight else F.lit(1)
-    counted = (clean.groupBy(b.alias("bin")).agg(F.sum(w).cast("bigint").alias("count"))
-               .select("bin", lo.alias("lo"), hi.alias("hi"), "count"))
+    counted = clean.groupBy(b.alias("bin")).agg(F.sum(w).cast("bigint").alias("count"))
     return counted.select(
         "bin",
-        (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("bin_lo"),
-        (F.col("lo") + (F.col("bin") + 1) * (F.col("hi") - F.col("lo")) / bins).alias("bin_hi"),
+        (lo + F.col("bin") * (hi - lo) / bins).alias("bin_lo"),
+        (lo + (F.col("bin") + 1) * (hi - lo) / bins).alias("bin_hi"),
         "count")

@@ -307,7 +307,11 @@ def q_return_correlation(spark: Q, sf: str) -> DataFrame:
 
 
 def q_histogram_correlation(spark: Q, sf: str) -> DataFrame:
-    return stats.histogram(correlation.off_diagonal(_corr(spark, sf)), "corr", weight="weight")
+    # the pairs feed two passes (range, bins): materialise them once in the shared folder
+    from ..session import shared_dir
+    shared_dir(spark)
+    pairs = _corr(spark, sf).checkpoint(eager=True)
+    return stats.histogram(correlation.off_diagonal(pairs), "corr", weight="weight")
 
 
 QUERIES = {

@@ -9,11 +9,34 @@ DRIVER_TABLES = (
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# Below this estimated size a table is read as it is (broadcast-sized dimensions).
+SPREAD_MIN_BYTES = 4 * 1024 * 1024
+
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the cluster has cores.
+
+    A file with a single row group is read by one task, and everything fused
+    onto the scan (joins, hashing, partial aggregation) then runs on one core.
+    Only when the scan has fewer partitions than ``defaultParallelism`` and is
+    larger than ``min_bytes`` is it redistributed; a large table on a cluster
+    already has thousands of splits and is left untouched (no extra shuffle).
+    Filters and column pruning still reach the scan below the repartition.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # file-size estimate
+    if size < min_bytes:
+        return df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy Parquet scan; Catalyst prunes columns and pushes filters into it."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    return spread(spark.read.parquet(table_path(sf_dir, name)))
