@@ -57,3 +57,21 @@ def stale_partitions(conformed: DataFrame, curated: DataFrame, date_col: str = "
     return (c.join(s, date_col, "left")
             .where(F.col("snapshot_modified").isNull() |
                    (F.col("snapshot_modified") < F.col("conformed_modified"))))
+
+
+def build_snapshots(conformed: DataFrame, curated_path: str, dates=None,
+                    key: Sequence[str] = OHLCV_DAILY.business_key,
+                    partition_cols: Sequence[str] = OHLCV_DAILY.partition_columns,
+                    drop_exact_duplicates: bool = False) -> None:
+    """Batch curation: latest ingest wins per key, written per trade date.
+
+    ``dates`` (e.g. from ``stale_partitions``) restricts the rebuild; with
+    dynamic partition overwrite only the dates present in the output are
+    replaced, so untouched snapshots stay as they are.
+    """
+    rows = conformed if dates is None else conformed.where(F.col("trade_date").isin(list(dates)))
+    if drop_exact_duplicates:
+        rows = exact_dedupe(rows, key)
+    snap = latest_wins(rows, key)
+    (snap.repartition(*partition_cols).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).parquet(curated_path))

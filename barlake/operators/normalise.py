@@ -28,9 +28,9 @@ def ticker_universe(lines: DataFrame, text_col: str = "value", pos_col: str = "p
         F.min("pos").alias("pos"), F.count(F.lit(1)).alias("_n"))
     # A header can only be the very first line; when the token also occurs
     # later as a real ticker, that later occurrence is kept.
-    first_pos = lines.agg(F.min(pos_col)).first()[0]
-    header_only = (F.col("ticker") == F.lit(header_token)) & (F.col("pos") == F.lit(first_pos))
-    second = (cleaned.where((F.col("ticker") == F.lit(header_token)) & (F.col("pos") != F.lit(first_pos)))
+    first_pos = lines.select(F.min(pos_col)).scalar()  # scalar subquery, stays lazy
+    header_only = (F.col("ticker") == F.lit(header_token)) & (F.col("pos") == first_pos)
+    second = (cleaned.where((F.col("ticker") == F.lit(header_token)) & (F.col("pos") != first_pos))
               .groupBy("ticker").agg(F.min("pos").alias("pos2")))
     return (per_ticker.join(second, "ticker", "left")
             .select("ticker", F.when(header_only, F.col("pos2")).otherwise(F.col("pos")).alias("pos"))

@@ -175,6 +175,15 @@ def q_stale_partitions(spark: Q, sf: str) -> DataFrame:
 
 # --- curated scans ------------------------------------------------------------
 
+def q_curated_scan(spark: Q, sf: str) -> DataFrame:
+    """Batch curation of the conformed bars into per-date snapshots, read back as one table."""
+    from ..session import scratch_path
+    from ..sources.files import curated_scan
+    path = scratch_path(spark, "curated")
+    curate.build_snapshots(frames.conformed_bars(spark, sf), path)
+    return curated_scan(spark, path)
+
+
 def q_typed_bars(spark: Q, sf: str) -> DataFrame:
     b = frames.bars(spark, sf)
     return b.select(*[F.col(c).cast("string").alias(c) for c in
@@ -335,6 +344,7 @@ QUERIES = {
     "latest_wins_snapshot": q_latest_wins_snapshot,
     "latest_event": q_latest_event,
     "stale_partitions": q_stale_partitions,
+    "curated_scan": q_curated_scan,
     "typed_bars": q_typed_bars,
     "series_for_ticker": q_series_for_ticker,
     "contract_report": q_contract_report,

@@ -398,3 +398,5 @@ WHERE object_time < CAST(DATE '2024-01-30' - 7 AS TIMESTAMP)"""
 
 ORACLE["universe_snapshot"] = ORACLE["ticker_universe"].replace(
     "min(p_partkey) AS pos", "min(p_partkey) AS pos, DATE '2001-11-04' AS constituents_snapshot_date")
+
+ORACLE["curated_scan"] = W(["bars_brand"], CONFORMED) + "SELECT * FROM conformed"

@@ -100,6 +100,13 @@ def read_zone(spark: SparkSession, path: str, schema: T.StructType = CONFORMED_S
     return df
 
 
+def curated_scan(spark: SparkSession, path: str, schema: T.StructType = CONFORMED_SCHEMA) -> DataFrame:
+    """Curated snapshots of all dates as one typed table (key columns text, dates as dates)."""
+    df = read_zone(spark, path, schema)
+    return df.select(*[F.col(c).cast("string").alias(c) if c in ("dataset_id", "exchange", "ticker")
+                       else F.col(c) for c in schema.fieldNames()])
+
+
 # --- object listings ------------------------------------------------------------
 
 def list_objects(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:

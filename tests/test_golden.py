@@ -190,3 +190,25 @@ def test_empty_inputs_keep_schema(spark):
                returns.daily_returns(empty), quality.duplicate_rows(empty)):
         assert df.count() == 0 and len(df.columns) > 0
     assert quality.null_rates(empty).count() == 10
+
+
+def test_quarantine_split(spark, tmp_dir):
+    from barlake.sources.files import read_raw_csv_quarantine
+    hdr = "dataset_id,exchange,ticker,vendor_symbol,currency,trade_date,open,high,low,close,volume,adj_close"
+    _write(f"{tmp_dir}/q/exchange=ASX/trade_date=2025-11-03/ticker=BHP.csv",
+           hdr + "\nmarket_ohlcv_daily,ASX,BHP,BHP.AX,AUD,2025-11-03,1.0,2.0,0.5,1.5,10,1.4\n")
+    _write(f"{tmp_dir}/q/exchange=ASX/trade_date=2025-11-03/ticker=BAD.csv",
+           hdr + "\nmarket_ohlcv_daily,ASX,BAD,BAD.AX,AUD,2025-11-03,abc,2.0,0.5,1.5,10,1.4\n")
+    good, bad = read_raw_csv_quarantine(spark, f"{tmp_dir}/q")
+    assert [r["ticker"] for r in good.collect()] == ["BHP"]
+    assert bad.count() == 1 and "abc" in bad.collect()[0]["_corrupt_record"]
+
+
+def test_retention_and_universe_snapshot(spark):
+    from barlake.operators import control
+    keys = spark.createDataFrame([("heartbeat/airflow_time_20240101_101500.txt",),
+                                  ("heartbeat/airflow_time_20240129_101500.txt",), ("heartbeat/other.txt",)], "key string")
+    old = [r["key"] for r in control.retention_candidates(keys, "2024-01-30", 7).collect()]
+    assert old == ["heartbeat/airflow_time_20240101_101500.txt"]
+    u = spark.createDataFrame([("BHP", 0)], "ticker string, pos long")
+    assert control.universe_snapshot(u, "2025-01-01").collect()[0]["constituents_snapshot_date"] == D(2025, 1, 1)
