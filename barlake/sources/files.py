@@ -71,14 +71,18 @@ def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_BAR_
 
 
 def read_raw_csv_quarantine(spark: SparkSession, path: str, schema: T.StructType = RAW_BAR_SCHEMA):
-    """(good, bad) split of landed raw CSV: rows that do not parse go to quarantine."""
+    """(good, bad) split of landed raw CSV: rows that do not parse go to quarantine.
+
+    Both sides keep every schema column, so the parser checks every field
+    (CSV column pruning would otherwise skip unparsed fields).
+    """
     with_bad = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType(), True)])
     df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True)
           .schema(with_bad).csv(path)
           .withColumn("source_object_key", F.col("_metadata.file_path")))
     good = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    bad = df.where(F.col("_corrupt_record").isNotNull()).select("source_object_key", "_corrupt_record")
+    bad = df.where(F.col("_corrupt_record").isNotNull())
     return good, bad
 
 
