@@ -201,7 +201,8 @@ def test_quarantine_split(spark, tmp_dir):
            hdr + "\nmarket_ohlcv_daily,ASX,BAD,BAD.AX,AUD,2025-11-03,abc,2.0,0.5,1.5,10,1.4\n")
     good, bad = read_raw_csv_quarantine(spark, f"{tmp_dir}/q")
     assert [r["ticker"] for r in good.collect()] == ["BHP"]
-    assert bad.count() == 1 and "abc" in bad.collect()[0]["_corrupt_record"]
+    bad_rows = bad.collect()  # (a bare count() would reference only the corrupt column)
+    assert len(bad_rows) == 1 and "abc" in bad_rows[0]["_corrupt_record"]
 
 
 def test_retention_and_universe_snapshot(spark):
