@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import correlation, quality, returns
+from ..session import shared_dir
 from ..spec import ANOMALY_Z
 
 # Fixed summary line labels (the report text format).
@@ -21,18 +22,29 @@ SUMMARY_LABELS = (
 )
 
 
-def eda_metrics(bars: DataFrame, threshold: float = ANOMALY_Z) -> DataFrame:
-    """One row: rows, tickers, date range, duplicate keys, sanity counts, anomalies, correlation size."""
+def eda_metrics(bars: DataFrame, threshold: float = ANOMALY_Z, materialise: bool = True) -> DataFrame:
+    """One row: rows, tickers, date range, duplicate keys, sanity counts, anomalies, correlation size.
+
+    The bar table feeds three plans (one global aggregate, the duplicate
+    count, the per-series windows); it is materialised once in the shared
+    folder (one row per ticker and day, bounded by universe x calendar) so
+    they do not each recompute it.
+    """
+    if materialise:
+        shared_dir(bars.sparkSession)
+        bars = bars.checkpoint(eager=True)
     prof = bars.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("ticker").alias("tickers"),
-                    F.min("trade_date").alias("date_min"), F.max("trade_date").alias("date_max"))
+                    F.min("trade_date").alias("date_min"), F.max("trade_date").alias("date_max"),
+                    F.count_if(quality.negative_price()).alias("rows_with_negative_price"),
+                    F.count_if(quality.negative_volume()).alias("rows_with_negative_volume"),
+                    F.count_if(quality.ohlc_inversion()).alias("rows_failing_ohlc_bounds"))
     dups = quality.duplicate_counts(bars).select("duplicate_business_keys")
-    checks = quality.ohlc_check_counts(bars)
     z = returns.return_zscores(returns.daily_returns(bars))
     anoms = returns.return_anomalies(z, threshold).agg(F.count(F.lit(1)).alias("return_anomalies"))
     corr_n = correlation.tickers_min_obs(correlation.return_matrix(z)).agg(
         F.count(F.lit(1)).alias("correlation_tickers"))
     # one-row parts stacked and collapsed per column: no join between them
-    parts = [prof, dups, checks, anoms, corr_n]
+    parts = [prof, dups, anoms, corr_n]
     stacked = parts[0]
     for p in parts[1:]:
         stacked = stacked.unionByName(p, allowMissingColumns=True)

@@ -15,20 +15,20 @@ from ..session import scratch_path
 from ..sources.files import read_zone, write_parquet_partitions, write_raw_csv
 from ..spec import CONFORMED_SCHEMA
 from ..sources.tables import read_table
-from . import pipelines
+from . import jobs
 
 
 def q_stream_copy_promote(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "copy-promote")
     schema = read_table(spark, sf, "events").schema
-    pipelines.copy_promote(spark, sf, f"{base}/conformed", f"{base}/_ckpt", schema, glob="events*.parquet")
+    jobs.copy_promote(spark, sf, f"{base}/conformed", f"{base}/_ckpt", schema, glob="events*.parquet")
     return spark.read.parquet(f"{base}/conformed")
 
 
 def q_stream_raw_to_conformed(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "raw-to-conformed")
     write_raw_csv(frames.bars(spark, sf), f"{base}/raw")
-    pipelines.raw_to_conformed(spark, f"{base}/raw", f"{base}/conformed", f"{base}/_ckpt",
+    jobs.raw_to_conformed(spark, f"{base}/raw", f"{base}/conformed", f"{base}/_ckpt",
                                frames.INGEST_TS, frames.BATCH_ID)
     out = read_zone(spark, f"{base}/conformed", CONFORMED_SCHEMA)
     return out.drop("source_object_key")
@@ -39,7 +39,7 @@ def q_stream_snapshot_refresh(spark: SparkSession, sf: str) -> DataFrame:
     conformed = frames.hashed_ingests(spark, sf)
     write_parquet_partitions(conformed, f"{base}/conformed", "append")
     schema = conformed.schema  # declared types, partition columns included
-    pipelines.snapshot_refresh(spark, f"{base}/conformed", f"{base}/curated", f"{base}/_ckpt", schema)
+    jobs.snapshot_refresh(spark, f"{base}/conformed", f"{base}/curated", f"{base}/_ckpt", schema)
     return read_zone(spark, f"{base}/curated", schema).select(*conformed.columns)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from barlake.sources.files import write_raw_csv
 from barlake.spec import CONFORMED_SCHEMA, RAW_BAR_SCHEMA
-from barlake.streaming import pipelines
+from barlake.streaming import jobs
 
 D = dt.date
 TS = dt.datetime(2025, 1, 1, 9)
@@ -20,13 +20,13 @@ def _bars(spark, rows):
 def test_raw_to_conformed_is_incremental(spark, tmp_dir):
     raw, conf, ck = f"{tmp_dir}/raw", f"{tmp_dir}/conformed", f"{tmp_dir}/_ck"
     write_raw_csv(_bars(spark, [("BHP", D(2025, 1, 2), 1.0), ("360", D(2025, 1, 2), 2.0)]), raw, mode="append")
-    pipelines.raw_to_conformed(spark, raw, conf, ck, TS, "b1")
-    pipelines.raw_to_conformed(spark, raw, conf, ck, TS, "b2")  # nothing new
+    jobs.raw_to_conformed(spark, raw, conf, ck, TS, "b1")
+    jobs.raw_to_conformed(spark, raw, conf, ck, TS, "b2")  # nothing new
     out = spark.read.parquet(conf)
     assert out.count() == 2 and out.select("ingest_batch_id").distinct().count() == 1
     assert set(r["ticker"] for r in out.collect()) == {"BHP", "360"}
     write_raw_csv(_bars(spark, [("CBA", D(2025, 1, 3), 3.0)]), raw, mode="append")
-    pipelines.raw_to_conformed(spark, raw, conf, ck, TS, "b3")
+    jobs.raw_to_conformed(spark, raw, conf, ck, TS, "b3")
     out = spark.read.parquet(conf)
     assert out.count() == 3
     assert [r["ingest_batch_id"] for r in out.where(F.col("ticker") == "CBA").collect()] == ["b3"]
@@ -37,15 +37,15 @@ def test_snapshot_refresh_rewrites_touched_dates_only(spark, tmp_dir):
     conf, cur, ck = f"{tmp_dir}/conformed", f"{tmp_dir}/curated", f"{tmp_dir}/_ck"
     raw = f"{tmp_dir}/raw"
     write_raw_csv(_bars(spark, [("BHP", D(2025, 1, 2), 1.0), ("BHP", D(2025, 1, 3), 2.0)]), raw, mode="append")
-    pipelines.raw_to_conformed(spark, raw, conf, f"{tmp_dir}/_ck_raw", TS, "b1")
+    jobs.raw_to_conformed(spark, raw, conf, f"{tmp_dir}/_ck_raw", TS, "b1")
     schema = CONFORMED_SCHEMA
-    pipelines.snapshot_refresh(spark, conf, cur, ck, schema)
+    jobs.snapshot_refresh(spark, conf, cur, ck, schema)
     snap = spark.read.parquet(cur)
     assert snap.count() == 2
     # a restatement of 2025-01-03 lands later: only that date is rewritten, latest wins
     write_raw_csv(_bars(spark, [("BHP", D(2025, 1, 3), 9.0)]), raw, mode="append")
-    pipelines.raw_to_conformed(spark, raw, conf, f"{tmp_dir}/_ck_raw", dt.datetime(2025, 1, 5), "b2")
-    pipelines.snapshot_refresh(spark, conf, cur, ck, schema)
+    jobs.raw_to_conformed(spark, raw, conf, f"{tmp_dir}/_ck_raw", dt.datetime(2025, 1, 5), "b2")
+    jobs.snapshot_refresh(spark, conf, cur, ck, schema)
     snap = {r["trade_date"]: r["close"] for r in spark.read.schema(schema).parquet(cur).collect()}
     assert snap == {D(2025, 1, 2): 1.0, D(2025, 1, 3): 9.0}
 
@@ -54,6 +54,6 @@ def test_copy_promote_twice_adds_nothing(spark, tmp_dir):
     src, sink, ck = f"{tmp_dir}/src", f"{tmp_dir}/sink", f"{tmp_dir}/_ck"
     spark.range(5).write.parquet(src)
     schema = spark.read.parquet(src).schema
-    pipelines.copy_promote(spark, src, sink, ck, schema)
-    pipelines.copy_promote(spark, src, sink, ck, schema)
+    jobs.copy_promote(spark, src, sink, ck, schema)
+    jobs.copy_promote(spark, src, sink, ck, schema)
     assert spark.read.parquet(sink).count() == 5
