@@ -88,5 +88,10 @@ def local_tz_abbreviation(ts, tz: str = LOCAL_TZ) -> Column:
             .otherwise(F.lit(LOCAL_TZ_ABBREVIATIONS["standard"]))
 
 
+def coerce_timestamp(c) -> Column:
+    """Timestamp from a timestamp or ISO-8601 text column; unparsable text becomes null."""
+    return F.coalesce(F.try_to_timestamp(col_(c).cast("string")), col_(c).try_cast("timestamp"))
+
+
 def iso_date(d) -> Column:
     return F.date_format(col_(d), "yyyy-MM-dd")

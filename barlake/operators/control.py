@@ -125,3 +125,41 @@ def retention_candidates(objects: DataFrame, as_of, keep_days: int, key: str = "
     t = heartbeat_time_from_key(key)
     cutoff = F.date_sub(F.lit(as_of).cast("date"), keep_days)
     return objects.select("*", t.alias("object_time")).where(F.col("object_time") < cutoff.cast("timestamp"))
+
+
+def state_rows(outcome: DataFrame, as_of, run_ts, days: int = BACKFILL_CALENDAR_DAYS,
+               version: int = 1) -> DataFrame:
+    """State records stamped with the document fields (version, last_updated, window)."""
+    start, end = backfill_window(as_of, days)
+    return outcome.select("*", F.lit(version).alias("version"),
+                          F.lit(run_ts).cast("timestamp").alias("last_updated"),
+                          start.alias("window_start"), end.alias("window_end"))
+
+
+def save_state(state: DataFrame, path: str) -> None:
+    """Overwrite the state table once per run (JSON lines, one record per ticker)."""
+    state.write.mode("overwrite").json(path)
+
+
+def load_state(spark, path: str) -> DataFrame | None:
+    """Previous state, or ``None`` when no state was written yet.
+
+    A missing state means "start from scratch"; an unreadable one raises
+    instead of silently restarting every ticker.
+    """
+    from pyspark.sql import types as T
+    from ..spec import TICKER_STATE_SCHEMA
+    schema = T.StructType([T.StructField("ticker", T.StringType())] + TICKER_STATE_SCHEMA.fields + [
+        T.StructField("version", T.IntegerType()), T.StructField("last_updated", T.TimestampType()),
+        T.StructField("window_start", T.DateType()), T.StructField("window_end", T.DateType())])
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        return None
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def append_audit(audit: DataFrame, path: str) -> None:
+    """Append-only error audit, one folder per run date."""
+    audit.write.mode("append").partitionBy("run_date").json(path)

@@ -7,6 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import coerce_timestamp
 from ..spec import OHLCV_DAILY
 
 
@@ -34,6 +35,8 @@ def latest_wins(df: DataFrame, key: Sequence[str] = OHLCV_DAILY.business_key,
     no sort, no window over the key.
     """
     order = [c for c in order if c in df.columns]
+    if "ingest_ts" in df.columns and df.schema["ingest_ts"].dataType.typeName() == "string":
+        df = df.withColumn("ingest_ts", coerce_timestamp("ingest_ts"))  # text lineage: bad -> null
     rest = [c for c in df.columns if c not in key]
     ordering = F.struct(F.col(order[0]).isNotNull(), *[F.col(c) for c in order])
     picked = df.groupBy(*key).agg(F.max_by(F.struct(*rest), ordering).alias("_w"))

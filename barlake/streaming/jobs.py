@@ -21,9 +21,11 @@ from ..sources.files import read_zone
 from ..spec import RAW_BAR_SCHEMA
 
 
-def _run(writer, checkpoint: str, available_now: bool = True, timeout_s: int | None = None):
+def _run(writer, checkpoint: str, available_now: bool = True, timeout_s: int | None = None,
+         trigger_seconds: int = 60):
     writer = writer.option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    writer = writer.trigger(availableNow=True) if available_now else \
+        writer.trigger(processingTime=f"{trigger_seconds} seconds")
     q = writer.start()
     if available_now:
         q.awaitTermination(timeout_s)
@@ -91,10 +93,11 @@ def snapshot_refresh(spark: SparkSession, conformed: str, curated: str, checkpoi
 
 
 def heartbeat_stream(spark: SparkSession, sink: str, checkpoint: str, rows_per_second: int = 1,
-                     available_now: bool = False):
+                     available_now: bool = False, trigger_seconds: int = 60):
     """One heartbeat line per tick (``yyyy-MM-dd HH:mm:ss AEDT|AEST``) to a text sink."""
     from ..functions.columns import local_time, local_tz_abbreviation
     ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
     lines = ticks.select(F.concat(F.date_format(local_time("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.lit(" "),
                                   local_tz_abbreviation("timestamp")).alias("value"))
-    return _run(lines.writeStream.format("text").option("path", sink), checkpoint, available_now)
+    return _run(lines.writeStream.format("text").option("path", sink), checkpoint, available_now,
+                trigger_seconds=trigger_seconds)
