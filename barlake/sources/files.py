@@ -22,14 +22,20 @@ from ..spec import CONFORMED_SCHEMA, RAW_BAR_SCHEMA
 
 # --- ticker universe ----------------------------------------------------------
 
-def read_ticker_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a ticker list with their position (file order), first CSV field only.
-
-    ``monotonically_increasing_id`` follows partition then row order, i.e.
-    file order, without moving the file through one task.
+def read_ticker_lines(spark: SparkSession, path: str, column: str = "ticker") -> DataFrame:
+    """Lines of a ticker list with their position (file order), one CSV field per line.
+
+    The field is the one whose header names ``column`` (case and spaces
+    ignored); without such a header it is the first field.  The header line
+    itself is dropped later by ``ticker_universe``.  ``monotonically_increasing_id``
+    follows partition then row order, i.e. file order, without moving the
+    file through one task.
     """
     lines = spark.read.text(path)
-    return lines.select(F.split(F.col("value"), ",").getItem(0).alias("value"),
+    first = lines.first()
+    names = [c.strip().lower() for c in first["value"].split(",")] if first else []
+    idx = names.index(column) if column in names else 0
+    return lines.select(F.split(F.col("value"), ",").getItem(idx).alias("value"),
                         F.monotonically_increasing_id().alias("pos"))
 
 

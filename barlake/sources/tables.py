@@ -17,7 +17,10 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+_SPREAD_DECISIONS: dict[tuple, bool] = {}
+
+
+def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES, cache_key: tuple | None = None) -> DataFrame:
     """Round-robin a scan that yields fewer splits than the cluster has cores.
 
     A file with a single row group is read by one task, and everything fused
@@ -29,14 +32,18 @@ def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # file-size estimate
-    if size < min_bytes:
-        return df
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    key = None if cache_key is None else cache_key + (cores, min_bytes)
+    decision = _SPREAD_DECISIONS.get(key) if key else None
+    if decision is None:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # file-size estimate
+        decision = size >= min_bytes and df.rdd.getNumPartitions() < cores
+        if key:
+            _SPREAD_DECISIONS[key] = decision
+    return df.repartition(cores) if decision else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy Parquet scan; Catalyst prunes columns and pushes filters into it."""
-    return spread(spark.read.parquet(table_path(sf_dir, name)))
+    path = table_path(sf_dir, name)
+    # the decision depends on the file layout only: made once per path and session
+    return spread(spark.read.parquet(path), cache_key=(id(spark), path))

@@ -34,6 +34,11 @@ def test_universe_cleaning_order_and_dedupe(spark, tmp_dir):
     assert _universe(spark, f"{tmp_dir}/t.csv") == ["BHPAX", "360", "NA", "CBA", "S32"]
 
 
+def test_universe_named_column(spark, tmp_dir):
+    _write(f"{tmp_dir}/n.csv", "name, Ticker \nBHP Group,bhp\nRio,RIO\n")
+    assert _universe(spark, f"{tmp_dir}/n.csv") == ["BHP", "RIO"]
+
+
 def test_universe_empty_raises(spark, tmp_dir):
     _write(f"{tmp_dir}/e.csv", "ticker\n \n")
     with pytest.raises(RuntimeError):
