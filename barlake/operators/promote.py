@@ -55,7 +55,8 @@ def add_lineage(df: DataFrame, ingest_ts: dt.datetime | str, batch_id: str | Non
         source_key = path
     elif isinstance(source_key, str):
         source_key = F.col(source_key)
-    return df.select("*", ts.alias("ingest_ts"), batch.alias("ingest_batch_id"),
+    keep = [c for c in df.columns if c != "source_object_key"]  # an existing key is replaced
+    return df.select(*keep, ts.alias("ingest_ts"), batch.alias("ingest_batch_id"),
                      source_key.alias("source_object_key"))
 
 

@@ -52,8 +52,13 @@ def _data_schema(schema: T.StructType, partition_cols) -> T.StructType:
 
 
 def write_raw_csv(df: DataFrame, path: str, partition_cols=("exchange", "trade_date"),
-                  mode: str = "overwrite") -> None:
-    """One CSV file set per partition date; rewritten dates are replaced (dynamic overwrite)."""
+                  mode: str = "append") -> None:
+    """Land bars as CSV under hive-style date folders.
+
+    The raw zone is append-only: a date folder holds many tickers, so
+    replacing a folder would drop other tickers' objects.  A re-landed bar
+    is a newer version of the same logical object (see ``current_raw_objects``).
+    """
     (df.repartition(*partition_cols).write.mode(mode).partitionBy(*partition_cols)
      .option("header", True).csv(path))
 
@@ -76,6 +81,25 @@ def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_BAR_
             .select(*[c for c in schema.fieldNames()]))
 
 
+def current_raw_objects(raw: DataFrame, base_path: str | None = None) -> DataFrame:
+    """Raw rows as logical objects: one current version per (dataset, exchange, trade date, ticker).
+
+    ``source_object_key`` is the object key of the bar
+    (``tabular/<dataset>/exchange=X/trade_date=D/ticker=T.csv``); when a bar
+    was landed more than once, the most recently landed file wins, as an
+    overwritten object would.  ``raw`` must come straight from a file scan.
+    """
+    from ..functions.keys import raw_key
+    key = ["dataset_id", "exchange", "ticker", "trade_date"]
+    rows = raw.select("*", F.col("_metadata.file_modification_time").alias("_landed"),
+                      F.col("_metadata.file_path").alias("_file"))
+    rest = [c for c in raw.columns if c not in key]
+    cur = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_landed", "_file")).alias("_v"))
+    return cur.select(*key, *[F.col("_v." + c).alias(c) for c in rest],
+                      raw_key("dataset_id", "exchange", "trade_date", "ticker").alias("source_object_key")
+                      ).select(*raw.columns, "source_object_key")
+
+
 def read_raw_csv_quarantine(spark: SparkSession, path: str, schema: T.StructType = RAW_BAR_SCHEMA):
     """(good, bad) split of landed raw CSV: rows that do not parse go to quarantine.
 
