@@ -9,7 +9,6 @@ so errors are retried and completed tickers are skipped.
 
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

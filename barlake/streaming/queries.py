@@ -8,7 +8,6 @@ the idempotency tests rather than repeated here.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..plans import frames
 from ..session import scratch_path

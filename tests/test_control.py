@@ -2,7 +2,6 @@
 import datetime as dt
 import os
 
-from pyspark.sql import functions as F
 
 from barlake.operators import control, curate
 from barlake.plans import reports

@@ -3,7 +3,6 @@ import datetime as dt
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from barlake.functions.columns import business_days_between
 from barlake.operators import correlation, curate, normalise, promote, quality, returns

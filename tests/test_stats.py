@@ -1,7 +1,6 @@
 """Exact quantiles by pivot refinement vs brute force (numpy), incl. skew, ties and tiny limits."""
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from barlake.operators import stats
 
