@@ -49,6 +49,11 @@ def partition_freshness(listing: DataFrame, date_col: str = "trade_date",
     return listing.groupBy(date_col).agg(F.max(time_col).alias("last_modified"))
 
 
+def newest_object(listing: DataFrame, time_col: str = "modificationTime", key_col: str = "path") -> DataFrame:
+    """The most recently modified object (ties: largest key); empty listing gives no row."""
+    return listing.orderBy(F.desc(time_col), F.desc(key_col)).limit(1)
+
+
 def stale_partitions(conformed: DataFrame, curated: DataFrame, date_col: str = "trade_date") -> DataFrame:
     """Dates whose newest conformed object is newer than the curated snapshot (or no snapshot).
 

@@ -159,7 +159,7 @@ def q_latest_wins_snapshot(spark: Q, sf: str) -> DataFrame:
 
 def q_latest_event(spark: Q, sf: str) -> DataFrame:
     ev = read_table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
-    return ev.orderBy(F.desc("ts"), F.desc("event_id")).limit(1)
+    return curate.newest_object(ev, time_col="ts", key_col="event_id")
 
 
 def _listing(spark: Q, sf: str, types) -> DataFrame:

@@ -136,8 +136,9 @@ def read_zone(spark: SparkSession, path: str, schema: T.StructType = CONFORMED_S
 
 def curated_scan(spark: SparkSession, path: str, schema: T.StructType = CONFORMED_SCHEMA) -> DataFrame:
     """Curated snapshots of all dates as one typed table (key columns text, dates as dates)."""
+    from ..functions.columns import to_text
     df = read_zone(spark, path, schema)
-    return df.select(*[F.col(c).cast("string").alias(c) if c in ("dataset_id", "exchange", "ticker")
+    return df.select(*[to_text(c).alias(c) if c in ("dataset_id", "exchange", "ticker")
                        else F.col(c) for c in schema.fieldNames()])
 
 

@@ -217,3 +217,14 @@ def test_retention_and_universe_snapshot(spark):
     assert old == ["heartbeat/airflow_time_20240101_101500.txt"]
     u = spark.createDataFrame([("BHP", 0)], "ticker string, pos long")
     assert control.universe_snapshot(u, "2025-01-01").collect()[0]["constituents_snapshot_date"] == D(2025, 1, 1)
+
+
+def test_newest_heartbeat_object(spark, tmp_dir):
+    import time
+    from barlake.operators.curate import newest_object
+    from barlake.sources.files import read_text_objects
+    _write(f"{tmp_dir}/hb/heartbeat/airflow_time_20240101_000000.txt", "2024-01-01 11:00:00 AEDT\n")
+    time.sleep(1.1)
+    _write(f"{tmp_dir}/hb/heartbeat/airflow_time_20240101_000100.txt", "2024-01-01 11:01:00 AEDT\n")
+    top = newest_object(read_text_objects(spark, f"{tmp_dir}/hb")).collect()
+    assert len(top) == 1 and top[0]["value"] == "2024-01-01 11:01:00 AEDT"
