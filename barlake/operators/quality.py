@@ -46,10 +46,15 @@ def missing_required(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS)
 
 # --- profile & duplicates ---------------------------------------------------
 
-def table_profile(df: DataFrame) -> DataFrame:
-    """rows, cols, distinct exchanges/tickers, trade_date and ingest_ts range: one row."""
+def table_profile(df: DataFrame, approx: bool = False) -> DataFrame:
+    """rows, cols, distinct exchanges/tickers, trade_date and ingest_ts range: one row.
+
+    ``approx=True`` counts distinct values with HyperLogLog++ sketches
+    (``approx_count_distinct``) instead of exact distinct aggregation.
+    """
+    distinct = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.countDistinct(c))
     aggs = [F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("cols"),
-            F.countDistinct("exchange").alias("exchanges"), F.countDistinct("ticker").alias("tickers"),
+            distinct("exchange").alias("exchanges"), distinct("ticker").alias("tickers"),
             F.min("trade_date").alias("date_min"), F.max("trade_date").alias("date_max")]
     if "ingest_ts" in df.columns:
         aggs += [F.min("ingest_ts").alias("ingest_ts_min"), F.max("ingest_ts").alias("ingest_ts_max")]

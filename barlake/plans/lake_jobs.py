@@ -1,8 +1,9 @@
 """The lake's scheduled jobs as batch functions over zone paths.
 
 Each job composes the operators into one Spark plan per run (no per-ticker
-or per-date driver loop) and is safe to re-run: raw and curated writes use
-dynamic partition overwrite, conformed is append-only behind an anti join,
+or per-date driver loop) and is safe to re-run: raw is append-only (the
+latest landed version of a bar is current), conformed is append-only behind
+an anti join, curated dates are replaced by dynamic partition overwrite,
 state and audit are written once per run.
 """
 
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..operators import control, curate, normalise, promote
 from ..session import shared_dir
-from ..sources.files import current_raw_objects, list_objects, read_raw_csv, read_zone, write_parquet_partitions, write_raw_csv
+from ..sources.files import (current_raw_objects, list_objects, read_raw_csv, read_zone,
+                             write_parquet_partitions, write_raw_csv)
 from ..spec import (BACKFILL_CALENDAR_DAYS, CONFORMED_SCHEMA, DAILY_FETCH_CALENDAR_DAYS, OHLCV_DAILY,
                     ROLLING_TRADING_DAYS, LakePaths)
 
