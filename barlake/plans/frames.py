@@ -21,16 +21,31 @@ WINDOW_DAYS = 45
 SERIES_TICKER = "Brand#13"
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def _plan(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Reuse the (lazy, unexecuted) adaptor plan within one application.
+
+    Only the logical plan object is shared, so queries skip rebuilding and
+    re-analysing it; every query still executes it in full (no data cache).
+    """
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adaptors.bars_brand(spark, sf_dir)
+    return _plan(spark, sf_dir, "bars", lambda: adaptors.bars_brand(spark, sf_dir))
 
 
 def faulted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adaptors.faulted_bars(adaptors.bars_brand(spark, sf_dir))
+    return _plan(spark, sf_dir, "faulted", lambda: adaptors.faulted_bars(bars(spark, sf_dir)))
 
 
 def user_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adaptors.bars_user(spark, sf_dir)
+    return _plan(spark, sf_dir, "user_bars", lambda: adaptors.bars_user(spark, sf_dir))
 
 
 def conformed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
