@@ -307,7 +307,7 @@ def q_tickers_min_obs(spark: Q, sf: str) -> DataFrame:
 
 def _corr(spark: Q, sf: str) -> DataFrame:
     m = frames.user_matrix(spark, sf)
-    pairs = correlation.return_correlation(m, correlation.tickers_min_obs(m))
+    pairs = correlation.return_correlation(m, min_obs_fraction=0.8, materialise=True)
     return pairs.withColumn("corr", nan_to_null("corr"))
 
 
