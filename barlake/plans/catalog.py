@@ -20,6 +20,17 @@ from .frames import AS_OF, BACKFILL_AS_OF, RUN_TS, SERIES_TICKER, WINDOW_DAYS
 
 Q = SparkSession
 
+# Registered outputs whose floats come from order-dependent sums (means, standard
+# deviations, correlations) are reported to 6 decimals, the precision at which two
+# engines agree; the operators themselves return full precision.
+REPORT_DECIMALS = 6
+DESCRIBE_FLOATS = ("mean", "std", "min", "p01", "p05", "p50", "p95", "p99", "max")
+
+
+def rounded(df: DataFrame, cols, decimals: int = REPORT_DECIMALS) -> DataFrame:
+    cols = set(cols)
+    return df.select(*[F.round(F.col(c), decimals).alias(c) if c in cols else F.col(c) for c in df.columns])
+
 
 # --- intake -----------------------------------------------------------------
 
@@ -250,7 +261,7 @@ def q_adj_drift(spark: Q, sf: str) -> DataFrame:
 
 
 def q_adj_drift_describe(spark: Q, sf: str) -> DataFrame:
-    return stats.describe(returns.adj_drift(frames.bars(spark, sf)), "adj_diff_pct")
+    return rounded(stats.describe(returns.adj_drift(frames.bars(spark, sf)), "adj_diff_pct"), DESCRIBE_FLOATS)
 
 
 def q_histogram_adj_drift(spark: Q, sf: str) -> DataFrame:
@@ -266,20 +277,20 @@ def q_daily_returns(spark: Q, sf: str) -> DataFrame:
 
 
 def q_returns_describe(spark: Q, sf: str) -> DataFrame:
-    return stats.describe(_faulted_returns(spark, sf), "ret_1d")
+    return rounded(stats.describe(_faulted_returns(spark, sf), "ret_1d"), DESCRIBE_FLOATS)
 
 
 def q_return_zscores(spark: Q, sf: str) -> DataFrame:
-    return returns.return_zscores(_faulted_returns(spark, sf)).select(
-        "exchange", "ticker", "trade_date", "ret_1d", "ret_z")
+    return rounded(returns.return_zscores(_faulted_returns(spark, sf)).select(
+        "exchange", "ticker", "trade_date", "ret_1d", "ret_z"), ["ret_z"])
 
 
 def q_return_anomalies(spark: Q, sf: str) -> DataFrame:
-    return returns.return_anomalies(returns.return_zscores(_faulted_returns(spark, sf)))
+    return rounded(returns.return_anomalies(returns.return_zscores(_faulted_returns(spark, sf))), ["ret_z"])
 
 
 def q_log_volume_describe(spark: Q, sf: str) -> DataFrame:
-    return stats.describe(returns.log_volume(frames.faulted(spark, sf)), "log10_volume")
+    return rounded(stats.describe(returns.log_volume(frames.faulted(spark, sf)), "log10_volume"), DESCRIBE_FLOATS)
 
 
 def q_histogram_log_volume(spark: Q, sf: str) -> DataFrame:
@@ -312,7 +323,7 @@ def _corr(spark: Q, sf: str) -> DataFrame:
 
 
 def q_return_correlation(spark: Q, sf: str) -> DataFrame:
-    return _corr(spark, sf)
+    return rounded(_corr(spark, sf), ["corr"])
 
 
 def q_histogram_correlation(spark: Q, sf: str) -> DataFrame:
@@ -320,7 +331,8 @@ def q_histogram_correlation(spark: Q, sf: str) -> DataFrame:
     from ..session import shared_dir
     shared_dir(spark)
     pairs = _corr(spark, sf).checkpoint(eager=True)
-    return stats.histogram(correlation.off_diagonal(pairs), "corr", weight="weight")
+    return rounded(stats.histogram(correlation.off_diagonal(pairs), "corr", weight="weight"),
+                   ["bin_lo", "bin_hi"])
 
 
 QUERIES = {

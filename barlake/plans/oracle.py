@@ -400,3 +400,18 @@ ORACLE["universe_snapshot"] = ORACLE["ticker_universe"].replace(
     "min(p_partkey) AS pos", "min(p_partkey) AS pos, DATE '2001-11-04' AS constituents_snapshot_date")
 
 ORACLE["curated_scan"] = W(["bars_brand"], CONFORMED) + "SELECT * FROM conformed"
+
+
+def _rounded(sql: str, cols) -> str:
+    """Same 6-decimal report precision as the Spark side (``catalog.rounded``)."""
+    rep = ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+    return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n)"
+
+
+_DESCRIBE_FLOATS = ("mean", "std", "min", "p01", "p05", "p50", "p95", "p99", "max")
+for _name in ("adj_drift_describe", "returns_describe", "log_volume_describe"):
+    ORACLE[_name] = _rounded(ORACLE[_name], _DESCRIBE_FLOATS)
+for _name in ("return_zscores", "return_anomalies"):
+    ORACLE[_name] = _rounded(ORACLE[_name], ["ret_z"])
+ORACLE["return_correlation"] = _rounded(ORACLE["return_correlation"], ["corr"])
+ORACLE["histogram_correlation"] = _rounded(ORACLE["histogram_correlation"], ["bin_lo", "bin_hi"])
