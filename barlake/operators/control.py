@@ -98,14 +98,17 @@ def state_from_json(lines: DataFrame, col: str = "value") -> DataFrame:
     return ex.select("ticker", *[F.col("rec." + f.name).alias(f.name) for f in TICKER_STATE_SCHEMA.fields])
 
 
+def read_state_doc(spark, path: str) -> DataFrame:
+    """A whole-document JSON state (``version, last_updated, window, tickers`` map), declared schema."""
+    return spark.read.schema(STATE_DOC_SCHEMA).option("multiLine", True).json(path)
+
+
 def state_doc_table(doc: DataFrame) -> DataFrame:
     """Explode a whole-document state (``version, last_updated, window, tickers map``) to rows."""
     return doc.select(F.explode("tickers").alias("ticker", "rec")).select(
         "ticker", *[F.col("rec." + f.name).alias(f.name) for f in TICKER_STATE_SCHEMA.fields])
 
 
-STATE_DOC_DDL = STATE_DOC_SCHEMA
-
 
 def universe_snapshot(universe: DataFrame, snapshot_date) -> DataFrame:
     """Dated constituent list: the universe tagged with ``constituents_snapshot_date`` (partition column)."""

@@ -72,3 +72,18 @@ def test_heartbeat_stream(spark, tmp_dir):
     q.stop()  # a rate source never runs dry: stop it, never wait for "all available"
     lines = [r["value"] for r in spark.read.text(f"{tmp_dir}/hb").collect()]
     assert lines and all(line[-4:] in ("AEDT", "AEST") and len(line) == 24 for line in lines)
+
+
+def test_state_document_format(spark, tmp_dir):
+    doc = ('{"version": 1, "last_updated": "2025-01-02T00:00:00Z", '
+           '"window": {"start": "2020-01-03", "end": "2025-01-01"}, '
+           '"tickers": {"BHP": {"status": "complete", "rows_written": 1250, "completed_at": "2025-01-02T00:00:00Z"}, '
+           '"XYZ": {"status": "error", "error": "No data returned", "failed_at": "2025-01-02T00:00:01Z"}}}')
+    os.makedirs(f"{tmp_dir}/doc")
+    with open(f"{tmp_dir}/doc/state.json", "w") as f:
+        f.write(doc)
+    rows = {r["ticker"]: r for r in control.state_doc_table(control.read_state_doc(spark, f"{tmp_dir}/doc")).collect()}
+    assert rows["BHP"]["rows_written"] == 1250 and rows["XYZ"]["status"] == "error"
+    universe = spark.createDataFrame([("BHP", 0), ("XYZ", 1)], "ticker string, pos long")
+    state = control.state_doc_table(control.read_state_doc(spark, f"{tmp_dir}/doc"))
+    assert [r["ticker"] for r in control.pending_tickers(universe, state).collect()] == ["XYZ"]
