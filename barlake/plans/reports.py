@@ -84,3 +84,33 @@ def write_reports(out_dir: str, tables: dict[str, DataFrame], small: tuple[str,
 
 def write_summary_text(summary: DataFrame, out_dir: str) -> None:
     summary.select("summary").coalesce(1).write.mode("overwrite").text(f"{out_dir.rstrip('/')}/eda_summary")
+
+
+def run_eda(bars: DataFrame, out_dir: str, threshold: float = ANOMALY_Z) -> dict[str, DataFrame]:
+    """The full EDA report set over one curated bar table, written under ``out_dir``.
+
+    The bar table and its returns are materialised once in the shared folder
+    and feed every report; per-ticker and per-statistic reports are bounded
+    and written as single sorted files, the correlation pairs keep their
+    partitioning.  Returns the report DataFrames by name.
+    """
+    from ..operators import stats
+    shared_dir(bars.sparkSession)
+    bars = bars.checkpoint(eager=True)
+    z = returns.return_zscores(returns.daily_returns(bars)).checkpoint(eager=True)
+    key = ["exchange", "ticker"]
+    median = stats.exact_quantiles(bars, "volume", [0.5], key).select(*key, F.col("quantile").alias("median_volume"))
+    tables = {
+        "profile": quality.table_profile(bars),
+        "ticker_coverage": quality.ticker_coverage(bars).orderBy(*key),
+        "nulls_overall": quality.null_rates(bars).orderBy(F.desc("null_count"), "column_name"),
+        "nulls_by_ticker": quality.null_rates_by_ticker(bars).orderBy(F.desc("close"), "ticker"),
+        "returns_describe": stats.describe(z, "ret_1d"),
+        "return_anomalies_z6": returns.return_anomalies(z, threshold).orderBy("ret_z", *key, "trade_date"),
+        "median_volume_by_ticker": median.orderBy(F.desc("median_volume"), *key),
+        "returns_correlation": correlation.return_correlation(
+            correlation.return_matrix(z), min_obs_fraction=0.8, materialise=True),
+    }
+    write_reports(out_dir, tables, small=tuple(n for n in tables if n != "returns_correlation"))
+    write_summary_text(eda_summary(bars, threshold), out_dir)
+    return tables

@@ -87,3 +87,11 @@ def test_state_document_format(spark, tmp_dir):
     universe = spark.createDataFrame([("BHP", 0), ("XYZ", 1)], "ticker string, pos long")
     state = control.state_doc_table(control.read_state_doc(spark, f"{tmp_dir}/doc"))
     assert [r["ticker"] for r in control.pending_tickers(universe, state).collect()] == ["XYZ"]
+
+
+def test_run_eda_writes_report_set(spark, sf_dir, tmp_dir):
+    tables = reports.run_eda(faulted(spark, sf_dir), tmp_dir)
+    for name in list(tables) + ["eda_summary"]:
+        assert os.path.isdir(f"{tmp_dir}/{name}"), name
+    cov = spark.read.option("header", True).csv(f"{tmp_dir}/ticker_coverage")
+    assert cov.count() == 25
