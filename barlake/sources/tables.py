@@ -35,8 +35,11 @@ def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES, cache_key: tuple |
     key = None if cache_key is None else cache_key + (cores, min_bytes)
     decision = _SPREAD_DECISIONS.get(key) if key else None
     if decision is None:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # file-size estimate
-        decision = size >= min_bytes and df.rdd.getNumPartitions() < cores
+        try:
+            size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # file-size estimate
+            decision = size >= min_bytes and df.rdd.getNumPartitions() < cores
+        except Exception:  # no JVM-side handle (e.g. a Connect session): read as is
+            decision = False
         if key:
             _SPREAD_DECISIONS[key] = decision
     return df.repartition(cores) if decision else df
