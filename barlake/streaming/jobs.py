@@ -72,6 +72,9 @@ def snapshot_refresh_batch(batch: DataFrame, conformed: str, curated: str, schem
     The touched dates (bounded by the calendar, one value per date) drive a
     partition-pruned re-read of the conformed zone; latest-wins runs over all
     ingests of those dates; dynamic partition overwrite replaces only them.
+    (A semi join with the batch would not prune: with no predicate on the
+    batch side Catalyst sees no benefit in dynamic partition pruning and
+    scans every date, so the bounded date list is used as a static filter.)
     """
     dates = [r[0] for r in batch.select("trade_date").distinct().collect()]
     if not dates:
