@@ -82,16 +82,17 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         F.count("x").alias("n"), *[fn(F.col("x")).alias(name) for name, fn in extra.items()]))
     prob_list = F.array(*[F.lit(float(p)) for p in probs])
     pos = F.col("prob") * (F.col("n") - 1)
-    ranks = _cut(counts.select(*keys, "n", *extra, F.explode(prob_list).alias("prob"))
-                 .select(*keys, *extra, "prob", F.floor(pos).alias("r_lo"),
-                         F.least(F.floor(pos) + 1, F.col("n") - 1).alias("r_hi"),
-                         (pos - F.floor(pos)).alias("frac")))
+    # ranks and targets are cheap projections of the checkpointed counts
+    ranks = (counts.select(*keys, "n", *extra, F.explode(prob_list).alias("prob"))
+             .select(*keys, *extra, "prob", F.floor(pos).alias("r_lo"),
+                     F.least(F.floor(pos) + 1, F.col("n") - 1).alias("r_hi"),
+                     (pos - F.floor(pos)).alias("frac")))
     # one target per distinct rank: find the k-th smallest value inside (lo, hi)
-    targets = _cut(ranks.select(*keys, F.explode(F.array("r_lo", "r_hi")).alias("r"))
-                   .dropDuplicates(keys + ["r"])
-                   .join(counts.where(F.col("n") > 0).select(*keys, "n"), keys)
-                   .select(*keys, "r", F.col("r").alias("k"), F.col("n").alias("cnt"),
-                           F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")))
+    targets = (ranks.select(*keys, F.explode(F.array("r_lo", "r_hi")).alias("r"))
+               .dropDuplicates(keys + ["r"])
+               .join(counts.where(F.col("n") > 0).select(*keys, "n"), keys)
+               .select(*keys, "r", F.col("r").alias("k"), F.col("n").alias("cnt"),
+                       F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")))
 
     resolved = [ranks.select(*keys, F.col("r_lo").alias("r"), F.lit(None).cast("double").alias("val"))
                 .where(F.lit(False))]
