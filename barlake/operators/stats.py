@@ -157,16 +157,26 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
 
 
 def describe(df: DataFrame, value: str, percentiles: Sequence[float] = (0.01, 0.05, 0.5, 0.95, 0.99),
-             keys: Sequence[str] = ()) -> DataFrame:
+             keys: Sequence[str] = (), approx: bool = False, accuracy: int = ACCURACY) -> DataFrame:
     """pandas ``describe``: count, mean, std (sample), min, percentiles, max — one row per group.
 
     Percentile columns are named ``p01``, ``p05``, ``p50`` ... (hundredths).
     The moments ride along the quantile counting pass, so no join is needed.
+    ``approx=True`` takes the percentiles from one ``percentile_approx``
+    sketch per group instead (a single pass, rank error about 1/accuracy).
     """
     keys = list(keys)
+    names = {float(p): f"p{round(p * 100):02d}" for p in percentiles}
+    x = F.col(value)
+    if approx:
+        q = F.percentile_approx(x, list(names), accuracy)
+        out = df.groupBy(*keys).agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
+                                    F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+                                    q.alias("_q"), F.max(x).alias("max"))
+        return out.select(*keys, "count", "mean", "std", "min",
+                          *[F.col("_q")[i].alias(n) for i, n in enumerate(names.values())], "max")
     moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     q = exact_quantiles(df, value, percentiles, keys, extra=moments)
-    names = {float(p): f"p{round(p * 100):02d}" for p in percentiles}
     wide = q.groupBy(*keys, *moments).agg(*[
         F.max(F.when(F.col("prob") == F.lit(p), F.col("quantile"))).alias(n) for p, n in names.items()])
     return wide.select(*keys, "count", "mean", "std", "min", *names.values(), "max")

@@ -59,3 +59,13 @@ def test_histogram_last_bin_closed_and_constant(spark):
 def test_quantiles_empty_input(spark):
     df = spark.createDataFrame([], "g string, v double")
     assert stats.exact_quantiles(df, "v", [0.5], ["g"]).count() == 0
+
+
+def test_describe_approx_close_to_exact(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(float(v),) for v in rng.normal(0, 1, 20000)], "x double")
+    exact = stats.describe(df, "x").collect()[0]
+    approx = stats.describe(df, "x", approx=True).collect()[0]
+    assert approx["count"] == exact["count"] and approx["mean"] == pytest.approx(exact["mean"])
+    for c in ("p01", "p05", "p50", "p95", "p99"):
+        assert abs(approx[c] - exact[c]) < 0.05
