@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..spec import HEARTBEAT_KEY_FORMAT
 from .columns import col_, iso_date, local_time
 
 
@@ -41,5 +42,6 @@ def trade_date_from_key(key) -> Column:
 
 
 def heartbeat_key(ts) -> Column:
-    return F.concat(F.lit("heartbeat/airflow_time_"),
-                    F.date_format(local_time(ts), "yyyyMMdd_HHmmss"), F.lit(".txt"))
+    """Object key of a heartbeat written at UTC instant ``ts`` (local wall-clock stamp)."""
+    head, tail = HEARTBEAT_KEY_FORMAT.split("{stamp}")
+    return F.concat(F.lit(head), F.date_format(local_time(ts), "yyyyMMdd_HHmmss"), F.lit(tail))

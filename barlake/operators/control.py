@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import vendor_symbol
-from ..spec import BACKFILL_CALENDAR_DAYS, STATE_DOC_SCHEMA, TICKER_STATE_SCHEMA, VENDOR_SUFFIX
+from ..spec import (BACKFILL_CALENDAR_DAYS, HEARTBEAT_KEY_FORMAT, STATE_DOC_SCHEMA, TICKER_STATE_SCHEMA,
+                    VENDOR_SUFFIX)
 
 NO_DATA_ERROR = "No data returned"
 
@@ -116,8 +117,11 @@ def universe_snapshot(universe: DataFrame, snapshot_date) -> DataFrame:
 
 
 def heartbeat_time_from_key(key) -> Column:
-    """Local wall-clock time encoded in ``heartbeat/airflow_time_yyyyMMdd_HHmmss.txt`` (null if absent)."""
-    stamp = F.regexp_extract(key if isinstance(key, Column) else F.col(key), r"airflow_time_(\d{8}_\d{6})\.txt$", 1)
+    """Local wall-clock time encoded in a heartbeat key (``spec.HEARTBEAT_KEY_FORMAT``); null if absent."""
+    import re
+    head, tail = HEARTBEAT_KEY_FORMAT.split("{stamp}")
+    pattern = re.escape(head.split("/")[-1]) + r"(\d{8}_\d{6})" + re.escape(tail) + "$"
+    stamp = F.regexp_extract(key if isinstance(key, Column) else F.col(key), pattern, 1)
     return F.when(stamp != "", F.try_to_timestamp(stamp, F.lit("yyyyMMdd_HHmmss")))
 
 
@@ -150,7 +154,6 @@ def load_state(spark, path: str) -> DataFrame | None:
     instead of silently restarting every ticker.
     """
     from pyspark.sql import types as T
-    from ..spec import TICKER_STATE_SCHEMA
     schema = T.StructType([T.StructField("ticker", T.StringType())] + TICKER_STATE_SCHEMA.fields + [
         T.StructField("version", T.IntegerType()), T.StructField("last_updated", T.TimestampType()),
         T.StructField("window_start", T.DateType()), T.StructField("window_end", T.DateType())])
