@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, sharding, topk, toxicity
+from . import decontam, langid, mixing, ngram_join, quality, sharding, topk, toxicity
 from .common import bounded_batches
 
 SHARDS = 16
@@ -21,6 +21,10 @@ def op1_target_weight_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), TOP_K)
@@ -52,6 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_target_weight_mixing,
     op2_quality_ranking,
+    op3_ngram_jaccard_join,
     op5_exact_top_k,
     op6_rendezvous_sharding,
     op8_language_id,
