@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored
 from .components import components
+from .runs import RunFirsts
 from .words import SPACED_LOWER, Slice, mixed, slices, windows, words
 
 _SETS = "doc_id long, n_shingles long, h1 long, h2 long, parts array<long>"
@@ -126,23 +127,14 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> It
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (part, node) -> (node, smallest node with that part), for parts that several nodes have."""
-    last_part, root = None, None
+    firsts = RunFirsts()
     for batch in batches:
         part, node = np.asarray(batch.column("part")), np.asarray(batch.column("node"))
         if not len(part):
             continue
-        new = np.ones(len(part), bool)
-        new[1:] = part[1:] != part[:-1]
-        new[0] = part[0] != last_part
-        begins = np.flatnonzero(new)
-        roots = np.empty(len(part), np.int64)
-        lengths = np.diff(np.concatenate((begins, [len(part)])))
-        roots[begins[0] if len(begins) else len(part):] = np.repeat(node[begins], lengths)
-        if len(begins) == 0 or begins[0] > 0:
-            roots[:begins[0] if len(begins) else len(part)] = root
-        last_part, root = part[-1], roots[-1]
-        apart = node != roots
-        pairs = np.unique(np.column_stack((node[apart], roots[apart])), axis=0)
+        root, = firsts((part,), (node,))
+        apart = node != root
+        pairs = np.unique(np.column_stack((node[apart], root[apart])), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["node", "root"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, ngram_join, quality, sharding, topk, toxicity
+from . import decontam, langid, mixing, ngram_join, phrases, quality, sharding, topk, toxicity
 from .common import bounded_batches
 
 SHARDS = 16
@@ -39,6 +39,11 @@ def op2_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.learn(docs))
@@ -59,6 +64,7 @@ QUERIES = {f.__name__: f for f in (
     op3_ngram_jaccard_join,
     op5_exact_top_k,
     op6_rendezvous_sharding,
+    op7_repeated_phrases,
     op8_language_id,
     op9_benchmark_decontamination,
     op10_toxicity,
