@@ -44,7 +44,6 @@ from .components import components
 from .runs import RunFirsts
 from .words import SPACED_LOWER, Slice, mixed, slices, windows, words
 
-_SETS = "doc_id long, n_shingles long, h1 long, h2 long, parts array<long>"
 #: A cluster of up to SINGLE sets is one task; larger ones are cut into blocks of SMALL to LARGE sets, BLOCKS of them if that fits.
 SINGLE, SMALL, LARGE, BLOCKS = 128, 64, 1024, 40
 
@@ -110,19 +109,31 @@ def part_keys(x: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(keys) if keys else x[:0]
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """A row per document; part keys only with the first of equal sets that a task meets."""
-    bands, seen = Bands(num, den), set()
+def _identify(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Size and hashes of each document's set."""
     for batch in batches:
-        n, h1, h2, parts = [], [], [], []
+        n, h1, h2 = [], [], []
         for s in slices(batch.column("text")):
             for x in shingle_sets(s, k):
                 a, b = set_hashes(x)
                 n.append(len(x)), h1.append(a), h2.append(b)
-                parts.append(part_keys(x, bands).view(np.int64) if len(x) and a not in seen else None)
-                seen.add(a)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                                          pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "h1", "h2", "parts"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n, h1, h2))], names=["doc_id", "n_shingles", "h1", "h2"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """(part, node) of every set, a node being a set's first hash; equal sets that a task meets again are left out."""
+    bands, seen = Bands(num, den), set()
+    for batch in batches:
+        for s in slices(batch.column("text")):
+            parts, nodes = [], []
+            for x in shingle_sets(s, k):
+                node = set_hashes(x)[0]
+                if len(x) and node not in seen:
+                    seen.add(node)
+                    parts.append(part_keys(x, bands))
+                    nodes.append(np.full(len(parts[-1]), node))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(nodes), pa.int64())], names=["part", "node"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,10 +247,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     """doc_id, n_shingles, component_id of every document; ``docs`` has doc_id and text."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(texts.mapInArrow(partial(_sketch, k=k, num=num, den=den), _SETS), "shingle-sets")
-    narrow = sets.select("doc_id", "n_shingles", "h1", "h2")
+    narrow = stored(texts.mapInArrow(partial(_identify, k=k), "doc_id long, n_shingles long, h1 long, h2 long"), "shingle-sets")
 
-    parts = sets.where(F.col("parts").isNotNull()).select(F.col("h1").alias("node"), F.explode("parts").alias("part"))
+    parts = texts.select("text").mapInArrow(partial(_parts, k=k, num=num, den=den), "part long, node long")
     shared = parts.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_shared, "node long, root long")
     clusters = stored(components(shared), "clusters")
 

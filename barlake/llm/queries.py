@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, ngram_join, phrases, quality, sharding, topk, toxicity
+from . import decontam, langid, mixing, ngram_join, phrases, quality, sharding, surrogates, topk, toxicity
 from .common import bounded_batches
 
 SHARDS = 16
+#: A deployment passes its own secret.
+SURROGATE_KEY = "registered-query-key"
 TOP_K, QUERY_EVERY = 5, 50
 
 
@@ -25,6 +27,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), TOP_K)
@@ -62,6 +68,7 @@ QUERIES = {f.__name__: f for f in (
     op1_target_weight_mixing,
     op2_quality_ranking,
     op3_ngram_jaccard_join,
+    op4_pii_surrogates,
     op5_exact_top_k,
     op6_rendezvous_sharding,
     op7_repeated_phrases,
