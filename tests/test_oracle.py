@@ -2,11 +2,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from barlake.plans import catalog, oracle
 from harness import compare, duck_connect
 
-SQL = entry.oracle_sql()
+SQL = oracle.ORACLE
 STREAMS = {"stream_copy_promote", "stream_raw_to_conformed", "stream_snapshot_refresh"}
-NAMES = sorted(set(entry.queries()) - STREAMS)
+NAMES = sorted(set(catalog.all_queries()) - STREAMS)
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +26,7 @@ def test_query_matches_oracle(spark, sf_dir, con, name):
 
 
 def test_every_query_has_oracle_or_is_listing():
-    rows_only = set(entry.queries()) - set(SQL)
+    rows_only = set(catalog.all_queries()) - set(SQL)
     assert rows_only <= {"object_inventory", "storage_footprint"}
 
 
