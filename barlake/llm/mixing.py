@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE_CLASS, own_name, unit
+from .common import SPACE_CLASS, own_name
 
 #: Key-ordered bins per source.
 BINS = 2048
@@ -78,7 +78,8 @@ def mix_plan(docs: DataFrame, weights: DataFrame | None = None, bins: int = BINS
     else:
         rows = (rows.join(weights.select(F.col("doc_id").alias("_id"), F.col("weight").alias("_w")), F.col("doc_id") == F.col("_id"), "left")
                 .select("doc_id", "source", "size", F.coalesce("_w", F.lit(UNLABELLED_WEIGHT)).alias("_w")))
-    u = unit(F.xxhash64(F.coalesce(F.col("source"), F.lit("\u0000null")), F.col("doc_id").cast("string")))
+    drawn = F.md5(F.concat_ws("|", F.coalesce(F.col("source"), F.lit("~")), F.coalesce(F.col("doc_id").cast("string"), F.lit("~"))).cast("binary"))
+    u = (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     rows = (rows.withColumn("_key", -F.log(u) / F.col("_w"))
             .withColumn("_bin", F.least(F.floor((1 - F.exp(-F.col("_key") * UNLABELLED_WEIGHT)) * bins), F.lit(bins - 1)).cast("int")))
     rows = rows.repartition("source", "_bin")        # used by the sums and by the joins below
