@@ -1,169 +1,90 @@
-"""Distribution statistics: exact quantiles without gathering a group, describe, histogram.
+"""Distribution statistics: exact quantiles by range partitioning, describe, histogram.
 
 ``exact_quantiles`` returns the same values as ``quantile_cont`` / pandas'
-linear interpolation, but never sorts or collects a whole group in one task
-(one ticker may hold a third of all rows).  It selects the order statistics
-it needs by narrowing a value interval per target rank:
-
-1. one aggregate pass: ``count`` and a grid of ``percentile_approx`` pivots
-   per group (mergeable sketches: map-side partial aggregation, bounded
-   memory per group);
-2. two pivots that bracket the wanted rank, then a counting pass
-   (``x < p``, ``x <= p``) decides whether a pivot *is* the answer or which
-   open interval still holds it;
-3. repeat 2 on the shrinking interval until it holds at most
-   ``collect_limit`` values, which are then sorted inside one aggregate.
-
-Each round cuts the candidate count by roughly the grid size, so the number
-of passes grows with log(n) and every state kept per group is bounded.
+linear interpolation.  Equal values of a group are counted first (combined
+before the shuffle, so heavy ties cost one row), the counted values are range
+partitioned by (group, value) and stored sorted; a group of any size is spread
+over as many partitions as it needs.  A small table of counts per partition and
+group then tells which partition holds each wanted rank, and only rows of
+those partitions are looked at again.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import stored
+from ..spec import DESCRIBE_PERCENTILES, HIST_BINS
 
-GRID = 1000
 ACCURACY = 10000
-COLLECT_LIMIT = 200_000
-BROADCAST_TARGETS = 200000
 
 
-def _grid_fractions(grid: int) -> list[float]:
-    return [i / grid for i in range(grid + 1)]
+def _counted(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, x, n, _part): distinct values with their counts, range partitioned and stored; nulls are kept with n."""
+    counted = df.select(*keys, F.col(value).cast("double").alias("x")).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"))
+    ranged = counted.repartitionByRange(*keys, "x").sortWithinPartitions(*keys, "x")
+    return stored(ranged.withColumn("_part", F.spark_partition_id()), "quantiles")
 
 
-def _join_targets(base: DataFrame, targets: DataFrame, keys: Sequence[str], n_targets: int) -> DataFrame:
-    """Candidates of every open target: data rows inside the target's (lo, hi) interval."""
-    # The target table has at most 2 rows per group and probability; it is
-    # broadcast only below a checked row count, else joined by shuffle.
-    t = F.broadcast(targets) if n_targets <= BROADCAST_TARGETS else targets
-    joined = base.join(t, list(keys), "inner")
-    inside = (F.col("lo").isNull() | (F.col("x") > F.col("lo"))) & \
-             (F.col("hi").isNull() | (F.col("x") < F.col("hi")))
-    return joined.where(inside)
+def _same(a: DataFrame, b: DataFrame, keys: Sequence[str], prefix: str) -> tuple:
+    """(join condition, renamed b) for a null-safe join on ``keys``."""
+    renamed = b.select(*[F.col(c).alias(prefix + c if c in keys else c) for c in b.columns])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(prefix + k))
+    return cond, renamed
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small per-target state table (reliable checkpoint)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    keys: Sequence[str] = (), grid: int = GRID, accuracy: int = ACCURACY,
-                    collect_limit: int = COLLECT_LIMIT, extra: dict | None = None) -> DataFrame:
+def _pick(values: DataFrame, probs: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """(keys, prob, quantile) from counted values; an all-null group gives null quantiles."""
+    keys = list(keys)
+    real = F.when(F.col("x").isNotNull(), F.col("n")).otherwise(F.lit(0))
+    parts = values.groupBy(*keys, "_part").agg(F.sum(real).alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    at = F.col("prob") * (F.col("_total") - 1)
+    ranks = (parts.groupBy(*keys).agg(F.sum("_rows").alias("_total")).withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+             .select(*keys, "prob", F.when(F.col("_total") > 0, F.floor(at)).alias("r_lo"),
+                     F.when(F.col("_total") > 0, F.least(F.floor(at) + 1, F.col("_total") - 1)).alias("r_hi"), (at - F.floor(at)).alias("frac")))
+    wanted = ranks.select(*keys, F.explode(F.array("r_lo", "r_hi")).alias("r")).where("r is not null").distinct()
+    cond, there = _same(wanted, parts, keys, "_p_")
+    wanted = wanted.join(there, cond & (F.col("r") >= F.col("_offset")) & (F.col("r") < F.col("_offset") + F.col("_rows"))).select(*keys, "_part", "r", (F.col("r") - F.col("_offset")).alias("k"))
+    cond, asked = _same(values, wanted, [*keys, "_part"], "_w_")
+    cond = cond & F.col("_part").eqNullSafe(F.col("_w__part"))
+    touched = values.where("x is not null").join(asked.select(*["_w_" + k for k in keys], "_w__part").distinct(), cond, "left_semi")
+    inside = Window.partitionBy(*keys, "_part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    placed = touched.withColumn("_before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    found = (placed.join(asked, cond & (F.col("k") >= F.col("_before")) & (F.col("k") < F.col("_before") + F.col("n"))).select(*keys, "r", "x"))
+    out = ranks
+    for side in ("lo", "hi"):
+        cond, v = _same(out, found.withColumnRenamed("x", f"v_{side}").withColumnRenamed("r", f"_r_{side}"), keys, f"_{side}_")
+        out = out.join(v, cond & (F.col(f"r_{side}") == F.col(f"_r_{side}")), "left")
+    return out.select(*keys, "prob", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("quantile"))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles of ``value`` per group ``keys``.
 
     Returns ``keys..., prob, quantile`` (one row per group and probability);
-    nulls are ignored, an all-null group gives a null quantile.  ``extra``
-    maps output names to aggregate functions (``Column -> Column``) applied to
-    the value in the same counting pass and carried on every output row.
+    nulls are ignored, an all-null group gives a null quantile.
     """
-    keys = list(keys)
-    extra = dict(extra or {})
     if not keys:
-        out = exact_quantiles(df.withColumn("_g", F.lit(0)), value, probs, ["_g"], grid, accuracy,
-                              collect_limit, extra)
-        return out.drop("_g")
-    # the input is evaluated once: cached with its nulls (all-null groups keep a
-    # null result row); candidates below skip the nulls
-    cached = df.select(*keys, F.col(value).cast("double").alias("x"))
-    cached = cached.persist(StorageLevel.MEMORY_AND_DISK)
-    base = cached.where(F.col("x").isNotNull())
-    fr = _grid_fractions(grid)
-
-    counts = _cut(cached.groupBy(*keys).agg(
-        F.count("x").alias("n"), *[fn(F.col("x")).alias(name) for name, fn in extra.items()]))
-    prob_list = F.array(*[F.lit(float(p)) for p in probs])
-    pos = F.col("prob") * (F.col("n") - 1)
-    # ranks and targets are cheap projections of the checkpointed counts
-    ranks = (counts.select(*keys, "n", *extra, F.explode(prob_list).alias("prob"))
-             .select(*keys, *extra, "prob", F.floor(pos).alias("r_lo"),
-                     F.least(F.floor(pos) + 1, F.col("n") - 1).alias("r_hi"),
-                     (pos - F.floor(pos)).alias("frac")))
-    # one target per distinct rank: find the k-th smallest value inside (lo, hi)
-    targets = (ranks.select(*keys, F.explode(F.array("r_lo", "r_hi")).alias("r"))
-               .dropDuplicates(keys + ["r"])
-               .join(counts.where(F.col("n") > 0).select(*keys, "n"), keys)
-               .select(*keys, "r", F.col("r").alias("k"), F.col("n").alias("cnt"),
-                       F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")))
-
-    resolved = [ranks.select(*keys, F.col("r_lo").alias("r"), F.lit(None).cast("double").alias("val"))
-                .where(F.lit(False))]
-    for _ in range(64):
-        sizes = {bool(r[0]): r[1] for r in
-                 targets.groupBy((F.col("cnt") <= collect_limit).alias("small")).count().collect()}
-        if sizes.get(True):
-            small = targets.where(F.col("cnt") <= collect_limit)
-            cand = _join_targets(base, small, keys, sizes[True])
-            got = cand.groupBy(*keys, "r", "k").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-            resolved.append(_cut(got.select(*keys, "r", F.element_at("xs", F.col("k").cast("int") + 1)
-                                            .alias("val"))))
-        if not sizes.get(False):
-            break
-        large = targets.where(F.col("cnt") > collect_limit)
-        # a pivot grid of each large interval, two pivots around the wanted rank
-        piv = (_join_targets(base, large, keys, sizes[False])
-               .groupBy(*keys, "r", "k", "cnt", "lo", "hi")
-               .agg(F.percentile_approx("x", fr, accuracy).alias("piv")))
-        gi = F.col("k") * grid / F.col("cnt")
-        ia = F.greatest(F.floor(gi) - 1, F.lit(0)).cast("int")
-        ib = F.least(F.ceil(gi) + 1, F.lit(grid)).cast("int")
-        piv = _cut(piv.select(*keys, "r", "k", "cnt", "lo", "hi",
-                              F.element_at("piv", ia + 1).alias("pa"), F.element_at("piv", ib + 1).alias("pb")))
-        cnts = _join_targets(base, piv, keys, sizes[False]).groupBy(
-            *keys, "r", "k", "cnt", "lo", "hi", "pa", "pb").agg(
-            F.count_if(F.col("x") < F.col("pa")).alias("lt_a"),
-            F.count_if(F.col("x") <= F.col("pa")).alias("le_a"),
-            F.count_if(F.col("x") < F.col("pb")).alias("lt_b"),
-            F.count_if(F.col("x") <= F.col("pb")).alias("le_b"),
-        )
-        k = F.col("k")
-        hit_a = (k >= F.col("lt_a")) & (k < F.col("le_a"))
-        hit_b = (k >= F.col("lt_b")) & (k < F.col("le_b"))
-        step = _cut(cnts.select(
-            *keys, "r",
-            F.when(k < F.col("lt_a"), k).when(k < F.col("lt_b"), k - F.col("le_a"))
-             .otherwise(k - F.col("le_b")).alias("k"),
-            F.when(k < F.col("lt_a"), F.col("lt_a")).when(k < F.col("lt_b"), F.col("lt_b") - F.col("le_a"))
-             .otherwise(F.col("cnt") - F.col("le_b")).cast("bigint").alias("cnt"),
-            F.when(k < F.col("lt_a"), F.col("lo")).when(k < F.col("lt_b"), F.col("pa"))
-             .otherwise(F.col("pb")).alias("lo"),
-            F.when(k < F.col("lt_a"), F.col("pa")).when(k < F.col("lt_b"), F.col("pb"))
-             .otherwise(F.col("hi")).alias("hi"),
-            F.when(hit_a, F.col("pa")).when(hit_b, F.col("pb")).alias("val")))
-        resolved.append(step.where(F.col("val").isNotNull()).select(*keys, "r", "val"))
-        # a pivot is never inside its own next interval, so every round shrinks it
-        targets = step.where(F.col("val").isNull()).drop("val")
-    else:  # pragma: no cover
-        raise RuntimeError("exact_quantiles did not converge")
-
-    values = resolved[0]
-    for part in resolved[1:]:
-        values = values.unionByName(part)
-    lo_v = values.select(*keys, F.col("r").alias("r_lo"), F.col("val").alias("v_lo"))
-    hi_v = values.select(*keys, F.col("r").alias("r_hi"), F.col("val").alias("v_hi"))
-    out = (ranks.join(lo_v, keys + ["r_lo"], "left").join(hi_v, keys + ["r_hi"], "left")
-           .select(*keys, *extra, "prob",
-                   (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("quantile")))
-    cached.unpersist()  # everything above reads checkpointed state
-    return out
-
-
-def describe(df: DataFrame, value: str, percentiles: Sequence[float] = (0.01, 0.05, 0.5, 0.95, 0.99),
+        return exact_quantiles(df.withColumn("_g", F.lit(0)), value, probs, ["_g"]).drop("_g")
+    return _pick(_counted(df, value, keys), probs, keys)
+
+
+def describe(df: DataFrame, value: str, percentiles: Sequence[float] = DESCRIBE_PERCENTILES,
              keys: Sequence[str] = (), approx: bool = False, accuracy: int = ACCURACY) -> DataFrame:
     """pandas ``describe``: count, mean, std (sample), min, percentiles, max — one row per group.
 
     Percentile columns are named ``p01``, ``p05``, ``p50`` ... (hundredths).
-    The moments ride along the quantile counting pass, so no join is needed.
-    ``approx=True`` takes the percentiles from one ``percentile_approx``
-    sketch per group instead (a single pass, rank error about 1/accuracy).
+    The moments come from the same stored counts as the percentiles (the
+    deviation in a second pass around the mean).  ``approx=True`` takes the
+    percentiles from one ``percentile_approx`` sketch per group instead (a
+    single pass, rank error about 1/accuracy).
     """
     keys = list(keys)
     names = {float(p): f"p{round(p * 100):02d}" for p in percentiles}
@@ -175,29 +96,47 @@ def describe(df: DataFrame, value: str, percentiles: Sequence[float] = (0.01, 0.
                                     q.alias("_q"), F.max(x).alias("max"))
         return out.select(*keys, "count", "mean", "std", "min",
                           *[F.col("_q")[i].alias(n) for i, n in enumerate(names.values())], "max")
-    moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    q = exact_quantiles(df, value, percentiles, keys, extra=moments)
-    wide = q.groupBy(*keys, *moments).agg(*[
-        F.max(F.when(F.col("prob") == F.lit(p), F.col("quantile"))).alias(n) for p, n in names.items()])
-    return wide.select(*keys, "count", "mean", "std", "min", *names.values(), "max")
-
-
-def histogram(df: DataFrame, value: str, bins: int = 80, weight: str | None = None) -> DataFrame:
-    """Equal-width bins over [min, max], last bin closed; non-empty bins only.
-
-    Returns ``bin, bin_lo, bin_hi, count``.  The range is a scalar subquery
-    (one partial aggregation), then a grouped count per bin.
+    if not keys:
+        return describe(df.withColumn("_g", F.lit(0)), value, percentiles, ["_g"]).drop("_g")
+    values = _counted(df, value, keys)
+    real = F.when(F.col("x").isNotNull(), F.col("n"))
+    moments = values.groupBy(*keys).agg(F.coalesce(F.sum(real), F.lit(0)).alias("count"), F.try_divide(F.sum(F.col("x") * F.col("n")), F.sum(real)).alias("mean"),
+                                        F.min("x").alias("min"), F.max("x").alias("max"))
+    cond, m = _same(values, moments, keys, "_m_")
+    spread = (values.join(m, cond).groupBy(*keys).agg(F.sum(F.col("n") * F.pow(F.col("x") - F.col("mean"), 2)).alias("_ss")))
+    wide = _pick(values, percentiles, keys).groupBy(*keys).agg(*[F.max(F.when(F.col("prob") == F.lit(p), F.col("quantile"))).alias(n) for p, n in names.items()])
+    out = moments
+    for part, prefix in ((spread, "_s_"), (wide, "_q_")):
+        cond, p = _same(out, part, keys, prefix)
+        out = out.join(p, cond)
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1)))
+    return out.select(*keys, "count", "mean", std.alias("std"), "min", *names.values(), "max")
+
+
+def histogram(df: DataFrame, value: str, bins: int = HIST_BINS, weight: str | None = None) -> DataFrame:
+    """Equal-width bins over [min, max], last bin closed; every bin, empty ones with count 0.
+
+    Returns ``bin, bin_lo, bin_hi, count``; no rows without values.  The range
+    is a scalar subquery (one partial aggregation), then a grouped count per bin.
     """
     x = F.col(value)
     clean = df.where(x.isNotNull())
-    rng = clean.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
-    lo, hi = rng.getField("lo"), rng.getField("hi")
-    width = hi - lo
-    b = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((x - lo) * bins / width), F.lit(bins - 1))).cast("int")
+    rng = clean.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    lo_hi = clean.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
     w = F.col(weight) if weight else F.lit(1)
-    counted = clean.groupBy(b.alias("bin")).agg(F.sum(w).cast("bigint").alias("count"))
-    return counted.select(
-        "bin",
-        (lo + F.col("bin") * (hi - lo) / bins).alias("bin_lo"),
-        (lo + (F.col("bin") + 1) * (hi - lo) / bins).alias("bin_hi"),
-        "count")
+    counted = clean.groupBy(bin_of(x, lo_hi.getField("lo"), lo_hi.getField("hi"), bins).alias("bin")).agg(F.sum(w).cast("bigint").alias("count"))
+    return all_bins(rng, counted, bins)
+
+
+def bin_of(x, lo, hi, bins: int):
+    """The bin of a value between ``lo`` and ``hi`` (0 if they are equal)."""
+    return F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((x - lo) * bins / (hi - lo)), F.lit(bins - 1))).cast("int")
+
+
+def all_bins(rng: DataFrame, counted: DataFrame, bins: int) -> DataFrame:
+    """``bin, bin_lo, bin_hi, count`` of every bin; ``rng`` is one row (lo, hi), ``counted`` has (bin, count)."""
+    every = rng.where("lo is not null").select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    out = every.join(counted.withColumnRenamed("bin", "_b"), F.col("bin") == F.col("_b"), "left")
+    lo, hi = F.col("lo"), F.col("hi")
+    return out.select("bin", (lo + F.col("bin") * (hi - lo) / bins).alias("bin_lo"), (lo + (F.col("bin") + 1) * (hi - lo) / bins).alias("bin_hi"),
+                      F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))

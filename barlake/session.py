@@ -8,11 +8,10 @@ partition overwrite, AQE) and are applied by ``lake_session`` or by
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 LAKE_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,12 +27,9 @@ LAKE_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings the operators assume to an existing session."""
+    """Apply the runtime SQL settings the operators assume to an existing session; raises if one can't be set."""
     for key, value in LAKE_CONF.items():
-        try:
-            spark.conf.set(key, value)
-        except Exception:  # static or locked conf on a managed cluster: keep theirs
-            pass
+        spark.conf.set(key, value)
     return spark
 
 
@@ -60,9 +56,8 @@ def lake_session(master: str | None = None, app: str = "barlake", shuffle_partit
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder (``spark.checkpoint.dir``).
 
-    Read from the session; only when it is unset (local tests) a fresh local
-    folder is created and registered, so lineage cuts and stream sinks always
-    land where every executor can reach them.
+    Read from the session.  Where it is unset, a local master gets a fresh
+    local folder; on a cluster that would be a machine-local one, so it raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -70,6 +65,8 @@ def shared_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return current.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="barlake-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir().rstrip("/")
@@ -80,10 +77,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-def ensure_parent(path: str) -> None:
-    if path.startswith("/"):
-        os.makedirs(os.path.dirname(path), exist_ok=True)
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared scratch location and read back: a lineage cut any executor can read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
