@@ -46,13 +46,25 @@ def log10_positive(c) -> Column:
     return F.when(c > 0, F.log10(c))
 
 
-def scaled_price_text(c, scale: int = 1_000_000) -> Column:
-    """Engine-independent text of a double: round-half-up integer of x * scale.
+def exact_double_text(c) -> Column:
+    """Engine-independent text that is the same only for equal doubles: ``<sign><53-bit mantissa>p<exponent>``.
 
     Plain double -> string differs between engines (``1.2345678E7`` vs
-    ``12345678.0``); the scaled integer does not.
+    ``12345678.0``), and any rounding would give different values one text.
+    Scaling by powers of two is exact; the logarithm may be off by one next to
+    a power of two, which the normalisation of the mantissa takes back.
     """
-    return F.floor(col_(c) * F.lit(float(scale)) + F.lit(0.5)).cast("bigint").cast("string")
+    x = F.abs(col_(c))
+    e = F.floor(F.log2(x)).cast("int")
+    up = F.lit(52) - e
+    half = F.floor(up / 2).cast("int")
+    m = x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), up - half)
+    high, low = m >= float(1 << 53), m < float(1 << 52)
+    mantissa = F.when(high, m / 2).when(low, m * 2).otherwise(m)
+    exponent = F.when(high, 1 - up).when(low, -1 - up).otherwise(-up)
+    sign = F.when(col_(c) < 0, F.lit("-")).otherwise(F.lit(""))
+    return (F.when(F.isnan(col_(c)), F.lit(None)).when(x == 0, F.lit("0")).when(x == float("inf"), F.concat(sign, F.lit("inf")))
+            .otherwise(F.concat(sign, mantissa.cast("bigint").cast("string"), F.lit("p"), exponent.cast("string"))))
 
 
 # --- calendar ---------------------------------------------------------------
@@ -79,13 +91,20 @@ def local_time(ts, tz: str = LOCAL_TZ) -> Column:
     return F.from_utc_timestamp(col_(ts).cast("timestamp"), tz)
 
 
-def local_tz_abbreviation(ts, tz: str = LOCAL_TZ) -> Column:
-    """Daylight/standard abbreviation from the UTC offset (11 h vs 10 h for Melbourne)."""
+def _utc_offset(utc: Column, tz: str) -> Column:
+    return F.unix_timestamp(F.from_utc_timestamp(utc, tz)) - F.unix_timestamp(utc)
+
+
+def local_tz_abbreviation(ts, tz: str = LOCAL_TZ, abbreviations: dict | None = None) -> Column:
+    """Daylight or standard abbreviation of ``tz`` at a UTC instant.
+
+    Standard time is the zone's smaller offset of the year (January or July).
+    """
+    names = abbreviations or LOCAL_TZ_ABBREVIATIONS
     utc = col_(ts).cast("timestamp")
-    offset_s = F.unix_timestamp(F.from_utc_timestamp(utc, tz)) - F.unix_timestamp(utc)
-    standard = F.lit(10 * 3600)
-    return F.when(offset_s > standard, F.lit(LOCAL_TZ_ABBREVIATIONS["daylight"])) \
-            .otherwise(F.lit(LOCAL_TZ_ABBREVIATIONS["standard"]))
+    year = F.trunc(utc.cast("date"), "year")
+    standard = F.least(_utc_offset(year.cast("timestamp"), tz), _utc_offset(F.add_months(year, 6).cast("timestamp"), tz))
+    return F.when(_utc_offset(utc, tz) > standard, F.lit(names["daylight"])).otherwise(F.lit(names["standard"]))
 
 
 def coerce_timestamp(c) -> Column:

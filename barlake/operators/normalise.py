@@ -6,9 +6,10 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import clean_ticker, nan_to_null, vendor_symbol
-from ..spec import OHLCV_DAILY, DatasetSpec
+from ..spec import OHLCV_DAILY, RAW_BAR_SCHEMA, DatasetSpec
 
 DATE_ALIASES = ("date", "datetime", "index")
 
@@ -58,12 +59,16 @@ def standardise_columns(df: DataFrame) -> DataFrame:
     return out
 
 
+def _is_fractional(df: DataFrame, name: str) -> bool:
+    return df.schema[name].dataType.typeName() in ("double", "float", "decimal")
+
+
 def normalise_bars(vendor: DataFrame, ticker_col: str = "ticker",
                    spec: DatasetSpec = OHLCV_DAILY) -> DataFrame:
     """Vendor-shaped bars (Date/Open/High/Low/Close/[Adj Close]/Volume + ticker) -> raw bar rows.
 
-    Casts never raise: non-numeric text and NaN become null; volume is
-    truncated to an integer; the date keeps its day only.
+    Casts never raise: unparsable dates, non-numeric text and NaN become null;
+    integer volumes stay exact, others are truncated; the date keeps its day only.
     """
     df = standardise_columns(vendor)
 
@@ -73,21 +78,40 @@ def normalise_bars(vendor: DataFrame, ticker_col: str = "ticker",
         return nan_to_null(F.col(c).try_cast("double"))
 
     adj = "adj close" if "adj close" in df.columns else "adj_close"
-    vol = num("volume")
+    vol = F.lit(None).cast("bigint")
+    if "volume" in df.columns:
+        vol = F.coalesce(F.col("volume").try_cast("bigint") if not _is_fractional(df, "volume") else F.lit(None).cast("bigint"), num("volume").try_cast("bigint"))
+    day = F.col("trade_date") if df.schema["trade_date"].dataType.typeName() == "date" else F.col("trade_date").cast("string").try_cast("timestamp").cast("date")
     return df.select(
         F.lit(spec.dataset_id).alias("dataset_id"),
         F.lit(spec.exchange).alias("exchange"),
         F.col(ticker_col).cast("string").alias("ticker"),
         vendor_symbol(F.col(ticker_col).cast("string"), spec.vendor_suffix).alias("vendor_symbol"),
         F.lit(spec.currency).alias("currency"),
-        F.to_date(F.col("trade_date")).alias("trade_date"),
+        day.alias("trade_date"),
         num("open").alias("open"), num("high").alias("high"),
         num("low").alias("low"), num("close").alias("close"),
-        vol.try_cast("bigint").alias("volume"),
+        vol.alias("volume"),
         num(adj).alias("adj_close"),
     )
 
 
+def vendor_faults(vendor: DataFrame, ticker_col: str = "ticker") -> DataFrame:
+    """``ticker, error`` of the tickers with a date or number that does not parse (one aggregate)."""
+    df = standardise_columns(vendor)
+    bad = F.col("trade_date").isNull() | F.col("trade_date").cast("string").try_cast("timestamp").isNull()
+    for c in ("open", "high", "low", "close", "adj close", "adj_close", "volume"):
+        if c in df.columns:
+            bad = bad | (F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull())
+    counted = df.groupBy(F.col(ticker_col).cast("string").alias("ticker")).agg(F.count_if(bad).alias("_bad")).where("_bad > 0")
+    return counted.select("ticker", F.concat(F.lit("Unparsable rows: "), F.col("_bad").cast("string")).alias("error"))
+
+
+def typed_bars(df: DataFrame, schema: T.StructType = RAW_BAR_SCHEMA) -> DataFrame:
+    """The columns of ``schema`` cast to their declared types; a value that does not parse raises (ANSI casts)."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields if f.name in df.columns])
+
+
 def window_filter(df: DataFrame, as_of, days: int, date_col: str = "trade_date") -> DataFrame:
     """Rows with ``as_of - days <= date <= as_of`` (end day inclusive)."""
     as_of = F.lit(as_of).cast("date") if not hasattr(as_of, "_jc") else as_of

@@ -6,26 +6,29 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import business_days_between
-from ..spec import MEASURE_COLUMNS, OHLCV_DAILY, PRICE_COLUMNS, REQUIRED_COLUMNS
+from ..spec import CONFORMED_SCHEMA, MEASURE_COLUMNS, OHLCV_DAILY, PRICE_COLUMNS, REQUIRED_COLUMNS
 
 
 # --- contract ---------------------------------------------------------------
 
-def contract_report(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -> DataFrame:
+def contract_report(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS,
+                    declared: T.StructType = CONFORMED_SCHEMA) -> DataFrame:
     """One row per required column: present?, declared type, non-null count, status.
 
-    ``status`` is ``ok``, ``missing`` (absent) or ``all_null`` (present, no value).
+    ``status`` is ``ok``, ``missing`` (absent), ``wrong_type`` (not the declared
+    type) or ``all_null`` (present, no value).
     Non-null counts come from a single aggregate pass over the present columns.
     """
     spark: SparkSession = df.sparkSession
     present = [c for c in required if c in df.columns]
     counts = df.agg(*[F.count(F.col(c)).alias(c) for c in present]) if present else None
     meta = spark.createDataFrame(
-        [(i, c, c in df.columns, df.schema[c].dataType.simpleString() if c in df.columns else None)
-         for i, c in enumerate(required)],
-        "position int, column_name string, present boolean, data_type string")
+        [(i, c, c in df.columns, df.schema[c].dataType.simpleString() if c in df.columns else None,
+          declared[c].dataType.simpleString() if c in declared.names else None) for i, c in enumerate(required)],
+        "position int, column_name string, present boolean, data_type string, declared_type string")
     if counts is None:
         nn = spark.createDataFrame([], "column_name string, non_null bigint")
     else:
@@ -33,17 +36,13 @@ def contract_report(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -
         nn = counts.selectExpr(f"stack({len(present)}, {stack}) AS (column_name, non_null)")
     out = meta.join(F.broadcast(nn), "column_name", "left")  # nn: one row per required column
     return out.select(
-        "position", "column_name", "present", "data_type", "non_null",
+        "position", "column_name", "present", "data_type", "declared_type", "non_null",
         F.when(~F.col("present"), F.lit("missing"))
+         .when(F.col("data_type") != F.col("declared_type"), F.lit("wrong_type"))
          .when(F.col("non_null") == 0, F.lit("all_null"))
          .otherwise(F.lit("ok")).alias("status"))
 
 
-def missing_required(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -> list[str]:
-    """Sorted names of required columns absent from ``df`` (schema only, no job)."""
-    return sorted(set(required) - set(df.columns))
-
-
 # --- profile & duplicates ---------------------------------------------------
 
 def table_profile(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -124,18 +123,16 @@ def worst_coverage(coverage: DataFrame, k: int = 20, keys: Sequence[str] = OHLCV
     return coverage.orderBy(F.desc("missing_bdays"), F.asc("rows"), *[F.asc(c) for c in keys]).limit(k)
 
 
-def missing_business_days(df: DataFrame, coverage: DataFrame | None = None,
-                          keys: Sequence[str] = OHLCV_DAILY.series_key) -> DataFrame:
-    """Every expected Mon-Fri date without a bar, for all series (calendar anti join).
+def missing_business_days(df: DataFrame, keys: Sequence[str] = OHLCV_DAILY.series_key) -> DataFrame:
+    """Every expected Mon-Fri date without a bar, for all series.
 
-    The expected calendar of a series is at most one row per day of its
-    span, generated on the executors from (start, end).
+    One aggregate collects a series' distinct dates (at most one per day of
+    its span, combined before the shuffle); the expected calendar is generated
+    from the first and last of them, and the difference is exploded.
     """
-    coverage = coverage if coverage is not None else ticker_coverage(df, keys)
-    cal = coverage.select(*keys, F.explode(F.sequence("start", "end")).alias("trade_date"))
-    cal = cal.where(F.weekday("trade_date") < 5)
-    seen = df.select(*keys, "trade_date")
-    return cal.join(seen, list(keys) + ["trade_date"], "left_anti")
+    seen = df.groupBy(*keys).agg(F.collect_set("trade_date").alias("_seen"), F.min("trade_date").alias("_start"), F.max("trade_date").alias("_end"))
+    expected = F.filter(F.sequence("_start", "_end"), lambda d: F.weekday(d) < 5)
+    return seen.where("_start is not null").select(*keys, F.explode(F.array_except(expected, F.col("_seen"))).alias("trade_date"))
 
 
 # --- OHLCV sanity -----------------------------------------------------------

@@ -3,6 +3,7 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from barlake.functions.columns import business_days_between
 from barlake.operators import correlation, curate, normalise, promote, quality, returns
@@ -182,7 +183,7 @@ def test_row_hash_null_and_missing_fields(spark):
                                "dataset_id string, exchange string, ticker string, trade_date date, "
                                "open double, high double")
     import hashlib
-    want = hashlib.sha256("d|ASX|BHP|2025-01-02|nan|1000000||||".encode()).hexdigest()
+    want = hashlib.sha256(f"d|ASX|BHP|2025-01-02|nan|{1 << 52}p-52||||".encode()).hexdigest()
     assert promote.add_row_hash(df).collect()[0]["row_hash"] == want
 
 
@@ -205,8 +206,8 @@ def test_quarantine_split(spark, tmp_dir):
            hdr + "\nmarket_ohlcv_daily,ASX,BAD,BAD.AX,AUD,2025-11-03,abc,2.0,0.5,1.5,10,1.4\n")
     good, bad = read_raw_csv_quarantine(spark, f"{tmp_dir}/q")
     assert [r["ticker"] for r in good.collect()] == ["BHP"]
-    bad_rows = bad.collect()  # (a bare count() would reference only the corrupt column)
-    assert len(bad_rows) == 1 and "abc" in bad_rows[0]["_corrupt_record"]
+    bad_rows = bad.collect()
+    assert len(bad_rows) == 1 and "abc" in bad_rows[0]["unparsed_record"]
 
 
 def test_retention_and_universe_snapshot(spark):
@@ -228,3 +229,43 @@ def test_newest_heartbeat_object(spark, tmp_dir):
     _write(f"{tmp_dir}/hb/heartbeat/airflow_time_20240101_000100.txt", "2024-01-01 11:01:00 AEDT\n")
     top = newest_object(read_text_objects(spark, f"{tmp_dir}/hb")).collect()
     assert len(top) == 1 and top[0]["value"] == "2024-01-01 11:01:00 AEDT"
+
+
+def test_exact_text_tells_doubles_apart(spark):
+    """Equal text only for equal doubles: tiny, huge, neighbouring and negative values, powers of two."""
+    import math
+    from barlake.functions.columns import exact_double_text
+    values = [0.0, 1e-7, 4e-7, 1e13, 5e14, 1.0, 2.0, 0.5, 1 / 3, -1 / 3, math.pi, 1e308, 5e-324, 2.2250738585072014e-308, 0.1, 1023.9999999999999, 1024.0]
+    values += [math.nextafter(v, math.inf) for v in values] + [math.nextafter(v, -math.inf) for v in values[2:12]]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", exact_double_text("x").alias("t")).collect()
+    assert len({r["t"] for r in rows}) == len(set(values))
+    for r in rows:
+        if r["t"] != "0":
+            m, e = r["t"].split("p")
+            assert math.ldexp(int(m), int(e)) == r["x"]
+    odd = spark.createDataFrame([(None,), (float("nan"),), (-0.0,), (float("-inf"),)], "x double").select(exact_double_text("x").alias("t")).collect()
+    assert [r["t"] for r in odd] == [None, None, "0", "-inf"]
+
+
+def test_zone_abbreviation_follows_the_zone(spark):
+    import datetime as dt
+    from barlake.functions.columns import local_tz_abbreviation
+    rows = [(dt.datetime(2024, 1, 15),), (dt.datetime(2024, 7, 15),)]
+    df = spark.createDataFrame(rows, "ts timestamp")
+    new_york = {"daylight": "EDT", "standard": "EST"}
+    got = df.select(local_tz_abbreviation("ts").alias("m"), local_tz_abbreviation("ts", "America/New_York", new_york).alias("n")).collect()
+    assert [tuple(r) for r in got] == [("AEDT", "EST"), ("AEST", "EDT")]
+
+
+def test_typed_bars_raises_on_bad_text(spark):
+    from barlake.operators.normalise import typed_bars
+    good = spark.createDataFrame([("BHP", "2025-01-02", "1.5", "7")], "ticker string, trade_date string, open string, volume string")
+    assert typed_bars(good).collect()[0].asDict() == {"ticker": "BHP", "trade_date": D(2025, 1, 2), "open": 1.5, "volume": 7}
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        typed_bars(good.withColumn("open", F.lit("abc"))).collect()
+
+
+def test_listing_must_not_be_empty(spark):
+    from barlake.sources.files import require_objects
+    with pytest.raises(RuntimeError):
+        require_objects(spark.createDataFrame([], "key string"), "listing")
