@@ -12,9 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import vendor_symbol
-from ..spec import (BACKFILL_CALENDAR_DAYS, HEARTBEAT_KEY_FORMAT, STATE_DOC_SCHEMA, TICKER_STATE_SCHEMA,
+from ..spec import (AUDIT_ERROR_SCHEMA, BACKFILL_CALENDAR_DAYS, HEARTBEAT_KEY_FORMAT, STATE_VERSION, STATE_DOC_SCHEMA, TICKER_STATE_SCHEMA,
                     VENDOR_SUFFIX)
 
 NO_DATA_ERROR = "No data returned"
@@ -37,25 +38,30 @@ def backfill_window(as_of, days: int = BACKFILL_CALENDAR_DAYS, mode: str = "days
 
 
 def run_backfill(universe: DataFrame, fetched: DataFrame, as_of, run_ts,
-                 days: int = BACKFILL_CALENDAR_DAYS, suffix: str = VENDOR_SUFFIX) -> DataFrame:
+                 days: int = BACKFILL_CALENDAR_DAYS, faults: DataFrame | None = None) -> DataFrame:
     """Per-ticker outcome of one run: ``ticker, status, rows_written, completed_at, error, failed_at``.
 
     ``fetched`` holds the rows the vendor returned (``ticker, trade_date``);
     only rows inside the window count.  Counting is a grouped aggregate,
-    joined to the universe by ticker.
+    joined to the universe by ticker.  A ticker listed in ``faults`` (``ticker,
+    error``) failed with that error, whatever else it brought.
     """
     start, end = backfill_window(as_of, days)
     rows = (fetched.where(F.col("trade_date").between(start, end))
             .groupBy("ticker").agg(F.count(F.lit(1)).alias("rows_written")))
     ts = F.lit(run_ts).cast("timestamp")
     joined = universe.select("ticker").join(rows, "ticker", "left")
-    ok = F.coalesce(F.col("rows_written"), F.lit(0)) > 0
+    if faults is None:
+        joined = joined.withColumn("_fault", F.lit(None).cast("string"))
+    else:
+        joined = joined.join(faults.select("ticker", F.col("error").alias("_fault")), "ticker", "left")
+    ok = (F.coalesce(F.col("rows_written"), F.lit(0)) > 0) & F.col("_fault").isNull()
     return joined.select(
         "ticker",
         F.when(ok, F.lit("complete")).otherwise(F.lit("error")).alias("status"),
         F.when(ok, F.col("rows_written")).alias("rows_written"),
         F.when(ok, ts).alias("completed_at"),
-        F.when(~ok, F.lit(NO_DATA_ERROR)).alias("error"),
+        F.when(~ok, F.coalesce("_fault", F.lit(NO_DATA_ERROR))).alias("error"),
         F.when(~ok, ts).alias("failed_at"),
     )
 
@@ -134,7 +140,7 @@ def retention_candidates(objects: DataFrame, as_of, keep_days: int, key: str = "
 
 
 def state_rows(outcome: DataFrame, as_of, run_ts, days: int = BACKFILL_CALENDAR_DAYS,
-               version: int = 1) -> DataFrame:
+               version: int = STATE_VERSION) -> DataFrame:
     """State records stamped with the document fields (version, last_updated, window)."""
     start, end = backfill_window(as_of, days)
     return outcome.select("*", F.lit(version).alias("version"),
@@ -142,29 +148,43 @@ def state_rows(outcome: DataFrame, as_of, run_ts, days: int = BACKFILL_CALENDAR_
                           start.alias("window_start"), end.alias("window_end"))
 
 
-def save_state(state: DataFrame, path: str) -> None:
-    """Overwrite the state table once per run (JSON lines, one record per ticker)."""
-    state.write.mode("overwrite").json(path)
+def append_state(state: DataFrame, path: str) -> None:
+    """Append one run's records (JSON lines, one per ticker) to the state.
+
+    Nothing written before is touched, so a run that breaks off in the middle
+    leaves the state of the runs before it.
+    """
+    state.write.mode("append").json(path)
 
 
 def load_state(spark, path: str) -> DataFrame | None:
-    """Previous state, or ``None`` when no state was written yet.
+    """The newest record of each ticker, or ``None`` when no state was written yet.
 
     A missing state means "start from scratch"; an unreadable one raises
     instead of silently restarting every ticker.
     """
-    from pyspark.sql import types as T
-    schema = T.StructType([T.StructField("ticker", T.StringType())] + TICKER_STATE_SCHEMA.fields + [
-        T.StructField("version", T.IntegerType()), T.StructField("last_updated", T.TimestampType()),
-        T.StructField("window_start", T.DateType()), T.StructField("window_end", T.DateType())])
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
+    from ..sources.files import path_exists
+    if not path_exists(spark, path):
         return None
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    fields = [T.StructField("ticker", T.StringType())] + TICKER_STATE_SCHEMA.fields + [
+        T.StructField("version", T.IntegerType()), T.StructField("last_updated", T.TimestampType()),
+        T.StructField("window_start", T.DateType()), T.StructField("window_end", T.DateType())]
+    runs = spark.read.schema(T.StructType(fields)).option("mode", "FAILFAST").json(path)
+    rest = [f.name for f in fields[1:]]
+    newest = runs.groupBy("ticker").agg(F.max_by(F.struct(*rest), F.struct("last_updated", F.col("status") == "complete")).alias("_r"))
+    return newest.select("ticker", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def append_audit(audit: DataFrame, path: str) -> None:
     """Append-only error audit, one folder per run date."""
     audit.write.mode("append").partitionBy("run_date").json(path)
+
+
+def read_audit(spark, path: str, run_date=None) -> DataFrame:
+    """The audit entries of all runs, or of one run date; no entries if none were written."""
+    from ..sources.files import path_exists
+    schema = T.StructType([T.StructField("run_date", T.DateType(), True)] + AUDIT_ERROR_SCHEMA.fields)
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    entries = spark.read.schema(schema).option("mode", "FAILFAST").json(path).select(*schema.fieldNames())
+    return entries if run_date is None else entries.where(F.col("run_date") == F.lit(run_date).cast("date"))

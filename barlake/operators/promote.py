@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import iso_date, scaled_price_text
+from ..functions.columns import exact_double_text, iso_date
 from ..functions.keys import conformed_key
+from ..session import stored
+from ..sources.files import path_exists
 from ..spec import PRICE_COLUMNS, ROW_HASH_FIELDS
 
 
@@ -20,7 +22,7 @@ def _hash_text(df: DataFrame, name: str) -> Column:
     dtype = df.schema[name].dataType
     c = F.col(name)
     if name in PRICE_COLUMNS or isinstance(dtype, (T.DoubleType, T.FloatType)):
-        text = scaled_price_text(c)
+        text = exact_double_text(c.cast("double"))
     elif isinstance(dtype, T.DateType):
         text = iso_date(c)
     else:
@@ -73,7 +75,7 @@ def new_objects(candidates: DataFrame, existing: DataFrame, key: str = "key",
     itself when its statistics say it is small.
     """
     mapped = candidates.withColumn("target_key", mapper(F.col(key)))
-    have = existing.select(F.col(key).alias("target_key")).distinct()
+    have = existing.select(F.col(key).alias("target_key"))
     return mapped.join(have, "target_key", "left_anti")
 
 
@@ -99,5 +101,15 @@ def promote(raw_rows: DataFrame, conformed_existing: DataFrame | None, mode: str
         keys = ["source_object_key", "row_hash"]
     else:
         raise ValueError(f"unknown promotion mode {mode!r}")
-    have = conformed_existing.select(*keys).distinct()
-    return raw_rows.join(have, keys, "left_anti")
+    return raw_rows.join(conformed_existing.select(*keys), keys, "left_anti")
+
+
+def copy_new_objects(objects: DataFrame, sink: str, key: str = "key") -> DataFrame:
+    """Append the objects (key, ..., content) whose key ``sink`` lacks, under their own keys; returns them."""
+    spark = objects.sparkSession
+    new = objects.dropDuplicates([key])
+    if path_exists(spark, sink):
+        new = new.join(spark.read.parquet(sink).select(key), key, "left_anti")
+    new = stored(new, "copied-objects")  # decided against the sink before appending to it
+    new.write.mode("append").parquet(sink)
+    return new

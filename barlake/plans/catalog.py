@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import local_time, local_tz_abbreviation, nan_to_null
+from ..functions.columns import local_time, local_tz_abbreviation
 from ..functions.keys import conformed_key, curated_snapshot_key, heartbeat_key, raw_key, trade_date_from_key
 from ..operators import control, correlation, curate, normalise, promote, quality, returns, stats
+from ..session import scratch_path, stored
 from ..sources import adaptors
 from ..sources.tables import read_table
+from ..spec import RAW_BAR_SCHEMA
 from . import frames
 from .frames import AS_OF, BACKFILL_AS_OF, RUN_TS, SERIES_TICKER, WINDOW_DAYS
 
@@ -83,10 +85,12 @@ def q_dates_from_keys(spark: Q, sf: str) -> DataFrame:
 
 
 def q_heartbeat_keys(spark: Q, sf: str) -> DataFrame:
-    ev = read_table(spark, sf, "events").select("event_id", "ts")
+    """A heartbeat per order: instants in both halves of the year, so both abbreviations occur."""
+    seconds = (F.col("o_orderkey") % 86_400).cast("int")
+    o = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id"), (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)).alias("ts"))
     body = F.concat(F.date_format(local_time("ts"), "yyyy-MM-dd HH:mm:ss"), F.lit(" "),
                     local_tz_abbreviation("ts"))
-    return ev.select("event_id", heartbeat_key("ts").alias("key"), body.alias("body"))
+    return o.select("event_id", heartbeat_key("ts").alias("key"), body.alias("body"))
 
 
 # --- promotion ----------------------------------------------------------------
@@ -122,9 +126,11 @@ def _universe(spark: Q, sf: str) -> DataFrame:
 
 
 def _outcome(spark: Q, sf: str) -> DataFrame:
-    o = read_table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("ticker"),
-                                                F.col("o_orderdate").cast("date").alias("trade_date"))
-    return control.run_backfill(_universe(spark, sf), o, BACKFILL_AS_OF, RUN_TS)
+    """One backfill run over the customers' orders, some of whose dates and prices do not parse."""
+    vendor = adaptors.vendor_orders(spark, sf)
+    faults = normalise.vendor_faults(vendor)
+    fetched = normalise.normalise_bars(vendor.join(faults.select("ticker"), "ticker", "left_anti")).select("ticker", "trade_date")
+    return control.run_backfill(_universe(spark, sf), fetched, BACKFILL_AS_OF, RUN_TS, faults=faults)
 
 
 def q_backfill_state(spark: Q, sf: str) -> DataFrame:
@@ -135,6 +141,15 @@ def q_audit_errors(spark: Q, sf: str) -> DataFrame:
     return control.audit_errors(_outcome(spark, sf), BACKFILL_AS_OF, RUN_TS)
 
 
+def q_audit_read_back(spark: Q, sf: str) -> DataFrame:
+    """The audit written by two runs, read back: entries of both, by run date."""
+    path = scratch_path(spark, "audit")
+    outcome = stored(_outcome(spark, sf), "outcome")
+    for as_of in (BACKFILL_AS_OF, "1996-07-31"):
+        control.append_audit(control.audit_errors(outcome, as_of, RUN_TS), path)
+    return control.read_audit(spark, path)
+
+
 def q_pending_tickers(spark: Q, sf: str) -> DataFrame:
     return control.pending_tickers(_universe(spark, sf), _outcome(spark, sf))
 
@@ -161,7 +176,7 @@ def q_union_daily_backfill(spark: Q, sf: str) -> DataFrame:
 
 
 def q_exact_dedupe(spark: Q, sf: str) -> DataFrame:
-    return curate.exact_dedupe(frames.hashed_ingests(spark, sf))
+    return curate.exact_dedupe(frames.hashed_ingests(spark, sf, frames.redelivered(spark, sf)))
 
 
 def q_latest_wins_snapshot(spark: Q, sf: str) -> DataFrame:
@@ -180,7 +195,7 @@ def _listing(spark: Q, sf: str, types) -> DataFrame:
 
 
 def q_stale_partitions(spark: Q, sf: str) -> DataFrame:
-    return curate.stale_partitions(_listing(spark, sf, ["view", "click", "purchase"]),
+    return curate.stale_partitions(_listing(spark, sf, ["view", "click", "purchase", "error"]),
                                    _listing(spark, sf, ["signup"]))
 
 
@@ -188,7 +203,6 @@ def q_stale_partitions(spark: Q, sf: str) -> DataFrame:
 
 def q_curated_scan(spark: Q, sf: str) -> DataFrame:
     """Batch curation of the conformed bars into per-date snapshots, read back as one table."""
-    from ..session import scratch_path
     from ..sources.files import curated_scan
     path = scratch_path(spark, "curated")
     curate.build_snapshots(frames.conformed_bars(spark, sf), path)
@@ -196,12 +210,9 @@ def q_curated_scan(spark: Q, sf: str) -> DataFrame:
 
 
 def q_typed_bars(spark: Q, sf: str) -> DataFrame:
+    """Bars as text (as a header-only CSV reader would give them), typed by the declared schema."""
     b = frames.bars(spark, sf)
-    return b.select(*[F.col(c).cast("string").alias(c) for c in
-                      ("dataset_id", "exchange", "ticker", "vendor_symbol", "currency")],
-                    F.col("trade_date").cast("date").alias("trade_date"),
-                    *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "adj_close")],
-                    F.col("volume").cast("bigint").alias("volume"))
+    return normalise.typed_bars(b.select(*[F.col(c).cast("string").alias(c) for c in b.columns]))
 
 
 def q_series_for_ticker(spark: Q, sf: str) -> DataFrame:
@@ -209,7 +220,8 @@ def q_series_for_ticker(spark: Q, sf: str) -> DataFrame:
 
 
 def q_contract_report(spark: Q, sf: str) -> DataFrame:
-    return quality.contract_report(frames.conformed_bars(spark, sf).drop("adj_close"))
+    """A table that misses a column and holds another one with a wrong type."""
+    return quality.contract_report(frames.conformed_bars(spark, sf).drop("adj_close").withColumn("volume", F.col("volume").cast("double")))
 
 
 # --- quality ------------------------------------------------------------------
@@ -219,7 +231,7 @@ def q_table_profile(spark: Q, sf: str) -> DataFrame:
 
 
 def q_duplicate_counts(spark: Q, sf: str) -> DataFrame:
-    return quality.duplicate_counts(adaptors.ingests(spark, sf))
+    return quality.duplicate_counts(frames.redelivered(spark, sf))
 
 
 def q_duplicate_rows(spark: Q, sf: str) -> DataFrame:
@@ -318,8 +330,7 @@ def q_tickers_min_obs(spark: Q, sf: str) -> DataFrame:
 
 def _corr(spark: Q, sf: str) -> DataFrame:
     m = frames.user_matrix(spark, sf)
-    pairs = correlation.return_correlation(m, min_obs_fraction=0.8, materialise=True)
-    return pairs.withColumn("corr", nan_to_null("corr"))
+    return correlation.return_correlation(m, min_obs_fraction=0.8, materialise=True)
 
 
 def q_return_correlation(spark: Q, sf: str) -> DataFrame:
@@ -327,12 +338,7 @@ def q_return_correlation(spark: Q, sf: str) -> DataFrame:
 
 
 def q_histogram_correlation(spark: Q, sf: str) -> DataFrame:
-    # the pairs feed two passes (range, bins): materialise them once in the shared folder
-    from ..session import shared_dir
-    shared_dir(spark)
-    pairs = _corr(spark, sf).checkpoint(eager=True)
-    return rounded(stats.histogram(correlation.off_diagonal(pairs), "corr", weight="weight"),
-                   ["bin_lo", "bin_hi"])
+    return rounded(correlation.correlation_histogram(frames.user_matrix(spark, sf), min_obs_fraction=0.8), ["bin_lo", "bin_hi"])
 
 
 QUERIES = {
@@ -396,11 +402,8 @@ def q_flagship_coverage(spark: Q, sf: str) -> DataFrame:
 def all_queries() -> dict:
     out = dict(QUERIES)
     out["flagship_coverage"] = q_flagship_coverage
-    try:
-        from ..streaming import queries as stream_queries
-        out.update(stream_queries.QUERIES)
-    except ImportError:  # pragma: no cover
-        pass
+    from ..streaming import queries as stream_queries
+    out.update(stream_queries.QUERIES)
     return out
 
 
@@ -412,32 +415,69 @@ def q_eda_summary(spark: Q, sf: str) -> DataFrame:
 
 
 def q_object_inventory(spark: Q, sf: str) -> DataFrame:
-    """Listing of the landed table objects (path relative to the zone, time, size); content not read."""
-    from ..sources.files import list_objects, relative_key
-    listing = list_objects(spark, sf, glob="*.parquet")
-    return listing.select(relative_key(F.col("path"), sf).alias("key"), "modificationTime", "length")
+    """Listing of the text objects (key, time, size); contents are not returned."""
+    from ..sources.files import require_objects
+    return require_objects(adaptors.objects(spark, sf).select("key", "modified", "length"), "the object listing")
 
 
 def q_storage_footprint(spark: Q, sf: str) -> DataFrame:
-    """Per table: objects, bytes, rows and bytes per row (rows from the Parquet footers' scan)."""
-    from ..sources.files import list_objects, relative_key
-    from ..sources.tables import DRIVER_TABLES
-    listing = list_objects(spark, sf, glob="*.parquet").select(
-        F.regexp_extract(relative_key(F.col("path"), sf), r"^([^/.]+)", 1).alias("table"), "length")
-    sizes = listing.groupBy("table").agg(F.count(F.lit(1)).alias("objects"), F.sum("length").alias("bytes"))
-    counts = None
-    for t in DRIVER_TABLES:  # a plan per table (metadata-only counts), unioned; no collect
-        c = read_table(spark, sf, t).groupBy(F.lit(t).alias("table")).agg(F.count(F.lit(1)).alias("rows"))
-        counts = c if counts is None else counts.unionByName(c)
-    return (sizes.join(counts, "table", "left")
-            .select("table", "objects", "bytes", "rows",
-                    F.try_divide(F.col("bytes"), F.col("rows")).alias("bytes_per_row")))
+    """Per folder of the objects: objects, bytes, largest and mean object (one aggregate)."""
+    o = adaptors.objects(spark, sf).select(F.regexp_extract("key", "^heartbeat/([^/]*)/", 1).alias("folder"), "length")
+    return o.groupBy("folder").agg(F.count(F.lit(1)).alias("objects"), F.sum("length").alias("bytes"), F.max("length").alias("largest"),
+                                   F.try_divide(F.sum("length"), F.count(F.lit(1))).alias("mean_bytes"))
+
+
+def q_newest_text_object(spark: Q, sf: str) -> DataFrame:
+    from ..sources.files import newest_body
+    return newest_body(adaptors.objects(spark, sf)).select("key", "modified", "content")
+
+
+def q_copy_new_objects(spark: Q, sf: str) -> DataFrame:
+    """Key-preserving promotion of (key, content): two deliveries, the second brings some objects again."""
+    sink = scratch_path(spark, "objects")
+    objects = adaptors.objects(spark, sf)
+    first = F.col("length") % 3 == 0
+    promote.copy_new_objects(objects.where(first).withColumn("delivery", F.lit(1)), sink)
+    promote.copy_new_objects(objects.withColumn("delivery", F.lit(2)), sink)
+    return spark.read.parquet(sink).select("key", "content", "delivery")
+
+
+def q_quarantine_split(spark: Q, sf: str) -> DataFrame:
+    """Landed CSV in which some records do not parse: (ticker, trade_date, parsed) of all of them."""
+    from ..sources.files import CORRUPT, read_raw_csv_quarantine
+    path = scratch_path(spark, "landed")
+    b = frames.user_bars(spark, sf).select(*RAW_BAR_SCHEMA.fieldNames())
+    text = b.select(*[F.col(c).cast("string").alias(c) for c in b.columns])
+    text.withColumn("open", F.when(F.dayofmonth("trade_date") == 13, F.lit("abc")).otherwise(F.col("open"))).write.option("header", True).csv(path)
+    good, bad = read_raw_csv_quarantine(spark, path)
+    record = F.split(F.col(CORRUPT), ",")
+    return (good.select("ticker", "trade_date", F.lit(True).alias("parsed"))
+            .unionByName(bad.select(*bad.columns).select(record[2].alias("ticker"), record[5].cast("date").alias("trade_date"), F.lit(False).alias("parsed"))))
+
+
+def _report_bars(spark: Q, sf: str) -> DataFrame:
+    return frames.faulted(spark, sf)
+
+
+def q_report_nulls_by_ticker(spark: Q, sf: str) -> DataFrame:
+    """The report's order (most missing closes first) as a rank."""
+    from pyspark.sql import Window
+    rates = quality.null_rates_by_ticker(_report_bars(spark, sf))
+    return rates.select("*", F.row_number().over(Window.orderBy(F.desc("close"), "ticker")).alias("position"))
+
+
+def q_report_anomalies(spark: Q, sf: str) -> DataFrame:
+    """Anomalies by z-score, each with the number of anomalies of its series that are more extreme downwards."""
+    from pyspark.sql import Window
+    found = returns.return_anomalies(returns.return_zscores(_faulted_returns(spark, sf)))
+    w = Window.partitionBy("exchange", "ticker").orderBy("ret_z", "trade_date")
+    return found.select("exchange", "ticker", "trade_date", F.round("ret_z", 6).alias("ret_z"), F.row_number().over(w).alias("position"))
 
 
 def q_retention_candidates(spark: Q, sf: str) -> DataFrame:
-    """Heartbeat keys (one per event) older than 7 days before the last event day."""
+    """Heartbeat keys (one per order) older than 7 days before a date in the middle of the range."""
     keys = q_heartbeat_keys(spark, sf).select("event_id", "key")
-    return control.retention_candidates(keys, "2024-01-30", 7)
+    return control.retention_candidates(keys, "1996-07-01", 7)
 
 
 def q_universe_snapshot(spark: Q, sf: str) -> DataFrame:
@@ -450,4 +490,10 @@ QUERIES.update({
     "eda_summary": q_eda_summary,
     "object_inventory": q_object_inventory,
     "storage_footprint": q_storage_footprint,
+    "newest_text_object": q_newest_text_object,
+    "copy_new_objects": q_copy_new_objects,
+    "quarantine_split": q_quarantine_split,
+    "audit_read_back": q_audit_read_back,
+    "report_nulls_by_ticker": q_report_nulls_by_ticker,
+    "report_anomalies": q_report_anomalies,
 })

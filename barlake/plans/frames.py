@@ -21,31 +21,16 @@ WINDOW_DAYS = 45
 SERIES_TICKER = "Brand#13"
 
 
-_PLANS: dict[tuple, DataFrame] = {}
-
-
-def _plan(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Reuse the (lazy, unexecuted) adaptor plan within one application.
-
-    Only the logical plan object is shared, so queries skip rebuilding and
-    re-analysing it; every query still executes it in full (no data cache).
-    """
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
-    if key not in _PLANS:
-        _PLANS[key] = build()
-    return _PLANS[key]
-
-
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan(spark, sf_dir, "bars", lambda: adaptors.bars_brand(spark, sf_dir))
+    return adaptors.bars_brand(spark, sf_dir)
 
 
 def faulted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan(spark, sf_dir, "faulted", lambda: adaptors.faulted_bars(bars(spark, sf_dir)))
+    return adaptors.faulted_bars(bars(spark, sf_dir))
 
 
 def user_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan(spark, sf_dir, "user_bars", lambda: adaptors.bars_user(spark, sf_dir))
+    return adaptors.bars_user(spark, sf_dir)
 
 
 def conformed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +40,9 @@ def conformed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return promote.to_conformed(b, INGEST_TS, BATCH_ID, source_key=key)
 
 
-def hashed_ingests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hashed_ingests(spark: SparkSession, sf_dir: str, ingests: DataFrame | None = None) -> DataFrame:
     """Ingest records with a row hash over (key, open = px, volume = q); other measures absent."""
-    i = adaptors.ingests(spark, sf_dir)
+    i = adaptors.ingests(spark, sf_dir) if ingests is None else ingests
     shaped = i.withColumn("open", F.col("px")).withColumn("volume", F.col("q"))
     h = promote.row_hash_col(shaped.select("dataset_id", "exchange", "ticker", "trade_date", "open", "volume"))
     return shaped.withColumn("row_hash", h).drop("open", "volume")
@@ -69,3 +54,7 @@ def user_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlation.return_matrix(user_returns(spark, sf_dir))
+
+
+def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptors.redelivered(adaptors.ingests(spark, sf_dir))

@@ -3,8 +3,8 @@
 Each job composes the operators into one Spark plan per run (no per-ticker
 or per-date driver loop) and is safe to re-run: raw is append-only (the
 latest landed version of a bar is current), conformed is append-only behind
-an anti join, curated dates are replaced by dynamic partition overwrite,
-state and audit are written once per run.
+a file log and an anti join, curated dates are replaced by dynamic partition
+overwrite, state and audit are appended once per run.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import control, curate, normalise, promote
-from ..session import shared_dir
-from ..sources.files import (current_raw_objects, list_objects, read_raw_csv, read_zone,
-                             write_parquet_partitions, write_raw_csv)
+from ..operators import control, curate, normalise
+from ..session import stored
+from ..sources.files import list_objects, path_exists, read_zone, write_raw_csv
 from ..spec import (BACKFILL_CALENDAR_DAYS, CONFORMED_SCHEMA, DAILY_FETCH_CALENDAR_DAYS, OHLCV_DAILY,
                     ROLLING_TRADING_DAYS, LakePaths)
+from ..streaming import jobs
 
 
 def ingest_daily(vendor: DataFrame, paths: LakePaths, as_of, rolling_days: int = ROLLING_TRADING_DAYS,
@@ -38,86 +38,73 @@ def ingest_daily(vendor: DataFrame, paths: LakePaths, as_of, rolling_days: int =
 
 def backfill(universe: DataFrame, vendor: DataFrame, paths: LakePaths, state_path: str, audit_path: str,
              as_of, run_ts: dt.datetime, days: int = BACKFILL_CALENDAR_DAYS) -> DataFrame:
-    """Resumable backfill: pending tickers only, raw rows written, state and audit updated once.
+    """Resumable backfill: pending tickers only; raw rows, state and audit are each appended once.
 
-    Returns this run's per-ticker outcome.
+    A ticker with rows that do not parse is an error record of its own and
+    lands nothing; all other tickers go on.  The state is written last, so a
+    run that broke off is simply repeated.  Returns this run's outcome.
     """
     spark = universe.sparkSession
-    previous = control.load_state(spark, state_path)
-    pending = control.pending_tickers(universe, previous)
-    bars = normalise.normalise_bars(vendor.join(pending.select("ticker"), "ticker", "left_semi"))
+    pending = control.pending_tickers(universe, control.load_state(spark, state_path))
+    wanted = stored(vendor.join(pending.select("ticker"), "ticker", "left_semi"), "backfill-vendor")
+    faults = normalise.vendor_faults(wanted)
     start, end = control.backfill_window(as_of, days)
+    bars = normalise.normalise_bars(wanted.join(faults.select("ticker"), "ticker", "left_anti"))
     bars = bars.where(F.col("trade_date").between(start, end))
+    outcome = stored(control.run_backfill(pending, bars.select("ticker", "trade_date"), as_of, run_ts, days, faults=faults), "backfill-outcome")
     write_raw_csv(bars, paths.table("raw"))
-    # outcome and new state both derive from the old state, which is about to be
-    # overwritten: materialise them in the shared folder first
-    shared_dir(spark)
-    outcome = control.run_backfill(pending, bars.select("ticker", "trade_date"), as_of, run_ts, days)
-    outcome = outcome.checkpoint(eager=True)
-    state = control.state_rows(control.merge_state(
-        previous.select(*outcome.columns) if previous is not None else None, outcome), as_of, run_ts, days)
-    state = state.checkpoint(eager=True)
-    control.save_state(state, state_path)
     control.append_audit(control.audit_errors(outcome, as_of, run_ts, days), audit_path)
+    control.append_state(control.state_rows(outcome, as_of, run_ts, days), state_path)
     return outcome
 
 
 def promote_raw(spark: SparkSession, paths: LakePaths, ingest_ts: dt.datetime, batch_id: str | None = None,
                 mode: str = "by_key") -> DataFrame:
-    """Raw CSV -> conformed Parquet for objects not promoted yet (batch twin of the stream job).
+    """Raw CSV -> conformed Parquet for objects not promoted yet; returns the new rows.
 
-    ``by_key``: a logical object (ticker, trade date) is converted once, the
-    first conversion wins; ``by_content``: a changed current version (new
-    row hash) is converted again, so restatements reach the curated zone.
+    One run of the promotion stream: its checkpoint opens only files that no
+    earlier run has seen.  ``by_key``: a logical object (ticker, trade date) is
+    converted once, the first conversion wins; ``by_content``: a changed version
+    (new row hash) is converted again, so restatements reach the curated zone.
+    Records that do not parse go to the zone's quarantine folder.
     """
-    raw = current_raw_objects(read_raw_csv(spark, paths.table("raw")))
-    rows = promote.to_conformed(raw, ingest_ts, batch_id, source_key="source_object_key")
-    conf_base = paths.table("conformed")
-    existing = _read_if_exists(spark, conf_base)
-    new = promote.promote(rows, existing, mode)
-    shared_dir(spark)
-    new = new.checkpoint(eager=True)  # decided against the zone before appending to it
-    write_parquet_partitions(new, conf_base, "append")
-    return new
+    conformed, new = paths.table("conformed"), []
+    jobs.raw_to_conformed(spark, paths.table("raw"), conformed, f"{conformed}_checkpoint", ingest_ts, batch_id, mode,
+                          quarantine=f"{conformed}_quarantine", promoted=new)
+    out = spark.createDataFrame([], CONFORMED_SCHEMA)
+    for rows in new:
+        out = out.unionByName(rows.select(*CONFORMED_SCHEMA.fieldNames()))
+    return out
 
 
 def refresh_snapshots(spark: SparkSession, paths: LakePaths, days_back: int | None = None, as_of=None) -> list:
-    """Rebuild curated snapshots of stale dates only (conformed newer than snapshot, or none).
+    """Rebuild curated snapshots of stale (exchange, date) partitions only (conformed newer than snapshot, or none).
 
-    The stale-date list (one entry per trade date) drives partition pruning
-    of the conformed read and the dynamic overwrite of the curated zone.
+    The stale list (one entry per exchange and trade date) drives partition
+    pruning of the conformed read and the dynamic overwrite of the curated
+    zone.  ``days_back`` is the number of dates up to and including ``as_of``.
     """
     conf_base, cur_base = paths.table("conformed"), paths.table("curated")
-    conf_list = _date_listing(spark, conf_base)
-    cur_list = _date_listing(spark, cur_base)
-    stale = curate.stale_partitions(curate.partition_freshness(conf_list),
-                                    curate.partition_freshness(cur_list) if cur_list is not None
-                                    else spark.createDataFrame([], "trade_date date, last_modified timestamp"))
+    keys = ["exchange", "trade_date"]
+    none = spark.createDataFrame([], "exchange string, trade_date date, last_modified timestamp")
+    stale = curate.stale_partitions(_freshness(spark, conf_base, none), _freshness(spark, cur_base, none), keys)
     if days_back is not None:
-        stale = normalise.window_filter(stale, as_of, days_back)
-    dates = [r["trade_date"] for r in stale.select("trade_date").collect()]
-    if dates:
-        curate.build_snapshots(read_zone(spark, conf_base, CONFORMED_SCHEMA, dates), cur_base)
-    return dates
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
-    return read_zone(spark, path, CONFORMED_SCHEMA) if _exists(spark, path) else None
-
-
-def _date_listing(spark: SparkSession, base: str) -> DataFrame | None:
-    if not _exists(spark, base):
-        return None
-    listing = list_objects(spark, base, glob="*.parquet")
-    return listing.select(
+        stale = normalise.window_filter(stale, as_of, days_back - 1)
+    pairs = sorted(tuple(r) for r in stale.select(*keys).collect())
+    if pairs:
+        curate.build_snapshots(read_zone(spark, conf_base, CONFORMED_SCHEMA, pairs), cur_base)
+    return pairs
+
+
+def _freshness(spark: SparkSession, base: str, none: DataFrame) -> DataFrame:
+    """Newest modification per (exchange, trade date) of a zone; no rows if the zone does not exist."""
+    if not path_exists(spark, base):
+        return none
+    listing = list_objects(spark, base, glob="*.parquet").select(
+        F.regexp_extract("path", "exchange=([^/]*)", 1).alias("exchange"),
         F.to_date(F.regexp_extract("path", "trade_date=([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)).alias("trade_date"),
         "modificationTime")
+    return curate.partition_freshness(listing, ["exchange", "trade_date"])
 
 
 __all__ = ["ingest_daily", "backfill", "promote_raw", "refresh_snapshots", "OHLCV_DAILY"]

@@ -16,7 +16,15 @@ def conformed_key(k: str) -> str:
 
 
 def price_text(c: str) -> str:
-    return f"coalesce(CAST(CAST(floor({c} * 1000000.0 + 0.5) AS BIGINT) AS VARCHAR), 'nan')"
+    """The exact text of a double (``functions.columns.exact_double_text``)."""
+    x = f"nullif(abs({c}), 0)"
+    up = f"(52 - CAST(floor(log2({x})) AS INTEGER))"
+    half = f"CAST(floor({up} / 2.0) AS INTEGER)"
+    m = f"({x} * pow(2.0, {half}) * pow(2.0, {up} - {half}))"
+    mantissa = f"CASE WHEN {m} >= {float(1 << 53)!r} THEN {m} / 2 WHEN {m} < {float(1 << 52)!r} THEN {m} * 2 ELSE {m} END"
+    exponent = f"CASE WHEN {m} >= {float(1 << 53)!r} THEN 1 - {up} WHEN {m} < {float(1 << 52)!r} THEN -1 - {up} ELSE -{up} END"
+    return (f"CASE WHEN {c} IS NULL THEN 'nan' WHEN {c} = 0 THEN '0' ELSE concat(CASE WHEN {c} < 0 THEN '-' ELSE '' END, "
+            f"CAST(CAST({mantissa} AS BIGINT) AS VARCHAR), 'p', CAST({exponent} AS VARCHAR)) END")
 
 
 def text(c: str) -> str:
@@ -38,11 +46,13 @@ CONFORMED = f"""conformed AS (
   FROM bars_brand)"""
 
 HINGESTS = f"hingests AS (SELECT *, {INGEST_HASH} AS row_hash FROM ingests)"
+HREDELIVERED = f"hredelivered AS (SELECT *, {INGEST_HASH} AS row_hash FROM redelivered)"
 
 KEYS = f"""keys AS (
   SELECT {RAW_KEY} AS key FROM bars_brand
   UNION ALL SELECT source_object_key AS key FROM ingests)"""
 
+BEATS = """beats AS (SELECT o_orderkey AS event_id, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS ts FROM orders)"""
 MEL = "timezone('Australia/Melbourne', ts AT TIME ZONE 'UTC')"
 
 UNIVERSE = """universe AS (
@@ -50,18 +60,22 @@ UNIVERSE = """universe AS (
          min(c_custkey) AS pos
   FROM customer GROUP BY 1 HAVING ticker <> '')"""
 
-OUTCOME = """fetched AS (
+OUTCOME = """bad AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS ticker, count(*) AS n FROM orders WHERE o_orderkey % 997 = 0 OR o_orderkey % 991 = 0 GROUP BY 1),
+fetched AS (
   SELECT CAST(o_custkey AS VARCHAR) AS ticker, count(*) AS rows_written FROM orders
   WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-06-30' - 1825 AND DATE '1996-06-30'
   GROUP BY 1),
+done AS (
+  SELECT u.ticker, f.rows_written, b.n, b.n IS NULL AND coalesce(f.rows_written, 0) > 0 AS ok
+  FROM universe u LEFT JOIN fetched f ON f.ticker = u.ticker LEFT JOIN bad b ON b.ticker = u.ticker),
 outcome AS (
-  SELECT u.ticker,
-         CASE WHEN coalesce(f.rows_written, 0) > 0 THEN 'complete' ELSE 'error' END AS status,
-         CASE WHEN coalesce(f.rows_written, 0) > 0 THEN f.rows_written END AS rows_written,
-         CASE WHEN coalesce(f.rows_written, 0) > 0 THEN TIMESTAMP '2024-01-02 03:04:05' END AS completed_at,
-         CASE WHEN coalesce(f.rows_written, 0) > 0 THEN NULL ELSE 'No data returned' END AS error,
-         CASE WHEN coalesce(f.rows_written, 0) > 0 THEN NULL ELSE TIMESTAMP '2024-01-02 03:04:05' END AS failed_at
-  FROM universe u LEFT JOIN fetched f USING (ticker))"""
+  SELECT ticker, CASE WHEN ok THEN 'complete' ELSE 'error' END AS status,
+         CASE WHEN ok THEN rows_written END AS rows_written,
+         CASE WHEN ok THEN TIMESTAMP '2024-01-02 03:04:05' END AS completed_at,
+         CASE WHEN ok THEN NULL WHEN n IS NOT NULL THEN concat('Unparsable rows: ', CAST(n AS VARCHAR)) ELSE 'No data returned' END AS error,
+         CASE WHEN ok THEN NULL ELSE TIMESTAMP '2024-01-02 03:04:05' END AS failed_at
+  FROM done)"""
 
 RETURNS_OF = """{name} AS (
   SELECT *, p / nullif(lag(p) OVER (PARTITION BY exchange, ticker ORDER BY trade_date), 0) - 1 AS ret_1d
@@ -102,23 +116,22 @@ def histogram_sql(src: str, col: str, weight: str = "1", bins: int = 80) -> str:
     return f"""v AS (SELECT {col} AS x, {weight} AS w FROM {src} WHERE {col} IS NOT NULL),
 r AS (SELECT min(x) AS lo, max(x) AS hi FROM v),
 b AS (SELECT CASE WHEN hi = lo THEN 0 ELSE least(CAST(floor((x - lo) * {bins} / (hi - lo)) AS INTEGER), {bins - 1}) END AS bin,
-             lo, hi, w FROM v, r)
-SELECT bin, lo + bin * (hi - lo) / {bins} AS bin_lo, lo + (bin + 1) * (hi - lo) / {bins} AS bin_hi,
-       CAST(sum(w) AS BIGINT) AS count
-FROM b GROUP BY bin, lo, hi"""
+             w FROM v, r),
+n AS (SELECT bin, sum(w) AS total FROM b GROUP BY bin)
+SELECT CAST(e.bin AS INTEGER) AS bin, lo + e.bin * (hi - lo) / {bins} AS bin_lo, lo + (e.bin + 1) * (hi - lo) / {bins} AS bin_hi,
+       CAST(coalesce(total, 0) AS BIGINT) AS count
+FROM range({bins}) AS e(bin) CROSS JOIN r LEFT JOIN n ON n.bin = e.bin"""
 
 
-BUSINESS_DAYS = """CASE WHEN n <= 0 THEN 0 ELSE CAST(n // 7 AS INTEGER) * 5
-       + greatest(0, least(wd + n % 7, 5) - wd)
-       + greatest(0, least(wd + n % 7, 12) - greatest(wd, 7)) END"""
+# Counted day by day, not by the closed form that Spark evaluates.
+BUSINESS_DAYS = """(SELECT count(*) FROM (SELECT unnest(generate_series(CAST(start AS TIMESTAMP), CAST("end" AS TIMESTAMP), INTERVAL 1 DAY)) AS d) WHERE isodow(d) <= 5)"""
 COVERAGE = f"""cov0 AS (
   SELECT exchange, ticker, count(*) AS rows, min(trade_date) AS start, max(trade_date) AS "end"
   FROM bars_brand GROUP BY exchange, ticker),
 cov AS (
   SELECT exchange, ticker, rows, start, "end", CAST(expected_bdays AS INTEGER) AS expected_bdays,
          CAST(expected_bdays - rows AS BIGINT) AS missing_bdays
-  FROM (SELECT *, {BUSINESS_DAYS} AS expected_bdays
-        FROM (SELECT *, CAST(("end" - start) + 1 AS BIGINT) AS n, isodow(start) - 1 AS wd FROM cov0)))"""
+  FROM (SELECT *, {BUSINESS_DAYS} AS expected_bdays FROM cov0))"""
 
 ORACLE: dict[str, str] = {
     "ticker_universe": """
@@ -153,10 +166,11 @@ SELECT DISTINCT d AS trade_date FROM (
 WHERE d IS NOT NULL""",
 
     "heartbeat_keys": f"""
+WITH {BEATS}
 SELECT event_id, concat('heartbeat/airflow_time_', strftime({MEL}, '%Y%m%d_%H%M%S'), '.txt') AS key,
        concat(strftime({MEL}, '%Y-%m-%d %H:%M:%S'), ' ',
               CASE WHEN {MEL} - ts > INTERVAL '10 hours' THEN 'AEDT' ELSE 'AEST' END) AS body
-FROM events""",
+FROM beats""",
 
     "add_lineage": W(["bars_brand"], CONFORMED) + "SELECT * EXCLUDE (row_hash) FROM conformed",
 
@@ -198,10 +212,10 @@ SELECT * EXCLUDE (adj_close) FROM bars_brand WHERE day(trade_date) % 2 = 0
 UNION ALL BY NAME
 SELECT * FROM bars_brand WHERE day(trade_date) % 2 = 1""",
 
-    "exact_dedupe": W(["ingests"], HINGESTS) + """
+    "exact_dedupe": W(["redelivered"], HREDELIVERED) + """
 SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset_id, exchange, ticker, trade_date, row_hash
-                               ORDER BY ingest_ts NULLS LAST, source_object_key) AS rn FROM hingests)
+                               ORDER BY ingest_ts NULLS LAST, source_object_key) AS rn FROM hredelivered)
 WHERE rn = 1""",
 
     "latest_wins_snapshot": W(["ingests"], HINGESTS) + """
@@ -216,7 +230,7 @@ SELECT event_id, ts, event_type, value FROM events ORDER BY ts DESC, event_id DE
 
     "stale_partitions": """
 WITH c AS (SELECT CAST(ts AS DATE) AS trade_date, max(ts) AS conformed_modified FROM events
-           WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1),
+           WHERE event_type IN ('view', 'click', 'purchase', 'error') GROUP BY 1),
      s AS (SELECT CAST(ts AS DATE) AS trade_date, max(ts) AS snapshot_modified FROM events
            WHERE event_type = 'signup' GROUP BY 1)
 SELECT c.trade_date, conformed_modified, snapshot_modified FROM c LEFT JOIN s USING (trade_date)
@@ -233,7 +247,7 @@ WHERE exchange = 'SYN' AND ticker = 'Brand#13' AND adj_close IS NOT NULL""",
   (0, 'dataset_id', true, 'string'), (1, 'exchange', true, 'string'), (2, 'ticker', true, 'string'),
   (3, 'vendor_symbol', true, 'string'), (4, 'currency', true, 'string'), (5, 'trade_date', true, 'date'),
   (6, 'open', true, 'double'), (7, 'high', true, 'double'), (8, 'low', true, 'double'),
-  (9, 'close', true, 'double'), (10, 'volume', true, 'bigint'), (11, 'adj_close', false, NULL),
+  (9, 'close', true, 'double'), (10, 'volume', true, 'double'), (11, 'adj_close', false, NULL),
   (12, 'ingest_ts', true, 'timestamp'), (13, 'ingest_batch_id', true, 'string'),
   (14, 'source_object_key', true, 'string'), (15, 'row_hash', true, 'string')),
 nn AS (UNPIVOT (SELECT count(dataset_id) AS dataset_id, count(exchange) AS exchange, count(ticker) AS ticker,
@@ -244,8 +258,9 @@ nn AS (UNPIVOT (SELECT count(dataset_id) AS dataset_id, count(exchange) AS excha
                        count(source_object_key) AS source_object_key, count(row_hash) AS row_hash
                 FROM conformed)
        ON COLUMNS(*) INTO NAME column_name VALUE non_null)
-SELECT position, req.column_name, present, data_type, non_null,
-       CASE WHEN NOT present THEN 'missing' WHEN non_null = 0 THEN 'all_null' ELSE 'ok' END AS status
+SELECT position, req.column_name, present, data_type,
+       CASE req.column_name WHEN 'volume' THEN 'bigint' WHEN 'adj_close' THEN 'double' ELSE data_type END AS declared_type, non_null,
+       CASE WHEN NOT present THEN 'missing' WHEN req.column_name = 'volume' THEN 'wrong_type' WHEN non_null = 0 THEN 'all_null' ELSE 'ok' END AS status
 FROM req LEFT JOIN nn ON req.column_name = nn.column_name""",
 
     "table_profile": W(["ingests"]) + """
@@ -254,11 +269,11 @@ SELECT count(*) AS rows, 8 AS cols, count(DISTINCT exchange) AS exchanges, count
        min(ingest_ts) AS ingest_ts_min, max(ingest_ts) AS ingest_ts_max
 FROM ingests""",
 
-    "duplicate_counts": W(["ingests"]) + """
-SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT exchange, ticker, trade_date FROM ingests)) AS BIGINT)
+    "duplicate_counts": W(["redelivered"]) + """
+SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT exchange, ticker, trade_date FROM redelivered)) AS BIGINT)
          AS duplicate_business_keys,
-       CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM ingests)) AS BIGINT) AS duplicate_full_rows
-FROM ingests""",
+       CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM redelivered)) AS BIGINT) AS duplicate_full_rows
+FROM redelivered""",
 
     "duplicate_rows": W(["ingests"]) + """
 SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY exchange, ticker, trade_date) AS key_rows FROM ingests)
@@ -356,9 +371,17 @@ ORDER BY rows DESC, exchange, ticker LIMIT 1""",
                                histogram_sql("(SELECT * FROM corr WHERE ticker_a <> ticker_b)", "corr", weight="2")),
 }
 
-ORACLE["flagship_coverage"] = ORACLE["ticker_coverage"]
+ORACLE["flagship_coverage"] = W(["ingests"], HINGESTS) + f"""
+, winners AS (SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY dataset_id, exchange, ticker, trade_date
+                                 ORDER BY ingest_ts DESC NULLS LAST, source_object_key DESC, row_hash DESC) AS rn FROM hingests) WHERE rn = 1),
+cov0 AS (SELECT exchange, ticker, count(*) AS rows, min(trade_date) AS start, max(trade_date) AS "end", max_by(row_hash, trade_date) AS last_row_hash,
+                max_by(source_object_key, trade_date) AS last_source_object_key, max(ingest_ts) AS last_ingest_ts FROM winners GROUP BY exchange, ticker)
+SELECT exchange, ticker, rows, start, "end", CAST(expected AS INTEGER) AS expected_bdays, CAST(expected - rows AS BIGINT) AS missing_bdays,
+       last_row_hash, last_source_object_key, last_ingest_ts
+FROM (SELECT *, {BUSINESS_DAYS} AS expected FROM cov0)"""
 ORACLE["stream_copy_promote"] = "SELECT * FROM events"
-ORACLE["stream_raw_to_conformed"] = W(["bars_brand"], CONFORMED) + "SELECT * EXCLUDE (source_object_key) FROM conformed"
+ORACLE["stream_raw_to_conformed"] = W(["bars_brand"], CONFORMED) + "SELECT * FROM conformed"
 ORACLE["stream_snapshot_refresh"] = ORACLE["latest_wins_snapshot"]
 
 FMATRIX = "fm AS (SELECT trade_date, ticker, avg(ret_1d) AS ret_1d FROM fret WHERE ret_1d IS NOT NULL GROUP BY 1, 2)"
@@ -390,11 +413,12 @@ SELECT *, concat_ws(chr(10),
 FROM met"""
 
 ORACLE["retention_candidates"] = f"""
+WITH {BEATS}
 SELECT * FROM (
   SELECT event_id, concat('heartbeat/airflow_time_', strftime({MEL}, '%Y%m%d_%H%M%S'), '.txt') AS key,
          CAST(strftime({MEL}, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) AS object_time
-  FROM events)
-WHERE object_time < CAST(DATE '2024-01-30' - 7 AS TIMESTAMP)"""
+  FROM beats)
+WHERE object_time < CAST(DATE '1996-07-01' - 7 AS TIMESTAMP)"""
 
 ORACLE["universe_snapshot"] = ORACLE["ticker_universe"].replace(
     "min(p_partkey) AS pos", "min(p_partkey) AS pos, DATE '2001-11-04' AS constituents_snapshot_date")
@@ -402,6 +426,35 @@ ORACLE["universe_snapshot"] = ORACLE["ticker_universe"].replace(
 ORACLE["curated_scan"] = W(["bars_brand"], CONFORMED) + "SELECT * FROM conformed"
 
 
+ORACLE["audit_read_back"] = " UNION ALL ".join("SELECT * FROM (" + ORACLE["audit_errors"].replace(
+    "DATE '1996-06-30' AS run_date", f"DATE '{d}' AS run_date").replace("DATE '1996-06-30' - 1825 AS window_start, DATE '1996-06-30' AS window_end",
+                                                                        f"DATE '{d}' - 1825 AS window_start, DATE '{d}' AS window_end") + ")" for d in ("1996-06-30", "1996-07-31"))
+
+ORACLE["object_inventory"] = W(["objects"]) + "SELECT key, modified, length FROM objects"
+
+ORACLE["storage_footprint"] = W(["objects"]) + """
+SELECT split_part(key, '/', 2) AS folder, count(*) AS objects, CAST(sum(length) AS BIGINT) AS bytes, max(length) AS largest,
+       CAST(sum(length) AS DOUBLE) / count(*) AS mean_bytes FROM objects GROUP BY 1"""
+
+ORACLE["newest_text_object"] = W(["objects"]) + "SELECT key, modified, content FROM objects ORDER BY modified DESC, key DESC LIMIT 1"
+
+ORACLE["copy_new_objects"] = W(["objects"]) + "SELECT key, content, CASE WHEN length % 3 = 0 THEN 1 ELSE 2 END AS delivery FROM objects"
+
+ORACLE["quarantine_split"] = W(["bars_user"]) + "SELECT ticker, trade_date, day(trade_date) <> 13 AS parsed FROM bars_user"
+
+ORACLE["report_nulls_by_ticker"] = "SELECT *, row_number() OVER (ORDER BY close DESC, ticker) AS position FROM (" + ORACLE["null_rates_by_ticker"] + ")"
+
+ORACLE["report_anomalies"] = ("SELECT exchange, ticker, trade_date, round(ret_z, 6) AS ret_z, "
+                              "row_number() OVER (PARTITION BY exchange, ticker ORDER BY ret_z, trade_date) AS position FROM (" + ORACLE["return_anomalies"] + ")")
+
+ORACLE["promote_incremental"] = W(["bars_user"]) + f"""
+, b AS (SELECT *, {RAW_KEY} AS source_object_key, CASE WHEN day(trade_date) % 7 = 0 THEN close + 1.5 ELSE close END AS later FROM bars_user),
+d AS (SELECT mode, source_object_key, ticker, trade_date, close, 'first' AS ingest_batch_id FROM b, (VALUES ('by_key'), ('by_content')) m(mode) WHERE day(trade_date) % 2 = 0
+      UNION ALL SELECT mode, source_object_key, ticker, trade_date, later, 'second' FROM b, (VALUES ('by_key'), ('by_content')) m(mode)
+      WHERE day(trade_date) % 2 = 1 OR mode = 'by_content' AND later <> close)
+SELECT *, CASE ingest_batch_id WHEN 'first' THEN TIMESTAMP '2024-01-02 03:04:05' ELSE TIMESTAMP '2024-01-03 03:04:05' END AS ingest_ts FROM d"""
+
+
 def _rounded(sql: str, cols) -> str:
     """Same 6-decimal report precision as the Spark side (``catalog.rounded``)."""
     rep = ", ".join(f"round({c}, 6) AS {c}" for c in cols)

@@ -55,8 +55,22 @@ faulted AS (
          CASE WHEN day(trade_date) = 13 THEN NULL ELSE adj_close END AS adj_close
   FROM bars_brand)"""
 
-VIEWS = {"bars_brand": BARS_BRAND, "bars_user": BARS_USER, "ingests": INGESTS, "faulted": FAULTED}
-DEPENDS = {"faulted": ["bars_brand"]}
+REDELIVERED = """
+redelivered AS (
+  SELECT * FROM ingests
+  UNION ALL SELECT * REPLACE (ingest_ts + INTERVAL 1 HOUR AS ingest_ts) FROM ingests WHERE q % 10 = 0
+  UNION ALL SELECT * REPLACE (ingest_ts + INTERVAL 1 HOUR AS ingest_ts, px * (1.0::DOUBLE + pow(2.0, -50)) AS px) FROM ingests WHERE q % 11 = 0
+  UNION ALL SELECT * FROM ingests WHERE q % 10 = 0)"""
+
+OBJECTS = """
+objects AS (
+  SELECT concat('heartbeat/', coalesce(source, 'none'), '/doc_', CAST(doc_id AS VARCHAR), '.txt') AS key,
+         CAST(strlen(text) AS BIGINT) AS length, make_timestamp((1704067200 + doc_id * 37 % 86400) * 1000000) AS modified, text AS content
+  FROM documents)"""
+
+VIEWS = {"bars_brand": BARS_BRAND, "bars_user": BARS_USER, "ingests": INGESTS, "faulted": FAULTED,
+         "redelivered": REDELIVERED, "objects": OBJECTS}
+DEPENDS = {"faulted": ["bars_brand"], "redelivered": ["ingests"]}
 
 
 def with_views(names: list[str], *ctes: str) -> str:

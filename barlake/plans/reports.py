@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import correlation, quality, returns
-from ..session import shared_dir
-from ..spec import ANOMALY_Z
+from ..session import stored
+from ..spec import ANOMALY_Z, MIN_OBS_FRACTION
 
 # Fixed summary line labels (the report text format).
 SUMMARY_LABELS = (
@@ -22,6 +22,10 @@ SUMMARY_LABELS = (
 )
 
 
+#: Reports with one row per ticker, column or statistic; the others grow with the bars and keep their partitions.
+SMALL_REPORTS = ("profile", "ticker_coverage", "nulls_overall", "nulls_by_ticker", "returns_describe", "median_volume_by_ticker")
+
+
 def eda_metrics(bars: DataFrame, threshold: float = ANOMALY_Z, materialise: bool = True) -> DataFrame:
     """One row: rows, tickers, date range, duplicate keys, sanity counts, anomalies, correlation size.
 
@@ -31,17 +35,17 @@ def eda_metrics(bars: DataFrame, threshold: float = ANOMALY_Z, materialise: bool
     they do not each recompute it.
     """
     if materialise:
-        shared_dir(bars.sparkSession)
-        bars = bars.checkpoint(eager=True)
+        bars = stored(bars, "eda-bars")
     prof = bars.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("ticker").alias("tickers"),
                     F.min("trade_date").alias("date_min"), F.max("trade_date").alias("date_max"),
                     F.count_if(quality.negative_price()).alias("rows_with_negative_price"),
                     F.count_if(quality.negative_volume()).alias("rows_with_negative_volume"),
                     F.count_if(quality.ohlc_inversion()).alias("rows_failing_ohlc_bounds"))
     dups = quality.duplicate_counts(bars).select("duplicate_business_keys")
-    z = returns.return_zscores(returns.daily_returns(bars))
+    z = stored(returns.return_zscores(returns.daily_returns(bars)).select("exchange", "ticker", "trade_date", "adj_close", "ret_1d", "ret_z", "volume"), "eda-returns")
     anoms = returns.return_anomalies(z, threshold).agg(F.count(F.lit(1)).alias("return_anomalies"))
-    corr_n = correlation.tickers_min_obs(correlation.return_matrix(z)).agg(
+    matrix = stored(correlation.return_matrix(z), "eda-matrix")
+    corr_n = correlation.tickers_min_obs(matrix).agg(
         F.count(F.lit(1)).alias("correlation_tickers"))
     # one-row parts stacked and collapsed per column: no join between them
     parts = [prof, dups, anoms, corr_n]
@@ -95,9 +99,8 @@ def run_eda(bars: DataFrame, out_dir: str, threshold: float = ANOMALY_Z) -> dict
     partitioning.  Returns the report DataFrames by name.
     """
     from ..operators import stats
-    shared_dir(bars.sparkSession)
-    bars = bars.checkpoint(eager=True)
-    z = returns.return_zscores(returns.daily_returns(bars)).checkpoint(eager=True)
+    bars = stored(bars, "eda-bars")
+    z = stored(returns.return_zscores(returns.daily_returns(bars)), "eda-returns")
     key = ["exchange", "ticker"]
     median = stats.exact_quantiles(bars, "volume", [0.5], key).select(*key, F.col("quantile").alias("median_volume"))
     tables = {
@@ -109,8 +112,8 @@ def run_eda(bars: DataFrame, out_dir: str, threshold: float = ANOMALY_Z) -> dict
         "return_anomalies_z6": returns.return_anomalies(z, threshold).orderBy("ret_z", *key, "trade_date"),
         "median_volume_by_ticker": median.orderBy(F.desc("median_volume"), *key),
         "returns_correlation": correlation.return_correlation(
-            correlation.return_matrix(z), min_obs_fraction=0.8, materialise=True),
+            correlation.return_matrix(z), min_obs_fraction=MIN_OBS_FRACTION, materialise=True),
     }
-    write_reports(out_dir, tables, small=tuple(n for n in tables if n != "returns_correlation"))
+    write_reports(out_dir, tables, small=SMALL_REPORTS)
     write_summary_text(eda_summary(bars, threshold), out_dir)
     return tables

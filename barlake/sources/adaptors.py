@@ -128,3 +128,43 @@ def faulted_bars(bars: DataFrame) -> DataFrame:
          .otherwise(F.col("volume")).alias("volume"),
         F.when(d == FAULT_DAYS["adj_close_null"], F.lit(None)).otherwise(F.col("adj_close")).alias("adj_close"),
     )
+
+
+# Re-deliveries: every tenth quantity again unchanged, an hour later; every eleventh with a price that differs in the last bits.
+REDELIVERED, NEAR_PRICE, NEAR_FACTOR = 10, 11, 1.0 + 2.0 ** -50
+
+
+def redelivered(ingest_rows: DataFrame) -> DataFrame:
+    """``ingests`` with true re-deliveries (to be dropped) and near-equal ones (to be kept)."""
+    later = F.col("ingest_ts") + F.expr("INTERVAL '1' HOUR")
+    again = ingest_rows.where(F.col("q") % REDELIVERED == 0).withColumn("ingest_ts", later)
+    near = ingest_rows.where(F.col("q") % NEAR_PRICE == 0).withColumn("ingest_ts", later).withColumn("px", F.col("px") * NEAR_FACTOR)
+    # the first delivery twice over, byte for byte
+    twice = ingest_rows.where(F.col("q") % REDELIVERED == 0)
+    return ingest_rows.unionByName(again).unionByName(near).unionByName(twice)
+
+
+OBJECT_EPOCH = 1_704_067_200  # 2024-01-01 UTC
+
+
+def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text objects from ``documents``: key, length in bytes, modification time, content."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select(
+        F.concat(F.lit("heartbeat/"), F.coalesce("source", F.lit("none")), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("key"),
+        F.octet_length("text").cast("bigint").alias("length"),
+        F.timestamp_seconds(F.lit(OBJECT_EPOCH) + F.col("doc_id") * 37 % 86_400).alias("modified"),
+        F.col("text").alias("content"))
+
+
+# Faults in vendor text: one order key in so many has a date or a price that does not parse.
+BAD_DATE_EVERY, BAD_PRICE_EVERY = 997, 991
+
+
+def vendor_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as a vendor's text download per customer, with dates and prices that do not parse."""
+    o = read_table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_custkey").cast("string").alias("ticker"),
+        F.when(F.col("o_orderkey") % BAD_DATE_EVERY == 0, F.lit("no date")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("Date"),
+        F.when(F.col("o_orderkey") % BAD_PRICE_EVERY == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string")).alias("Close"))

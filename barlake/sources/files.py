@@ -13,12 +13,15 @@ that carry every column inside the row *and* in the path are read with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..spec import CONFORMED_SCHEMA, RAW_BAR_SCHEMA
 
+#: Column of a record that does not parse.
+CORRUPT = "unparsed_record"
+
 
 # --- ticker universe ----------------------------------------------------------
 
@@ -51,6 +54,17 @@ def _data_schema(schema: T.StructType, partition_cols) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name not in partition_cols])
 
 
+def overwrite_raw_objects(df: DataFrame, path: str, key_cols=("exchange", "trade_date", "ticker")) -> None:
+    """Land bars as one object per ticker and date, replacing exactly the objects that ``df`` holds.
+
+    Each object is a folder ``exchange=X/trade_date=D/ticker=T``; dynamic partition
+    overwrite leaves all other objects as they are.  Read it with
+    ``read_raw_csv(partition_cols=key_cols)``.
+    """
+    (df.hint("rebalance", *key_cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*key_cols).option("header", True).csv(path))
+
+
 def write_raw_csv(df: DataFrame, path: str, partition_cols=("exchange", "trade_date"),
                   mode: str = "append") -> None:
     """Land bars as CSV under hive-style date folders.
@@ -59,7 +73,7 @@ def write_raw_csv(df: DataFrame, path: str, partition_cols=("exchange", "trade_d
     replacing a folder would drop other tickers' objects.  A re-landed bar
     is a newer version of the same logical object (see ``current_raw_objects``).
     """
-    (df.repartition(*partition_cols).write.mode(mode).partitionBy(*partition_cols)
+    (df.hint("rebalance", *partition_cols).write.mode(mode).partitionBy(*partition_cols)
      .option("header", True).csv(path))
 
 
@@ -81,18 +95,23 @@ def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_BAR_
             .select(*[c for c in schema.fieldNames()]))
 
 
-def current_raw_objects(raw: DataFrame, base_path: str | None = None) -> DataFrame:
+def with_landing(raw: DataFrame) -> DataFrame:
+    """A file scan with each row's file and landing time."""
+    return raw.select("*", F.col("_metadata.file_modification_time").alias("_landed"), F.col("_metadata.file_path").alias("_file"))
+
+
+def current_raw_objects(raw: DataFrame) -> DataFrame:
     """Raw rows as logical objects: one current version per (dataset, exchange, trade date, ticker).
 
     ``source_object_key`` is the object key of the bar
     (``tabular/<dataset>/exchange=X/trade_date=D/ticker=T.csv``); when a bar
     was landed more than once, the most recently landed file wins, as an
-    overwritten object would.  ``raw`` must come straight from a file scan.
+    overwritten object would.  ``raw`` comes straight from a file scan or through ``with_landing``.
     """
     from ..functions.keys import raw_key
     key = ["dataset_id", "exchange", "ticker", "trade_date"]
-    rows = raw.select("*", F.col("_metadata.file_modification_time").alias("_landed"),
-                      F.col("_metadata.file_path").alias("_file"))
+    rows = raw if "_landed" in raw.columns else with_landing(raw)
+    raw = rows.drop("_landed", "_file")
     rest = [c for c in raw.columns if c not in key]
     cur = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_landed", "_file")).alias("_v"))
     return cur.select(*key, *[F.col("_v." + c).alias(c) for c in rest],
@@ -100,19 +119,31 @@ def current_raw_objects(raw: DataFrame, base_path: str | None = None) -> DataFra
                       ).select(*raw.columns, "source_object_key")
 
 
-def read_raw_csv_quarantine(spark: SparkSession, path: str, schema: T.StructType = RAW_BAR_SCHEMA):
-    """(good, bad) split of landed raw CSV: rows that do not parse go to quarantine.
+def text_schema(schema: T.StructType) -> T.StructType:
+    """The same columns as text, so that a reader of it never drops or nulls what does not parse."""
+    return T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
+
+
+def parsed(texts: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text columns of ``schema`` cast to their types, other columns unchanged, and ``CORRUPT``.
 
-    Both sides keep every schema column, so the parser checks every field
-    (CSV column pruning would otherwise skip unparsed fields).
+    ``CORRUPT`` holds the record's texts, comma-joined, if one of them does not
+    parse, else null.  A missing last column (11-column files) is null, not an error.
     """
-    with_bad = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType(), True)])
-    df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True)
-          .schema(with_bad).csv(path)
-          .withColumn("source_object_key", F.col("_metadata.file_path")))
-    good = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    bad = df.where(F.col("_corrupt_record").isNotNull())
+    bad = F.lit(False)
+    for f in schema.fields:
+        bad = bad | (F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull())
+    record = F.concat_ws(",", *[F.coalesce(F.col(f.name), F.lit("")) for f in schema.fields])
+    typed = {f.name: f.dataType for f in schema.fields}
+    return texts.select(*[F.col(c).try_cast(typed[c]).alias(c) if c in typed else F.col(c) for c in texts.columns], F.when(bad, record).alias(CORRUPT))
+
+
+def read_raw_csv_quarantine(spark: SparkSession, path: str, schema: T.StructType = RAW_BAR_SCHEMA):
+    """(good, bad) split of landed raw CSV: records that do not parse go to quarantine."""
+    texts = spark.read.option("header", True).option("recursiveFileLookup", True).schema(text_schema(schema)).csv(path)
+    df = parsed(texts.withColumn("source_object_key", F.col("_metadata.file_path")), schema)
+    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    bad = df.where(F.col(CORRUPT).isNotNull())
     return good, bad
 
 
@@ -120,18 +151,38 @@ def read_raw_csv_quarantine(spark: SparkSession, path: str, schema: T.StructType
 
 def write_parquet_partitions(df: DataFrame, path: str, mode: str,
                              partition_cols=("exchange", "trade_date"), max_records: int = 5_000_000) -> None:
-    """Partitioned Parquet write; rows are shuffled by partition so each date gets few files."""
-    (df.repartition(*partition_cols).write.mode(mode).partitionBy(*partition_cols)
+    """Partitioned Parquet write: rows of a date are brought together into few files, a large date is split (rebalance)."""
+    (df.hint("rebalance", *partition_cols).write.mode(mode).partitionBy(*partition_cols)
      .option("maxRecordsPerFile", max_records).parquet(path))
 
 
+def touched_partitions(df: DataFrame) -> list[tuple]:
+    """The (exchange, trade_date) pairs of a batch: one per exchange and day, bounded by the calendar."""
+    return [tuple(r) for r in df.select("exchange", "trade_date").distinct().collect()]
+
+
+def in_partitions(pairs) -> Column:
+    """Static partition filter for (exchange, trade_date) pairs."""
+    by_exchange: dict = {}
+    for exchange, day in pairs:
+        by_exchange.setdefault(exchange, []).append(day)
+    cond = F.lit(False)
+    for exchange, days in by_exchange.items():
+        cond = cond | ((F.col("exchange") == F.lit(exchange)) & F.col("trade_date").isin(days))
+    return cond
+
+
 def read_zone(spark: SparkSession, path: str, schema: T.StructType = CONFORMED_SCHEMA,
-              dates=None) -> DataFrame:
-    """Conformed/curated scan with declared schema; ``dates`` prunes partitions."""
+              pairs=None) -> DataFrame:
+    """Conformed/curated scan with declared schema; ``pairs`` of (exchange, trade_date) prune partitions."""
     df = spark.read.schema(schema).option("basePath", path).parquet(path)
-    if dates is not None:
-        df = df.where(F.col("trade_date").isin(list(dates)))
-    return df
+    return df if pairs is None else df.where(in_partitions(pairs))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def curated_scan(spark: SparkSession, path: str, schema: T.StructType = CONFORMED_SCHEMA) -> DataFrame:
@@ -152,6 +203,11 @@ def list_objects(spark: SparkSession, path: str, glob: str | None = None, recurs
     return reader.load(path).select("path", "modificationTime", "length")
 
 
+def require_objects(listing: DataFrame, what: str) -> DataFrame:
+    """The listing itself; raises if it is empty."""
+    return require_rows(listing, what)
+
+
 def relative_key(path_col, base: str):
     base = base.rstrip("/") + "/"
     return F.regexp_replace(path_col, "^(file:)?" + _escape(base.replace("file:", "")), "")
@@ -164,6 +220,16 @@ def _escape(s: str) -> str:
 
 # --- heartbeat text -----------------------------------------------------------
 
+def newest_body(objects: DataFrame, key: str = "key", time: str = "modified") -> DataFrame:
+    """The most recently modified object with its body (ties: largest key).
+
+    The choice is made on key and time alone (one aggregate); only the chosen
+    object's body is read on.
+    """
+    top = objects.agg(F.max(F.struct(time, key)).alias("_top")).select(F.col(f"_top.{key}").alias("_key"))
+    return objects.join(top, F.col(key) == F.col("_key"), "left_semi")
+
+
 def read_text_objects(spark: SparkSession, path: str) -> DataFrame:
     """Text objects with their key and modification time (for newest-object reads)."""
     return spark.read.option("recursiveFileLookup", True).text(path).select(

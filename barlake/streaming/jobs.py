@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import curate, promote
-from ..sources.files import read_zone
-from ..spec import RAW_BAR_SCHEMA
+from ..session import stored
+from ..sources.files import (CORRUPT, current_raw_objects, parsed, path_exists, read_zone, relative_key, text_schema,
+                             touched_partitions, with_landing, write_parquet_partitions)
+from ..spec import OHLCV_DAILY, RAW_BAR_SCHEMA
 
 
 def _run(writer, checkpoint: str, available_now: bool = True, timeout_s: int | None = None,
@@ -36,7 +38,10 @@ def _run(writer, checkpoint: str, available_now: bool = True, timeout_s: int | N
 
 def copy_promote(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: T.StructType,
                  fmt: str = "parquet", glob: str | None = None, available_now: bool = True):
-    """Copy every not-yet-seen object of ``source`` into ``sink`` unchanged (append, idempotent)."""
+    """Append the rows of every not-yet-seen file of ``source`` to ``sink`` unchanged (idempotent by the sink's log).
+
+    For objects that must keep their key, see ``copy_objects``.
+    """
     reader = spark.readStream.schema(schema).format(fmt)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -45,44 +50,87 @@ def copy_promote(spark: SparkSession, source: str, sink: str, checkpoint: str, s
                 checkpoint, available_now)
 
 
+def promote_batch(raw: DataFrame, conformed: str, ingest_ts: dt.datetime, batch_id: str | None, mode: str,
+                  partition_cols=("exchange", "trade_date")) -> DataFrame:
+    """Raw rows of one delivery -> the conformed rows that the zone lacked, appended to it.
+
+    ``raw`` has each row's landing (``with_landing``).  Rows become logical
+    objects (the most recently landed version of each key); the zone is read
+    only in the touched (exchange, trade_date) partitions, and only key
+    columns of it.  The anti join makes a repeated delivery add nothing.
+    """
+    spark = raw.sparkSession
+    rows = promote.to_conformed(current_raw_objects(raw), ingest_ts, batch_id, source_key="source_object_key")
+    existing = None
+    if path_exists(spark, conformed):
+        pairs = touched_partitions(raw)
+        existing = read_zone(spark, conformed, pairs=pairs)
+    new = stored(promote.promote(rows, existing, mode), "promoted")  # decided against the zone before appending to it
+    write_parquet_partitions(new, conformed, "append", partition_cols)
+    return new
+
+
 def raw_to_conformed(spark: SparkSession, raw: str, conformed: str, checkpoint: str,
-                     ingest_ts: dt.datetime, batch_id: str | None = None,
+                     ingest_ts: dt.datetime | None = None, batch_id: str | None = None, mode: str = "by_key",
                      schema: T.StructType = RAW_BAR_SCHEMA, partition_cols=("exchange", "trade_date"),
-                     available_now: bool = True):
+                     quarantine: str | None = None, available_now: bool = True, promoted: list | None = None):
     """Raw CSV objects -> conformed Parquet rows with lineage and row hash (append-only).
 
-    Key columns come from the hive-style folders; the source key is the
-    object path relative to ``raw``.
+    The file source's log opens only files not seen before; every micro-batch
+    goes through ``promote_batch``, as a batch run does, so both may share a
+    zone.  Without ``ingest_ts`` each micro-batch is stamped with its own time.
+    Records that do not parse go to ``quarantine`` (JSON) if it is given, and are
+    left out of the zone.  ``promoted`` collects each batch's new rows.
     """
     data = [f for f in schema.fields if f.name not in partition_cols]
-    full = T.StructType(data + [schema[c] for c in partition_cols])
-    stream = (spark.readStream.schema(full).option("header", True).option("basePath", raw).csv(raw)
-              .select(*schema.fieldNames(), F.col("_metadata.file_path").alias("_path")))
-    rows = promote.to_conformed(stream, ingest_ts, batch_id,
-                                source_key=F.regexp_replace("_path", r"^.*?/(exchange=)", "$1")).drop("_path")
-    return _run(rows.writeStream.format("parquet").outputMode("append").partitionBy(*partition_cols)
-                .option("path", conformed), checkpoint, available_now)
+    full = T.StructType(text_schema(T.StructType(data)).fields + [schema[c] for c in partition_cols])
+    stream = with_landing(spark.readStream.schema(full).option("header", True).option("basePath", raw).csv(raw))
+
+    def each(batch: DataFrame, number: int) -> None:
+        landed = stored(parsed(batch, T.StructType(data)), "landed")        # the new files are read once
+        if quarantine is not None:
+            bad = landed.where(F.col(CORRUPT).isNotNull()).select(*partition_cols, CORRUPT, F.col("_file").alias("source_file"))
+            bad.write.mode("append").json(quarantine)
+        good = landed.where(F.col(CORRUPT).isNull()).select(*schema.fieldNames(), "_landed", "_file")
+        stamp = ingest_ts or dt.datetime.now(dt.timezone.utc)
+        new = promote_batch(good, conformed, stamp, batch_id, mode, partition_cols)
+        if promoted is not None:
+            promoted.append(new)
+
+    return _run(stream.writeStream.foreachBatch(each), checkpoint, available_now)
+
+
+def copy_objects(spark: SparkSession, source: str, sink: str, checkpoint: str, glob: str | None = None, available_now: bool = True):
+    """Copy every not-yet-seen object of a folder under its own key: rows (key, modified, content) in ``sink``.
+
+    The key is the path below ``source``, so promoted objects keep it; an object
+    that a repeated batch brings again is not added twice.
+    """
+    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).schema(
+        "path string, modificationTime timestamp, length long, content binary")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    objects = reader.load(source).select(relative_key(F.col("path"), source).alias("key"), F.col("modificationTime").alias("modified"), "content")
+
+    def each(batch: DataFrame, number: int) -> None:
+        promote.copy_new_objects(batch, sink)
+
+    return _run(objects.writeStream.foreachBatch(each), checkpoint, available_now)
 
 
 def snapshot_refresh_batch(batch: DataFrame, conformed: str, curated: str, schema: T.StructType,
-                           key=("dataset_id", "exchange", "ticker", "trade_date"),
-                           partition_cols=("exchange", "trade_date")) -> None:
-    """Rebuild the curated snapshot of every date touched by ``batch``.
-
-    The touched dates (bounded by the calendar, one value per date) drive a
-    partition-pruned re-read of the conformed zone; latest-wins runs over all
-    ingests of those dates; dynamic partition overwrite replaces only them.
-    (A semi join with the batch would not prune: with no predicate on the
-    batch side Catalyst sees no benefit in dynamic partition pruning and
-    scans every date, so the bounded date list is used as a static filter.)
+                           key=OHLCV_DAILY.business_key) -> None:
+    """Rebuild the curated snapshot of every (exchange, date) touched by ``batch``.
+
+    The touched pairs (bounded by the calendar) drive a partition-pruned
+    re-read of the conformed zone; latest-wins runs over all ingests of those
+    dates; dynamic partition overwrite replaces only them.  (A semi join with
+    the batch would not prune: with no predicate on the batch side Catalyst
+    sees no benefit in dynamic partition pruning and scans every date.)
     """
-    dates = [r[0] for r in batch.select("trade_date").distinct().collect()]
-    if not dates:
-        return
-    rows = read_zone(batch.sparkSession, conformed, schema, dates=dates)
-    snap = curate.latest_wins(rows, key)
-    (snap.repartition(*partition_cols).write.mode("overwrite").partitionBy(*partition_cols)
-     .option("partitionOverwriteMode", "dynamic").parquet(curated))
+    pairs = touched_partitions(batch)
+    if pairs:
+        curate.build_snapshots(read_zone(batch.sparkSession, conformed, schema, pairs), curated, key)
 
 
 def snapshot_refresh(spark: SparkSession, conformed: str, curated: str, checkpoint: str,

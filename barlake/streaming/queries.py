@@ -7,12 +7,15 @@ the idempotency tests rather than repeated here.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..plans import frames
-from ..session import scratch_path
+from ..plans import frames, lake_jobs
+from ..session import scratch_path, stored
 from ..sources.files import read_zone, write_parquet_partitions, write_raw_csv
-from ..spec import CONFORMED_SCHEMA
+from ..spec import CONFORMED_SCHEMA, RAW_BAR_SCHEMA, LakePaths
 from ..sources.tables import read_table
 from . import jobs
 
@@ -28,9 +31,33 @@ def q_stream_raw_to_conformed(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "raw-to-conformed")
     write_raw_csv(frames.bars(spark, sf), f"{base}/raw")
     jobs.raw_to_conformed(spark, f"{base}/raw", f"{base}/conformed", f"{base}/_ckpt",
-                               frames.INGEST_TS, frames.BATCH_ID)
-    out = read_zone(spark, f"{base}/conformed", CONFORMED_SCHEMA)
-    return out.drop("source_object_key")
+                          frames.INGEST_TS, frames.BATCH_ID)
+    return read_zone(spark, f"{base}/conformed", CONFORMED_SCHEMA)
+
+
+RESTATED_DAY, RESTATED_BY = 7, 1.5
+
+
+def q_promote_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Two deliveries, the first promoted by the stream, the second by a batch run into the same zone.
+
+    The first brings the even days; the second brings all days, with other
+    prices on the days divisible by ``RESTATED_DAY``.  Both modes are run; each
+    keeps every object, ``by_content`` also the restated versions.
+    """
+    bars = stored(frames.user_bars(spark, sf).select(*RAW_BAR_SCHEMA.fieldNames()), "deliveries")
+    day = F.dayofmonth("trade_date")
+    restated = F.when(day % RESTATED_DAY == 0, F.col("close") + RESTATED_BY).otherwise(F.col("close"))
+    zones = []
+    for mode in ("by_key", "by_content"):
+        paths = LakePaths.under(scratch_path(spark, f"promote-{mode}"))
+        raw, conformed = paths.table("raw"), paths.table("conformed")
+        write_raw_csv(bars.where(day % 2 == 0), raw)
+        jobs.raw_to_conformed(spark, raw, conformed, f"{conformed}_stream", frames.INGEST_TS, "first", mode)
+        write_raw_csv(bars.withColumn("close", restated), raw)
+        lake_jobs.promote_raw(spark, paths, frames.INGEST_TS + dt.timedelta(days=1), "second", mode)
+        zones.append(read_zone(spark, conformed, CONFORMED_SCHEMA).select(F.lit(mode).alias("mode"), "source_object_key", "ticker", "trade_date", "close", "ingest_batch_id", "ingest_ts"))
+    return zones[0].unionByName(zones[1])
 
 
 def q_stream_snapshot_refresh(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,4 +73,5 @@ QUERIES = {
     "stream_copy_promote": q_stream_copy_promote,
     "stream_raw_to_conformed": q_stream_raw_to_conformed,
     "stream_snapshot_refresh": q_stream_snapshot_refresh,
+    "promote_incremental": q_promote_incremental,
 }

@@ -17,7 +17,7 @@ def test_resume_skips_complete_and_retries_errors(spark, tmp_dir):
     state_path, audit_path = f"{tmp_dir}/state", f"{tmp_dir}/audit"
     assert control.load_state(spark, state_path) is None
     out1 = control.run_backfill(universe, fetched1, "2025-01-01", RUN1)
-    control.save_state(control.state_rows(out1, "2025-01-01", RUN1), state_path)
+    control.append_state(control.state_rows(out1, "2025-01-01", RUN1), state_path)
     control.append_audit(control.audit_errors(out1, "2025-01-01", RUN1), audit_path)
     prev = control.load_state(spark, state_path)
     pending = sorted(r["ticker"] for r in control.pending_tickers(universe, prev).collect())
