@@ -31,6 +31,7 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import partial
 
@@ -75,18 +76,20 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.low = [1]
+        self.low = [1]                                 # first size of each band, extended as sizes are met
+
+    def _extend(self) -> None:
+        self.low.append(self.low[-1] * self.den // self.num + 1)
 
     def of(self, n: int) -> int:
         while self.low[-1] <= n:
-            self.low.append(self.low[-1] * self.den // self.num + 1)
-        return int(np.searchsorted(self.low, n, side="right")) - 1
+            self._extend()
+        return bisect.bisect_right(self.low, n) - 1
 
     def most_apart(self, band: int) -> int:
         """Shingles in which two linked sets that meet in this band can differ."""
-        self.of(self.low[-1])
         while len(self.low) <= band + 1:
-            self.of(self.low[-1])
+            self._extend()
         return 2 * (self.low[band + 1] - 1) * (self.den - self.num) // (self.den + self.num)
 
 
