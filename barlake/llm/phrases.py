@@ -33,6 +33,7 @@ an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -51,6 +52,8 @@ WINDOW = 13
 #: Words of an anchor; a window of 13 words has 8 of them.
 ANCHOR = 6
 SHARD_DOCS = 512
+#: The alphabets of a word's two characters in an automaton (the vocabulary of a shard stays far below their product).
+_LOW, _HIGH = 0x100, 0x10000
 
 
 def _anchors(w: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,21 +183,35 @@ def _answers(docs: pa.Table, asked: pa.Table, window: int) -> pa.Table:
 
 
 class Automaton:
-    """The windows of a shard's passages, over words: finds every window that an earlier document owns."""
+    """The windows of a shard's passages, over words: finds every window that an earlier document owns.
+
+    A word is two characters, the digits of its number to the base of the
+    vocabulary's square root, from separate alphabets: matches start and end at
+    words, and no node of the automaton has a child for every word.
+    """
 
     def __init__(self, passages: list[tuple[int, str]], window: int):
         self.window = window
-        self.ids: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], int] = {}
-        for owner, passage in passages:
-            code = tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in passage.encode().split())
-            for i in range(len(code) - window + 1):
-                owners[code[i:i + window]] = min(owner, owners.get(code[i:i + window], owner))
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        split = [(owner, passage.encode().split()) for owner, passage in passages]
+        ids: dict[bytes, int] = {}
+        for _, tokens in split:
+            for w in tokens:
+                ids.setdefault(w, len(ids))
+        base = math.isqrt(len(ids)) + 1
+        self.codes = {w: chr(_HIGH + n // base) + chr(_LOW + n % base) for w, n in ids.items()}
+        owners: dict[str, int] = {}
+        for owner, tokens in split:
+            code = "".join([self.codes[w] for w in tokens])
+            for i in range(0, len(code) - 2 * window + 1, 2):
+                key = code[i:i + 2 * window]
+                have = owners.get(key)
+                if have is None or owner < have:
+                    owners[key] = owner
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_STRING)
         self.owners = sorted(set(owners.values()))
         place = {owner: i for i, owner in enumerate(self.owners)}
-        for code, owner in owners.items():
-            self.machine.add_word(code, place[owner])
+        for key, owner in owners.items():
+            self.machine.add_word(key, place[owner])
         if owners:
             self.machine.make_automaton()
 
@@ -202,11 +219,12 @@ class Automaton:
         """A flag per word: covered by a window owned by a document with a smaller id."""
         gone = np.zeros(len(found) + 1, np.int32)
         if self.owners and self.owners[0] < doc_id and len(found) >= self.window:
-            code = tuple([self.ids.get(w, 0) for w in found])
-            for end, place in self.machine.iter(code):
+            unknown = chr(_LOW - 1) * 2
+            for end, place in self.machine.iter("".join([self.codes.get(w, unknown) for w in found])):
                 if self.owners[place] < doc_id:
-                    gone[end - self.window + 1] += 1
-                    gone[end + 1] -= 1
+                    word = end >> 1
+                    gone[word - self.window + 1] += 1
+                    gone[word + 1] -= 1
         return np.cumsum(gone[:-1]) > 0
 
 
