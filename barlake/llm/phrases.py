@@ -11,8 +11,9 @@ other document the window's words are to be removed.
    mostly share one).  Documents' distinct anchors are shuffled by value;
    those of several documents recur.
 3. Windows.  Only windows with a recurring anchor are hashed (128 bits) and
-   shuffled by hash; in hash order, the first document of a window is its
-   owner, and the shards of the other documents ask the owner for it.
+   shuffled by hash, at most two rows a shard; in hash order, the first
+   document of a window is its owner, and the shards of the other documents
+   ask the owner for it.
 4. Passages.  Owners answer each shard with their text of the asked windows,
    neighbouring ones merged to one passage.
 5. Automata.  Each shard of documents compiles the windows of its passages
@@ -20,7 +21,7 @@ other document the window's words are to be removed.
    through it: every occurrence, compared word by word, of a window whose owner
    has a smaller doc_id is removed.
 
-Shards are about ``SHARD_DOCS`` documents by a hash of the id.  Recurring
+Shards are about ``SHARD_DOCS`` documents by a hash of id and text.  Recurring
 anchors and windows are found by streaming over sorted rows, in constant
 memory however many documents share one.
 
@@ -141,10 +142,31 @@ def _candidate_windows(docs: pa.Table, anchors: pa.Table, window: int, anchor: i
                 at = np.flatnonzero(mine[np.minimum(at, len(mine) - 1)] == low[a:b])
                 for o, x in zip(out, (w1[a + at].view(np.int64), w2[a + at].view(np.int64), np.full(len(at), doc), at), strict=False):
                     o.append(x)
-        out[4] = [np.full(sum(map(len, out[0])), anchors.column("shard")[0].as_py())] if out[0] else []
+        if out[0]:
+            out = [[c] for c in _two_documents(*(np.concatenate(c) for c in out[:4]))]
+            out.append([np.full(len(out[0][0]), anchors.column("shard")[0].as_py())])
     return _found(_WINDOWS, out)
 
 
+def _two_documents(w1: np.ndarray, w2: np.ndarray, doc: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Of each window's rows in a shard, the first places in its first two documents.
+
+    More aren't needed: the first may be the owner's, and any later one lets the
+    shard ask for the passage.  A window that very many documents share, or one
+    document repeats, costs two rows a shard.
+    """
+    order = np.lexsort((at, doc, w2, w1))
+    columns = [x[order] for x in (w1, w2, doc, at)]
+    new = np.ones(len(order), bool)
+    new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+    turn = new.copy()
+    turn[1:] |= columns[2][1:] != columns[2][:-1]
+    nth = np.cumsum(turn)
+    nth -= nth[np.flatnonzero(new)][np.cumsum(new) - 1]
+    keep = turn & (nth < 2)
+    return [c[keep] for c in columns]
+
+
 def _asked_of_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (window, doc_id, place) -> the owner's place of the window, once per asking shard (and batch)."""
     firsts = RunFirsts()
