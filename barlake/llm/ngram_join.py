@@ -13,11 +13,13 @@ empty part is left out as long as it is the only one, as another one agrees.
 
 Inside a cluster, sets are compared as bit sketches: each shingle flips one
 bit, so the Hamming distance is never above the number of shingles in which
-two sets differ.  Pairs whose distance allows a link are verified by exact
-intersection, unless they are in one class already.  A large cluster is cut
-into blocks, and each pair of blocks is a task of its own; the links found
-there (a spanning forest of each pair of blocks) are joined to classes by
-connected components again.
+two sets differ.  Sets that no chain of allowed pairs joins part here, while
+only sketches are moved.  In the finer clusters that are left, the sets
+themselves are compared: pairs whose distance allows a link are verified by
+exact intersection, unless they are in one class already.  A large cluster is
+cut into blocks, and each pair of blocks is a task of its own; what is joined
+there (a spanning forest of each pair of blocks) becomes classes by connected
+components again.
 
 Documents with equal sets are collapsed before all of this, so a group of
 copies costs one set, whatever its size; no pairs are ever emitted for it.
@@ -37,7 +39,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored
@@ -45,6 +47,8 @@ from .components import components
 from .runs import RunFirsts
 from .words import SPACED_LOWER, Slice, mixed, slices, windows, words
 
+#: Lanes of 64 bits of a bit sketch, and the sets of a block when only sketches are compared.
+LEAST_LANES, MOST_LANES, SKETCHES = 8, 1024, 4096
 #: A cluster of up to SINGLE sets is one task; larger ones are cut into blocks of SMALL to LARGE sets, BLOCKS of them if that fits.
 SINGLE, SMALL, LARGE, BLOCKS = 128, 64, 1024, 40
 
@@ -112,15 +116,30 @@ def part_keys(x: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(keys) if keys else x[:0]
 
 
+def bit_sketch(x: np.ndarray) -> np.ndarray:
+    """One bit per shingle flipped in an array of 64-bit lanes; a power of two of them, about a bit per shingle.
+
+    XORing its halves gives the sketch of half the lanes, so sketches of
+    different lengths can be compared.
+    """
+    lanes = LEAST_LANES
+    while lanes * 64 < len(x) and lanes < MOST_LANES:
+        lanes *= 2
+    out = np.zeros(lanes, np.uint64)
+    np.bitwise_xor.at(out, ((x >> np.uint64(6)) & np.uint64(lanes - 1)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
+    return out
+
+
 def _identify(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Size and hashes of each document's set."""
+    """Size, hashes and bit sketch of each document's set."""
     for batch in batches:
-        n, h1, h2 = [], [], []
+        n, h1, h2, sketch = [], [], [], []
         for s in slices(batch.column("text")):
             for x in shingle_sets(s, k):
                 a, b = set_hashes(x)
-                n.append(len(x)), h1.append(a), h2.append(b)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n, h1, h2))], names=["doc_id", "n_shingles", "h1", "h2"])
+                n.append(len(x)), h1.append(a), h2.append(b), sketch.append(bit_sketch(x).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n, h1, h2)), pa.array(sketch, pa.binary())],
+                                         names=["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
 
 def _parts(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -152,6 +171,62 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["node", "root"])
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The runs of equal keys of sorted rows, each as one table."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = np.column_stack([np.asarray(batch.column(c)).astype(np.int64) for c in keys])
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and tuple(key[a]) != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = tuple(key[a])
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def sketch_classes(n: np.ndarray, sketches: list[np.ndarray], block: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each set (by size, rising) the first set of its class, where all pairs whose sketches allow a link are joined.
+
+    If there are two blocks, only pairs of both count.
+    """
+    both = len(set(block.tolist())) > 1
+    lanes = np.array([len(x) for x in sketches])
+    # sketches rise in lanes with the size: per length, all those at least so long, folded to it
+    folded: dict[int, tuple[int, np.ndarray]] = {}
+    for length in sorted(set(lanes.tolist()), reverse=True):
+        begin = int(np.searchsorted(lanes, length))
+        rows = [x.reshape(-1, length) for x in sketches[begin:]]
+        folded[length] = begin, np.array([np.bitwise_xor.reduce(r, axis=0) for r in rows])
+    first = np.arange(len(n))
+    for i in range(len(n)):
+        stop = int(np.searchsorted(n, n[i] * den // num, side="right"))
+        at = i + 1 + np.flatnonzero((first[i + 1:stop] != first[i]) & ((block[i + 1:stop] != block[i]) if both else True))
+        if not len(at):
+            continue
+        begin, matrix = folded[int(lanes[i])]
+        apart = np.bitwise_count(matrix[at - begin] ^ matrix[i - begin]).sum(axis=1, dtype=np.int64)
+        for j in at[apart * (den + num) <= (n[at] + n[i]) * (den - num)].tolist():
+            if first[j] != first[i]:
+                low, high = sorted((first[i], first[j]))
+                first[first == high] = low
+    return first
+
+
+def _refine(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (cluster, low, high, n_shingles) -> (doc_id, root) joining the sets whose sketches allow a link."""
+    for t in _groups(batches, ("cluster", "low", "high")):
+        ids = np.asarray(t.column("first_id"))
+        first = sketch_classes(np.asarray(t.column("n_shingles")), [np.frombuffer(x, np.uint64) for x in t.column("sketch").to_pylist()], np.asarray(t.column("block")), num, den)
+        own = np.flatnonzero(first != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[own], pa.int64()), pa.array(ids[first[own]], pa.int64())], names=["doc_id", "root"])
+
+
 def _dealt(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """A cluster's member -> its set, once for each pair of blocks that its block is in."""
     names = ["cluster", "low", "high", "block", "doc_id", "shingles"]
@@ -213,44 +288,26 @@ def classes(sets: list[np.ndarray], block: np.ndarray, num: int, den: int) -> np
 
 def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (cluster, low, high, doc_id) -> (doc_id, smallest doc_id of its class) within each pair of blocks."""
-    out_schema = pa.schema([("doc_id", pa.int64()), ("root", pa.int64())])
-    held: list[pa.RecordBatch] = []
-    last = None
-
-    def flush() -> list[tuple[np.ndarray, np.ndarray]]:
-        t = pa.Table.from_batches(held).combine_chunks()
-        ids, block = np.asarray(t.column("doc_id")), np.asarray(t.column("block"))
-        if len(ids) < 2:
-            return []
-        first = classes([np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()], block, num, den)
+    for t in _groups(batches, ("cluster", "low", "high")):
+        ids = np.asarray(t.column("doc_id"))
+        first = classes([np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()], np.asarray(t.column("block")), num, den)
         own = np.flatnonzero(first != np.arange(len(ids)))
-        return [(ids[own], ids[first[own]])]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[own], pa.int64()), pa.array(ids[first[own]], pa.int64())], names=["doc_id", "root"])
 
-    for batch in batches:
-        found = []
-        keys = np.column_stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("cluster", "low", "high")])
-        if not len(keys):
-            continue
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            key = tuple(keys[a])
-            if held and key != last:
-                found += flush()
-                held.clear()
-            held.append(batch.slice(a, b - a))
-            last = key
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in found]), pa.int64()) for i in (0, 1)], schema=out_schema)
-    if held:
-        for ids, roots in flush():
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64())], schema=out_schema)
+
+def _in_blocks(members: DataFrame, size: Column) -> DataFrame:
+    """Members of clusters of two and more, each with its cluster's number of blocks and its own block."""
+    sizes = (members.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+             .select(F.col("cluster").alias("_cluster"), F.ceil(F.col("_n") / size).cast("int").alias("blocks")))
+    return (members.join(sizes, F.col("cluster") == F.col("_cluster")).drop("_cluster")
+            .withColumn("block", F.pmod(F.xxhash64("first_id"), F.col("blocks")).cast("int")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; ``docs`` has doc_id and text."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    narrow = stored(texts.mapInArrow(partial(_identify, k=k), "doc_id long, n_shingles long, h1 long, h2 long"), "shingle-sets")
+    narrow = stored(texts.mapInArrow(partial(_identify, k=k), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "shingle-sets")
 
     parts = texts.select("text").mapInArrow(partial(_parts, k=k, num=num, den=den), "part long, node long")
     shared = parts.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_shared, "node long, root long")
@@ -258,12 +315,17 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
 
     one_each = (narrow.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
                 .groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("first_id")))
-    members = one_each.join(clusters, F.col("h1") == F.col("node")).select("first_id", "h1", "h2", F.col("component").alias("cluster"))
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumnRenamed("cluster", "_cluster")
-    block = F.greatest(F.lit(SMALL), F.least(F.lit(LARGE), F.ceil(F.col("_n") / BLOCKS)))
-    sizes = sizes.withColumn("blocks", F.when(F.col("_n") <= SINGLE, F.lit(1)).otherwise(F.ceil(F.col("_n") / block)).cast("int"))
-    members = (members.join(sizes, F.col("cluster") == F.col("_cluster"))
-               .select("first_id", "h1", "h2", "cluster", "blocks", F.pmod(F.xxhash64("first_id"), F.col("blocks")).cast("int").alias("block")))
+    members = one_each.join(clusters, F.col("h1") == F.col("node")).select("first_id", "n_shingles", "h1", "h2", F.col("component").alias("cluster"))
+    # sets that share a part but whose sketches are too far apart leave each other here, before any set is moved
+    sketched = members.join(narrow.select(F.col("doc_id").alias("first_id"), "h1", "h2", "sketch"), ["first_id", "h1", "h2"])
+    pairs = _in_blocks(sketched, F.lit(SKETCHES)).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("cluster", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "first_id", "n_shingles", "sketch")
+    pairs = pairs.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "n_shingles")
+    finer = stored(components(pairs.mapInArrow(partial(_refine, num=num, den=den), "doc_id long, root long")), "finer-clusters")
+
+    members = one_each.join(finer, F.col("first_id") == F.col("node")).select("first_id", "h1", "h2", F.col("component").alias("cluster"))
+    size = F.when(F.col("_n") <= SINGLE, F.lit(SINGLE)).otherwise(F.greatest(F.lit(SMALL), F.least(F.lit(LARGE), F.ceil(F.col("_n") / BLOCKS))))
+    members = _in_blocks(members, size)
     dealt = (texts.join(members, F.col("doc_id") == F.col("first_id")).select("doc_id", "text", "cluster", "h1", "h2", "blocks", "block")
              .mapInArrow(partial(_dealt, k=k), "cluster long, low int, high int, block int, doc_id long, shingles binary"))
     dealt = dealt.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "doc_id")

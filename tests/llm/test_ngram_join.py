@@ -27,7 +27,7 @@ def _copies(n, seed=3):
 
 @pytest.mark.parametrize("k,num,den", [(3, 90, 100), (5, 80, 100)])
 def test_classes_match_brute_force(spark, monkeypatch, k, num, den):
-    for name, value in (("SINGLE", 8), ("SMALL", 5), ("LARGE", 6), ("BLOCKS", 3)):   # clusters are cut into blocks
+    for name, value in (("SKETCHES", 7), ("SINGLE", 8), ("SMALL", 5), ("LARGE", 6), ("BLOCKS", 3)):   # clusters are cut into blocks
         monkeypatch.setattr(J, name, value)
     rows = _copies(40)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_duplicates(documents(spark, rows), k, num, den).collect()}
