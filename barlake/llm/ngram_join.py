@@ -13,8 +13,8 @@ empty part is left out as long as it is the only one, as another one agrees.
 
 Inside a cluster, sets are compared as bit sketches: each shingle flips one
 bit, so the Hamming distance is never above the number of shingles in which
-two sets differ.  Sets that no chain of allowed pairs joins part here, while
-only sketches are moved.  In the finer clusters that are left, the sets
+two sets differ.  Sets of a size band that no chain of allowed pairs joins part
+here, while only sketches are moved.  In the finer clusters that are left, the sets
 themselves are compared: pairs whose distance allows a link are verified by
 exact intersection, unless they are in one class already.  A large cluster is
 cut into blocks, and each pair of blocks is a task of its own; what is joined
@@ -47,6 +47,8 @@ from .components import components
 from .runs import RunFirsts
 from .words import SPACED_LOWER, Slice, mixed, slices, windows, words
 
+#: Sets larger than this share the last size band.
+MOST_SHINGLES = 1 << 34
 #: Lanes of 64 bits of a bit sketch, and the sets of a block when only sketches are compared.
 LEAST_LANES, MOST_LANES, SKETCHES = 8, 1024, 4096
 #: A cluster of up to SINGLE sets is one task; larger ones are cut into blocks of SMALL to LARGE sets, BLOCKS of them if that fits.
@@ -90,6 +92,10 @@ class Bands:
             self._extend()
         return bisect.bisect_right(self.low, n) - 1
 
+    def lows(self, most: int) -> list[int]:
+        """The first sizes of all bands up to that of ``most``."""
+        return self.low[:self.of(most) + 1]
+
     def most_apart(self, band: int) -> int:
         """Shingles in which two linked sets that meet in this band can differ."""
         while len(self.low) <= band + 1:
@@ -318,6 +324,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     members = one_each.join(clusters, F.col("h1") == F.col("node")).select("first_id", "n_shingles", "h1", "h2", F.col("component").alias("cluster"))
     # sets that share a part but whose sketches are too far apart leave each other here, before any set is moved
     sketched = members.join(narrow.select(F.col("doc_id").alias("first_id"), "h1", "h2", "sketch"), ["first_id", "h1", "h2"])
+    # linked sets meet in a size band of both, so only sets of a band are compared
+    low = F.array(*[F.lit(x) for x in Bands(num, den).lows(MOST_SHINGLES)])
+    own = F.size(F.filter(low, lambda x: x <= F.col("n_shingles"))) - 1
+    sketched = sketched.withColumn("_band", F.explode(F.array(own, own + 1))).withColumn("cluster", F.xxhash64("cluster", "_band")).drop("_band")
     pairs = _in_blocks(sketched, F.lit(SKETCHES)).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("cluster", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "first_id", "n_shingles", "sketch")
     pairs = pairs.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "n_shingles")
