@@ -5,7 +5,8 @@ n-grams (of words with a space on both sides).  A text's score for a language
 is the sum over its words: a known word counts with its log frequency, an
 unseen one with the mean log frequency of its longest n-grams that are known.
 The model is learned from a sample of ``DOCS_PER_LANGUAGE`` documents a
-language (drawn by a hash of the id, so about that many), counted on Spark.
+language (drawn by a hash of the id, so about that many; of an id's repeated
+texts the smallest), counted on Spark.
 
 Edge cases: a null text, or one without letters, is ``und`` with score 0, and
 so is everything if no language was learned; ties go to the first language by
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, unit
+from .common import bounded_batches, held_out, stored, unit
 
 UNDETERMINED = "und"
 #: Rows whose crc32(doc_id as text) mod FOLDS is HELD_OUT are never learned from.
@@ -34,8 +35,6 @@ DOCS_PER_LANGUAGE = 1500
 #: Longest n-grams, the least count of an entry, and the most entries a language may bring (its most frequent ones).
 GRAM, LEAST, ENTRIES = 4, 2, 200_000
 _SMOOTHING = 0.1
-#: Unseen words whose backoff a worker remembers.
-_REMEMBERED = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -76,53 +75,63 @@ class Model:
                 if k == kind:
                     n[table[entry], column[lang]] = times
             self.logs.append((np.log(n + _SMOOTHING) - np.log(n.sum(axis=0) + _SMOOTHING * (len(table) + 1))).astype(np.float32))
-        self._unseen: dict[str, np.ndarray] = {}
 
     def backoff(self, word: str) -> np.ndarray:
         """Mean log frequency of the longest known n-grams of a word."""
-        got = self._unseen.get(word)
-        if got is None:
-            got = np.zeros(len(self.languages), np.float32)
-            for n in range(GRAM, 0, -1):
-                table = self.tables[n]
-                rows = [table[g] for g in _grams(word, n) if g in table]
-                if rows:
-                    got = self.logs[n][rows].mean(axis=0)
-                    break
-            if len(self._unseen) >= _REMEMBERED:
-                self._unseen.clear()
-            self._unseen[word] = got
-        return got
+        for n in range(GRAM, 0, -1):
+            table = self.tables[n]
+            rows = [table[g] for g in _grams(word, n) if g in table]
+            if rows:
+                return self.logs[n][rows].mean(axis=0)
+        return np.zeros(len(self.languages), np.float32)
+
+    def _unseen(self, words: list[str], times: list[int]) -> np.ndarray:
+        """Sum of the backoffs of unseen words; those with known longest n-grams are taken at once."""
+        table, rows, begins, weights = self.tables[GRAM], [], [], []
+        total = np.zeros(len(self.languages))
+        for word, n in zip(words, times, strict=True):
+            padded = f" {word} "
+            known = [table[g] for g in [padded[i:i + GRAM] for i in range(len(padded) - GRAM + 1)] if g in table]
+            if known:
+                begins.append(len(rows))
+                rows += known
+                weights.append(n / len(known))
+            else:
+                total += n * self.backoff(word)
+        if rows:
+            total += np.array(weights) @ np.add.reduceat(self.logs[GRAM][rows].astype(np.float64), begins)
+        return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and the posterior probability of it under equal priors, words tempered to 40 at most."""
         found = Counter(_WORD.findall((text or "").lower()))
         if not found or not self.languages:
             return UNDETERMINED, 0.0
-        table, rows, times = self.tables[0], [], []
+        rows = list(map(self.tables[0].get, found))
+        times = list(found.values())
+        unseen = [i for i, r in enumerate(rows) if r is None]
         total = np.zeros(len(self.languages))
-        for w, n in found.items():
-            row = table.get(w)
-            if row is None:
-                total += n * self.backoff(w)
-            else:
-                rows.append(row)
-                times.append(n)
+        if unseen:
+            words = list(found)
+            total += self._unseen([words[i] for i in unseen], [times[i] for i in unseen])
+            rows, times = [r for r in rows if r is not None], [n for r, n in zip(rows, times, strict=True) if r is not None]
         if rows:
             total += np.array(times) @ self.logs[0][rows].astype(np.float64)
-        words = sum(found.values())
+        words_in_text = sum(found.values())
         best = int(total.argmax())
-        odds = np.exp((total - total[best]) * min(1.0, 40 / words))
+        odds = np.exp((total - total[best]) * min(1.0, 40 / words_in_text))
         return self.languages[best], float(1 / odds.sum())
 
 
 def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """A model from a sample of the documents with a language, none of them held out."""
     bounded_batches(docs.sparkSession)
-    usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, HELD_OUT))
-    shares = usable.groupBy("lang").agg((F.lit(float(docs_per_language)) / F.count(F.lit(1))).alias("share"))
-    rows = unit(F.xxhash64(F.lit("langid"), F.col("doc_id"), F.xxhash64("text")))
-    sample = usable.join(shares, "lang").where(rows < F.col("share")).select("lang", "text")
+    rows = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, HELD_OUT))
+    shares = rows.groupBy("lang").agg((F.lit(float(docs_per_language)) / F.count(F.lit(1))).alias("share"))
+    # ids first, texts later: the stored choice is as small as the parameter says, so Spark need not shuffle any text
+    chosen = rows.distinct().join(shares, "lang").where(unit(F.xxhash64(F.lit("langid"), "doc_id")) < F.col("share")).select("doc_id", "lang")
+    chosen = stored(chosen, "langid-sample")
+    sample = docs.where("text is not null").select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     counted = sample.mapInArrow(_counts, "lang string, kind int, entry string, n long").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
     counts = counted.toArrow()
     rows = list(zip(*(counts.column(c).to_pylist() for c in ("lang", "kind", "entry", "n")), strict=True))
