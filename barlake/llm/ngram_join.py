@@ -50,7 +50,7 @@ from .words import SPACED_LOWER, Slice, mixed, slices, windows, words
 #: Sets larger than this share the last size band.
 MOST_SHINGLES = 1 << 34
 #: Lanes of 64 bits of a bit sketch, and the sets of a block when only sketches are compared.
-LEAST_LANES, MOST_LANES, SKETCHES = 8, 1024, 4096
+LEAST_LANES, MOST_LANES, SKETCHES = 8, 1024, 8192
 #: A cluster of up to SINGLE sets is one task; larger ones are cut into blocks of SMALL to LARGE sets, BLOCKS of them if that fits.
 SINGLE, SMALL, LARGE, BLOCKS = 128, 64, 1024, 40
 
