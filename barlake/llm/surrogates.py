@@ -47,10 +47,11 @@ ENDINGS = {"latin": {"m": "er", "f": "er"}, "cyrillic": {"m": "ов", "f": "ов
 
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
 _TITLES = "|".join(t for titles in TITLES.values() for t in titles)
-_SURNAME = r"\p{Lu}\p{Ll}{1,24}(?:-\p{Lu}\p{Ll}{1,24})?"
-#: One pattern per type, tried in this order at each word begin.  All repetitions are bounded, so long texts stay linear.
+_SURNAME = r"\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)?"
+#: One pattern per type, tried in this order at each word begin.  Repetitions are bounded by the type's format, or open-ended and
+#: possessive over one character class (secrets, hexadecimal tokens, surnames: taken whole at any length), so long texts stay linear.
 PATTERNS = {
-    "secret": r"(?:password|passwd|pwd|token|secret|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_.~-]{6,256}",
+    "secret": r"(?:password|passwd|pwd|token|secret|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_.~-]{6,}+",
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "access_key": r"A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
@@ -58,7 +59,7 @@ PATTERNS = {
     "ssn": r"\d{3}-\d{2}-\d{4}(?!\d|-\d)",
     "card": r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
-    "hex": r"[0-9a-f]{32,128}(?![0-9A-Za-z])",
+    "hex": r"[0-9a-f]{32,}+(?![0-9A-Za-z])",
     "name": rf"(?:(?:{_TITLES})\.? )?(?:{_NAMES}) {_SURNAME}|(?:{_TITLES})\.? {_SURNAME}",
 }
 #: Nothing starts inside a word; the look-ahead lets most positions fail at once.
@@ -133,16 +134,16 @@ def _pick(chars: str | list[str], v: Column) -> Column:
 
 
 def _chars(c: Column, body: Callable[[Column, Column], Column]) -> Column:
-    """``body(character, place)`` of each character, joined."""
-    places = F.when(F.length(c) > 0, F.sequence(F.lit(0), F.length(c) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(places, lambda i: body(F.substring(c, i + 1, F.lit(1)), i)), "")
+    """``body(character, place)`` of each character, joined; linear in the length."""
+    chars = F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.transform(chars, body), "")
 
 
 def _same_shape(c: Column, digest: Column) -> Column:
     """Digits become digits, letters letters of the same case, the rest stays; an all-hexadecimal text stays hexadecimal."""
-    hexadecimal = c.rlike("^[0-9a-f]*[a-f][0-9a-f]*$")
-    return _chars(c, lambda x, i: F.when(hexadecimal, _pick("0123456789abcdef", _byte(digest, i))).when(x.rlike("[0-9]"), (_byte(digest, i) % 10).cast("string"))
-                  .when(x.rlike("[a-z]"), F.char(_byte(digest, i) % 26 + 97)).when(x.rlike("[A-Z]"), F.char(_byte(digest, i) % 26 + 65)).otherwise(x))
+    return _let(c.rlike("^[0-9a-f]++$") & c.rlike("[a-f]"), lambda hexadecimal: _chars(
+        c, lambda x, i: F.when(hexadecimal, _pick("0123456789abcdef", _byte(digest, i))).when(x.rlike("[0-9]"), (_byte(digest, i) % 10).cast("string"))
+        .when(x.rlike("[a-z]"), F.char(_byte(digest, i) % 26 + 97)).when(x.rlike("[A-Z]"), F.char(_byte(digest, i) % 26 + 65)).otherwise(x)))
 
 
 def _luhn(digits: Column) -> Column:

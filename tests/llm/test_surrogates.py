@@ -72,6 +72,23 @@ def test_awkward_rows(spark):
     assert S.replace_entities(documents(spark, []), "k").collect() == []
 
 
+def test_long_tokens_are_replaced_whole(spark):
+    """No length bound: a long secret's tail doesn't stay, long keys are found, and a shared beginning makes no shared entity."""
+    token = "".join(chr(97 + i * i % 26) + str(i % 10) + chr(65 + i * 7 % 26) + ".-_"[i % 3] for i in range(250))
+    key = "".join("0123456789abcdef"[i * i % 16 ^ i % 13] for i in range(256))
+    surname = "Van" + "abcdefghij" * 5
+    huge = "".join(chr(97 + i * i % 23) for i in range(200_000))
+    got = _replace(spark, [(1, f"token={token} end"), (2, f"token={token[:-1]}q end"), (3, f"key {key}, end"), (4, f"Mr John {surname} end"), (5, f"secret={huge} end")])
+    one, two = (re.fullmatch(r"token=(\S+) end", got[i].text)[1] for i in (1, 2))
+    assert len(one) == len(two) == 1000 and one != two
+    assert not [i for i in range(0, 1000 - 20) if token[i:i + 20] in one + " " + two]
+    made = re.fullmatch(r"key ([0-9a-f]{256}), end", got[3].text)[1]
+    assert not [i for i in range(0, 256 - 20) if key[i:i + 20] in made]
+    assert "abcdefghij" not in got[4].text and got[4].text.endswith(" end")
+    assert len(got[5].text) == len(huge) + 11 and huge[-20:] not in got[5].text
+    assert [got[i].n_mentions for i in range(1, 6)] == [1] * 5
+
+
 def test_only_dataframe_operations(spark):
     plan = S.replace_entities(documents(spark, [(1, TEXT)]), "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
