@@ -234,7 +234,8 @@ def _refine(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
 
 
 def _dealt(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """A cluster's member -> its set, once for each pair of blocks that its block is in."""
+    """A cluster's member -> its set, once for each pair of blocks that its block is in; texts of an id with equal sets count once."""
+    seen = set()
     names = ["cluster", "low", "high", "block", "doc_id", "shingles"]
     for batch in batches:
         cols = {c: batch.column(c).to_pylist() for c in ("doc_id", "cluster", "h1", "h2", "blocks", "block")}
@@ -242,7 +243,9 @@ def _dealt(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         row = 0
         for s in slices(batch.column("text")):
             for x in shingle_sets(s, k):
-                if set_hashes(x) == (cols["h1"][row], cols["h2"][row]):       # else another text of a repeated id
+                member = cols["doc_id"][row], cols["h1"][row], cols["h2"][row]
+                if set_hashes(x) == member[1:] and member not in seen:        # else another text of a repeated id
+                    seen.add(member)
                     own, raw = cols["block"][row], x.tobytes()
                     for other in range(cols["blocks"][row]):
                         for o, v in zip(out, (cols["cluster"][row], min(own, other), max(own, other), own, cols["doc_id"][row], raw), strict=True):
@@ -319,11 +322,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     shared = parts.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_shared, "node long, root long")
     clusters = stored(components(shared), "clusters")
 
+    # one row a set, however often its rows are repeated; equal sets have equal sketches
     one_each = (narrow.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-                .groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("first_id")))
-    members = one_each.join(clusters, F.col("h1") == F.col("node")).select("first_id", "n_shingles", "h1", "h2", F.col("component").alias("cluster"))
+                .groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch")))
     # sets that share a part but whose sketches are too far apart leave each other here, before any set is moved
-    sketched = members.join(narrow.select(F.col("doc_id").alias("first_id"), "h1", "h2", "sketch"), ["first_id", "h1", "h2"])
+    sketched = one_each.join(clusters, F.col("h1") == F.col("node")).select("first_id", "n_shingles", "sketch", F.col("component").alias("cluster"))
     # linked sets meet in a size band of both, so only sets of a band are compared
     low = F.array(*[F.lit(x) for x in Bands(num, den).lows(MOST_SHINGLES)])
     own = F.size(F.filter(low, lambda x: x <= F.col("n_shingles"))) - 1
@@ -336,7 +339,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     members = one_each.join(finer, F.col("first_id") == F.col("node")).select("first_id", "h1", "h2", F.col("component").alias("cluster"))
     size = F.when(F.col("_n") <= SINGLE, F.lit(SINGLE)).otherwise(F.greatest(F.lit(SMALL), F.least(F.lit(LARGE), F.ceil(F.col("_n") / BLOCKS))))
     members = _in_blocks(members, size)
-    dealt = (texts.join(members, F.col("doc_id") == F.col("first_id")).select("doc_id", "text", "cluster", "h1", "h2", "blocks", "block")
+    # repeated rows are one row before texts meet the members, so a hot doc_id is neither moved nor dealt more than once
+    distinct = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).dropDuplicates(["doc_id", "text"])
+    dealt = (distinct.join(members, F.col("doc_id") == F.col("first_id")).select("doc_id", "text", "cluster", "h1", "h2", "blocks", "block")
              .mapInArrow(partial(_dealt, k=k), "cluster long, low int, high int, block int, doc_id long, shingles binary"))
     dealt = dealt.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "doc_id")
     links = components(dealt.mapInArrow(partial(_verify, num=num, den=den), "doc_id long, root long"))

@@ -50,6 +50,32 @@ def test_awkward_rows(spark):
     assert sorted(i for i in ids if i is not None) == sorted({i for i in known if want[i] == i}) and ids.count(None) == 1
 
 
+def test_repeated_rows_are_one_row_in_every_task(spark, monkeypatch, tmp_path):
+    """No group of sketches or sets holds a repeated row twice."""
+    folder = str(tmp_path)
+
+    def noted(work):
+        def run(batches, **settings):
+            from collections import Counter
+            from uuid import uuid4
+            batches = list(batches)
+            groups = Counter(g for b in batches for g in zip(*(b.column(c).to_pylist() for c in ("cluster", "low", "high")), strict=True))
+            for n in groups.values():
+                open(f"{folder}/{n}-{uuid4().hex}", "w").close()
+            yield from work(iter(batches), **settings)
+        return run
+
+    for name in ("_refine", "_verify"):
+        monkeypatch.setattr(J, name, noted(getattr(J, name)))
+    rows = _copies(6)
+    many = rows + [rows[14]] * 300 + [(rows[14][0], rows[14][1].replace(" ", "  "))] * 300
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in J.near_duplicates(documents(spark, many).repartition(5)).collect()}
+    want = near_classes(rows, 3, 90, 100)
+    assert got == {(i, len(shingles(t, 3)), want[i]) for i, t in rows}
+    sizes = [int(f.name.split("-")[0]) for f in tmp_path.iterdir()]
+    assert sizes and max(sizes) <= len(rows)
+
+
 def test_empty_table(spark):
     assert J.near_duplicates(documents(spark, [])).collect() == []
 
