@@ -4,6 +4,9 @@ A window is ``window`` consecutive words of one document.  Its owner is the
 document with the smallest doc_id in which the same words start; in every
 other document the window's words are to be removed.
 
+Rows with equal doc_id and text are one row with a count before anything else
+and are expanded again at the end, so a repeated row costs a shard one text.
+
 1. Copies.  Documents whose text equals that of a document with a smaller
    doc_id are set aside: all of their windows recur, so nothing needs finding.
 2. Anchors.  Each window is represented by the smallest hash of its runs of
@@ -28,7 +31,8 @@ memory however many documents share one.
 Edge cases: null and empty texts have no words and lose none; texts shorter
 than a window lose nothing; equal doc_ids (repeated rows) don't remove words
 from each other; rows with a null doc_id neither own windows nor lose words;
-an empty table gives an empty result; extra columns are ignored.
+each text of an id with several texts is judged on its own; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,6 +57,8 @@ WINDOW = 13
 #: Words of an anchor; a window of 13 words has 8 of them.
 ANCHOR = 6
 SHARD_DOCS = 512
+#: Rows into which a repeated row is expanded at once.
+REPEATS = 4096
 #: The alphabets of a word's two characters in an automaton (the vocabulary of a shard stays far below their product).
 _LOW, _HIGH = 0x100, 0x10000
 
@@ -79,26 +85,47 @@ def _found(schema: pa.Schema, columns: list[list[np.ndarray]]) -> pa.Table:
 
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("shard", pa.int32())])
 _WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("shard", pa.int32())])
+_DISTINCT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("shard", pa.int32()), ("n_rows", pa.int64())])
 _ASKED = pa.schema([("owner", pa.int64()), ("at", pa.int32()), ("shard", pa.int32()), ("asks", pa.int32())])
-_PASSAGES = pa.schema([("asks", pa.int32()), ("owner", pa.int64()), ("passage", pa.string())])
-_LOCATED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("removed", pa.list_(pa.int32())), ("kept_sha256", pa.string()), ("kept", pa.string())])
+_PASSAGES = pa.schema([("asks", pa.int32()), ("owner", pa.int64()), ("passage", pa.string()), ("same", pa.binary())])
+_LOCATED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("removed", pa.list_(pa.int32())), ("kept_sha256", pa.string()), ("kept", pa.string()), ("n_rows", pa.int64())])
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
+    names = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary", pa.list_(pa.int32()): "array<int>"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
+def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal rows of a batch as one row with their number."""
+    for batch in batches:
+        if len(batch):
+            t = pa.Table.from_batches([batch]).group_by(["doc_id", "text", "shard"]).aggregate([([], "count_all")])
+            yield from t.rename_columns({"count_all": "n_rows"}).select(_DISTINCT.names).cast(_DISTINCT).combine_chunks().to_batches()
+
+
+def _same(text: str) -> bytes:
+    """The hash by which equal texts are known."""
+    return hashlib.sha256(text.encode()).digest()
+
+
+def _copied(docs: pa.Table, doc_ids: list, same: list) -> set[int]:
+    """The rows of ``docs`` that are among the copies given by id and hash of the text."""
+    copies, ids = set(zip(doc_ids, same, strict=True)), set(doc_ids)
+    texts = docs.column("text")
+    return {row for row, doc in enumerate(docs.column("doc_id").to_pylist()) if doc in ids and texts[row].is_valid and (doc, _same(texts[row].as_py())) in copies}
+
+
 def _distinct_anchors(docs: pa.Table, copies: pa.Table, window: int, anchor: int) -> pa.Table:
     """The anchors of a shard's documents, each once per document; none of copies."""
-    skip, ids = set(copies.column("doc_id").to_pylist()), docs.column("doc_id").to_pylist()
+    skip, ids = _copied(docs, copies.column("doc_id").to_pylist(), copies.column("same").to_pylist()), docs.column("doc_id").to_pylist()
     out: list[list[np.ndarray]] = [[], [], []]
     for s in slices(docs.column("text")):
         w = words(s, SPACED)
         low, _ = _anchors(w, window, anchor)
         for i in range(len(s.offsets) - 1):
             a, b, doc = int(w.first[i]), int(w.first[i + 1]) - window + 1, ids[s.row + i]
-            if b > a and doc is not None and doc not in skip:
+            if b > a and doc is not None and s.row + i not in skip:
                 x = np.unique(low[a:b]).view(np.int64)
                 out[0].append(x)
                 out[1].append(np.full(len(x), doc))
@@ -182,7 +209,7 @@ def _asked_of_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _answers(docs: pa.Table, asked: pa.Table, window: int) -> pa.Table:
     """The owners' text of the asked windows, neighbouring windows for one shard merged to a passage."""
-    out: dict[str, list] = {"asks": [], "owner": [], "passage": []}
+    out: dict[str, list] = {"asks": [], "owner": [], "passage": [], "same": []}
     if asked.num_rows and docs.num_rows:
         owner, at, asks = (np.asarray(asked.column(c)).astype(np.int64) for c in ("owner", "at", "asks"))
         rows = np.unique(np.column_stack((owner, asks, at)), axis=0)
@@ -197,7 +224,9 @@ def _answers(docs: pa.Table, asked: pa.Table, window: int) -> pa.Table:
             for i in range(len(s.offsets) - 1):
                 doc, a, b = ids[s.row + i], int(w.first[i]), int(w.first[i + 1])
                 for _, target, first, last in runs[np.searchsorted(runs[:, 0], doc):np.searchsorted(runs[:, 0], doc, side="right")].tolist():
-                    if a + last + window <= b:               # else another text of a repeated id is meant
+                    last = min(last, b - a - window)         # the rest is of another text of a repeated id
+                    if first <= last:
+                        out["same"].append(None)
                         out["asks"].append(target)
                         out["owner"].append(doc)
                         out["passage"].append(s.data[w.start[a + first]:w.end[a + last + window - 1]].tobytes().decode())
@@ -252,13 +281,13 @@ class Automaton:
 
 def _stream(docs: pa.Table, passages: pa.Table, window: int, with_text: bool) -> pa.Table:
     """Every document of a shard, streamed through the shard's automaton; rows of ``passages`` without a passage are copies."""
-    given = list(zip(passages.column("owner").to_pylist(), passages.column("passage").to_pylist(), strict=True))
-    copies = {owner for owner, passage in given if passage is None}
-    automaton = Automaton([x for x in given if x[1] is not None], window)
+    given = list(zip(*(passages.column(c).to_pylist() for c in ("owner", "passage", "same")), strict=True))
+    copies = _copied(docs, [x[0] for x in given if x[1] is None], [x[2] for x in given if x[1] is None])
+    automaton = Automaton([x[:2] for x in given if x[1] is not None], window)
     out: dict[str, list] = {name: [] for name in _LOCATED.names}
-    for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
+    for row, (doc, text, n_rows) in enumerate(zip(*(docs.column(c).to_pylist() for c in ("doc_id", "text", "n_rows")), strict=True)):
         found = (text or "").encode().split()          # bytes split on exactly the white space of the words
-        if doc in copies and len(found) >= window:
+        if row in copies and len(found) >= window:
             gone = np.ones(len(found), bool)
         elif doc is None:
             gone = np.zeros(len(found), bool)
@@ -267,7 +296,7 @@ def _stream(docs: pa.Table, passages: pa.Table, window: int, with_text: bool) ->
         edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
         kept = b" ".join(found if not len(edges) else [w for w, g in zip(found, gone.tolist(), strict=True) if not g])
         for name, value in (("doc_id", doc), ("n_words", len(found)), ("removed", edges.tolist()), ("kept_sha256", hashlib.sha256(kept).hexdigest()),
-                            ("kept", kept.decode() if with_text else None)):
+                            ("kept", kept.decode() if with_text else None), ("n_rows", n_rows)):
             out[name].append(value)
     return pa.table([pa.array(v, t) for v, t in zip(out.values(), _LOCATED.types, strict=True)], schema=_LOCATED)
 
@@ -285,22 +314,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
 
-    whole = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "shard", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("same"))
+    # equal rows become one: first within batches, so that few of a row are dealt out, then within shards
+    distinct = texts.mapInArrow(_fewer, _ddl(_DISTINCT)).repartition("shard").groupBy("shard", "doc_id", "text").agg(F.sum("n_rows").alias("n_rows"))
+
+    whole = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "shard", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("same")).distinct()
     firsts = whole.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("same").alias("_same"), "first")
-    copies = whole.join(firsts, F.col("same") == F.col("_same")).where(F.col("doc_id") > F.col("first")).select("doc_id", "shard")
+    copies = whole.join(firsts, F.col("same") == F.col("_same")).where(F.col("doc_id") > F.col("first")).select("doc_id", "shard", "same")
 
     def by_shard(other: DataFrame, key: str, work, schema: pa.Schema, **settings) -> DataFrame:
         """A shard's documents with its rows of ``other``; all shards' documents are dealt out once, as the exchange is reused."""
-        return texts.groupBy("shard").cogroup(other.select(*[F.col(c).alias(c) for c in other.columns]).groupBy(key)).applyInArrow(partial(work, **settings), _ddl(schema))
+        return distinct.groupBy("shard").cogroup(other.select(*[F.col(c).alias(c) for c in other.columns]).groupBy(key)).applyInArrow(partial(work, **settings), _ddl(schema))
 
     anchors = by_shard(copies, "shard", _distinct_anchors, _ANCHORS, window=window, anchor=anchor)
     recurring = anchors.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_recurring, _ddl(_ANCHORS))
     candidates = by_shard(recurring, "shard", _candidate_windows, _WINDOWS, window=window, anchor=anchor)
     asked = candidates.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "doc_id", "at").mapInArrow(_asked_of_owners, _ddl(_ASKED))
     passages = by_shard(asked, "shard", _answers, _PASSAGES, window=window)
-    passages = passages.unionAll(copies.select(F.col("shard").alias("asks"), F.col("doc_id").alias("owner"), F.lit(None).cast("string").alias("passage")))
+    passages = passages.unionAll(copies.select(F.col("shard").alias("asks"), F.col("doc_id").alias("owner"), F.lit(None).cast("string").alias("passage"), "same"))
     located = by_shard(passages, "asks", _stream, _LOCATED, window=window, with_text=with_text)
     begin_end = F.transform(F.sequence(F.lit(0), (F.size("removed") / 2).cast("int") - 1), lambda i: F.struct(F.get("removed", 2 * i).alias("begin"), F.get("removed", 2 * i + 1).alias("end")))
     spans = F.when(F.size("removed") > 0, begin_end).otherwise(F.array().cast("array<struct<begin:int,end:int>>"))
     gone = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    # in two steps, as the repeats of one row may be too many for an array
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_rows") - 1) / REPEATS)))
+    located = located.withColumn("_part", each).withColumn("_rows", F.least(F.lit(REPEATS).cast("long"), F.col("n_rows") - F.col("_part") * REPEATS))
+    located = located.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
     return located.select("doc_id", "n_words", gone.alias("n_removed"), spans.alias("removed"), "kept_sha256", "kept")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from helpers import awkward_texts, documents, without_repeats
 
@@ -45,3 +46,23 @@ def test_awkward_rows(spark):
     assert sorted(x for x in got if x[0] is not None) == sorted((i, *want[i]) for i, _ in rows if i is not None)
     assert [x[1:3] for x in got if x[0] is None] == [(60, 0)]
     assert P.remove_repeats(documents(spark, [])).collect() == []
+
+
+def test_repeated_rows_and_ids_with_two_texts(spark, monkeypatch, tmp_path):
+    """A shard holds equal rows once, and only the text that is a copy is removed, whatever the number of shards."""
+    folder, stream = str(tmp_path), P._stream
+
+    def noted(docs, passages, window, with_text):
+        from uuid import uuid4
+        open(f"{folder}/{docs.num_rows}-{uuid4().hex}", "w").close()
+        return stream(docs, passages, window, with_text)
+
+    monkeypatch.setattr(P, "_stream", noted)
+    monkeypatch.setattr(P, "REPEATS", 50)
+    one, two = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    rows = [(1, one), (2, one), (2, two), *[(3, one)] * 120, *[(None, None)] * 70, *[(None, one)] * 60, (4, two + " " + one)]
+    for shard_docs in (2, 512):
+        got = P.remove_repeats(documents(spark, rows).repartition(3), shard_docs=shard_docs).collect()
+        found = Counter((r.doc_id, r.n_words, r.n_removed) for r in got)
+        assert found == {(1, 20, 0): 1, (2, 20, 20): 1, (2, 20, 0): 1, (3, 20, 20): 120, (None, 0, 0): 70, (None, 20, 0): 60, (4, 40, 40): 1}
+    assert max(int(f.name.split("-")[0]) for f in tmp_path.iterdir()) <= 7
