@@ -113,12 +113,19 @@ def _block_top(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
     wide = float(q_norms.max() * longest) >= 2.0 ** 52
     with np.errstate(divide="ignore", invalid="ignore"):
         cosine = np.where(q_norms * longest > 0, floors / (q_norms * longest), -np.inf)
+    repeated = len(np.unique(v_ids)) < len(v_ids)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def take(i: int, at: np.ndarray, scores: np.ndarray) -> None:
         ok = (v_ids[at] != q_ids[i]) & (scores >= floors[i])
-        best = _best(v_ids[at][ok], scores[ok], k)
-        out.append((np.full(len(best), q_ids[i]), v_ids[at][ok][best], scores[ok][best]))
+        ids, scores = v_ids[at][ok], scores[ok]
+        if repeated:                                       # a vec_id takes one of the k places, with its best product
+            order = np.lexsort((-scores, ids))
+            ids, scores = ids[order], scores[order]
+            first = np.concatenate(([True], ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, bool)
+            ids, scores = ids[first], scores[first]
+        best = _best(ids, scores, k)
+        out.append((np.full(len(best), q_ids[i]), ids[best], scores[best]))
 
     by_length = np.flatnonzero(cosine < COORDINATE_FROM)
     if len(by_length):

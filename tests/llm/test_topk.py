@@ -48,6 +48,17 @@ def test_matches_brute_force(spark, monkeypatch, spread):
     assert sorted(map(tuple, got.collect())) == _brute(rows, {i for i, _ in rows if i is not None and i % 50 == 0}, 5)
 
 
+def test_an_id_with_several_vectors_takes_one_place(spark, monkeypatch):
+    monkeypatch.setattr(T, "RATIO", 1e9)                                             # one bucket, so one block
+    rows = [(0, [1.0, 0.0]), *[(2, [float(x), 0.0]) for x in (10, 9, 8, 7, 6)], (3, [5.0, 0.0]), (4, [0.5, 0.0]), (4, [5.0, 1.0])]
+    rng = random.Random(4)
+    rows += [(10 + i % 7, [rng.gauss(0, 3), rng.gauss(0, 3)]) for i in range(80)]
+    for part in (rows[:9], rows):
+        vectors = spark.createDataFrame(part, "vec_id long, embedding array<double>")
+        got = T.top_k(vectors, vectors.where("vec_id = 0"), 5)
+        assert sorted(map(tuple, got.collect())) == _brute(part, {0}, 5)
+
+
 def test_few_rows_and_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     two = spark.createDataFrame([(0, [1.0, 0.5]), (1, [0.25, 0.5])], schema)
