@@ -4,6 +4,7 @@ from __future__ import annotations
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_TERM = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _HEX = " + ".join(f"(instr('0123456789abcdef', substr(h, {i + 1}, 1)) - 1)::double * {16 ** (12 - i)}" for i in range(13))
 
@@ -69,10 +70,55 @@ select d.doc_id, len(t)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from d left join words on words.doc_id = d.doc_id left join items on items.doc_id = d.doc_id
 """
 
+OP11 = f"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                  regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_TERM}) as t from documents),
+w as (select id, lang, source, unnest(t) as term from d),
+kept as (select lang, term, count(*) as lang_n from w group by all having count(distinct id) >= 30),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from w group by all),
+x as (select g.lang, g.source, kept.term, coalesce(c.n, 0)::hugeint as n, kept.lang_n::hugeint as lang_n
+      from g join kept on kept.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term),
+s as (select *, sum(n) over (partition by lang, source) as total, sum(lang_n) over (partition by lang, source) as lang_total, count(*) over (partition by lang, source) as v from x),
+p as (select lang, source, term, n, 1 + (1000000000 * (n + 5)) // (total + 5 * v)::hugeint as p, 1 + (1000000000 * (lang_n + 5)) // (lang_total + 5 * v)::hugeint as q from s),
+pair as (select a.lang, a.source, b.source as item, coalesce(f.value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+         left join (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term group by all) f
+         on f.lang = a.lang and f.source = a.source and f.item = b.source),
+both_parts as (select lang, source, 'pair' as part, item, value from pair union all select lang, source, 'term', term, (p - q)::bigint from p where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from both_parts)
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50
+"""
+
+
+def _op13(rounds: int = 2, parts: int = 16, entries: int = 64) -> str:
+    """Plain distances, all entries; a part's codebook is a table of (part, entry, position, component)."""
+    nearest = """
+d{r} as materialized (select v.vec_id, v.part, b.entry, sum((v.c - b.c) * (v.c - b.c))::bigint as dist from v join b{r} b on b.part = v.part and b.pos = v.pos group by all),
+a{r} as materialized (select vec_id, part, entry, dist from (select *, row_number() over (partition by vec_id, part order by dist, entry) as k from d{r}) where k = 1),"""
+    averaged = """
+b{n} as materialized (select b.part, b.entry, b.pos, coalesce(((m.s - ((m.s % m.k) + m.k) % m.k) // m.k)::bigint, b.c) as c
+      from b{r} b left join (select v.part, a.entry, v.pos, sum(v.c)::bigint as s, count(*) as k from v join a{r} a on a.vec_id = v.vec_id and a.part = v.part group by all) m
+      on m.part = b.part and m.entry = b.entry and m.pos = b.pos),"""
+    steps = "".join(nearest.format(r=r) + averaged.format(r=r, n=r + 1) for r in range(rounds)) + nearest.format(r=rounds)
+    return f"""
+with bad as (select distinct vec_id from (select vec_id, unnest(embedding) as c from embeddings) where c is null or not isfinite(c)),
+x as (select vec_id, generate_subscripts(embedding, 1) - 1 as i, len(embedding) // {parts} as w, floor(256 * unnest(embedding)::double)::bigint as c from embeddings
+      where embedding is not null and vec_id not in (select vec_id from bad)),
+v as materialized (select vec_id, i // w as part, i % w as pos, c from x),
+seeds as (select vec_id, row_number() over (order by vec_id) - 1 as entry from (select distinct vec_id from v) order by vec_id limit {entries}),
+b0 as materialized (select v.part, seeds.entry, v.pos, v.c from v join seeds on seeds.vec_id = v.vec_id),{steps}
+codes as (select vec_id, string_agg(format('{{:02x}}', entry), '' order by part) as code, sum(dist)::bigint as error from a{rounds} group by vec_id),
+hash as (select sha256(string_agg(c::varchar, ',' order by part, entry, pos)) as codebooks_sha256 from b{rounds})
+select codes.vec_id, code, error, sum(error) over (partition by e.label)::bigint as label_error, codebooks_sha256 from codes join embeddings e on e.vec_id = codes.vec_id, hash
+"""
+
+
 ORACLE = {
     "op1_target_weight_mixing": OP1,
     "op3_ngram_jaccard_join": OP3,
     "op5_exact_top_k": OP5,
     "op7_repeated_phrases": OP7,
     "op9_benchmark_decontamination": OP9,
+    "op11_source_divergence": OP11,
+    "op13_walsh_vector_codes": _op13(),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, ngram_join, phrases, quality, sharding, surrogates, topk, toxicity
+from . import decontam, divergence, langid, mixing, ngram_join, packing, phrases, quality, sharding, surrogates, topk, toxicity, vector_codes
 from .common import bounded_batches
 from .oracle import ORACLE  # noqa: F401  (registered with the queries)
 
@@ -13,6 +13,14 @@ SHARDS = 16
 #: A deployment passes its own secret.
 SURROGATE_KEY = "registered-query-key"
 TOP_K, QUERY_EVERY = 5, 50
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    """Path of a public tokenizer's file, the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +73,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "sequence_cost")
+
+
+def op13_walsh_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_target_weight_mixing,
     op2_quality_ranking,
@@ -76,4 +97,7 @@ QUERIES = {f.__name__: f for f in (
     op8_language_id,
     op9_benchmark_decontamination,
     op10_toxicity,
+    op11_source_divergence,
+    op12_cost_balanced_packing,
+    op13_walsh_vector_codes,
 )}
