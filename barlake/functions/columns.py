@@ -47,24 +47,15 @@ def log10_positive(c) -> Column:
 
 
 def exact_double_text(c) -> Column:
-    """Engine-independent text that is the same only for equal doubles: ``<sign><53-bit mantissa>p<exponent>``.
+    """Engine-independent text that is the same only for equal doubles: hexadecimal digits and a power of two (``0x1.8p1``).
 
     Plain double -> string differs between engines (``1.2345678E7`` vs
     ``12345678.0``), and any rounding would give different values one text.
-    Scaling by powers of two is exact; the logarithm may be off by one next to
-    a power of two, which the normalisation of the mantissa takes back.
+    Both zeros are ``0``, null and NaN have no text.
     """
-    x = F.abs(col_(c))
-    e = F.floor(F.log2(x)).cast("int")
-    up = F.lit(52) - e
-    half = F.floor(up / 2).cast("int")
-    m = x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), up - half)
-    high, low = m >= float(1 << 53), m < float(1 << 52)
-    mantissa = F.when(high, m / 2).when(low, m * 2).otherwise(m)
-    exponent = F.when(high, 1 - up).when(low, -1 - up).otherwise(-up)
-    sign = F.when(col_(c) < 0, F.lit("-")).otherwise(F.lit(""))
-    return (F.when(F.isnan(col_(c)), F.lit(None)).when(x == 0, F.lit("0")).when(x == float("inf"), F.concat(sign, F.lit("inf")))
-            .otherwise(F.concat(sign, mantissa.cast("bigint").cast("string"), F.lit("p"), exponent.cast("string"))))
+    x = col_(c)
+    return (F.when(F.isnan(x) | x.isNull(), F.lit(None)).when(x == 0, F.lit("0")).when(x == float("inf"), F.lit("inf"))
+            .when(x == float("-inf"), F.lit("-inf")).otherwise(F.format_string("%a", x)))
 
 
 # --- calendar ---------------------------------------------------------------

@@ -19,6 +19,8 @@ from ..spec import (AUDIT_ERROR_SCHEMA, BACKFILL_CALENDAR_DAYS, HEARTBEAT_KEY_FO
                     VENDOR_SUFFIX)
 
 NO_DATA_ERROR = "No data returned"
+#: Name of a run's folder in the state log; sorts by time.
+STATE_RUN_FORMAT = "yyyyMMdd'T'HHmmssSSSSSS"
 
 
 def backfill_window(as_of, days: int = BACKFILL_CALENDAR_DAYS, mode: str = "days") -> tuple[Column, Column]:
@@ -148,31 +150,108 @@ def state_rows(outcome: DataFrame, as_of, run_ts, days: int = BACKFILL_CALENDAR_
                           start.alias("window_start"), end.alias("window_end"))
 
 
+def _state_schema() -> T.StructType:
+    return T.StructType([T.StructField("ticker", T.StringType()), *TICKER_STATE_SCHEMA.fields,
+                         T.StructField("version", T.IntegerType()), T.StructField("last_updated", T.TimestampType()),
+                         T.StructField("window_start", T.DateType()), T.StructField("window_end", T.DateType())])
+
+
 def append_state(state: DataFrame, path: str) -> None:
-    """Append one run's records (JSON lines, one per ticker) to the state.
+    """Append one run's records (JSON lines, one per ticker) to the state log, as the folder of the run.
 
-    Nothing written before is touched, so a run that breaks off in the middle
-    leaves the state of the runs before it.
+    The folder is named by ``last_updated``.  Nothing that other runs wrote is
+    touched, so a run that breaks off in the middle leaves the state of the runs
+    before it; a run that is repeated with its time replaces its own folder.
     """
-    state.write.mode("append").json(path)
+    rows = state.withColumn("run", F.date_format("last_updated", STATE_RUN_FORMAT))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").json(path)
+
+
+def _newest_records(runs: DataFrame) -> DataFrame:
+    rest = [f.name for f in _state_schema().fields[1:]]
+    newest = runs.groupBy("ticker").agg(F.max_by(F.struct(*rest), F.struct("last_updated", F.col("status") == "complete")).alias("_r"))
+    return newest.select("ticker", *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def _snapshot_mark(spark, path: str) -> str | None:
+    """The run up to which the newest finished snapshot holds the log; one short row per compaction."""
+    from ..sources.files import path_exists
+    if not path_exists(spark, f"{path}_snapshots/marks"):
+        return None
+    return spark.read.schema("through string").json(f"{path}_snapshots/marks").agg(F.max("through")).first()[0]
 
 
-def load_state(spark, path: str) -> DataFrame | None:
+def load_state(spark, path: str, through: str | None = None) -> DataFrame | None:
     """The newest record of each ticker, or ``None`` when no state was written yet.
 
-    A missing state means "start from scratch"; an unreadable one raises
-    instead of silently restarting every ticker.
+    The newest snapshot is merged with the records of later runs only (the runs
+    are folders, so earlier ones are not read).  A missing state means "start
+    from scratch"; an unreadable one raises instead of silently restarting
+    every ticker.  ``through`` leaves out runs after it.
     """
     from ..sources.files import path_exists
-    if not path_exists(spark, path):
+    mark = _snapshot_mark(spark, path)
+    if mark is None and not path_exists(spark, path):
         return None
-    fields = [T.StructField("ticker", T.StringType())] + TICKER_STATE_SCHEMA.fields + [
-        T.StructField("version", T.IntegerType()), T.StructField("last_updated", T.TimestampType()),
-        T.StructField("window_start", T.DateType()), T.StructField("window_end", T.DateType())]
-    runs = spark.read.schema(T.StructType(fields)).option("mode", "FAILFAST").json(path)
-    rest = [f.name for f in fields[1:]]
-    newest = runs.groupBy("ticker").agg(F.max_by(F.struct(*rest), F.struct("last_updated", F.col("status") == "complete")).alias("_r"))
-    return newest.select("ticker", *[F.col(f"_r.{c}").alias(c) for c in rest])
+    schema = _state_schema()
+    log = None
+    if path_exists(spark, path):
+        with_run = T.StructType([*schema.fields, T.StructField("run", T.StringType())])
+        log = spark.read.schema(with_run).option("mode", "FAILFAST").option("basePath", path).json(path)
+        if mark is not None:
+            log = log.where(F.col("run").isNull() | (F.col("run") > mark))
+        if through is not None:
+            log = log.where(F.col("run").isNull() | (F.col("run") <= through))
+        log = log.drop("run")
+    if mark is not None:
+        snapshot = spark.read.schema(schema).parquet(f"{path}_snapshots/through={mark}")
+        log = snapshot if log is None else snapshot.unionByName(log)
+    return _newest_records(log)
+
+
+def compact_state(spark, path: str) -> str | None:
+    """Fold the log into a snapshot; returns the newest run it holds (the high-water mark), ``None`` without a log.
+
+    Runs that are appended meanwhile stay in the log.  The snapshot counts once its
+    mark is written, which is the last step, so a compaction that breaks off
+    changes nothing; ``expire_state`` may then drop what it holds.
+    """
+    from ..sources.listing import list_partitions
+    runs = list_partitions(spark, path, {"run": "string"}, glob="*.json")
+    mark, before = runs.agg(F.max("run")).first()[0], _snapshot_mark(spark, path)
+    if mark is None or (before is not None and mark <= before):
+        return before
+    load_state(spark, path, through=mark).write.mode("overwrite").parquet(f"{path}_snapshots/through={mark}")
+    spark.createDataFrame([(mark,)], "through string").write.mode("append").json(f"{path}_snapshots/marks")
+    return mark
+
+
+def expire_state(spark, path: str) -> int:
+    """Delete the log folders and snapshots that the newest snapshot replaces; returns how many."""
+    from ..sources.files import delete_path
+    from ..sources.listing import list_partitions
+    mark = _snapshot_mark(spark, path)
+    if mark is None:
+        return 0
+    runs = list_partitions(spark, path, {"run": "string"}, glob="*.json").where(F.col("run") <= mark).select("run").distinct()
+    snapshots = list_partitions(spark, f"{path}_snapshots", {"through": "string"}, glob="*.parquet").where(F.col("through") < mark).select("through").distinct()
+    # one folder per run since the last time
+    gone = [f"{path}/run={r['run']}" for r in runs.collect()] + [f"{path}_snapshots/through={r['through']}" for r in snapshots.collect()]
+    return sum(delete_path(spark, p) for p in gone)
+
+
+def write_state_docs(state: DataFrame, path: str, as_of, run_ts, days: int = BACKFILL_CALENDAR_DAYS, tickers_per_doc: int = 10_000) -> None:
+    """The state as whole JSON documents (``version, last_updated, window, tickers``), each of about ``tickers_per_doc`` tickers.
+
+    A universe that fits one document gives one; ``read_state_doc`` reads them all.
+    """
+    docs = max(1, -(-state.count() // tickers_per_doc))
+    start, end = backfill_window(as_of, days)
+    record = F.struct(*[F.col(f.name) for f in TICKER_STATE_SCHEMA.fields])
+    by_doc = state.groupBy(F.pmod(F.xxhash64("ticker"), F.lit(docs)).alias("doc")).agg(F.map_from_entries(F.collect_list(F.struct("ticker", record))).alias("tickers"))
+    whole = by_doc.select("doc", F.lit(STATE_VERSION).alias("version"), F.lit(run_ts).cast("timestamp").alias("last_updated"),
+                          F.struct(start.alias("start"), end.alias("end")).alias("window"), "tickers")
+    whole.write.mode("overwrite").partitionBy("doc").json(path)
 
 
 def append_audit(audit: DataFrame, path: str) -> None:

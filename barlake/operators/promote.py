@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import exact_double_text, iso_date
-from ..functions.keys import conformed_key
-from ..session import stored
+from ..functions.keys import conformed_key, trade_date_from_key
 from ..sources.files import path_exists
 from ..spec import PRICE_COLUMNS, ROW_HASH_FIELDS
+from ..streaming.commits import read_batches, write_batch
 
 
 def _hash_text(df: DataFrame, name: str) -> Column:
@@ -90,26 +90,51 @@ def promote(raw_rows: DataFrame, conformed_existing: DataFrame | None, mode: str
 
     ``by_key``     an object already promoted is never promoted again (append-only,
                    first conversion wins);
-    ``by_content`` a changed object (same key, new row_hash) is promoted again, so
-                   restatements reach the curated latest-wins step.
+    ``by_content`` an object whose row hash differs from that of its newest stored
+                   version is promoted again, so restatements reach the curated
+                   latest-wins step, also one back to an earlier value.
+
+    The newest version is chosen by the order of latest-wins, combined on the
+    map side; the zone is to be pruned to the touched partitions by the caller.
     """
     if conformed_existing is None:
         return raw_rows
     if mode == "by_key":
-        keys = ["source_object_key"]
-    elif mode == "by_content":
-        keys = ["source_object_key", "row_hash"]
-    else:
+        return raw_rows.join(conformed_existing.select("source_object_key"), "source_object_key", "left_anti")
+    if mode != "by_content":
         raise ValueError(f"unknown promotion mode {mode!r}")
-    return raw_rows.join(conformed_existing.select(*keys), keys, "left_anti")
+    # a null time sorts first; a zone without ingest times has one version of an object
+    order = F.struct(*[c for c in ("ingest_ts", "row_hash") if c in conformed_existing.columns])
+    newest = conformed_existing.groupBy("source_object_key").agg(F.max_by("row_hash", order).alias("_stored_hash"))
+    changed = ~F.col("row_hash").eqNullSafe(F.col("_stored_hash"))
+    return raw_rows.join(newest, "source_object_key", "left").where(changed).select(*raw_rows.columns)
+
 
+def object_part(key) -> Column:
+    """Partition of an object sink: the date in the key, else its folder."""
+    key = F.col(key) if isinstance(key, str) else key
+    date = F.coalesce(trade_date_from_key(key), F.regexp_extract(key, r"_(\d{8})_\d{6}[^/]*$", 1))
+    return F.when(date != "", date).otherwise(F.regexp_replace(key, "/?[^/]*$", ""))
 
-def copy_new_objects(objects: DataFrame, sink: str, key: str = "key") -> DataFrame:
-    """Append the objects (key, ..., content) whose key ``sink`` lacks, under their own keys; returns them."""
+
+def copy_new_objects(objects: DataFrame, sink: str, key: str = "key", stream: str = "copy", batch: int = 0) -> DataFrame:
+    """Copy the objects (key, ..., content) whose key ``sink`` lacks, under their own keys; returns those copied.
+
+    The rows go to the folder of this (stream, batch), so that a repeated batch
+    replaces its own copies and adds none.  Of equal keys the newest
+    (``modified``) is taken.  Only the key column of the parts (``object_part``)
+    that the batch touches is read; contents are moved once.
+    """
     spark = objects.sparkSession
-    new = objects.dropDuplicates([key])
+    rest = [c for c in objects.columns if c != key]
+    order = F.struct(*[c for c in ("modified",) if c in rest], *[c for c in rest if c != "modified"])
+    newest = objects.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_v"))
+    new = newest.select(key, *[F.col(f"_v.{c}").alias(c) for c in rest], object_part(key).alias("part"))
     if path_exists(spark, sink):
-        new = new.join(spark.read.parquet(sink).select(key), key, "left_anti")
-    new = stored(new, "copied-objects")  # decided against the sink before appending to it
-    new.write.mode("append").parquet(sink)
-    return new
+        # one part per date or folder of the batch
+        parts = [r["part"] for r in objects.select(object_part(key).alias("part")).distinct().collect()]
+        have = read_batches(spark, sink, T.StructType([objects.schema[key], T.StructField("part", T.StringType())]))
+        own = F.col("stream").eqNullSafe(F.lit(stream)) & F.col("batch").eqNullSafe(F.lit(batch))
+        new = new.join(have.where(F.col("part").isin(parts) & ~own).select(key), key, "left_anti")
+    written = write_batch(new, sink, stream, batch, partition_cols=("part",))
+    return spark.read.schema(objects.schema).parquet(written)

@@ -404,6 +404,8 @@ def all_queries() -> dict:
     out["flagship_coverage"] = q_flagship_coverage
     from ..streaming import queries as stream_queries
     out.update(stream_queries.QUERIES)
+    from . import lake_queries
+    out.update(lake_queries.QUERIES)
     return out
 
 
@@ -414,34 +416,11 @@ def q_eda_summary(spark: Q, sf: str) -> DataFrame:
     return eda_summary(frames.faulted(spark, sf))
 
 
-def q_object_inventory(spark: Q, sf: str) -> DataFrame:
-    """Listing of the text objects (key, time, size); contents are not returned."""
-    from ..sources.files import require_objects
-    return require_objects(adaptors.objects(spark, sf).select("key", "modified", "length"), "the object listing")
-
-
-def q_storage_footprint(spark: Q, sf: str) -> DataFrame:
-    """Per folder of the objects: objects, bytes, largest and mean object (one aggregate)."""
-    o = adaptors.objects(spark, sf).select(F.regexp_extract("key", "^heartbeat/([^/]*)/", 1).alias("folder"), "length")
-    return o.groupBy("folder").agg(F.count(F.lit(1)).alias("objects"), F.sum("length").alias("bytes"), F.max("length").alias("largest"),
-                                   F.try_divide(F.sum("length"), F.count(F.lit(1))).alias("mean_bytes"))
-
-
 def q_newest_text_object(spark: Q, sf: str) -> DataFrame:
     from ..sources.files import newest_body
     return newest_body(adaptors.objects(spark, sf)).select("key", "modified", "content")
 
 
-def q_copy_new_objects(spark: Q, sf: str) -> DataFrame:
-    """Key-preserving promotion of (key, content): two deliveries, the second brings some objects again."""
-    sink = scratch_path(spark, "objects")
-    objects = adaptors.objects(spark, sf)
-    first = F.col("length") % 3 == 0
-    promote.copy_new_objects(objects.where(first).withColumn("delivery", F.lit(1)), sink)
-    promote.copy_new_objects(objects.withColumn("delivery", F.lit(2)), sink)
-    return spark.read.parquet(sink).select("key", "content", "delivery")
-
-
 def q_quarantine_split(spark: Q, sf: str) -> DataFrame:
     """Landed CSV in which some records do not parse: (ticker, trade_date, parsed) of all of them."""
     from ..sources.files import CORRUPT, read_raw_csv_quarantine
@@ -455,17 +434,6 @@ def q_quarantine_split(spark: Q, sf: str) -> DataFrame:
             .unionByName(bad.select(*bad.columns).select(record[2].alias("ticker"), record[5].cast("date").alias("trade_date"), F.lit(False).alias("parsed"))))
 
 
-def _report_bars(spark: Q, sf: str) -> DataFrame:
-    return frames.faulted(spark, sf)
-
-
-def q_report_nulls_by_ticker(spark: Q, sf: str) -> DataFrame:
-    """The report's order (most missing closes first) as a rank."""
-    from pyspark.sql import Window
-    rates = quality.null_rates_by_ticker(_report_bars(spark, sf))
-    return rates.select("*", F.row_number().over(Window.orderBy(F.desc("close"), "ticker")).alias("position"))
-
-
 def q_report_anomalies(spark: Q, sf: str) -> DataFrame:
     """Anomalies by z-score, each with the number of anomalies of its series that are more extreme downwards."""
     from pyspark.sql import Window
@@ -488,12 +456,8 @@ QUERIES.update({
     "retention_candidates": q_retention_candidates,
     "universe_snapshot": q_universe_snapshot,
     "eda_summary": q_eda_summary,
-    "object_inventory": q_object_inventory,
-    "storage_footprint": q_storage_footprint,
     "newest_text_object": q_newest_text_object,
-    "copy_new_objects": q_copy_new_objects,
     "quarantine_split": q_quarantine_split,
     "audit_read_back": q_audit_read_back,
-    "report_nulls_by_ticker": q_report_nulls_by_ticker,
     "report_anomalies": q_report_anomalies,
 })

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..operators import control, curate, normalise
 from ..session import stored
-from ..sources.files import list_objects, path_exists, read_zone, write_raw_csv
+from ..sources.files import read_zone, write_raw_csv
+from ..sources.listing import list_partitions
 from ..spec import (BACKFILL_CALENDAR_DAYS, CONFORMED_SCHEMA, DAILY_FETCH_CALENDAR_DAYS, OHLCV_DAILY,
                     ROLLING_TRADING_DAYS, LakePaths)
 from ..streaming import jobs
@@ -86,8 +87,7 @@ def refresh_snapshots(spark: SparkSession, paths: LakePaths, days_back: int | No
     """
     conf_base, cur_base = paths.table("conformed"), paths.table("curated")
     keys = ["exchange", "trade_date"]
-    none = spark.createDataFrame([], "exchange string, trade_date date, last_modified timestamp")
-    stale = curate.stale_partitions(_freshness(spark, conf_base, none), _freshness(spark, cur_base, none), keys)
+    stale = curate.stale_partitions(_freshness(spark, conf_base), _freshness(spark, cur_base), keys)
     if days_back is not None:
         stale = normalise.window_filter(stale, as_of, days_back - 1)
     pairs = sorted(tuple(r) for r in stale.select(*keys).collect())
@@ -96,14 +96,9 @@ def refresh_snapshots(spark: SparkSession, paths: LakePaths, days_back: int | No
     return pairs
 
 
-def _freshness(spark: SparkSession, base: str, none: DataFrame) -> DataFrame:
+def _freshness(spark: SparkSession, base: str) -> DataFrame:
     """Newest modification per (exchange, trade date) of a zone; no rows if the zone does not exist."""
-    if not path_exists(spark, base):
-        return none
-    listing = list_objects(spark, base, glob="*.parquet").select(
-        F.regexp_extract("path", "exchange=([^/]*)", 1).alias("exchange"),
-        F.to_date(F.regexp_extract("path", "trade_date=([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)).alias("trade_date"),
-        "modificationTime")
+    listing = list_partitions(spark, base, {"exchange": "string", "trade_date": "date"}, glob="*.parquet")
     return curate.partition_freshness(listing, ["exchange", "trade_date"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import lake_oracle
 from .oracle_views import with_views
 
 W = with_views
@@ -16,15 +17,10 @@ def conformed_key(k: str) -> str:
 
 
 def price_text(c: str) -> str:
-    """The exact text of a double (``functions.columns.exact_double_text``)."""
-    x = f"nullif(abs({c}), 0)"
-    up = f"(52 - CAST(floor(log2({x})) AS INTEGER))"
-    half = f"CAST(floor({up} / 2.0) AS INTEGER)"
-    m = f"({x} * pow(2.0, {half}) * pow(2.0, {up} - {half}))"
-    mantissa = f"CASE WHEN {m} >= {float(1 << 53)!r} THEN {m} / 2 WHEN {m} < {float(1 << 52)!r} THEN {m} * 2 ELSE {m} END"
-    exponent = f"CASE WHEN {m} >= {float(1 << 53)!r} THEN 1 - {up} WHEN {m} < {float(1 << 52)!r} THEN -1 - {up} ELSE -{up} END"
-    return (f"CASE WHEN {c} IS NULL THEN 'nan' WHEN {c} = 0 THEN '0' ELSE concat(CASE WHEN {c} < 0 THEN '-' ELSE '' END, "
-            f"CAST(CAST({mantissa} AS BIGINT) AS VARCHAR), 'p', CAST({exponent} AS VARCHAR)) END")
+    """The exact text of a double (``functions.columns.exact_double_text``), from this engine's own hexadecimal form."""
+    digits = f"replace(format('{{:a}}', {c}), 'p+', 'p')"
+    return (f"CASE WHEN {c} IS NULL THEN 'nan' WHEN {c} = 0 THEN '0' "
+            f"WHEN contains({digits}, '.') THEN {digits} ELSE replace({digits}, 'p', '.0p') END")
 
 
 def text(c: str) -> str:
@@ -430,12 +426,6 @@ ORACLE["audit_read_back"] = " UNION ALL ".join("SELECT * FROM (" + ORACLE["audit
     "DATE '1996-06-30' AS run_date", f"DATE '{d}' AS run_date").replace("DATE '1996-06-30' - 1825 AS window_start, DATE '1996-06-30' AS window_end",
                                                                         f"DATE '{d}' - 1825 AS window_start, DATE '{d}' AS window_end") + ")" for d in ("1996-06-30", "1996-07-31"))
 
-ORACLE["object_inventory"] = W(["objects"]) + "SELECT key, modified, length FROM objects"
-
-ORACLE["storage_footprint"] = W(["objects"]) + """
-SELECT split_part(key, '/', 2) AS folder, count(*) AS objects, CAST(sum(length) AS BIGINT) AS bytes, max(length) AS largest,
-       CAST(sum(length) AS DOUBLE) / count(*) AS mean_bytes FROM objects GROUP BY 1"""
-
 ORACLE["newest_text_object"] = W(["objects"]) + "SELECT key, modified, content FROM objects ORDER BY modified DESC, key DESC LIMIT 1"
 
 ORACLE["copy_new_objects"] = W(["objects"]) + "SELECT key, content, CASE WHEN length % 3 = 0 THEN 1 ELSE 2 END AS delivery FROM objects"
@@ -447,14 +437,6 @@ ORACLE["report_nulls_by_ticker"] = "SELECT *, row_number() OVER (ORDER BY close
 ORACLE["report_anomalies"] = ("SELECT exchange, ticker, trade_date, round(ret_z, 6) AS ret_z, "
                               "row_number() OVER (PARTITION BY exchange, ticker ORDER BY ret_z, trade_date) AS position FROM (" + ORACLE["return_anomalies"] + ")")
 
-ORACLE["promote_incremental"] = W(["bars_user"]) + f"""
-, b AS (SELECT *, {RAW_KEY} AS source_object_key, CASE WHEN day(trade_date) % 7 = 0 THEN close + 1.5 ELSE close END AS later FROM bars_user),
-d AS (SELECT mode, source_object_key, ticker, trade_date, close, 'first' AS ingest_batch_id FROM b, (VALUES ('by_key'), ('by_content')) m(mode) WHERE day(trade_date) % 2 = 0
-      UNION ALL SELECT mode, source_object_key, ticker, trade_date, later, 'second' FROM b, (VALUES ('by_key'), ('by_content')) m(mode)
-      WHERE day(trade_date) % 2 = 1 OR mode = 'by_content' AND later <> close)
-SELECT *, CASE ingest_batch_id WHEN 'first' THEN TIMESTAMP '2024-01-02 03:04:05' ELSE TIMESTAMP '2024-01-03 03:04:05' END AS ingest_ts FROM d"""
-
-
 def _rounded(sql: str, cols) -> str:
     """Same 6-decimal report precision as the Spark side (``catalog.rounded``)."""
     rep = ", ".join(f"round({c}, 6) AS {c}" for c in cols)
@@ -468,3 +450,4 @@ for _name in ("return_zscores", "return_anomalies"):
     ORACLE[_name] = _rounded(ORACLE[_name], ["ret_z"])
 ORACLE["return_correlation"] = _rounded(ORACLE["return_correlation"], ["corr"])
 ORACLE["histogram_correlation"] = _rounded(ORACLE["histogram_correlation"], ["bin_lo", "bin_hi"])
+ORACLE.update(lake_oracle.statements(ORACLE, OUTCOME, UNIVERSE, RAW_KEY))

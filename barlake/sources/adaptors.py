@@ -69,9 +69,18 @@ def bars_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    return _event_bars(spark, sf_dir, "user_id")
+
+
+def bars_event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One bar per event type and day: few raw objects, whatever the number of events."""
+    return _event_bars(spark, sf_dir, "event_type")
+
+
+def _event_bars(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", by, "value")
     t = ev.select(
-        F.col("user_id").cast("string").alias("ticker"),
+        F.col(by).cast("string").alias("ticker"),
         F.col("ts").cast("date").alias("trade_date"),
         F.col("value").alias("px"),
         F.struct("ts", "event_id").alias("ord"),
@@ -157,6 +166,18 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("content"))
 
 
+# Documents as dated text objects: so many dates, and so many documents of a date in one object at most.
+OBJECT_DAYS, OBJECT_DOCS = 28, 500
+
+
+def dated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trade_date, slice, doc_id, value: each document as a line (or several) of the object of its date and slice."""
+    d = read_table(spark, sf_dir, "documents")
+    number = F.pmod("doc_id", F.lit(OBJECT_DAYS)).cast("int")
+    return d.select(F.date_add(F.lit("2024-01-01").cast("date"), number).alias("trade_date"), F.floor(F.col("doc_id") / (OBJECT_DAYS * OBJECT_DOCS)).alias("slice"),
+                    "doc_id", F.col("text").alias("value"), number.alias("day_number"))
+
+
 # Faults in vendor text: one order key in so many has a date or a price that does not parse.
 BAD_DATE_EVERY, BAD_PRICE_EVERY = 997, 991
 

@@ -185,6 +185,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder with all it holds; False if there is none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def curated_scan(spark: SparkSession, path: str, schema: T.StructType = CONFORMED_SCHEMA) -> DataFrame:
     """Curated snapshots of all dates as one typed table (key columns text, dates as dates)."""
     from ..functions.columns import to_text

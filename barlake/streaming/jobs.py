@@ -21,6 +21,7 @@ from ..session import stored
 from ..sources.files import (CORRUPT, current_raw_objects, parsed, path_exists, read_zone, relative_key, text_schema,
                              touched_partitions, with_landing, write_parquet_partitions)
 from ..spec import OHLCV_DAILY, RAW_BAR_SCHEMA
+from .commits import stream_id, write_batch
 
 
 def _run(writer, checkpoint: str, available_now: bool = True, timeout_s: int | None = None,
@@ -80,7 +81,9 @@ def raw_to_conformed(spark: SparkSession, raw: str, conformed: str, checkpoint:
     goes through ``promote_batch``, as a batch run does, so both may share a
     zone.  Without ``ingest_ts`` each micro-batch is stamped with its own time.
     Records that do not parse go to ``quarantine`` (JSON) if it is given, and are
-    left out of the zone.  ``promoted`` collects each batch's new rows.
+    left out of the zone.  A batch that runs again replaces its own folder of the
+    quarantine, and finds its rows in the zone.  ``promoted`` collects each batch's
+    new rows.
     """
     data = [f for f in schema.fields if f.name not in partition_cols]
     full = T.StructType(text_schema(T.StructType(data)).fields + [schema[c] for c in partition_cols])
@@ -90,7 +93,7 @@ def raw_to_conformed(spark: SparkSession, raw: str, conformed: str, checkpoint:
         landed = stored(parsed(batch, T.StructType(data)), "landed")        # the new files are read once
         if quarantine is not None:
             bad = landed.where(F.col(CORRUPT).isNotNull()).select(*partition_cols, CORRUPT, F.col("_file").alias("source_file"))
-            bad.write.mode("append").json(quarantine)
+            write_batch(bad, quarantine, stream_id(spark, checkpoint), number, "json")
         good = landed.where(F.col(CORRUPT).isNull()).select(*schema.fieldNames(), "_landed", "_file")
         stamp = ingest_ts or dt.datetime.now(dt.timezone.utc)
         new = promote_batch(good, conformed, stamp, batch_id, mode, partition_cols)
@@ -103,8 +106,9 @@ def raw_to_conformed(spark: SparkSession, raw: str, conformed: str, checkpoint:
 def copy_objects(spark: SparkSession, source: str, sink: str, checkpoint: str, glob: str | None = None, available_now: bool = True):
     """Copy every not-yet-seen object of a folder under its own key: rows (key, modified, content) in ``sink``.
 
-    The key is the path below ``source``, so promoted objects keep it; an object
-    that a repeated batch brings again is not added twice.
+    The key is the path below ``source``, so promoted objects keep it.  A repeated
+    batch replaces its own folder; another query's batch (a lost log) finds the
+    keys in the parts of the sink that it touches.
     """
     reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).schema(
         "path string, modificationTime timestamp, length long, content binary")
@@ -113,7 +117,7 @@ def copy_objects(spark: SparkSession, source: str, sink: str, checkpoint: str, g
     objects = reader.load(source).select(relative_key(F.col("path"), source).alias("key"), F.col("modificationTime").alias("modified"), "content")
 
     def each(batch: DataFrame, number: int) -> None:
-        promote.copy_new_objects(batch, sink)
+        promote.copy_new_objects(batch, sink, stream=stream_id(spark, checkpoint), batch=number)
 
     return _run(objects.writeStream.foreachBatch(each), checkpoint, available_now)
 
