@@ -23,6 +23,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer_pattern() -> str:
+    """Word pattern of the byte-level tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return bounded_batches(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -78,7 +85,7 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), tokenizer_pattern())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "sequence_cost")
 
 

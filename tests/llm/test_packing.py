@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from barlake.llm import packing as P
-from barlake.llm.queries import TOKENIZER, tokenizer_path
+from barlake.llm.queries import TOKENIZER, tokenizer_path, tokenizer_pattern
 from helpers import awkward_texts
 
 SCHEMA = "doc_id long, text string, length int, ids string"
@@ -72,12 +72,26 @@ def test_costs_are_balanced():
     assert np.std(full) < 0.5 * np.std(in_order[:-1])
 
 
+@pytest.mark.parametrize("pattern", [None, tokenizer_pattern()])
+def test_both_libraries_give_the_same_ids(tokenizer, pattern):
+    encoder = P._Encoder(tokenizer_path(TOKENIZER), pattern)
+    assert (encoder._fast is not None) == bool(pattern)
+    settled = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and not P._UNSETTLED.match(chr(c))]
+    assert len(settled) > 21_000
+    texts = [f"a{c} {c}1{c}{c}  {c}\n{c}'s" for c in settled] + [t for _, t in _texts()]
+    rng = random.Random(9)
+    texts += ["".join(rng.choice(settled[:900]) for _ in range(rng.randrange(1, 300))) for _ in range(300)]
+    texts += ["".join(rng.choice("ab c\t\n 'st12.é") for _ in range(200)) for _ in range(300)] + [" " * 3000, "x" * 600_000, "ab " * 300_000]
+    for text in texts:
+        assert encoder.encode(text).tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+
+
 @pytest.mark.parametrize("window,partitions,slice_chars", [(P.WINDOW, 1, P.SLICE_CHARS), (3000, 4, 700)])
 def test_pieces_hold_every_id_once(spark, monkeypatch, tokenizer, window, partitions, slice_chars):
     monkeypatch.setattr(P, "SLICE_CHARS", slice_chars)
     rows = _texts()
     docs = spark.createDataFrame([(i, t, 5, "own") for i, t in rows], SCHEMA).repartition(partitions)
-    got = P.pack(docs, tokenizer_path(TOKENIZER), window=window).collect()
+    got = P.pack(docs, tokenizer_path(TOKENIZER), tokenizer_pattern(), window=window).collect()
     assert got[0].__fields__ == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_length", "sequence_cost"]
 
     want = defaultdict(int)
@@ -109,7 +123,7 @@ def test_query_gives_checksums_of_the_ids(spark, sf_dir):
     from barlake.llm import queries
     rows = queries.op12_cost_balanced_packing(spark, sf_dir)
     assert rows.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    real = P.pack(queries.table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER)).collect()
+    real = P.pack(queries.table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), tokenizer_pattern()).collect()
     want = {(r["doc_id"], r["start"], zlib.crc32(r["ids"]), r["sequence_id"], r["offset"]) for r in real}
     assert {(r["doc_id"], r["start"], r["ids_crc32"], r["sequence_id"], r["offset"]) for r in rows.collect()} == want
 
