@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..spec import HEARTBEAT_KEY_FORMAT
+from ..spec import HEARTBEAT_KEY_FORMAT, DatasetSpec
 from .columns import col_, iso_date, local_time
 
 
@@ -16,6 +16,15 @@ def raw_key(dataset_id, exchange, trade_date, ticker) -> Column:
                     F.lit(".csv"))
 
 
+def object_key(spec: DatasetSpec) -> Column:
+    """Key of a row's raw object: ``tabular/<dataset>/<partition columns>/<object columns>.csv``, each ``name=value``."""
+    parts = [F.lit("tabular/"), F.col("dataset_id")]
+    for c in (*spec.partition_columns, *spec.object_columns):
+        value = iso_date(c) if spec.raw_schema[c].dataType.typeName() == "date" else F.col(c).cast("string")
+        parts += [F.lit(f"/{c}="), value]
+    return F.concat(*parts, F.lit(".csv"))
+
+
 def partition_prefix(dataset_id, exchange, trade_date=None) -> Column:
     parts = [F.lit("tabular/"), col_(dataset_id), F.lit("/exchange="), col_(exchange), F.lit("/")]
     if trade_date is not None:

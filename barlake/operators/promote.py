@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.columns import exact_double_text, iso_date
 from ..functions.keys import conformed_key, trade_date_from_key
 from ..sources.files import path_exists
-from ..spec import PRICE_COLUMNS, ROW_HASH_FIELDS
+from ..spec import OHLCV_DAILY, PRICE_COLUMNS, ROW_HASH_FIELDS, DatasetSpec
 from ..streaming.commits import read_batches, write_batch
 
 
@@ -80,9 +80,9 @@ def new_objects(candidates: DataFrame, existing: DataFrame, key: str = "key",
 
 
 def to_conformed(raw_rows: DataFrame, ingest_ts, batch_id: str | None = None,
-                 source_key: str | Column | None = None, base_path: str | None = None) -> DataFrame:
-    """Raw bar rows -> conformed rows (bar + lineage + row_hash)."""
-    return add_row_hash(add_lineage(raw_rows, ingest_ts, batch_id, source_key, base_path))
+                 source_key: str | Column | None = None, base_path: str | None = None, spec: DatasetSpec = OHLCV_DAILY) -> DataFrame:
+    """Raw rows -> conformed rows (row + lineage + row_hash over the dataset's hash fields)."""
+    return add_row_hash(add_lineage(raw_rows, ingest_ts, batch_id, source_key, base_path), spec.hash_fields)
 
 
 def promote(raw_rows: DataFrame, conformed_existing: DataFrame | None, mode: str = "by_key") -> DataFrame:

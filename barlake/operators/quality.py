@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import business_days_between
+from ..session import stored
 from ..spec import CONFORMED_SCHEMA, MEASURE_COLUMNS, OHLCV_DAILY, PRICE_COLUMNS, REQUIRED_COLUMNS
 
 
@@ -73,15 +74,23 @@ def duplicate_counts(df: DataFrame, key: Sequence[str] = OHLCV_DAILY.analysis_ke
         (F.sum("_rows") - F.sum("_distinct_rows")).cast("bigint").alias("duplicate_full_rows"))
 
 
-def duplicate_rows(df: DataFrame, key: Sequence[str] = OHLCV_DAILY.analysis_key) -> DataFrame:
-    """All rows whose key occurs more than once, with ``key_rows`` = occurrences of the key.
+def duplicate_rows(df: DataFrame, key: Sequence[str] = OHLCV_DAILY.analysis_key, order: Sequence[str] | None = None) -> DataFrame:
+    """All rows whose key occurs more than once, with ``key_rows`` = occurrences of the key and ``first_kept``.
 
-    Keys are counted by aggregation and joined back (null-safe), instead of a
-    window over the key, so a hot key is never sorted whole in one task.
+    ``first_kept`` marks one row of each key, the least by ``order`` (all
+    comparable columns by default); of rows that are equal in these, the one that
+    comes first in the stored input.  The input is written once: its file and row
+    number are each row's stable identity.  Keys are counted and their first rows
+    found by one aggregate combined on the map side, and joined back (null-safe);
+    there is no window over a key, so a hot key is never sorted in one task.
     """
-    dup = df.groupBy(*key).agg(F.count(F.lit(1)).alias("key_rows")).where(F.col("key_rows") > 1)
-    cond = [df[k].eqNullSafe(dup[k]) for k in key]
-    return df.join(dup, cond, "inner").select(df["*"], dup["key_rows"])
+    rows = stored(df, "duplicate-rows").select("*", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_identity"))
+    order = list(order) if order is not None else [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    place = F.struct(*[F.col(c) for c in order], "_identity")
+    found = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("key_rows"), F.min_by("_identity", place).alias("_first")).where(F.col("key_rows") > 1)
+    found = found.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(key)], "key_rows", "_first")
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)]
+    return rows.join(found, same, "inner").select(*df.columns, "key_rows", (F.col("_identity") == F.col("_first")).alias("first_kept"))
 
 
 # --- nulls ------------------------------------------------------------------

@@ -235,7 +235,7 @@ def q_duplicate_counts(spark: Q, sf: str) -> DataFrame:
 
 
 def q_duplicate_rows(spark: Q, sf: str) -> DataFrame:
-    return quality.duplicate_rows(adaptors.ingests(spark, sf))
+    return quality.duplicate_rows(adaptors.ingests(spark, sf), order=("ingest_ts", "source_object_key"))
 
 
 def q_null_rates(spark: Q, sf: str) -> DataFrame:

@@ -18,8 +18,8 @@ from ..operators import control, curate, normalise
 from ..session import stored
 from ..sources.files import read_zone, write_raw_csv
 from ..sources.listing import list_partitions
-from ..spec import (BACKFILL_CALENDAR_DAYS, CONFORMED_SCHEMA, DAILY_FETCH_CALENDAR_DAYS, OHLCV_DAILY,
-                    ROLLING_TRADING_DAYS, LakePaths)
+from ..spec import (BACKFILL_CALENDAR_DAYS, DAILY_FETCH_CALENDAR_DAYS, OHLCV_DAILY,
+                    ROLLING_TRADING_DAYS, DatasetSpec, LakePaths)
 from ..streaming import jobs
 
 
@@ -60,7 +60,7 @@ def backfill(universe: DataFrame, vendor: DataFrame, paths: LakePaths, state_pat
 
 
 def promote_raw(spark: SparkSession, paths: LakePaths, ingest_ts: dt.datetime, batch_id: str | None = None,
-                mode: str = "by_key") -> DataFrame:
+                mode: str = "by_key", spec: DatasetSpec = OHLCV_DAILY) -> DataFrame:
     """Raw CSV -> conformed Parquet for objects not promoted yet; returns the new rows.
 
     One run of the promotion stream: its checkpoint opens only files that no
@@ -69,37 +69,36 @@ def promote_raw(spark: SparkSession, paths: LakePaths, ingest_ts: dt.datetime, b
     (new row hash) is converted again, so restatements reach the curated zone.
     Records that do not parse go to the zone's quarantine folder.
     """
-    conformed, new = paths.table("conformed"), []
-    jobs.raw_to_conformed(spark, paths.table("raw"), conformed, f"{conformed}_checkpoint", ingest_ts, batch_id, mode,
+    conformed, new, schema = paths.table("conformed", spec), [], spec.conformed_schema
+    jobs.raw_to_conformed(spark, paths.table("raw", spec), conformed, f"{conformed}_checkpoint", ingest_ts, batch_id, mode, spec,
                           quarantine=f"{conformed}_quarantine", promoted=new)
-    out = spark.createDataFrame([], CONFORMED_SCHEMA)
+    out = spark.createDataFrame([], schema)
     for rows in new:
-        out = out.unionByName(rows.select(*CONFORMED_SCHEMA.fieldNames()))
+        out = out.unionByName(rows.select(*schema.fieldNames()))
     return out
 
 
-def refresh_snapshots(spark: SparkSession, paths: LakePaths, days_back: int | None = None, as_of=None) -> list:
-    """Rebuild curated snapshots of stale (exchange, date) partitions only (conformed newer than snapshot, or none).
+def refresh_snapshots(spark: SparkSession, paths: LakePaths, days_back: int | None = None, as_of=None, spec: DatasetSpec = OHLCV_DAILY) -> list:
+    """Rebuild curated snapshots of stale partitions, such as (exchange, date), only (conformed newer than snapshot, or none).
 
     The stale list (one entry per exchange and trade date) drives partition
     pruning of the conformed read and the dynamic overwrite of the curated
     zone.  ``days_back`` is the number of dates up to and including ``as_of``.
     """
-    conf_base, cur_base = paths.table("conformed"), paths.table("curated")
-    keys = ["exchange", "trade_date"]
-    stale = curate.stale_partitions(_freshness(spark, conf_base), _freshness(spark, cur_base), keys)
+    conf_base, cur_base = paths.table("conformed", spec), paths.table("curated", spec)
+    keys = list(spec.partition_columns)
+    stale = curate.stale_partitions(_freshness(spark, conf_base, spec), _freshness(spark, cur_base, spec), keys)
     if days_back is not None:
-        stale = normalise.window_filter(stale, as_of, days_back - 1)
+        stale = normalise.window_filter(stale, as_of, days_back - 1, spec.date_column)
     pairs = sorted(tuple(r) for r in stale.select(*keys).collect())
     if pairs:
-        curate.build_snapshots(read_zone(spark, conf_base, CONFORMED_SCHEMA, pairs), cur_base)
+        curate.build_snapshots(read_zone(spark, conf_base, spec.conformed_schema, pairs, keys), cur_base, spec.business_key, keys)
     return pairs
 
 
-def _freshness(spark: SparkSession, base: str) -> DataFrame:
-    """Newest modification per (exchange, trade date) of a zone; no rows if the zone does not exist."""
-    listing = list_partitions(spark, base, {"exchange": "string", "trade_date": "date"}, glob="*.parquet")
-    return curate.partition_freshness(listing, ["exchange", "trade_date"])
+def _freshness(spark: SparkSession, base: str, spec: DatasetSpec) -> DataFrame:
+    """Newest modification per partition of a zone; no rows if the zone does not exist."""
+    return curate.partition_freshness(list_partitions(spark, base, spec.partition_types, glob="*.parquet"), spec.partition_columns)
 
 
 __all__ = ["ingest_daily", "backfill", "promote_raw", "refresh_snapshots", "OHLCV_DAILY"]

@@ -12,14 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import control, curate, promote
+from ..operators.membership import SNAPSHOT_DATE, membership_intervals, read_universe, write_universe
 from ..operators.positions import with_positions
+from ..operators.sketches import DISTINCT_ERROR, RANK_ERROR, daily_sketches, merged_profile
+from ..operators.wide import export_wide, matrix_shape, read_long
 from ..session import scratch_path, stored
 from ..sources import adaptors
 from ..sources.files import list_objects, overwrite_raw_objects, read_raw_csv, read_zone, require_objects, write_raw_csv
 from ..sources.listing import footprint, list_partitions, object_folder, write_text_objects
-from ..spec import CONFORMED_SCHEMA, RAW_BAR_SCHEMA, LakePaths
+from ..sources.tables import read_table
+from ..spec import CONFORMED_SCHEMA, RAW_BAR_SCHEMA, USER_EVENTS, LakePaths
 from ..streaming import jobs
-from . import catalog, frames, lake_jobs
+from . import catalog, frames, lake_jobs, reports
 
 OBJECT_FOLDERS = {"trade_date": "date", "slice": "long"}
 
@@ -204,7 +208,109 @@ def q_anomaly_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return with_positions(z, [F.desc(F.abs("ret_z")), "exchange", "ticker", "trade_date"])
 
 
+# --- stored profiles and exports ------------------------------------------------------------
+
+def q_sketch_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Yearly profiles from stored daily sketches, each next to the exact figures: whether the estimates keep their bounds."""
+    orders = read_table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("day"), "o_custkey", "o_totalprice")
+    sketches = stored(daily_sketches(orders, "day", ["o_custkey"], ["o_totalprice"]), "sketches")
+    merged = stored(merged_profile(sketches, [F.year("day").alias("year")], ["o_custkey"], ["o_totalprice"], (0.5, 0.99)), "profiles")
+    price = F.col("o_totalprice")
+    exact = orders.withColumn("year", F.year("day")).join(merged.select("year", "o_totalprice_p50", "o_totalprice_p99"), "year").groupBy("year").agg(
+        F.countDistinct("o_custkey").alias("customers"),
+        *[F.avg(compare.cast("double")).alias(f"_{name}_{p}") for p in ("p50", "p99")
+          for name, compare in (("below", price < F.col(f"o_totalprice_{p}")), ("upto", price <= F.col(f"o_totalprice_{p}")))])
+    near = F.abs(F.col("o_custkey_estimate") - F.col("customers")) <= DISTINCT_ERROR * F.col("customers")
+    ranks = [((F.col(f"_below_{p}") <= q + RANK_ERROR) & (F.col(f"_upto_{p}") >= q - RANK_ERROR)).alias(f"{p}_within") for p, q in (("p50", 0.5), ("p99", 0.99))]
+    return merged.join(exact, "year").select("year", "rows", "customers", near.alias("customers_within"), *ranks,
+                                             F.col("o_totalprice_min").alias("least"), F.col("o_totalprice_max").alias("greatest"))
+
+
+def q_wide_matrix_export(spark: SparkSession, sf: str) -> DataFrame:
+    """The return matrix written as wide column blocks and read back as long rows, with the shape from the manifest."""
+    path = scratch_path(spark, "wide")
+    matrix = stored(frames.user_matrix(spark, sf), "matrix")
+    shape = matrix_shape(export_wide(matrix, path, block_columns=64)).first()
+    return read_long(spark, path).select("*", F.lit(shape["rows"]).alias("matrix_rows"), F.lit(shape["columns"]).alias("matrix_columns"))
+
+
+def q_report_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The report set written with its manifest and read back: rows of each report, and rows that differ (floats at report precision)."""
+    out = scratch_path(spark, "reports")
+    tables = reports.run_eda(frames.faulted(spark, sf), out)
+    parts = []
+    for name, back in reports.read_reports(spark, out).items():
+        floats = [f.name for f in back.schema.fields if f.dataType.typeName() == "double"]
+        there, here = catalog.rounded(back, floats), catalog.rounded(tables[name], floats)
+        differ = here.exceptAll(there).select(F.lit(0).alias("_back")).unionByName(there.exceptAll(here).select(F.lit(0).alias("_back")))
+        counted = back.select(F.lit(1).alias("_back")).unionByName(differ).agg(F.count_if(F.col("_back") == 1).alias("rows"), F.count_if(F.col("_back") == 0).alias("differing"))
+        parts.append(counted.select(F.lit(name).alias("report"), "rows", "differing", F.lit(len(back.columns)).alias("columns")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# --- dated universe, other datasets, layouts --------------------------------------------------
+
+def _half_years(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with orders in each half-year, dated by its end."""
+    day = F.col("o_orderdate").cast("date")
+    half = F.make_date(F.year(day), F.when(F.month(day) <= 6, 6).otherwise(12), F.lit(30))
+    return read_table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("ticker"), half.alias(SNAPSHOT_DATE)).distinct()
+
+
+def q_membership_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Spells of each ticker in the dated universe, read back from its snapshots."""
+    path = scratch_path(spark, "universe")
+    write_universe(_half_years(spark, sf), path)
+    return membership_intervals(read_universe(spark, path))
+
+
+UNIVERSE_AS_OF = "1998-03-01"
+
+
+def q_universe_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The universe that held on a date: the newest snapshot up to it."""
+    path = scratch_path(spark, "universe")
+    write_universe(_half_years(spark, sf), path)
+    return read_universe(spark, path, UNIVERSE_AS_OF).select("ticker", SNAPSHOT_DATE)
+
+
+EVENT_RESTATED, EVENT_RESTATED_BY = 5, 1.0
+
+
+def q_events_raw_to_curated(spark: SparkSession, sf: str) -> DataFrame:
+    """A second dataset through the lake by its spec alone: two deliveries of events, raw to curated."""
+    paths = LakePaths.under(scratch_path(spark, "events-lake"))
+    events = stored(adaptors.raw_events(spark, sf).select(*USER_EVENTS.raw_schema.fieldNames()), "raw-events")
+    restated = F.when(F.col("event_id") % EVENT_RESTATED == 0, F.col("value") + EVENT_RESTATED_BY).otherwise(F.col("value"))
+    for number, rows in enumerate((events.where(F.col("event_id") % 2 == 0), events.withColumn("value", restated))):
+        write_raw_csv(rows, paths.table("raw", USER_EVENTS), USER_EVENTS.partition_columns)
+        lake_jobs.promote_raw(spark, paths, frames.INGEST_TS + dt.timedelta(days=number), DELIVERIES[number], "by_content", USER_EVENTS)
+        lake_jobs.refresh_snapshots(spark, paths, spec=USER_EVENTS)
+    curated = read_zone(spark, paths.table("curated", USER_EVENTS), USER_EVENTS.conformed_schema)
+    return curated.select("event_type", "event_date", "event_id", "user_id", "value", "source_object_key", "row_hash", "ingest_batch_id")
+
+
+def q_raw_layouts(spark: SparkSession, sf: str) -> DataFrame:
+    """Landed files of 11 columns (daily, without ``adj_close``) and of 12 (backfill) read as one table."""
+    path = scratch_path(spark, "landed")
+    bars = stored(frames.user_bars(spark, sf).select(*RAW_BAR_SCHEMA.fieldNames()), "layout-bars")
+    even = F.dayofmonth("trade_date") % 2 == 0
+    bars.where(even).drop("adj_close").write.option("header", True).csv(f"{path}/daily")
+    bars.where(~even).write.option("header", True).csv(f"{path}/backfill")
+    return read_raw_csv(spark, path, landed=True)
+
+
 QUERIES = {
+    "sketch_profile": q_sketch_profile,
+    "wide_matrix_export": q_wide_matrix_export,
+    "report_round_trip": q_report_round_trip,
+    "membership_intervals": q_membership_intervals,
+    "universe_as_of": q_universe_as_of,
+    "events_raw_to_curated": q_events_raw_to_curated,
+    "raw_layouts": q_raw_layouts,
     "object_inventory": q_object_inventory,
     "storage_footprint": q_storage_footprint,
     "listing_stale_partitions": q_listing_stale_partitions,

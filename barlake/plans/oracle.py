@@ -272,7 +272,8 @@ SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT exchange, ticker,
 FROM redelivered""",
 
     "duplicate_rows": W(["ingests"]) + """
-SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY exchange, ticker, trade_date) AS key_rows FROM ingests)
+SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY exchange, ticker, trade_date) AS key_rows,
+                      row_number() OVER (PARTITION BY exchange, ticker, trade_date ORDER BY ingest_ts, source_object_key) = 1 AS first_kept FROM ingests)
 WHERE key_rows > 1""",
 
     "null_rates": W(["faulted"]) + """
@@ -394,6 +395,7 @@ ORACLE["eda_summary"] = W(["faulted"], FRET, ZS, FMATRIX) + """
          (SELECT count_if(coalesce(low > least(open, close), false) OR coalesce(high < greatest(open, close), false)
                  OR coalesce(low > high, false)) FROM faulted) AS rows_failing_ohlc_bounds,
          (SELECT count(*) FROM zs WHERE abs(ret_z) >= 6) AS return_anomalies,
+         (SELECT count(DISTINCT trade_date) FROM fm) AS matrix_dates, (SELECT count(DISTINCT ticker) FROM fm) AS matrix_tickers,
          (SELECT count(*) FROM (SELECT ticker FROM fm GROUP BY ticker
                                 HAVING count(ret_1d) >= floor((SELECT count(DISTINCT trade_date) FROM fm) * 0.8)))
            AS correlation_tickers)
@@ -450,4 +452,4 @@ for _name in ("return_zscores", "return_anomalies"):
     ORACLE[_name] = _rounded(ORACLE[_name], ["ret_z"])
 ORACLE["return_correlation"] = _rounded(ORACLE["return_correlation"], ["corr"])
 ORACLE["histogram_correlation"] = _rounded(ORACLE["histogram_correlation"], ["bin_lo", "bin_hi"])
-ORACLE.update(lake_oracle.statements(ORACLE, OUTCOME, UNIVERSE, RAW_KEY))
+ORACLE.update(lake_oracle.statements(ORACLE, OUTCOME, UNIVERSE, RAW_KEY, price_text))

@@ -7,8 +7,11 @@ driver-side loop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import correlation, quality, returns
 from ..session import stored
@@ -27,7 +30,7 @@ SMALL_REPORTS = ("profile", "ticker_coverage", "nulls_overall", "nulls_by_ticker
 
 
 def eda_metrics(bars: DataFrame, threshold: float = ANOMALY_Z, materialise: bool = True) -> DataFrame:
-    """One row: rows, tickers, date range, duplicate keys, sanity counts, anomalies, correlation size.
+    """One row: rows, tickers, date range, duplicate keys, sanity counts, anomalies, return matrix shape, correlation size.
 
     The bar table feeds three plans (one global aggregate, the duplicate
     count, the per-series windows); it is materialised once in the shared
@@ -45,10 +48,11 @@ def eda_metrics(bars: DataFrame, threshold: float = ANOMALY_Z, materialise: bool
     z = stored(returns.return_zscores(returns.daily_returns(bars)).select("exchange", "ticker", "trade_date", "adj_close", "ret_1d", "ret_z", "volume"), "eda-returns")
     anoms = returns.return_anomalies(z, threshold).agg(F.count(F.lit(1)).alias("return_anomalies"))
     matrix = stored(correlation.return_matrix(z), "eda-matrix")
+    shape = matrix.agg(F.countDistinct("trade_date").alias("matrix_dates"), F.countDistinct("ticker").alias("matrix_tickers"))
     corr_n = correlation.tickers_min_obs(matrix).agg(
         F.count(F.lit(1)).alias("correlation_tickers"))
     # one-row parts stacked and collapsed per column: no join between them
-    parts = [prof, dups, anoms, corr_n]
+    parts = [prof, dups, anoms, shape, corr_n]
     stacked = parts[0]
     for p in parts[1:]:
         stacked = stacked.unionByName(p, allowMissingColumns=True)
@@ -75,15 +79,43 @@ def eda_summary(bars: DataFrame, threshold: float = ANOMALY_Z) -> DataFrame:
     return m.select("*", F.concat_ws("\n", *lines).alias("summary"))
 
 
+#: Times keep their microseconds in the files.
+CSV_TIMESTAMPS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+REPORT_MANIFEST = "name string, rows long, file_schema string"
+
+
+def _read_report(spark: SparkSession, out_dir: str, name: str, schema: T.StructType) -> DataFrame:
+    reader = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("timestampFormat", CSV_TIMESTAMPS)
+    return reader.csv(f"{out_dir.rstrip('/')}/{name}")
+
+
 def write_reports(out_dir: str, tables: dict[str, DataFrame], small: tuple[str, ...] = ()) -> None:
-    """Write each report table as header CSV under ``out_dir/<name>``.
+    """Write each report table as header CSV under ``out_dir/<name>``, and a manifest of names, rows and schemas.
 
     Tables named in ``small`` are bounded (one row per ticker or statistic)
-    and written as a single file; the rest keep their partitioning.
+    and written as a single file, in their order; the rest keep their
+    partitioning.  The manifest is written last: a report set without one is
+    not finished.
     """
+    entries = []
     for name, df in tables.items():
         w = (df.coalesce(1) if name in small else df).write.mode("overwrite").option("header", True)
-        w.csv(f"{out_dir.rstrip('/')}/{name}")
+        w.option("timestampFormat", CSV_TIMESTAMPS).csv(f"{out_dir.rstrip('/')}/{name}")
+        entries.append((name, _read_report(df.sparkSession, out_dir, name, df.schema).count(), df.schema.json()))
+    if entries:
+        spark = next(iter(tables.values())).sparkSession
+        spark.createDataFrame(entries, REPORT_MANIFEST).coalesce(1).write.mode("overwrite").json(f"{out_dir.rstrip('/')}/manifest")
+
+
+def read_reports(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
+    """The reports of a finished set by name, with the schemas of its manifest; raises if one has lost or gained rows."""
+    out = {}
+    for entry in spark.read.schema(REPORT_MANIFEST).json(f"{out_dir.rstrip('/')}/manifest").collect():
+        df = _read_report(spark, out_dir, entry["name"], T.StructType.fromJson(json.loads(entry["file_schema"])))
+        if (rows := df.count()) != entry["rows"]:
+            raise RuntimeError(f"report {entry['name']} has {rows} rows, not {entry['rows']}")
+        out[entry["name"]] = df
+    return out
 
 
 def write_summary_text(summary: DataFrame, out_dir: str) -> None:

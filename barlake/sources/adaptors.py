@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..spec import DATASET_ID
+from ..spec import DATASET_ID, USER_EVENTS
 from .tables import read_table
 
 SYN_EXCHANGE = "SYN"
@@ -103,6 +103,12 @@ def _event_bars(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
     )
 
 
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw rows of the dataset ``USER_EVENTS``."""
+    ev = read_table(spark, sf_dir, "events")
+    return ev.select(F.lit(USER_EVENTS.dataset_id).alias("dataset_id"), "event_type", F.col("ts").cast("date").alias("event_date"), "event_id", "user_id", "value")
+
+
 def ingests(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = brand_lines(spark, sf_dir)
     key = F.concat_ws("/", *[F.col(c).cast("string") for c in

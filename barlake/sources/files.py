@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..spec import CONFORMED_SCHEMA, RAW_BAR_SCHEMA
+from ..spec import CONFORMED_SCHEMA, OHLCV_DAILY, RAW_BAR_SCHEMA, DatasetSpec
 
 #: Column of a record that does not parse.
 CORRUPT = "unparsed_record"
@@ -79,20 +79,23 @@ def write_raw_csv(df: DataFrame, path: str, partition_cols=("exchange", "trade_d
 
 def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_BAR_SCHEMA,
                  partition_cols=("exchange", "trade_date"), landed: bool = False) -> DataFrame:
-    """Raw bars with the declared schema.
+    """Raw rows with the declared schema; a record that does not parse raises (see ``read_raw_csv_quarantine``).
 
     ``landed=False``: Spark-written layout, key columns come from the path.
     ``landed=True``: files with all columns inside each row under hive-style
     folders; columns bind by position, so 11-column files (no ``adj_close``)
     and 12-column files mix with ``adj_close`` null for the former.
     """
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    reader = spark.read.option("header", True)
     if landed:
-        return reader.schema(schema).option("recursiveFileLookup", True).csv(path)
-    data = _data_schema(schema, partition_cols)
-    full = T.StructType(data.fields + [schema[c] for c in partition_cols])
-    return (reader.schema(full).option("basePath", path).csv(path)
-            .select(*[c for c in schema.fieldNames()]))
+        texts, data = reader.schema(text_schema(schema)).option("recursiveFileLookup", True).csv(path), schema
+    else:
+        data = _data_schema(schema, partition_cols)
+        full = T.StructType(text_schema(data).fields + [schema[c] for c in partition_cols])
+        texts = reader.schema(full).option("basePath", path).csv(path)
+    rows = parsed(texts, data)
+    bad = F.raise_error(F.concat(F.lit("raw record does not parse: "), F.col(CORRUPT)))
+    return rows.where(F.when(F.col(CORRUPT).isNotNull(), bad.cast("boolean")).otherwise(F.lit(True))).select(*schema.fieldNames())
 
 
 def with_landing(raw: DataFrame) -> DataFrame:
@@ -100,22 +103,21 @@ def with_landing(raw: DataFrame) -> DataFrame:
     return raw.select("*", F.col("_metadata.file_modification_time").alias("_landed"), F.col("_metadata.file_path").alias("_file"))
 
 
-def current_raw_objects(raw: DataFrame) -> DataFrame:
-    """Raw rows as logical objects: one current version per (dataset, exchange, trade date, ticker).
+def current_raw_objects(raw: DataFrame, spec: DatasetSpec = OHLCV_DAILY) -> DataFrame:
+    """Raw rows as logical objects: one current version per business key.
 
-    ``source_object_key`` is the object key of the bar
-    (``tabular/<dataset>/exchange=X/trade_date=D/ticker=T.csv``); when a bar
-    was landed more than once, the most recently landed file wins, as an
+    ``source_object_key`` is the object key of the row
+    (``tabular/<dataset>/exchange=X/trade_date=D/ticker=T.csv`` for bars); when a
+    row was landed more than once, the most recently landed file wins, as an
     overwritten object would.  ``raw`` comes straight from a file scan or through ``with_landing``.
     """
-    from ..functions.keys import raw_key
-    key = ["dataset_id", "exchange", "ticker", "trade_date"]
+    from ..functions.keys import object_key
+    key = list(spec.business_key)
     rows = raw if "_landed" in raw.columns else with_landing(raw)
     raw = rows.drop("_landed", "_file")
     rest = [c for c in raw.columns if c not in key]
     cur = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_landed", "_file")).alias("_v"))
-    return cur.select(*key, *[F.col("_v." + c).alias(c) for c in rest],
-                      raw_key("dataset_id", "exchange", "trade_date", "ticker").alias("source_object_key")
+    return cur.select(*key, *[F.col("_v." + c).alias(c) for c in rest], object_key(spec).alias("source_object_key")
                       ).select(*raw.columns, "source_object_key")
 
 
@@ -156,27 +158,30 @@ def write_parquet_partitions(df: DataFrame, path: str, mode: str,
      .option("maxRecordsPerFile", max_records).parquet(path))
 
 
-def touched_partitions(df: DataFrame) -> list[tuple]:
-    """The (exchange, trade_date) pairs of a batch: one per exchange and day, bounded by the calendar."""
-    return [tuple(r) for r in df.select("exchange", "trade_date").distinct().collect()]
+def touched_partitions(df: DataFrame, columns=OHLCV_DAILY.partition_columns) -> list[tuple]:
+    """The partitions of a batch, such as (exchange, trade_date): one per exchange and day, bounded by the calendar."""
+    return [tuple(r) for r in df.select(*columns).distinct().collect()]
 
 
-def in_partitions(pairs) -> Column:
-    """Static partition filter for (exchange, trade_date) pairs."""
-    by_exchange: dict = {}
-    for exchange, day in pairs:
-        by_exchange.setdefault(exchange, []).append(day)
+def in_partitions(pairs, columns=OHLCV_DAILY.partition_columns) -> Column:
+    """Static partition filter: values of the last column by those of the others."""
+    by_head: dict = {}
+    for *head, last in pairs:
+        by_head.setdefault(tuple(head), []).append(last)
     cond = F.lit(False)
-    for exchange, days in by_exchange.items():
-        cond = cond | ((F.col("exchange") == F.lit(exchange)) & F.col("trade_date").isin(days))
+    for head, lasts in by_head.items():
+        one = F.col(columns[-1]).isin(lasts)
+        for c, value in zip(columns, head):
+            one = (F.col(c) == F.lit(value)) & one
+        cond = cond | one
     return cond
 
 
 def read_zone(spark: SparkSession, path: str, schema: T.StructType = CONFORMED_SCHEMA,
-              pairs=None) -> DataFrame:
-    """Conformed/curated scan with declared schema; ``pairs`` of (exchange, trade_date) prune partitions."""
+              pairs=None, columns=OHLCV_DAILY.partition_columns) -> DataFrame:
+    """Conformed/curated scan with declared schema; ``pairs`` (values of ``columns``) prune partitions."""
     df = spark.read.schema(schema).option("basePath", path).parquet(path)
-    return df if pairs is None else df.where(in_partitions(pairs))
+    return df if pairs is None else df.where(in_partitions(pairs, columns))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -98,6 +98,11 @@ AUDIT_ERROR_SCHEMA = T.StructType([
 
 @dataclass(frozen=True)
 class DatasetSpec:
+    """What the operators need to know of a dataset: its columns' roles and declared schemas.
+
+    ``business_key`` starts with ``dataset_id``; an object of the raw zone is one
+    business key, and its folders are the ``partition_columns``.
+    """
     dataset_id: str = DATASET_ID
     exchange: str = EXCHANGE
     currency: str = CURRENCY
@@ -105,9 +110,23 @@ class DatasetSpec:
     business_key: tuple = ("dataset_id", "exchange", "ticker", "trade_date")
     analysis_key: tuple = ("exchange", "ticker", "trade_date")
     series_key: tuple = ("exchange", "ticker")
+    date_column: str = "trade_date"
     partition_columns: tuple = ("exchange", "trade_date")
+    hash_fields: tuple = ROW_HASH_FIELDS
     raw_schema: T.StructType = field(default=RAW_BAR_SCHEMA)
-    conformed_schema: T.StructType = field(default=CONFORMED_SCHEMA)
+
+    @property
+    def conformed_schema(self) -> T.StructType:
+        return T.StructType(self.raw_schema.fields + LINEAGE_FIELDS)
+
+    @property
+    def object_columns(self) -> tuple:
+        """Columns that tell the objects of one folder apart."""
+        return tuple(c for c in self.business_key if c != "dataset_id" and c not in self.partition_columns)
+
+    @property
+    def partition_types(self) -> dict[str, str]:
+        return {c: self.raw_schema[c].dataType.simpleString() for c in self.partition_columns}
 
     def prefix(self) -> str:
         return f"tabular/{self.dataset_id}/exchange={self.exchange}/"
@@ -115,6 +134,26 @@ class DatasetSpec:
 
 OHLCV_DAILY = DatasetSpec()
 
+#: Single events by type and day: a dataset of other keys, folders and measures.
+USER_EVENTS = DatasetSpec(
+    dataset_id="user_events",
+    business_key=("dataset_id", "event_type", "event_date", "event_id"),
+    analysis_key=("event_type", "event_date", "event_id"),
+    series_key=("event_type", "user_id"),
+    date_column="event_date",
+    partition_columns=("event_type", "event_date"),
+    hash_fields=("dataset_id", "event_type", "event_date", "event_id", "user_id", "value"),
+    raw_schema=T.StructType([
+        T.StructField("dataset_id", T.StringType(), False),
+        T.StructField("event_type", T.StringType(), False),
+        T.StructField("event_date", T.DateType(), False),
+        T.StructField("event_id", T.LongType(), False),
+        T.StructField("user_id", T.LongType(), True),
+        T.StructField("value", T.DoubleType(), True),
+    ]))
+
+DATASETS = {spec.dataset_id: spec for spec in (OHLCV_DAILY, USER_EVENTS)}
+
 
 @dataclass(frozen=True)
 class LakePaths:

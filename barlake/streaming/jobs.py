@@ -20,7 +20,7 @@ from ..operators import curate, promote
 from ..session import stored
 from ..sources.files import (CORRUPT, current_raw_objects, parsed, path_exists, read_zone, relative_key, text_schema,
                              touched_partitions, with_landing, write_parquet_partitions)
-from ..spec import OHLCV_DAILY, RAW_BAR_SCHEMA
+from ..spec import OHLCV_DAILY, DatasetSpec
 from .commits import stream_id, write_batch
 
 
@@ -52,28 +52,28 @@ def copy_promote(spark: SparkSession, source: str, sink: str, checkpoint: str, s
 
 
 def promote_batch(raw: DataFrame, conformed: str, ingest_ts: dt.datetime, batch_id: str | None, mode: str,
-                  partition_cols=("exchange", "trade_date")) -> DataFrame:
+                  spec: DatasetSpec = OHLCV_DAILY) -> DataFrame:
     """Raw rows of one delivery -> the conformed rows that the zone lacked, appended to it.
 
     ``raw`` has each row's landing (``with_landing``).  Rows become logical
     objects (the most recently landed version of each key); the zone is read
-    only in the touched (exchange, trade_date) partitions, and only key
-    columns of it.  The anti join makes a repeated delivery add nothing.
+    only in the touched partitions, and only key and version columns of it.  The
+    join makes a repeated delivery add nothing.
     """
     spark = raw.sparkSession
-    rows = promote.to_conformed(current_raw_objects(raw), ingest_ts, batch_id, source_key="source_object_key")
+    rows = promote.to_conformed(current_raw_objects(raw, spec), ingest_ts, batch_id, source_key="source_object_key", spec=spec)
     existing = None
     if path_exists(spark, conformed):
-        pairs = touched_partitions(raw)
-        existing = read_zone(spark, conformed, pairs=pairs)
+        pairs = touched_partitions(raw, spec.partition_columns)
+        existing = read_zone(spark, conformed, spec.conformed_schema, pairs, spec.partition_columns)
     new = stored(promote.promote(rows, existing, mode), "promoted")  # decided against the zone before appending to it
-    write_parquet_partitions(new, conformed, "append", partition_cols)
+    write_parquet_partitions(new, conformed, "append", spec.partition_columns)
     return new
 
 
 def raw_to_conformed(spark: SparkSession, raw: str, conformed: str, checkpoint: str,
                      ingest_ts: dt.datetime | None = None, batch_id: str | None = None, mode: str = "by_key",
-                     schema: T.StructType = RAW_BAR_SCHEMA, partition_cols=("exchange", "trade_date"),
+                     spec: DatasetSpec = OHLCV_DAILY,
                      quarantine: str | None = None, available_now: bool = True, promoted: list | None = None):
     """Raw CSV objects -> conformed Parquet rows with lineage and row hash (append-only).
 
@@ -85,6 +85,7 @@ def raw_to_conformed(spark: SparkSession, raw: str, conformed: str, checkpoint:
     quarantine, and finds its rows in the zone.  ``promoted`` collects each batch's
     new rows.
     """
+    schema, partition_cols = spec.raw_schema, spec.partition_columns
     data = [f for f in schema.fields if f.name not in partition_cols]
     full = T.StructType(text_schema(T.StructType(data)).fields + [schema[c] for c in partition_cols])
     stream = with_landing(spark.readStream.schema(full).option("header", True).option("basePath", raw).csv(raw))
@@ -96,7 +97,7 @@ def raw_to_conformed(spark: SparkSession, raw: str, conformed: str, checkpoint:
             write_batch(bad, quarantine, stream_id(spark, checkpoint), number, "json")
         good = landed.where(F.col(CORRUPT).isNull()).select(*schema.fieldNames(), "_landed", "_file")
         stamp = ingest_ts or dt.datetime.now(dt.timezone.utc)
-        new = promote_batch(good, conformed, stamp, batch_id, mode, partition_cols)
+        new = promote_batch(good, conformed, stamp, batch_id, mode, spec)
         if promoted is not None:
             promoted.append(new)
 
@@ -123,7 +124,7 @@ def copy_objects(spark: SparkSession, source: str, sink: str, checkpoint: str, g
 
 
 def snapshot_refresh_batch(batch: DataFrame, conformed: str, curated: str, schema: T.StructType,
-                           key=OHLCV_DAILY.business_key) -> None:
+                           spec: DatasetSpec = OHLCV_DAILY) -> None:
     """Rebuild the curated snapshot of every (exchange, date) touched by ``batch``.
 
     The touched pairs (bounded by the calendar) drive a partition-pruned
@@ -132,17 +133,18 @@ def snapshot_refresh_batch(batch: DataFrame, conformed: str, curated: str, schem
     the batch would not prune: with no predicate on the batch side Catalyst
     sees no benefit in dynamic partition pruning and scans every date.)
     """
-    pairs = touched_partitions(batch)
+    pairs = touched_partitions(batch, spec.partition_columns)
     if pairs:
-        curate.build_snapshots(read_zone(batch.sparkSession, conformed, schema, pairs), curated, key)
+        rows = read_zone(batch.sparkSession, conformed, schema, pairs, spec.partition_columns)
+        curate.build_snapshots(rows, curated, spec.business_key, spec.partition_columns)
 
 
 def snapshot_refresh(spark: SparkSession, conformed: str, curated: str, checkpoint: str,
-                     schema: T.StructType, available_now: bool = True):
+                     schema: T.StructType, available_now: bool = True, spec: DatasetSpec = OHLCV_DAILY):
     stream = spark.readStream.schema(schema).option("basePath", conformed).parquet(conformed)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        snapshot_refresh_batch(batch, conformed, curated, schema)
+        snapshot_refresh_batch(batch, conformed, curated, schema, spec)
 
     return _run(stream.writeStream.foreachBatch(each), checkpoint, available_now)
 
