@@ -6,7 +6,8 @@ Each round links every node's larger neighbours to the smallest node it sees
 component is a star around its smallest node.  A node with very many
 neighbours is only ever grouped by ``min`` (combined before the shuffle) or
 joined (which Spark splits), never collected.  Edges are written to the shared
-folder after each round, so a lost executor costs one round at most.
+folder after each round, so a lost executor costs one round at most; the round
+before is deleted then.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored_path
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -39,11 +40,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     e = (edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct())
-    e = stored(e, "edges")
+    e, path = stored_path(e, "edges")
     before = _signature(e)
     while before[0]:
-        e = stored(_round(e), "edges")
+        last = path
+        e, path = stored_path(_round(e), "edges")
         after = _signature(e)
+        drop_stored(edges.sparkSession, last)
         if after == before:
             break
         before = after
