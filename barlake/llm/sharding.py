@@ -11,8 +11,9 @@ offsets, and only rows of one bin are ever ordered together.  Equal rows are
 counted before anything is shuffled, so one key may hold any share of the rows.
 
 Edge cases: a null key is hashed as a key of its own; repeated rows get
-places of their own; an empty table stays empty; columns of any name are
-carried through (added columns must not exist yet).
+places of their own; texts of any length count whole; an empty table stays
+empty; columns of any name are carried through, and an added column that exists
+already raises.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc32_text, unit
+from .common import absent, crc32_text, each_of, unit
 
 #: Bins per shard; a bin of 10 billion rows in 16 shards holds about 150,000 of them.
 BINS = 4096
@@ -44,6 +45,7 @@ def rendezvous_shard(key: Column, weights: Sequence[float]) -> Column:
 
 def rendezvous(df: DataFrame, key: str, weights: Sequence[float], column: str = "shard") -> DataFrame:
     """``df`` with the shard of each row's key; a narrow map, nothing is shuffled."""
+    absent(df, column)
     return df.withColumn(column, rendezvous_shard(F.col(key), weights))
 
 
@@ -52,6 +54,7 @@ def number_slots(df: DataFrame, shard: str = "shard", slot: str = "slot", bins:
 
     All columns take part in the order (hash first), so reruns agree.
     """
+    absent(df, slot)
     cols = df.columns
     order = F.xxhash64(*[F.col(c) for c in cols])
     counted = (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
@@ -64,8 +67,7 @@ def number_slots(df: DataFrame, shard: str = "shard", slot: str = "slot", bins:
     inside = Window.partitionBy(shard, "_bin").orderBy("_order", *cols).rowsBetween(Window.unboundedPreceding, -1)
     placed = (counted.withColumn("_before", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
               .join(offsets, (F.col(shard).eqNullSafe(F.col("_s"))) & (F.col("_bin") == F.col("_b"))))
-    begin = F.col("_offset") + F.col("_before")
-    return placed.select(*cols, F.explode(F.sequence(begin, begin + F.col("_copies") - 1)).alias(slot))
+    return each_of(placed, "_copies", "_place").select(*cols, (F.col("_offset") + F.col("_before") + F.col("_place")).alias(slot))
 
 
 def shard_plan(docs: DataFrame, shards: int) -> DataFrame:

@@ -73,6 +73,23 @@ def test_mix_repeats_rows(spark):
     assert M.mix_plan(documents(spark, [], "doc_id long, text string, source string")).collect() == []
 
 
+def test_repeated_rows_come_as_often_as_all_of_them(spark):
+    """Equal rows, two texts of an id, rows without ids: no copy is lost, the words come near the target."""
+    rows = [(1, "w w w", "a", 0)] * 500 + [(2, "x y", "a", 0), (2, "y x", "a", 0)] + [(None, f"t{i} u", "b", i) for i in range(300)] + [(i, "v v v v", "c", 0) for i in range(10, 160)]
+    docs = documents(spark, rows, "doc_id long, text string, source string, _n int").repartition(4)
+    plan, mixed = M.mix_plan(docs).collect(), M.mix(docs)
+    assert len(plan) == len(rows) and mixed.columns == docs.columns
+    target = {r.source: r.target for r in plan}
+    words: dict = {}
+    for r in mixed.collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    for s, t in target.items():
+        assert abs(words.get(s, 0) - t) <= 4
+        assert abs(sum(r.taken for r in plan if r.source == s) - t) <= 1
+    assert len({r.text for r in mixed.collect() if r.source == "b"}) > 100
+    assert [r for r in M.mix_plan(docs).collect() if r.doc_id == 1 and 0 < r.extra < r.size] == [] or sum(0 < r.extra < r.size for r in plan if r.source == "a") <= 1
+
+
 def test_only_dataframe_operations(spark):
     docs, _ = _docs(spark)
     plan = M.mix_plan(docs)._jdf.queryExecution().executedPlan().toString()

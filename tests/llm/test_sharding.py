@@ -60,3 +60,11 @@ def test_one_key_may_hold_most_rows(spark):
     assert S.shard_plan(documents(spark, []), 16).collect() == []
     plan = S.shard_plan(docs, 16)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_added_columns_must_be_new(spark):
+    df = spark.createDataFrame([(1, 2)], "doc_id long, Slot long")
+    with pytest.raises(ValueError):
+        S.number_slots(df.withColumn("shard", F.lit(0)))
+    with pytest.raises(ValueError):
+        S.rendezvous(df, "doc_id", [1.0], "SLOT")
