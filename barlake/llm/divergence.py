@@ -195,9 +195,14 @@ def _groups(docs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def run_columns(words: DataFrame) -> DataFrame:
-    """(lang, source, block, ends, counts): the run-length columns of the reordered vocabulary."""
+    """(lang, source, block, ends, counts): the run-length columns of the reordered vocabulary.
+
+    The order is dealt to as many partitions as the vocabulary has blocks: what
+    is sampled for their bounds goes through the driver, and so grows with the
+    kept terms, not with the input.
+    """
     rows = words.groupBy("lang", "profile").agg(F.count(F.lit(1)).alias("length"))
-    ordered = rows.repartitionByRange("lang", "profile").sortWithinPartitions("lang", "profile")
+    ordered = rows.repartitionByRange(max(1, -(-words.count() // BLOCK)), "lang", "profile").sortWithinPartitions("lang", "profile")
     return ordered.mapInArrow(partial(_runs, block_rows=BLOCK), _RUNS)
 
 
