@@ -6,8 +6,9 @@ through the documents, so each can be written to Parquet and the next one
 started from there, also after a failure.
 
 Edge cases are those of the operators: null and empty texts pass the filters,
-repeated rows are one document of their class, an empty table gives empty
-results, extra columns are carried to the mix and left out by the shards.
+repeated rows are one document of their class, texts of any length are read
+whole, an empty table gives empty results, extra columns are carried to the mix
+and left out by the shards.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barlake.llm import decontam, mixing, ngram_join, sharding, toxicity
+from barlake.llm.common import drop_stored, stored_path
 from barlake.llm.queries import SHARDS, table
 
 
@@ -56,7 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages one after the other, each written to the shared folder and reread; a stage's input is dropped once its output is written."""
+    docs, path = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        last = path
+        docs, path = stored_path(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last:
+            drop_stored(spark, last)
+    return STAGES[-1][1](spark, docs, sf_dir)
