@@ -15,14 +15,16 @@ verified by its exact product.
 All block pairs are independent tasks with bounded input.  Work is exact at
 any size; nothing is sampled, and no side is broadcast.
 
-Components become integers floor(256 x).  A vector is left out if it is null
-or holds null, non-finite, or larger than ``LIMIT`` components (whose products
-would not fit a long).  Vectors of different dimension are compared over the
-shorter one's coordinates (the missing ones count as 0).  Ties go to the
-smaller vec_id; a row is never its own neighbour, but repeated rows with one
-vec_id are one candidate with its best product; rows with a null vec_id are
-left out; empty tables and k larger than the table give what there is; extra
-columns are ignored.
+Components become integers floor(256 x), those beyond 64 bits the largest long
+of their sign.  A vector is left out if it is null or holds null or non-finite
+components.  Products are taken in double precision where they are exact, as
+64-bit integers where these hold them, and as Python integers elsewhere; a
+product beyond a long counts as the largest long of its sign.  Vectors of
+different dimension are compared over the shorter one's coordinates (the
+missing ones count as 0).  Ties go to the smaller vec_id; a row is never its own
+neighbour, but repeated rows with one vec_id are one candidate with its best
+product; rows with a null vec_id are left out; empty tables and k larger than
+the table give what there is; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from pyspark.sql.window import Window
 from .common import bounded_batches, stored
 
 SCALE = 256.0
-LIMIT = float(1 << 24)
+LONGEST = (1 << 63) - 1
 RATIO = 1.1
 #: Rows of a block of candidates and of queries.
 BLOCK, QUERY_BLOCK = 1024, 512
@@ -50,10 +52,15 @@ COORDINATE_FROM, COORDINATES = 0.6, 16
 _TOP = "query_id long, vec_id long, score long"
 
 
+def _integer(x: Column) -> Column:
+    """floor(x) as a long; beyond its range the end of the range."""
+    return F.when(x >= 2.0 ** 63, F.lit(LONGEST)).when(x < -(2.0 ** 63), F.lit(-LONGEST - 1)).otherwise(F.floor(x))
+
+
 def quantise(vectors: DataFrame) -> DataFrame:
     """(vec_id, v array<long>, norm) of the vectors that take part."""
-    q = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
-    usable = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double") * SCALE) <= LIMIT)), F.lit(False))
+    q = F.transform("embedding", lambda x: _integer(x.cast("double") * SCALE))
+    usable = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
     rows = vectors.where(F.col("vec_id").isNotNull() & usable).select(F.col("vec_id").cast("long").alias("vec_id"), q.alias("v"))
     return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
 
@@ -65,20 +72,20 @@ def _bucket(norm: Column) -> Column:
 def _blocked(rows: DataFrame) -> DataFrame:
     """``rows`` with their bucket and block (within the bucket, by a hash of the id)."""
     rows = rows.withColumn("bucket", _bucket(F.col("norm")))
-    # at most log(LIMIT * 256 * dimension) / log(RATIO) buckets, some thousand short rows: safe to broadcast
+    # at most log(2^63 * dimension) / log(RATIO) buckets, some thousand short rows: safe to broadcast
     counts = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
     return (rows.join(F.broadcast(counts), "bucket").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("_blocks")).cast("int"))
             .select("bucket", "block", "vec_id", "v", "norm"))
 
 
-def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
-    """The vectors as float64 rows, padded with zeros (components are small integers, exact in float64)."""
+def _matrix(column: pa.Array, width: int | None = None, dtype=np.float64) -> np.ndarray:
+    """The vectors as rows, padded with zeros (in float64 only bounds and small integers are exact)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lengths = np.diff(np.asarray(column.offsets))
-    values = np.asarray(column.flatten(), np.float64)
+    values = np.asarray(column.flatten()).astype(dtype)
     width = width or max(int(lengths.max(initial=0)), 1)
-    out = np.zeros((len(column), width))
+    out = np.zeros((len(column), width), dtype)
     inside = np.arange(width) < lengths[:, None]
     out[inside] = values
     return out
@@ -91,11 +98,19 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
         at = np.flatnonzero(scores >= kth)
     else:
         at = np.arange(len(ids))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+    return at[np.lexsort((ids[at], ~scores[at]))][:k]                      # ~x falls as x rises, over the whole range
+
+
+def _exact_type(longest: float) -> type:
+    """The number type in which products of at most that length are exact."""
+    return np.float64 if longest < 2.0 ** 52 else np.int64 if longest < 2.0 ** 62 else object
 
 
-def _products(q: np.ndarray, v: np.ndarray, wide: bool) -> np.ndarray:
-    return (q.astype(np.int64) @ v.astype(np.int64).T) if wide else (q @ v.T)
+def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """All products; those of Python integers as the nearest long."""
+    if q.dtype != object:
+        return q @ v.T
+    return np.array([[max(min(sum(x * y for x, y in zip(a, b)), LONGEST), -LONGEST - 1) for b in v.tolist()] for a in q.tolist()], np.int64).reshape(len(q), len(v))
 
 
 def _block_top(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
@@ -107,20 +122,23 @@ def _block_top(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
     width = max(q.shape[1], v.shape[1])
     q, v = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, v))
     q_ids, v_ids = np.asarray(queries.column("vec_id")), np.asarray(vectors.column("vec_id"))
-    floors = np.asarray(queries.column("floor").fill_null(-(1 << 62)), np.float64)
+    least = np.asarray(queries.column("floor").fill_null(-LONGEST - 1), np.int64)
+    floors = np.where(least == -LONGEST - 1, -np.inf, least.astype(np.float64))     # for bounds
     q_norms, longest = np.asarray(queries.column("norm")), float(np.asarray(vectors.column("norm")).max())
     v_norms = np.asarray(vectors.column("norm"))
-    wide = float(q_norms.max() * longest) >= 2.0 ** 52
+    exact = _exact_type(float(q_norms.max() * longest))
+    qx, vx = (q, v) if exact is np.float64 else (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (_matrix(t.column("v"), dtype=exact) for t in (queries, vectors)))
     with np.errstate(divide="ignore", invalid="ignore"):
         cosine = np.where(q_norms * longest > 0, floors / (q_norms * longest), -np.inf)
     repeated = len(np.unique(v_ids)) < len(v_ids)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def take(i: int, at: np.ndarray, scores: np.ndarray) -> None:
-        ok = (v_ids[at] != q_ids[i]) & (scores >= floors[i])
+        scores = scores.astype(np.int64)
+        ok = (v_ids[at] != q_ids[i]) & (scores >= least[i])
         ids, scores = v_ids[at][ok], scores[ok]
         if repeated:                                       # a vec_id takes one of the k places, with its best product
-            order = np.lexsort((-scores, ids))
+            order = np.lexsort((~scores, ids))
             ids, scores = ids[order], scores[order]
             first = np.concatenate(([True], ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, bool)
             ids, scores = ids[first], scores[first]
@@ -129,7 +147,7 @@ def _block_top(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
 
     by_length = np.flatnonzero(cosine < COORDINATE_FROM)
     if len(by_length):
-        scores = _products(q[by_length], v, wide)
+        scores = _products(qx[by_length], vx)
         for row, i in enumerate(by_length.tolist()):
             take(i, np.arange(len(v_ids)), scores[row])
     for i in np.flatnonzero(cosine >= COORDINATE_FROM).tolist():
@@ -140,7 +158,7 @@ def _block_top(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
         bound = part @ q[i][strong] + rest_q * rest_v
         at = np.flatnonzero(bound * (1 + 1e-9) + 1 >= floors[i])          # the slack covers rounding; products decide
         if len(at):
-            take(i, at, _products(q[i:i + 1], v[at], wide)[0])
+            take(i, at, _products(qx[i:i + 1], vx[at])[0])
     if not out:
         return empty
     return pa.table({"query_id": pa.array(np.concatenate([x[0] for x in out]), pa.int64()), "vec_id": pa.array(np.concatenate([x[1] for x in out]), pa.int64()),

@@ -67,8 +67,23 @@ def test_few_rows_and_no_rows(spark):
     assert T.top_k(none, none, 5).collect() == [] and T.top_k(two, none, 5).collect() == []
 
 
-def test_components_that_do_not_fit_are_left_out(spark):
-    rows = [(0, [1.0e30]), (1, [60000.0]), (2, [50000.0]), (3, [-60000.0])]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [tuple(r) for r in T.top_k(vectors, vectors.where("vec_id < 2"), 5).orderBy("rank").collect()]
-    assert got == [(1, 1, 2, 60000 * 50000 * 65536), (1, 2, 3, -(60000 ** 2) * 65536)]
+def test_large_components_are_exact(spark, monkeypatch):
+    """No vector is left out for its size: products are exact up to a long and end there."""
+    for name, value in (("BLOCK", 16), ("QUERY_BLOCK", 8), ("SEED_ROWS", 16), ("COORDINATES", 2)):
+        monkeypatch.setattr(T, name, value)
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) * 10.0 ** rng.uniform(-2, 7) for _ in range(6)]) for i in range(150)]
+    rows += [(300, [60000.0, 1, 2, 3, 4, 5]), (301, [1.0e30, -1.0, 0, 0, 0, 0]), (302, [-1.0e30, 2.0 ** 40, 0, 0, 0, 0]), (303, [2.0 ** 50, 2.0 ** 50 + 1, -(2.0 ** 50), 3, 0, 0]), (350, [2.0 ** 54] * 6)]
+    rows = [(i, [float(x) for x in v]) for i, v in rows]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    top = (1 << 63) - 1
+
+    def vector(v):
+        return [max(-top - 1, min(top, math.floor(x * 256))) for x in v]
+
+    ints, want = {i: vector(v) for i, v in rows}, []
+    for i in (i for i, _ in rows if i % 50 == 0 or i > 299):
+        score = {j: max(-top - 1, min(top, sum(a * b for a, b in zip(ints[i], w)))) for j, w in ints.items() if j != i}
+        want += [(i, r + 1, j, s) for r, (j, s) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5])]
+    got = T.top_k(vectors, vectors.where("vec_id % 50 = 0 or vec_id > 299"), 5)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
