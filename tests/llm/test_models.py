@@ -1,5 +1,8 @@
 """Learned operators: held-out accuracy on the test tables, and their rules on small inputs."""
 import math
+import re
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +104,85 @@ def test_languages_held_out(docs):
     assert sum(r.lang_pred == r.lang for r in found) >= 0.98 * len(found)
 
 
+def _plain_rate(lexicon, text):
+    """Each word counts with its heaviest stem, unless it begins inside an exception phrase that begins a word."""
+    folded = X.fold(text)
+    exceptions = [" " + " ".join(X.fold(p).split()) for p in lexicon.exceptions]
+    harmless = [(i, i + len(p) - 1) for p in exceptions for i in range(len(folded)) if folded.startswith(p, i)]
+    total = []
+    for i in range(len(folded)):
+        if folded[i] == " " and not any(a <= i <= b for a, b in harmless):
+            total += [max([w for s, w in lexicon.stems.items() if folded.startswith(s, i + 1)], default=0.0)]
+    return sum(total) / len(folded.split()) if any(total) else 0.0
+
+
+def test_toxicity_scores_follow_the_rule(docs, labels):
+    lexicon = X.learn(docs, labels)
+    texts = [r.text for r in docs.limit(150).collect()] + [None, "", "  ", "x"]
+    texts += [f"So {s}ing, {s.upper()} {e} and {s}" for s in list(lexicon.stems)[:5] for e in lexicon.exceptions]
+    assert any(lexicon.rate(t) for t in texts)
+    for t in texts:
+        rate = _plain_rate(lexicon, t) if t else 0.0
+        assert math.isclose(lexicon.rate(t), rate, abs_tol=1e-9) and math.isclose(lexicon.score(t), rate / (rate + lexicon.threshold), abs_tol=1e-9)
+
+
+def _plain_features(text):
+    raw = (text or "").encode()
+    def kind(b):
+        c = chr(b)
+        return ("lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "stop" if c in ".,;:'\"()-?" else "space" if c in " \t"
+                else "line" if c in "\n\r\x0b\x0c" else "other" if b > 127 else "symbol")
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    low = [w.lower() for w in words]
+    n = max(len(words), 1)
+    kinds = Counter(map(kind, raw))
+    share, log_n = len(set(low)) / n, math.log1p(len(words))
+    return [*(kinds[k] / max(len(raw), 1) for k in Q._KINDS), log_n, sum(map(len, words)) / n, sum(a == b for a, b in zip(low, low[1:])) / n, sum(a == b for a, b in zip(low, low[2:])) / n,
+            share, share * log_n, sum(kind(w[0]) == "upper" and kind(w[-1]) != "lower" for w in words) / n, sum(kind(w[-1]) == "symbol" and kind(w[0]) != "symbol" for w in words) / n,
+            sum(kind(w[0]) == "symbol" for w in words) / n, sum(len(w) > 20 for w in words) / n]
+
+
+def test_quality_scores_follow_the_rule(docs, labels):
+    ranking = Q.learn(docs, labels)
+    texts = [r.text for r in docs.limit(150).collect()] + [t for _, t in awkward_texts()] + ["a a A b", "== x =", "Über 12%"]
+    plain = np.array([_plain_features(t) for t in texts])
+    assert np.allclose(Q.features(pa.array(texts, pa.string())), plain)
+    got = ranking.score(Q.features(pa.array(texts, pa.string())))
+    for x, g in zip(plain, got):
+        strength = sum(w * max(-6, min(6, (v - m) / d)) for w, v, m, d in zip(ranking.weights, x, ranking.mean, ranking.spread))
+        want = 1 / (1 + math.exp(-max(-30, min(30, (strength - ranking.cut) / ranking.scale + math.log(0.3 / 0.7)))))
+        assert math.isclose(g, want, abs_tol=1e-9) and (g >= 0.3) == (strength >= ranking.cut)
+
+
+def _plain_language(rows, text):
+    """Posterior of each language by the rule, on plain dictionaries: words, else their longest known n-grams."""
+    counts = defaultdict(Counter)                                                     # (language, kind) -> entry -> times
+    for _, t, lang in rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            counts[lang, 0][w] += 1
+            for n in range(1, 5):
+                counts[lang, n].update(f" {w} "[i:i + n] for i in range(len(w) + 3 - n))
+    counts = {k: {e: n for e, n in c.items() if n >= 2} for k, c in counts.items()}
+    langs = sorted({lang for lang, _ in counts})
+    entries = [set().union(*(counts[lang, n] for lang in langs)) for n in range(5)]
+
+    def log(lang, kind, entry):
+        return math.log(counts[lang, kind].get(entry, 0) + 0.1) - math.log(sum(counts[lang, kind].values()) + 0.1 * (len(entries[kind]) + 1))
+
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    total = dict.fromkeys(langs, 0.0)
+    for w in words:
+        for kind, found in [(0, [w]), *((n, [f" {w} "[i:i + n] for i in range(len(w) + 3 - n)]) for n in (4, 3, 2, 1))]:
+            known = [e for e in found if e in entries[kind]]
+            if known:
+                for lang in langs:
+                    total[lang] += sum(log(lang, kind, e) for e in known) / len(known)
+                break
+    best = max(total.values())
+    odds = {lang: math.exp((x - best) * min(1.0, 40 / len(words))) for lang, x in total.items()}
+    return {lang: x / sum(odds.values()) for lang, x in odds.items()}
+
+
 def test_language_backoff_and_undetermined(spark):
     rows = [(i, "alpha beta gamma" if i % 2 else "alfa bèta gämma", "xx" if i % 2 else "yy") for i in range(400)]
     rows += [(1000, "no language", None), (1001, None, "xx"), (1002, "", "yy")]
@@ -109,10 +191,11 @@ def test_language_backoff_and_undetermined(spark):
     assert model.predict("alpha")[0] == "xx" and model.predict("alphabet")[0] == "xx" and model.predict("bètäm")[0] == "yy"
     assert model.predict(None) == model.predict("12 !?") == ("und", 0.0)
     assert model.predict("жжж")[0] in ("xx", "yy")                                # letters, but nothing known: some language
-    # the longest known n-grams decide
-    word = "alphabe"
-    grams = [g for g in L._grams(word, 4) if g in model.tables[4]]
-    assert grams and np.allclose(model.backoff(word), model.logs[4][[model.tables[4][g] for g in grams]].mean(axis=0))
+    learned = [r for r in rows if r[2] and r[1] and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    for text in ("alpha", "alphabe", "bèta gamm gamma gamma xyz", "жжж alfa", "be", "ALPHA alphabet gämma " * 30, "q"):
+        lang, score = model.predict(text)
+        want = _plain_language(learned, text)
+        assert lang == max(sorted(want), key=want.get) and math.isclose(score, want[lang], rel_tol=1e-4)
     got = L.identify(documents(spark, awkward_texts()), model).collect()
     assert {r.lang_pred for r in got if r.doc_id in (3, 4, 5)} == {"und"} and all(0 <= r.score <= 1 for r in got)
     nothing = L.learn(documents(spark, [], "doc_id long, text string, lang string"))
