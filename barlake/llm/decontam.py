@@ -6,14 +6,16 @@ byte belongs to a word).  A benchmark item's windows are its runs of
 inside any occurrence of a window is hit.  Window hashes select places in the
 texts, and each place is then compared word by word.
 
-The benchmark is broadcast in parts of at most ``PART_BYTES`` of text.  One
-part is the usual case; a larger benchmark is scanned part after part in one
-pass over the documents, each part adding to the hits of the parts before, so
-memory stays bounded and nothing is shuffled in any case.
+The benchmark is broadcast in parts of at most ``PART_BYTES`` of text.  A part's
+index is sorted hashes with places in the part's text, 16 bytes a window, and a
+worker keeps ``CACHED`` of them.  One part is the usual case; a larger benchmark
+is scanned part after part in one pass over the documents, each part adding to
+the hits of the parts before, so memory stays bounded and nothing is shuffled.
+The benchmark passes through the driver a part at a time.
 
 Edge cases: a null or empty text has no words and no hits; items without words
 are ignored; repeated items and items with the same id count once; a null
-item_id counts as the id "null"; empty tables give no rows or no hits; extra
+item_id counts as the id "null"; very long texts are scanned whole; empty tables give no rows or no hits; extra
 columns are ignored by ``scan`` and kept by ``decontaminate``.
 """
 
@@ -33,57 +35,84 @@ from .words import ALNUM_LOWER, Slice, Words, fits, slices, windows, words
 
 WINDOW = 10
 #: Benchmark text broadcast at once, in bytes.
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
+#: Indexes of parts that a Python worker keeps: about four times their text each.
+CACHED = 4
 _FILTER_BITS = 22
 
 SCANNED = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<begin:long,end:long>>"
 
 
 class _Index:
-    """Windows of one part of the benchmark: hash arrays by length, and the exact words of each window."""
+    """Windows of one part of the benchmark: by length, sorted hashes with the places of their words in the part's text.
+
+    A window costs 16 bytes besides the text, whatever its words.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        self.owners: dict[bytes, set[str]] = {}
-        hashes: dict[int, list[np.ndarray]] = {}
+        self.ids = [i for i, _ in items]
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        self.text, base = [], 0
         for s in slices(pa.array([t for _, t in items], pa.large_string())):
             w = words(s, ALNUM_LOWER)
-            raw = s.data.tobytes().lower()
-            for i in range(len(s.offsets) - 1):
-                a, b = int(w.first[i]), int(w.first[i + 1])
-                k = min(window, b - a)
+            # the words alone, a space after each: a window's words are one run of these bytes
+            kept = np.zeros(len(s.data) + 1, np.int8)
+            np.add.at(kept, w.start, 1)
+            np.add.at(kept, w.end, -1)
+            inside = np.cumsum(kept[:-1]) > 0
+            lengths = w.end - w.start
+            begins = np.concatenate(([0], np.cumsum(lengths + 1)))
+            packed = np.full(int(begins[-1]), 0x20, np.uint8)
+            at = np.repeat(begins[:-1] - np.concatenate(([0], np.cumsum(lengths)))[:-1], lengths) + np.arange(int(lengths.sum()))
+            packed[at] = ALNUM_LOWER[s.data[inside]].astype(np.uint8)
+            count = np.diff(w.first)
+            for k in np.unique(np.minimum(count, window)).tolist():
                 if k == 0:
                     continue
-                hashes.setdefault(k, []).append(windows(w.hashes[0][a:b], k))
-                tokens = [raw[x:y] for x, y in zip(w.start[a:b], w.end[a:b], strict=True)]
-                for j in range(len(tokens) - k + 1):
-                    self.owners.setdefault(b" ".join(tokens[j:j + k]), set()).add(items[s.row + i][0])
-        self.hashes = {k: np.unique(np.concatenate(v)) for k, v in sorted(hashes.items())}
+                h = windows(w.hashes[0], k)
+                text = w.text_of_word()[:len(h)]
+                own = fits(w.first, k) & ((count[text] >= window) if k == window else (count[text] == k))
+                j = np.flatnonzero(own)
+                found.setdefault(k, []).append((h[j], (base + begins[j]).astype(np.int64), (s.row + text[j]).astype(np.int32)))
+            self.text.append(packed)
+            base += len(packed)
+        self.text = np.concatenate(self.text) if self.text else np.zeros(0, np.uint8)
+        self.places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.filters = {}
-        for k, v in self.hashes.items():
+        for k, parts in sorted(found.items()):
+            h, begin, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.places[k] = h[order], begin[order], item[order]
             seen = np.zeros(1 << _FILTER_BITS, bool)
-            seen[v >> np.uint64(64 - _FILTER_BITS)] = True
+            seen[h >> np.uint64(64 - _FILTER_BITS)] = True
             self.filters[k] = seen
 
+    def nbytes(self) -> int:
+        return len(self.text) + sum(x.nbytes for p in self.places.values() for x in p)
+
     def hits(self, s: Slice, w: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
         """A flag per word of the slice, and the item ids found per text."""
         hit = np.zeros(len(w.start), bool)
         found: dict[int, set[str]] = {}
-        for k, known in self.hashes.items():
+        for k, (known, begins, owners) in self.places.items():
             h = windows(w.hashes[0], k)
             if not len(h):
                 continue
             at = np.flatnonzero(self.filters[k][h >> np.uint64(64 - _FILTER_BITS)] & fits(w.first, k))
             if not len(at):
                 continue
-            pos = np.searchsorted(known, h[at])
-            at = at[known[np.minimum(pos, len(known) - 1)] == h[at]]
+            low = np.searchsorted(known, h[at])
+            same = known[np.minimum(low, len(known) - 1)] == h[at]
+            at, low = at[same], low[same]
+            high = np.searchsorted(known, h[at], side="right")
             text = np.searchsorted(w.first, at, side="right") - 1
-            for j, i in zip(at.tolist(), text.tolist(), strict=True):
+            for j, i, a, b in zip(at.tolist(), text.tolist(), low.tolist(), high.tolist(), strict=True):
                 tokens = (s.data[x:y].tobytes() for x, y in zip(w.start[j:j + k], w.end[j:j + k], strict=True))
-                owners = self.owners.get(b" ".join(tokens).lower())
-                if owners:
-                    hit[j:j + k] = True
-                    found.setdefault(i, set()).update(owners)
+                run = np.frombuffer(b" ".join([*tokens, b""]).lower(), np.uint8)
+                for place in range(a, b):
+                    if np.array_equal(self.text[begins[place]:begins[place] + len(run)], run):
+                        hit[j:j + k] = True
+                        found.setdefault(i, set()).add(self.ids[owners[place]])
         return hit, found
 
 
@@ -91,11 +120,13 @@ _CACHE: dict[tuple[str, int], _Index] = {}
 
 
 def _index(part: tuple, window: int) -> _Index:
-    """The index of a part (its name, its broadcast), built once per worker."""
-    if (part[0], window) not in _CACHE:
-        _CACHE.clear()                       # one part at a time in a worker
-        _CACHE[part[0], window] = _Index(part[1].value, window)
-    return _CACHE[part[0], window]
+    """The index of a part (its name, its broadcast), built once per worker while ``CACHED`` parts suffice."""
+    key = part[0], window
+    if key not in _CACHE:
+        while len(_CACHE) >= CACHED:
+            _CACHE.pop(next(iter(_CACHE)))
+        _CACHE[key] = _Index(part[1].value, window)
+    return _CACHE[key]
 
 
 def _scan(batches: Iterator[pa.RecordBatch], parts: list[tuple], window: int) -> Iterator[pa.RecordBatch]:

@@ -29,3 +29,22 @@ def test_empty_tables(spark):
     items, none = documents(spark, ITEMS, "item_id long, text string"), documents(spark, [], "item_id long, text string")
     assert D.scan(documents(spark, []), items).collect() == []
     assert {r.n_hit for r in D.scan(documents(spark, ROWS), none).collect()} == {0}
+
+
+def test_an_index_is_a_few_times_its_text():
+    import random
+
+    from barlake.llm.decontam import _Index
+    rng = random.Random(2)
+    items = [(str(i), " ".join(f"w{rng.randrange(10_000)}" for _ in range(400))) for i in range(1000)]
+    size = sum(len(t) for _, t in items)
+    assert _Index(items, 10).nbytes() < 6 * size
+
+
+def test_short_items_and_shared_windows(spark):
+    items = [("a", "one two three"), ("b", "One, two three"), ("c", "x " * 40), ("d", " ".join(f"w{i}" for i in range(12))), ("e", " ".join(f"w{i}" for i in range(1, 13))), ("f", "solo"), ("g", None), ("h", "?!")]
+    rows = [(1, "zero one two three four"), (2, "one two"), (3, "x x x x x x x x x x x"), (4, " ".join(f"W{i}" for i in range(13))), (5, "so solo so"), (6, "one two. three one")]
+    docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id string, text string")
+    for size in (1 << 20, 30):                                                       # one part, many parts
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in D.scan(docs, bench, part_bytes=size).collect()}
+        assert got == {i: x for (i, _), x in zip(rows, contaminated(rows, items, 10))}
