@@ -1,21 +1,25 @@
 """Personal data: keyed surrogates for detected entities, DataFrame expressions only.
 
 Detected are e-mail addresses, payment cards, phone numbers, IPv4 addresses,
-social security numbers, IBANs, access keys, assigned secrets (``password=``,
-``token = "..."``), long hexadecimal tokens, and names of persons (a known given name
-or a title, then a capitalised surname).  An entity is its normalised form
-(digits of a number, lower-case address, given name and surname on their own),
-so every mention of it, in whatever format, gets the same surrogate.
+social security numbers, IBANs, IPv6 addresses, access keys, assigned secrets
+(``password=``, ``token = "..."``), long hexadecimal tokens, and names of persons:
+a known given name or a title, then a surname, taken whole with its particles,
+apostrophes and inner capitals; after a neutral title (Dr) also any given name;
+known given names also in capitals.  An entity is its normalised form (digits of a number,
+lower-case address, given name and surname on their own), so every mention of
+it, in whatever format, gets the same surrogate.
 
 A surrogate is derived from SHA-256 of a secret key, the type, the entity and
 an attempt number, and keeps the type: cards keep network digit, grouping and a
 valid check digit, IBANs country and check digits, phone numbers country code
 and punctuation, secrets their alphabet and length, given names the gender,
-all names the script.
+all names the script and their capitals.  Drawn names are made of syllables, far
+more of them than there are names to detect.
 
 Distinctness is checked over the whole corpus: entities are counted once,
-surrogates that several entities would share, or that are themselves entities
-of the corpus, are drawn again by all but one of them, until none is left.
+surrogates that several entities would share are drawn again by all but one of
+them, and surrogates that are entities of the corpus, their own included, by all,
+until none is left.
 Attempts above 0 are rare; they are kept by document in a stored table, which
 Spark broadcasts if its size allows and otherwise joins by a shuffle.
 
@@ -33,26 +37,41 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-# Given names that are recognised and drawn, by script and gender, and the syllables of drawn surnames.
+# Given names that are recognised, by script and gender, titles, particles of surnames, and the syllables and endings of drawn names.
 GIVEN = {
     ("latin", "m"): "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Paul Mark Peter Hans Karl Jean Pierre Luis Carlos Juan".split(),
     ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Anna Emma Laura Maria Julia Claire Sophie Carmen Lucia".split(),
     ("cyrillic", "m"): "Иван Пётр Алексей Дмитрий Сергей Андрей Николай Михаил Павел Борис".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Юлия Вера".split(),
 }
-TITLES = {"m": "Mr Herr Señor Monsieur господин".split(), "f": "Mrs Ms Miss Frau Señora Madame госпожа".split()}
+TITLES = {"m": "Mr Herr Señor Monsieur господин".split(), "f": "Mrs Ms Miss Frau Señora Madame госпожа".split(), "any": "Dr Prof Professor Doctor".split()}
+PARTICLES = "van von de del della der den di da dos la le du ten ter zu".split()
 SYLLABLES = {"latin": "bar ben cor dal den far gar hol kel lan lin mar mor nel nor par ral ren sel ton".split(),
              "cyrillic": "бар бел вор гор дан зар кол лан лин мар мир ром рус сал тим тор".split()}
 ENDINGS = {"latin": {"m": "er", "f": "er"}, "cyrillic": {"m": "ов", "f": "ова"}}
+GIVEN_ENDINGS = {("latin", "m"): "o us ik ald ert".split(), ("latin", "f"): "a ia ina elle ise".split(), ("cyrillic", "m"): "ил ан ей ий".split(), ("cyrillic", "f"): "а ия ина ья".split()}
 
-_NAMES = "|".join(n for names in GIVEN.values() for n in names)
-_TITLES = "|".join(t for titles in TITLES.values() for t in titles)
-_SURNAME = r"\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)?"
+_KNOWN = [n for names in GIVEN.values() for n in names]
+
+
+def _by_first(words: list[str]) -> str:
+    """An alternation that fails at the first character of most other words."""
+    firsts = dict.fromkeys(w[0] for w in words)
+    return "|".join(f"{c}(?:{'|'.join(w[1:] for w in words if w[0] == c)})" for c in firsts)
+
+
+_NAMES = _by_first([*_KNOWN, *(n.upper() for n in _KNOWN)])
+_TITLES = _by_first([t for titles in TITLES.values() for t in titles])
+_NEUTRAL, _GENDERED = _by_first(TITLES["any"]), _by_first(TITLES["m"] + TITLES["f"])
+_PARTICLES = "|".join(PARTICLES)
+#: A capitalised name: O'Brien, McDonald, Jean-Luc, SMITH; with particles before it: van der Berg.
+_CAPITALISED = r"\p{Lu}(?:['\u2019]\p{Lu})?\p{L}++(?:['\u2019-]\p{Lu}\p{L}++)*+"
+_SURNAME = rf"(?:(?:{_PARTICLES}) ){{0,3}}+{_CAPITALISED}"
 #: One pattern per type, tried in this order at each word begin.  Repetitions are bounded by the type's format, or open-ended and
 #: possessive over one character class (secrets, hexadecimal tokens, surnames: taken whole at any length), so long texts stay linear.
 PATTERNS = {
     "secret": r"(?:password|passwd|pwd|token|secret|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_.~-]{6,}+",
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "access_key": r"A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
@@ -60,10 +79,16 @@ PATTERNS = {
     "card": r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
     "hex": r"[0-9a-f]{32,}+(?![0-9A-Za-z])",
-    "name": rf"(?:(?:{_TITLES})\.? )?(?:{_NAMES}) {_SURNAME}|(?:{_TITLES})\.? {_SURNAME}",
+    "ip6": r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}(?![0-9A-Za-z:])",
+    "name": rf"(?:{_NEUTRAL})\.? (?:{_CAPITALISED} )?{_SURNAME}|(?:{_GENDERED})\.? (?:(?:{_NAMES}) )?{_SURNAME}|(?:{_NAMES}) {_SURNAME}",
 }
-#: Nothing starts inside a word; the look-ahead lets most positions fail at once.
-ANY = r"(?<![\p{L}\p{N}_@])(?=[\p{Lu}\d(+@a-z])(?:" + "|".join(PATTERNS.values()) + ")"
+#: What a mention can be by its first character; types in the order of ``PATTERNS``.
+STARTS = {r"[a-z]": ("secret", "email", "hex", "ip6"), r"\d": ("email", "ip", "ssn", "card", "phone", "hex", "ip6"), r"[(+]": ("phone",),
+          r"\p{Lu}|г": ("email", "access_key", "iban", "ip6", "name")}
+#: Nothing starts inside a word; the look-aheads let most positions fail at once.
+ANY = r"(?<![\p{L}\p{N}_@])(?:" + "|".join(f"(?={c})(?:{'|'.join(PATTERNS[t] for t in types)})" for c, types in STARTS.items()) + ")"
+#: Characters that mark a mention's begin and end; texts that hold them are split the long way.
+BEGIN, END = "\ue000", "\ue001"
 MENTION = "struct<text:string,type:string>"
 
 
@@ -96,17 +121,31 @@ def _script(c: Column) -> Column:
 
 
 def _gender(mention: Column) -> Column:
-    female = [*TITLES["f"], *GIVEN["latin", "f"], *GIVEN["cyrillic", "f"]]
-    return F.when(mention.rlike(rf"^(?:{_alternatives(female)})\b|^\S+ (?:{_alternatives(GIVEN['latin', 'f'] + GIVEN['cyrillic', 'f'])}) "), F.lit("f")).otherwise(F.lit("m"))
+    """Of the title, else of a known given name; m where neither tells."""
+    names = GIVEN["latin", "f"] + GIVEN["cyrillic", "f"]
+    female = _alternatives([*names, *(n.upper() for n in names)])
+    by_title = F.when(mention.rlike(rf"^(?:{_alternatives(TITLES['f'])})\b"), F.lit("f")).when(mention.rlike(rf"^(?:{_alternatives(TITLES['m'])})\b"), F.lit("m"))
+    return F.coalesce(by_title, F.when(mention.rlike(rf"^(?:(?:{_TITLES})\.? )?(?:{female}) "), F.lit("f")), F.lit("m"))
+
+
+def _title(mention: Column) -> Column:
+    return F.regexp_extract(mention, rf"^((?:{_TITLES})\.? )", 1)
+
+
+def _bare(mention: Column) -> Column:
+    """The name without its title."""
+    return F.substring(mention, F.length(_title(mention)) + 1, F.length(mention))
 
 
 def _given(mention: Column) -> Column:
     """The given name in a name; empty without one."""
-    return F.regexp_extract(mention, rf"^(?:(?:{_TITLES})\.? )?({_NAMES}) ", 1)
+    return F.regexp_extract(_bare(mention), rf"^({_NAMES}|{_CAPITALISED}) (?=\S)", 1)
 
 
 def _surname(mention: Column) -> Column:
-    return F.regexp_extract(mention, r"(\S+)$", 1)
+    """The surname with its particles."""
+    given = _given(mention)
+    return F.substring(_bare(mention), F.when(given != "", F.length(given) + 2).otherwise(F.lit(1)), F.length(mention))
 
 
 def entities_of(mention: Column, kind: Column) -> Column:
@@ -118,7 +157,7 @@ def entities_of(mention: Column, kind: Column) -> Column:
     # a Slavic surname's masculine and feminine forms are one entity
     surname = one(F.lit("surname"), F.regexp_replace(F.lower(_surname(mention)), "(?<=\\p{IsCyrillic}(?:ов|ев|ин))а$", ""))
     names = F.when(_given(mention) != "", F.array(given, surname)).otherwise(F.array(surname))
-    entity = (F.when(kind == "email", F.lower(mention)).when(kind.isin("card", "phone", "ssn"), _digits(mention))
+    entity = (F.when(kind.isin("email", "ip6"), F.lower(mention)).when(kind.isin("card", "phone", "ssn"), _digits(mention))
               .when(kind == "iban", F.regexp_replace(mention, " ", "")).when(kind == "secret", F.substring(mention, F.length(_secret_prefix(mention)) + 1, F.length(mention)))
               .otherwise(mention))
     return F.when(kind == "name", names).otherwise(F.array(one(kind, entity)))
@@ -183,9 +222,11 @@ def _phone(c: Column, digest: Column, attempt: Column) -> Column:
     return _chars(c, digit)
 
 
-def _double_name(names: list[str], digest: Column, attempt: Column) -> Column:
-    """One of the names; each further attempt joins another one to it."""
-    return F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda i: _pick(names, _byte(digest, i))), "-")
+def _given_name(script: str, gender: str, digest: Column, attempt: Column) -> Column:
+    """A drawn given name: syllables as of a surname, one less, and an ending of its gender."""
+    places = F.sequence(F.lit(0), _byte(digest, F.lit(61)) % 2 + attempt)
+    stem = F.array_join(F.transform(places, lambda i: _pick(SYLLABLES[script], _byte(digest, i + 8))), "")
+    return F.initcap(F.concat(stem, _pick(GIVEN_ENDINGS[script, gender], _byte(digest, F.lit(62)))))
 
 
 def _word(script: str, digest: Column, attempt: Column) -> Column:
@@ -208,11 +249,12 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
         iban = _let(_same_shape(F.substring(entity, F.lit(5), F.length(entity)), d), lambda x: F.concat(F.substring(entity, 1, 2), _iban_check(F.substring(entity, 1, 2), x), x))
         ssn = F.concat((_byte(d, F.lit(63)) % 8 + 1).cast("string"), F.substring(_same_shape(entity, d), F.lit(2), F.length(entity)))
         given = F.lit(None).cast("string")
-        for (script, gender), names in GIVEN.items():
-            given = F.when((_script(entity) == script) & (kind == f"given_{gender}"), _double_name(names, d, attempt)).otherwise(given)
+        for script, gender in GIVEN:
+            given = F.when((_script(entity) == script) & (kind == f"given_{gender}"), _given_name(script, gender, d, attempt)).otherwise(given)
+        groups = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.lower(F.hex(_byte(d, 2 * i) * 256 + _byte(d, 2 * i + 1)))), ":")
         surname = F.when(_script(entity) == "cyrillic", _word("cyrillic", d, attempt)).otherwise(_word("latin", d, attempt))
         return (F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", _phone(entity, d, attempt)).when(kind == "ip", F.concat_ws(".", *[o.cast("string") for o in octets]))
-                .when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind.startswith("given"), given).when(kind == "surname", surname)
+                .when(kind == "ip6", F.concat(F.lit("2001:db8:"), groups)).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind.startswith("given"), given).when(kind == "surname", surname)
                 .when(kind == "access_key", F.concat(F.substring(entity, 1, 4), F.substring(_same_shape(entity, d), F.lit(5), F.length(entity)))).otherwise(_same_shape(entity, d)))
 
     return _let(digest, made)
@@ -238,17 +280,22 @@ def rendered(mention: Column, kind: Column, key: str, attempts: Column) -> Colum
 
     def formatted(s: Column) -> Column:
         ending = F.when(_script(mention) == "cyrillic", F.when(_gender(mention) == "f", F.lit(ENDINGS["cyrillic"]["f"])).otherwise(F.lit(ENDINGS["cyrillic"]["m"]))).otherwise(F.lit(ENDINGS["latin"]["m"]))
-        title = F.regexp_extract(mention, rf"^((?:{_TITLES})\.? )", 1)
+        name = F.concat(F.array_join(s, " "), ending)
+        upper = _bare(mention).rlike(r"^[\p{Lu} '\u2019-]+$")
         return (F.when(kind.isin("card", "phone", "ssn"), _refill(mention, s[0], "[0-9]")).when(kind == "iban", _refill(mention, s[0], "[0-9A-Z]"))
-                .when(kind == "secret", F.concat(_secret_prefix(mention), s[0])).when(kind == "name", F.concat(title, F.array_join(s, " "), ending)).otherwise(s[0]))
+                .when(kind == "secret", F.concat(_secret_prefix(mention), s[0])).when(kind == "name", F.concat(_title(mention), F.when(upper, F.upper(name)).otherwise(name))).otherwise(s[0]))
 
     return _let(F.transform(entities_of(mention, kind), drawn), formatted)
 
 
+def _mention(text: Column) -> Column:
+    return F.struct(text.alias("text"), type_of(text).alias("type"))
+
+
 def mentions_of(text: Column) -> Column:
     """All mentions in a text, in order, with their types."""
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    return F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda m: F.struct(m.alias("text"), type_of(m).alias("type")))
+    return F.transform(F.coalesce(found, F.array().cast("array<string>")), _mention)
 
 
 def attempts_needed(entities: DataFrame, key: str) -> DataFrame:
@@ -262,7 +309,7 @@ def attempts_needed(entities: DataFrame, key: str) -> DataFrame:
         real = given.select(kind.alias("_rk"), F.lower("entity").alias("_re")).distinct()
         checked = (drawn.join(keeper, (kind == F.col("_k")) & (F.col("made") == F.col("_m")))
                    .join(real, (kind == F.col("_rk")) & (F.col("made") == F.col("_re")), "left"))
-        again = (F.col("n") > 1) & (F.col("entity") != F.col("keeper")) | F.col("_re").isNotNull() & ~F.col("type").startswith("given")
+        again = (F.col("n") > 1) & (F.col("entity") != F.col("keeper")) | F.col("_re").isNotNull()
         checked = stored(checked.select("type", "entity", "attempt", again.alias("again")), "entities")
         if not checked.where("again").limit(1).count():
             return checked.where("attempt > 0").select("type", "entity", "attempt")
@@ -271,7 +318,17 @@ def attempts_needed(entities: DataFrame, key: str) -> DataFrame:
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text (with surrogates), n_mentions, types (sorted) of every document; ``docs`` has doc_id and text."""
-    found = docs.select("doc_id", "text", mentions_of(F.col("text")).alias("_found"))
+    # one scan a pass: mentions are marked, and the marked text is split
+    marked = F.regexp_replace("text", ANY, f"{BEGIN}$0{END}")
+    plain = F.col("text").rlike(f"[{BEGIN}{END}]")
+    found = docs.select("doc_id", "text", F.when(~plain, F.split(marked, f"[{BEGIN}{END}]", -1)).alias("_pieces"))
+    numbered = F.sequence(F.lit(0), F.size("_pieces") - 1)
+    gaps = F.transform(F.filter(numbered, lambda i: i % 2 == 0), lambda i: F.col("_pieces")[i])
+    between = F.transform(F.filter(numbered, lambda i: i % 2 == 1), lambda i: _mention(F.col("_pieces")[i]))
+    # the pieces are used several times: a generator keeps them from being computed again for each
+    found = found.select("doc_id", "text", F.explode(F.array("_pieces")).alias("_pieces"))
+    found = found.select("doc_id", "text", F.when(F.col("_pieces").isNull(), F.split("text", ANY, -1)).otherwise(gaps).alias("_gaps"),
+                         F.when(F.col("_pieces").isNull(), mentions_of(F.col("text"))).otherwise(between).alias("_found"))
     held = found.where(F.size("_found") > 0).select("doc_id", F.explode("_found").alias("m")).select("doc_id", F.explode(entities_of(F.col("m.text"), F.col("m.type"))).alias("e"))
     held = stored(held.select("doc_id", "e.type", "e.entity").distinct(), "mentions")
     again = attempts_needed(held.select("type", "entity").distinct(), key)
@@ -280,7 +337,6 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
                     .groupBy(F.col("doc_id").alias("_id")).agg(F.map_from_entries(F.collect_list(entry)).alias("_attempts")), "attempts")
     found = found.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     attempts = F.coalesce("_attempts", F.create_map().cast("map<string,int>"))
-    gaps = F.split("text", ANY, -1)
-    parts = F.zip_with(gaps, "_found", lambda g, m: F.concat(g, F.coalesce(F.when(m.isNotNull(), rendered(m["text"], m["type"], key, attempts)), F.lit(""))))
+    parts = F.zip_with("_gaps", "_found", lambda g, m: F.concat(g, F.coalesce(F.when(m.isNotNull(), rendered(m["text"], m["type"], key, attempts)), F.lit(""))))
     text = F.when(F.size("_found") > 0, F.array_join(parts, "")).otherwise(F.col("text"))
     return found.select("doc_id", text.alias("text"), F.size("_found").alias("n_mentions"), F.array_sort(F.array_distinct(F.transform("_found", lambda m: m["type"]))).alias("types"))
