@@ -422,16 +422,17 @@ def q_newest_text_object(spark: Q, sf: str) -> DataFrame:
 
 
 def q_quarantine_split(spark: Q, sf: str) -> DataFrame:
-    """Landed CSV in which some records do not parse: (ticker, trade_date, parsed) of all of them."""
-    from ..sources.files import CORRUPT, read_raw_csv_quarantine
+    """Landed CSV in which some records do not parse: (ticker, trade_date, parsed, faults) of all of them."""
+    from ..sources.files import CORRUPT, FAULTS, read_raw_csv_quarantine
     path = scratch_path(spark, "landed")
     b = frames.user_bars(spark, sf).select(*RAW_BAR_SCHEMA.fieldNames())
     text = b.select(*[F.col(c).cast("string").alias(c) for c in b.columns])
-    text.withColumn("open", F.when(F.dayofmonth("trade_date") == 13, F.lit("abc")).otherwise(F.col("open"))).write.option("header", True).csv(path)
+    faulty = text.withColumn("open", F.when(F.dayofmonth("trade_date") == 13, F.lit("abc")).otherwise(F.col("open")))
+    faulty.withColumn("volume", F.when(F.dayofmonth("trade_date").isin(13, 21), F.lit("many")).otherwise(F.col("volume"))).write.option("header", True).csv(path)
     good, bad = read_raw_csv_quarantine(spark, path)
     record = F.split(F.col(CORRUPT), ",")
-    return (good.select("ticker", "trade_date", F.lit(True).alias("parsed"))
-            .unionByName(bad.select(*bad.columns).select(record[2].alias("ticker"), record[5].cast("date").alias("trade_date"), F.lit(False).alias("parsed"))))
+    return (good.select("ticker", "trade_date", F.lit(True).alias("parsed"), F.lit(None).cast("string").alias("faults"))
+            .unionByName(bad.select(record[2].alias("ticker"), record[5].cast("date").alias("trade_date"), F.lit(False).alias("parsed"), F.col(FAULTS).alias("faults"))))
 
 
 def q_report_anomalies(spark: Q, sf: str) -> DataFrame:

@@ -25,6 +25,9 @@ d AS (SELECT mode, source_object_key, ticker, trade_date, close, 'first' AS inge
                   + price_text("value") + "))")
     eda = oracle["eda_summary"]
     return {
+        "ticker_file": "SELECT DISTINCT regexp_replace(upper(trim(p_brand)), '[^A-Z0-9]', '', 'g') AS ticker FROM part",
+        "refresh_window": W(["bars_user"]) + "SELECT trade_date, count(*) AS rows FROM bars_user WHERE trade_date BETWEEN DATE '2024-01-06' AND DATE '2024-01-15' GROUP BY 1",
+        "coerced_ingest_times": "SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN ts END AS ingest_ts FROM events",
         "sketch_profile": """
 SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS rows, count(DISTINCT o_custkey) AS customers, true AS customers_within, true AS p50_within, true AS p99_within,
        min(o_totalprice) AS least, max(o_totalprice) AS greatest FROM orders GROUP BY 1""",

@@ -11,14 +11,16 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import coerce_timestamp
 from ..operators import control, curate, promote
 from ..operators.membership import SNAPSHOT_DATE, membership_intervals, read_universe, write_universe
+from ..operators.normalise import ticker_universe
 from ..operators.positions import with_positions
 from ..operators.sketches import DISTINCT_ERROR, RANK_ERROR, daily_sketches, merged_profile
 from ..operators.wide import export_wide, matrix_shape, read_long
 from ..session import scratch_path, stored
 from ..sources import adaptors
-from ..sources.files import list_objects, overwrite_raw_objects, read_raw_csv, read_zone, require_objects, write_raw_csv
+from ..sources.files import list_objects, overwrite_raw_objects, read_raw_csv, read_ticker_lines, read_zone, require_objects, write_raw_csv
 from ..sources.listing import footprint, list_partitions, object_folder, write_text_objects
 from ..sources.tables import read_table
 from ..spec import CONFORMED_SCHEMA, RAW_BAR_SCHEMA, USER_EVENTS, LakePaths
@@ -303,7 +305,40 @@ def q_raw_layouts(spark: SparkSession, sf: str) -> DataFrame:
     return read_raw_csv(spark, path, landed=True)
 
 
+def q_ticker_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Tickers of a written list whose other field is quoted and holds commas."""
+    path = scratch_path(spark, "tickers")
+    part = read_table(spark, sf, "part")
+    line = F.to_csv(F.struct(F.concat(F.lit(" "), F.lower("p_brand"), F.lit(" ")).alias("ticker"), F.concat("p_brand", F.lit(', "listed", '), F.col("p_partkey").cast("string")).alias("name")))
+    part.select(line.alias("value")).write.text(path)
+    return ticker_universe(read_ticker_lines(spark, path)).select("ticker")
+
+
+WINDOW_AS_OF, WINDOW_DATES = "2024-01-15", 10
+
+
+def q_refresh_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows per date of the curated zone after a refresh that looks back ten dates."""
+    paths = LakePaths.under(scratch_path(spark, "window"))
+    write_raw_csv(frames.user_bars(spark, sf).select(*RAW_BAR_SCHEMA.fieldNames()), paths.table("raw"))
+    lake_jobs.promote_raw(spark, paths, frames.INGEST_TS, frames.BATCH_ID)
+    lake_jobs.refresh_snapshots(spark, paths, days_back=WINDOW_DATES, as_of=WINDOW_AS_OF)
+    return read_zone(spark, paths.table("curated"), CONFORMED_SCHEMA).groupBy("trade_date").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def q_coerced_ingest_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Times from text in several ISO forms; what is none is null."""
+    ev = read_table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    form = F.col("event_id") % 4
+    text = (F.when(form == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).when(form == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+            .when(form == 2, F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL '10' HOUR"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+10:00"))).otherwise(F.concat(F.lit("run "), F.col("event_id").cast("string"))))
+    return ev.select("event_id", coerce_timestamp(text).alias("ingest_ts"))
+
+
 QUERIES = {
+    "ticker_file": q_ticker_file,
+    "refresh_window": q_refresh_window,
+    "coerced_ingest_times": q_coerced_ingest_times,
     "sketch_profile": q_sketch_profile,
     "wide_matrix_export": q_wide_matrix_export,
     "report_round_trip": q_report_round_trip,

@@ -432,7 +432,8 @@ ORACLE["newest_text_object"] = W(["objects"]) + "SELECT key, modified, content F
 
 ORACLE["copy_new_objects"] = W(["objects"]) + "SELECT key, content, CASE WHEN length % 3 = 0 THEN 1 ELSE 2 END AS delivery FROM objects"
 
-ORACLE["quarantine_split"] = W(["bars_user"]) + "SELECT ticker, trade_date, day(trade_date) <> 13 AS parsed FROM bars_user"
+ORACLE["quarantine_split"] = W(["bars_user"]) + """
+SELECT ticker, trade_date, day(trade_date) NOT IN (13, 21) AS parsed, CASE day(trade_date) WHEN 13 THEN 'open,volume' WHEN 21 THEN 'volume' END AS faults FROM bars_user"""
 
 ORACLE["report_nulls_by_ticker"] = "SELECT *, row_number() OVER (ORDER BY close DESC, ticker) AS position FROM (" + ORACLE["null_rates_by_ticker"] + ")"
 

@@ -13,14 +13,16 @@ that carry every column inside the row *and* in the path are read with
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..spec import CONFORMED_SCHEMA, OHLCV_DAILY, RAW_BAR_SCHEMA, DatasetSpec
 
-#: Column of a record that does not parse.
-CORRUPT = "unparsed_record"
+#: Column of a record that does not parse, and that of the names of the columns at fault.
+CORRUPT, FAULTS = "unparsed_record", "unparsed_columns"
 
 
 # --- ticker universe ----------------------------------------------------------
@@ -29,16 +31,17 @@ def read_ticker_lines(spark: SparkSession, path: str, column: str = "ticker") ->
     """Lines of a ticker list with their position (file order), one CSV field per line.
 
     The field is the one whose header names ``column`` (case and spaces
-    ignored); without such a header it is the first field.  The header line
-    itself is dropped later by ``ticker_universe``.  ``monotonically_increasing_id``
+    ignored); without such a header it is the first field.  Fields may be quoted
+    and hold commas then.  The header line itself is dropped later by ``ticker_universe``.  ``monotonically_increasing_id``
     follows partition then row order, i.e. file order, without moving the
     file through one task.
     """
     lines = spark.read.text(path)
     first = lines.first()
-    names = [c.strip().lower() for c in first["value"].split(",")] if first else []
+    names = [c.strip().lower() for c in next(csv.reader([first["value"]]), [])] if first else []
     idx = names.index(column) if column in names else 0
-    return lines.select(F.split(F.col("value"), ",").getItem(idx).alias("value"),
+    fields = ", ".join(f"f{i} string" for i in range(idx + 1))
+    return lines.select(F.from_csv("value", F.lit(fields)).getField(f"f{idx}").alias("value"),
                         F.monotonically_increasing_id().alias("pos"))
 
 
@@ -94,7 +97,7 @@ def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_BAR_
         full = T.StructType(text_schema(data).fields + [schema[c] for c in partition_cols])
         texts = reader.schema(full).option("basePath", path).csv(path)
     rows = parsed(texts, data)
-    bad = F.raise_error(F.concat(F.lit("raw record does not parse: "), F.col(CORRUPT)))
+    bad = F.raise_error(F.concat(F.lit("raw record does not parse ("), F.col(FAULTS), F.lit("): "), F.col(CORRUPT)))
     return rows.where(F.when(F.col(CORRUPT).isNotNull(), bad.cast("boolean")).otherwise(F.lit(True))).select(*schema.fieldNames())
 
 
@@ -127,24 +130,25 @@ def text_schema(schema: T.StructType) -> T.StructType:
 
 
 def parsed(texts: DataFrame, schema: T.StructType) -> DataFrame:
-    """Text columns of ``schema`` cast to their types, other columns unchanged, and ``CORRUPT``.
+    """Text columns of ``schema`` cast to their types, other columns unchanged, ``CORRUPT`` and ``FAULTS``.
 
-    ``CORRUPT`` holds the record's texts, comma-joined, if one of them does not
-    parse, else null.  A missing last column (11-column files) is null, not an error.
+    If some texts of a record do not parse, ``CORRUPT`` holds all of its texts,
+    comma-joined, and ``FAULTS`` the names of those columns, comma-joined; else both
+    are null.  A missing last column (11-column files) is null, not an error.
     """
-    bad = F.lit(False)
-    for f in schema.fields:
-        bad = bad | (F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull())
+    wrong = [F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.lit(f.name)) for f in schema.fields]
+    faults = F.concat_ws(",", *wrong)
+    bad = faults != ""
     record = F.concat_ws(",", *[F.coalesce(F.col(f.name), F.lit("")) for f in schema.fields])
     typed = {f.name: f.dataType for f in schema.fields}
-    return texts.select(*[F.col(c).try_cast(typed[c]).alias(c) if c in typed else F.col(c) for c in texts.columns], F.when(bad, record).alias(CORRUPT))
+    return texts.select(*[F.col(c).try_cast(typed[c]).alias(c) if c in typed else F.col(c) for c in texts.columns], F.when(bad, record).alias(CORRUPT), F.when(bad, faults).alias(FAULTS))
 
 
 def read_raw_csv_quarantine(spark: SparkSession, path: str, schema: T.StructType = RAW_BAR_SCHEMA):
     """(good, bad) split of landed raw CSV: records that do not parse go to quarantine."""
     texts = spark.read.option("header", True).option("recursiveFileLookup", True).schema(text_schema(schema)).csv(path)
     df = parsed(texts.withColumn("source_object_key", F.col("_metadata.file_path")), schema)
-    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT, FAULTS)
     bad = df.where(F.col(CORRUPT).isNotNull())
     return good, bad
 

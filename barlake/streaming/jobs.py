@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..operators import curate, promote
 from ..session import stored
-from ..sources.files import (CORRUPT, current_raw_objects, parsed, path_exists, read_zone, relative_key, text_schema,
+from ..sources.files import (CORRUPT, FAULTS, current_raw_objects, parsed, path_exists, read_zone, relative_key, text_schema,
                              touched_partitions, with_landing, write_parquet_partitions)
 from ..spec import OHLCV_DAILY, DatasetSpec
 from .commits import stream_id, write_batch
@@ -93,7 +93,7 @@ def raw_to_conformed(spark: SparkSession, raw: str, conformed: str, checkpoint:
     def each(batch: DataFrame, number: int) -> None:
         landed = stored(parsed(batch, T.StructType(data)), "landed")        # the new files are read once
         if quarantine is not None:
-            bad = landed.where(F.col(CORRUPT).isNotNull()).select(*partition_cols, CORRUPT, F.col("_file").alias("source_file"))
+            bad = landed.where(F.col(CORRUPT).isNotNull()).select(*partition_cols, CORRUPT, FAULTS, F.col("_file").alias("source_file"))
             write_batch(bad, quarantine, stream_id(spark, checkpoint), number, "json")
         good = landed.where(F.col(CORRUPT).isNull()).select(*schema.fieldNames(), "_landed", "_file")
         stamp = ingest_ts or dt.datetime.now(dt.timezone.utc)

@@ -130,10 +130,20 @@ def test_a_raw_record_that_does_not_parse_raises(spark, tmp_dir):
     assert read_raw_csv(spark, f"{tmp_dir}/raw").count() == 1
     with open(f"{tmp_dir}/raw/exchange=ASX/trade_date=2025-01-02/landed.csv", "w") as f:
         f.write("dataset_id,ticker,vendor_symbol,currency,open,high,low,close,volume\nd,BAD,BAD.AX,AUD,abc,2,1,1,10\n")
-    with pytest.raises(Exception, match="raw record does not parse"):
+    with pytest.raises(Exception, match=r"raw record does not parse \(open\)"):
         read_raw_csv(spark, f"{tmp_dir}/raw").collect()
 
 
+def test_quoted_fields_of_a_ticker_list(spark, tmp_dir):
+    from barlake.operators.normalise import ticker_universe
+    from barlake.sources.files import read_ticker_lines
+    os.makedirs(f"{tmp_dir}/list")
+    with open(f"{tmp_dir}/list/tickers.csv", "w") as f:
+        f.write('name," Ticker "\n"Big, ""Old"" Co",bhp.ax\nPlain,"c b a"\n"a,b,c", 360 \n')
+    got = ticker_universe(read_ticker_lines(spark, f"{tmp_dir}/list")).orderBy("pos").collect()
+    assert [r["ticker"] for r in got][:1] == ["BHPAX"] and {r["ticker"] for r in got} == {"BHPAX", "CBA", "360"}
+
+
 # --- report set -----------------------------------------------------------------------------
 
 def test_report_set_round_trip(spark, tmp_dir):
