@@ -11,14 +11,16 @@ and are expanded again at the end, so a repeated row costs a shard one text.
    doc_id are set aside: all of their windows recur, so nothing needs finding.
 2. Anchors.  Each window is represented by the smallest hash of its runs of
    ``ANCHOR`` words (equal windows have equal anchors, neighbouring windows
-   mostly share one).  Documents' distinct anchors are shuffled by value;
-   those of several documents recur.
+   mostly share one).  A shard's distinct anchors are shuffled by value, with
+   two documents each at most; those of several documents recur.
 3. Windows.  Only windows with a recurring anchor are hashed (128 bits) and
    shuffled by hash, at most two rows a shard; in hash order, the first
    document of a window is its owner, and the shards of the other documents
    ask the owner for it.
-4. Passages.  Owners answer each shard with their text of the asked windows,
-   neighbouring ones merged to one passage.
+4. Passages.  An owner gives its text of all asked windows once, neighbouring
+   ones merged to one passage (cut every ``SPAN`` windows); a join hands it to
+   the shards that ask for that part of the owner, so a passage that very many
+   documents share is neither asked for nor answered in one task.
 5. Automata.  Each shard of documents compiles the windows of its passages
    into an Aho-Corasick automaton over words, and streams all of its documents
    through it: every occurrence, compared word by word, of a window whose owner
@@ -29,7 +31,7 @@ anchors and windows are found by streaming over sorted rows, in constant
 memory however many documents share one.
 
 Edge cases: null and empty texts have no words and lose none; texts shorter
-than a window lose nothing; equal doc_ids (repeated rows) don't remove words
+than a window lose nothing; very long texts are read whole; equal doc_ids (repeated rows) don't remove words
 from each other; rows with a null doc_id neither own windows nor lose words;
 each text of an id with several texts is judged on its own; an empty table
 gives an empty result; extra columns are ignored.
@@ -49,7 +51,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, stored
 from .runs import RunFirsts
 from .words import SPACED, WINDOW_BASES, Words, fits, slices, windows, words
 
@@ -57,6 +59,8 @@ WINDOW = 13
 #: Words of an anchor; a window of 13 words has 8 of them.
 ANCHOR = 6
 SHARD_DOCS = 512
+#: Windows of an owner that are asked for and answered together.
+SPAN = 256
 #: Rows into which a repeated row is expanded at once.
 REPEATS = 4096
 #: The alphabets of a word's two characters in an automaton (the vocabulary of a shard stays far below their product).
@@ -84,10 +88,11 @@ def _found(schema: pa.Schema, columns: list[list[np.ndarray]]) -> pa.Table:
 
 
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("shard", pa.int32())])
+_RECURRING = pa.schema([("anchor", pa.int64()), ("shard", pa.int32())])
 _WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("shard", pa.int32())])
 _DISTINCT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("shard", pa.int32()), ("n_rows", pa.int64())])
 _ASKED = pa.schema([("owner", pa.int64()), ("at", pa.int32()), ("shard", pa.int32()), ("asks", pa.int32())])
-_PASSAGES = pa.schema([("asks", pa.int32()), ("owner", pa.int64()), ("passage", pa.string()), ("same", pa.binary())])
+_PASSAGES = pa.schema([("owner", pa.int64()), ("part", pa.int32()), ("passage", pa.string())])
 _LOCATED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("removed", pa.list_(pa.int32())), ("kept_sha256", pa.string()), ("kept", pa.string()), ("n_rows", pa.int64())])
 
 
@@ -116,10 +121,23 @@ def _copied(docs: pa.Table, doc_ids: list, same: list) -> set[int]:
     return {row for row, doc in enumerate(docs.column("doc_id").to_pylist()) if doc in ids and texts[row].is_valid and (doc, _same(texts[row].as_py())) in copies}
 
 
+def _first_two(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two smallest documents of each key, in order of the key."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    new = np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1]))
+    turn = new.copy()
+    turn[1:] |= doc[1:] != doc[:-1]
+    nth = np.cumsum(turn)
+    nth -= nth[np.flatnonzero(new)][np.cumsum(new) - 1]
+    keep = turn & (nth < 2)
+    return key[keep], doc[keep]
+
+
 def _distinct_anchors(docs: pa.Table, copies: pa.Table, window: int, anchor: int) -> pa.Table:
-    """The anchors of a shard's documents, each once per document; none of copies."""
+    """The anchors of a shard's documents, each with two documents at most; none of copies."""
     skip, ids = _copied(docs, copies.column("doc_id").to_pylist(), copies.column("same").to_pylist()), docs.column("doc_id").to_pylist()
-    out: list[list[np.ndarray]] = [[], [], []]
+    out: list[list[np.ndarray]] = [[], []]
     for s in slices(docs.column("text")):
         w = words(s, SPACED)
         low, _ = _anchors(w, window, anchor)
@@ -129,12 +147,14 @@ def _distinct_anchors(docs: pa.Table, copies: pa.Table, window: int, anchor: int
                 x = np.unique(low[a:b]).view(np.int64)
                 out[0].append(x)
                 out[1].append(np.full(len(x), doc))
-    out[2] = [np.full(sum(map(len, out[0])), docs.column("shard")[0].as_py())] if out[0] else []
-    return _found(_ANCHORS, out)
+    if not out[0]:
+        return _found(_ANCHORS, [[], [], []])
+    key, doc = _first_two(np.concatenate(out[0]), np.concatenate(out[1]))
+    return _found(_ANCHORS, [[key], [doc], [np.full(len(key), docs.column("shard")[0].as_py())]])
 
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (anchor, doc_id) -> those of anchors that several documents have (the first one perhaps repeatedly)."""
+    """Rows sorted by (anchor, doc_id) -> the anchors that several documents have, with each shard that has them (perhaps repeatedly)."""
     firsts = RunFirsts()
     for batch in batches:
         key, doc, shard = (np.asarray(batch.column(c)) for c in ("anchor", "doc_id", "shard"))
@@ -143,35 +163,36 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_doc, first_shard = firsts((key,), (doc, shard))
         later = doc != first_doc
         _, begin = np.unique(key[later], return_index=True)
-        columns = [np.concatenate((x[later], f[later][begin])) for x, f in ((key, key), (doc, first_doc), (shard, first_shard))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ANCHORS.types, strict=True)], schema=_ANCHORS)
+        rows = [np.concatenate((x[later], f[later][begin])) for x, f in ((key, key), (shard, first_shard))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _RECURRING.types, strict=True)], schema=_RECURRING)
 
 
 def _candidate_windows(docs: pa.Table, anchors: pa.Table, window: int, anchor: int) -> pa.Table:
-    """Hashes and places of a shard's windows that have a recurring anchor."""
+    """Hashes and places of a shard's windows that have a recurring anchor; rows of ``anchors`` without one are copies."""
     out: list[list[np.ndarray]] = [[] for _ in _WINDOWS]
-    if anchors.num_rows and docs.num_rows:
-        key, of = np.asarray(anchors.column("anchor")).view(np.uint64), np.asarray(anchors.column("doc_id"))
-        order = np.lexsort((key, of))
-        key, of = key[order], of[order]
-        docs = docs.filter(pc.is_in(docs.column("doc_id"), value_set=pa.array(np.unique(of))))
-        ids = docs.column("doc_id").to_pylist()
+    recurring = anchors.filter(anchors.column("anchor").is_valid())
+    if recurring.num_rows and docs.num_rows:
+        key = np.unique(np.asarray(recurring.column("anchor")).view(np.uint64))
+        copies = anchors.filter(anchors.column("anchor").is_null())
+        skip, ids = _copied(docs, copies.column("doc_id").to_pylist(), copies.column("same").to_pylist()), docs.column("doc_id").to_pylist()
         for s in slices(docs.column("text")):
             w = words(s, SPACED, bases=2)
             low, _ = _anchors(w, window, anchor)
+            at = np.searchsorted(key, low)
+            hit = key[np.minimum(at, len(key) - 1)] == low
+            if not hit.any():
+                continue
             w1, w2 = windows(w.hashes[0], window, WINDOW_BASES[0]), windows(w.hashes[1], window, WINDOW_BASES[1])
             for i in range(len(s.offsets) - 1):
                 a, b, doc = int(w.first[i]), int(w.first[i + 1]) - window + 1, ids[s.row + i]
-                if b <= a:
+                if b <= a or doc is None or s.row + i in skip:
                     continue
-                mine = key[np.searchsorted(of, doc):np.searchsorted(of, doc, side="right")]
-                at = np.searchsorted(mine, low[a:b])
-                at = np.flatnonzero(mine[np.minimum(at, len(mine) - 1)] == low[a:b])
+                at = np.flatnonzero(hit[a:b])
                 for o, x in zip(out, (w1[a + at].view(np.int64), w2[a + at].view(np.int64), np.full(len(at), doc), at), strict=False):
                     o.append(x)
         if out[0]:
             out = [[c] for c in _two_documents(*(np.concatenate(c) for c in out[:4]))]
-            out.append([np.full(len(out[0][0]), anchors.column("shard")[0].as_py())])
+            out.append([np.full(len(out[0][0]), recurring.column("shard")[0].as_py())])
     return _found(_WINDOWS, out)
 
 
@@ -208,27 +229,26 @@ def _asked_of_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _answers(docs: pa.Table, asked: pa.Table, window: int) -> pa.Table:
-    """The owners' text of the asked windows, neighbouring windows for one shard merged to a passage."""
-    out: dict[str, list] = {"asks": [], "owner": [], "passage": [], "same": []}
+    """The owners' text of the asked windows, neighbouring ones of one part of the owner merged to a passage."""
+    out: dict[str, list] = {name: [] for name in _PASSAGES.names}
     if asked.num_rows and docs.num_rows:
-        owner, at, asks = (np.asarray(asked.column(c)).astype(np.int64) for c in ("owner", "at", "asks"))
-        rows = np.unique(np.column_stack((owner, asks, at)), axis=0)
+        owner, at = (np.asarray(asked.column(c)).astype(np.int64) for c in ("owner", "at"))
+        rows = np.unique(np.column_stack((owner, at)), axis=0)
         new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1) | (rows[1:, 2] != rows[:-1, 2] + 1)
+        new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1] + 1) | (rows[1:, 1] % SPAN == 0)
         begin = np.flatnonzero(new)
-        runs = np.column_stack((rows[begin], rows[np.concatenate((begin[1:], [len(rows)])) - 1, 2]))      # owner, asks, first, last
+        runs = np.column_stack((rows[begin], rows[np.concatenate((begin[1:], [len(rows)])) - 1, 1]))      # owner, first, last
         docs = docs.filter(pc.is_in(docs.column("doc_id"), value_set=pa.array(np.unique(owner))))
         ids = docs.column("doc_id").to_pylist()
         for s in slices(docs.column("text")):
             w = words(s, SPACED)
             for i in range(len(s.offsets) - 1):
                 doc, a, b = ids[s.row + i], int(w.first[i]), int(w.first[i + 1])
-                for _, target, first, last in runs[np.searchsorted(runs[:, 0], doc):np.searchsorted(runs[:, 0], doc, side="right")].tolist():
+                for _, first, last in runs[np.searchsorted(runs[:, 0], doc):np.searchsorted(runs[:, 0], doc, side="right")].tolist():
                     last = min(last, b - a - window)         # the rest is of another text of a repeated id
                     if first <= last:
-                        out["same"].append(None)
-                        out["asks"].append(target)
                         out["owner"].append(doc)
+                        out["part"].append(first // SPAN)
                         out["passage"].append(s.data[w.start[a + first]:w.end[a + last + window - 1]].tobytes().decode())
     return pa.table([pa.array(v, t) for v, t in zip(out.values(), _PASSAGES.types, strict=True)], schema=_PASSAGES)
 
@@ -326,11 +346,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         return distinct.groupBy("shard").cogroup(other.select(*[F.col(c).alias(c) for c in other.columns]).groupBy(key)).applyInArrow(partial(work, **settings), _ddl(schema))
 
     anchors = by_shard(copies, "shard", _distinct_anchors, _ANCHORS, window=window, anchor=anchor)
-    recurring = anchors.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_recurring, _ddl(_ANCHORS))
+    recurring = anchors.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_recurring, _ddl(_RECURRING))
+    none = F.lit(None)
+    recurring = recurring.select("anchor", none.cast("long").alias("doc_id"), "shard", none.cast("binary").alias("same"))
+    recurring = recurring.unionAll(copies.select(none.cast("long").alias("anchor"), "doc_id", "shard", "same"))
     candidates = by_shard(recurring, "shard", _candidate_windows, _WINDOWS, window=window, anchor=anchor)
     asked = candidates.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "doc_id", "at").mapInArrow(_asked_of_owners, _ddl(_ASKED))
-    passages = by_shard(asked, "shard", _answers, _PASSAGES, window=window)
-    passages = passages.unionAll(copies.select(F.col("shard").alias("asks"), F.col("doc_id").alias("owner"), F.lit(None).cast("string").alias("passage"), "same"))
+    asked = stored(asked, "asked-windows")                    # used twice
+    answers = by_shard(asked.select("owner", "at", "shard").distinct(), "shard", _answers, _PASSAGES, window=window)
+    asking = asked.select("owner", F.floor(F.col("at") / SPAN).cast("int").alias("part"), "asks").distinct()
+    passages = asking.join(answers, ["owner", "part"]).select("asks", "owner", "passage", none.cast("binary").alias("same"))
+    passages = passages.unionAll(copies.select(F.col("shard").alias("asks"), F.col("doc_id").alias("owner"), none.cast("string").alias("passage"), "same"))
     located = by_shard(passages, "asks", _stream, _LOCATED, window=window, with_text=with_text)
     begin_end = F.transform(F.sequence(F.lit(0), (F.size("removed") / 2).cast("int") - 1), lambda i: F.struct(F.get("removed", 2 * i).alias("begin"), F.get("removed", 2 * i + 1).alias("end")))
     spans = F.when(F.size("removed") > 0, begin_end).otherwise(F.array().cast("array<struct<begin:int,end:int>>"))
