@@ -20,7 +20,7 @@ combined by (part, entry, position).  Only the codebooks, ``entries`` times the
 dimension, go through the driver and to the tasks.
 
 Edge cases: a vector is left out if it is null or holds null or non-finite
-components, or one whose integer has more than 62 bits.  Vectors shorter than
+components, and for nothing else: integers have any length.  Vectors shorter than
 the longest one, and a dimension that is no multiple of the parts, are
 continued with zeros (an empty vector is all zeros).  A repeated vec_id gives
 one seed, its smallest vector; null ids come last.  Ties go to the lower
@@ -32,6 +32,7 @@ long.  Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -42,17 +43,17 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored
 
-SCALE = 256.0
+SCALE = 256
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
-#: Integers up to here are summed as decimals; a vector beyond has no 64-bit form.
-LARGEST = float(1 << 62)
-_SUMS = "part int, entry int, position int, total string, n long"
+#: Integers up to so many bits are 64-bit ones; longer sums are added up in limbs of this length.
+BITS = 62
+_SUMS = "part int, entry int, position int, limb int, total long, n long"
 _CODES = "vec_id {id}, label {label}, code string, error string"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, v array<double>) of the vectors that take part."""
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double") * SCALE) < LARGEST))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     label = F.col("label") if "label" in vectors.columns else F.lit(None).cast("string")
     return vectors.where(F.coalesce(finite, F.lit(False))).select("vec_id", label.alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
@@ -85,7 +86,7 @@ def _exact(*arrays: np.ndarray) -> list[np.ndarray]:
     d = arrays[0].shape[1]
     p = 1 << max(d - 1, 0).bit_length()
     top = max(int(abs(a).max(initial=0)) for a in arrays)
-    return [a if p * p * 4 * top * top < 1 << 62 else a.astype(object) for a in arrays]
+    return [a.astype(np.int64 if p * p * 4 * top * top < 1 << BITS else object, copy=False) for a in arrays]
 
 
 def nearest(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,33 +115,48 @@ def nearest(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndar
 # --- passes over the vectors ----------------------------------------------------
 
 def _integers(column: pa.Array, width: int) -> np.ndarray:
-    """floor(256 x) as int64 rows of ``width``, continued with zeros."""
+    """floor(256 x) as rows of ``width``, continued with zeros: int64, or Python integers if one is too long."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lengths = np.diff(np.asarray(column.offsets))
-    out = np.zeros((len(column), width), np.int64)
-    out[np.arange(width) < lengths[:, None]] = np.floor(np.asarray(column.flatten(), np.float64) * SCALE).astype(np.int64)
+    x = np.asarray(column.flatten(), np.float64)
+    if abs(x).max(initial=0.0) < (1 << BITS) // SCALE:
+        found = np.floor(x * SCALE).astype(np.int64)
+    else:
+        # from 2^53 on a double is whole, and its product might leave the doubles
+        found = np.array([math.floor(v * SCALE) if abs(v) < 1 << 53 else int(v) * SCALE for v in x.tolist()], object)
+    out = np.zeros((len(column), width), found.dtype)
+    out[np.arange(width) < lengths[:, None]] = found
     return out
 
 
+def limbs(total: int) -> list[int]:
+    """Two's complement limbs of an integer, the lowest first; only the last one has a sign."""
+    out = []
+    while not -(1 << BITS) <= total < 1 << BITS:
+        out.append(total & (1 << BITS) - 1)
+        total >>= BITS
+    return [*out, total]
+
+
 def _sums(batches: Iterator[pa.RecordBatch], books: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Of each entry of each part, the sum and number of this task's parts that are assigned to it."""
     m, k, d = books.shape
     total, count = np.zeros((m, k, d), object), np.zeros((m, k), np.int64)
     for batch in batches:
         rows = _integers(batch.column("v"), m * d).reshape(-1, m, d)
-        small = int(abs(rows).max(initial=0)) * max(len(rows), 1) < 1 << 62
+        small = int(abs(rows).max(initial=0)) * max(len(rows), 1) < 1 << BITS
         for j in range(m):
             entry, _ = nearest(rows[:, j], books[j])
             part = np.zeros((k, d), np.int64 if small else object)
             np.add.at(part, entry, rows[:, j] if small else rows[:, j].astype(object))
             total[j] += part.astype(object)
             count[j] += np.bincount(entry, minlength=k)
-    part, entry = np.nonzero(count)
-    if len(part):
-        yield pa.RecordBatch.from_pydict({
-            "part": pa.array(np.repeat(part, d), pa.int32()), "entry": pa.array(np.repeat(entry, d), pa.int32()), "position": pa.array(np.tile(np.arange(d), len(part)), pa.int32()),
-            "total": pa.array([str(x) for x in total[part, entry].ravel()]), "n": pa.array(np.repeat(count[part, entry], d), pa.int64())})
+    found = [(j, e, i, limb, x, count[j, e]) for j, e in np.argwhere(count).tolist() for i in range(d) for limb, x in enumerate(limbs(int(total[j, e, i])))]
+    if found:
+        columns = zip(*found, strict=True)
+        kinds = [pa.int32()] * 4 + [pa.int64()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "entry", "position", "limb", "total", "n"])
 
 
 def _codes(batches: Iterator[pa.RecordBatch], books: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -182,10 +198,13 @@ def learn_codebooks(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRI
     books = np.ascontiguousarray(_integers(seeds, parts * d).reshape(-1, parts, d).transpose(1, 0, 2))
     for _ in range(rounds):
         sums = rows.select("v").mapInArrow(partial(_sums, books=books), _SUMS)
-        found = sums.groupBy("part", "entry", "position").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.sum("n").alias("n"))
-        books = books.copy()                                  # entries without parts stay
-        for r in found.collect():                             # at most entries * dimension rows
-            books[r["part"], r["entry"], r["position"]] = int(r["total"]) // r["n"]
+        found = sums.groupBy("part", "entry", "position", "limb").agg(F.sum(F.col("total").cast("decimal(19,0)")).alias("total"), F.sum("n").alias("n"))
+        total, n = np.zeros(books.shape, object), np.zeros(books.shape, np.int64)
+        for r in found.collect():                             # at most entries * dimension rows, and a few limbs for huge components
+            at = r["part"], r["entry"], r["position"]
+            total[at] += int(r["total"]) << BITS * r["limb"]
+            n[at] = max(n[at], r["n"])                        # every sum has the lowest limb
+        books = np.where(n > 0, total // np.maximum(n, 1).astype(object), books)    # entries without parts stay
     return books
 
 
@@ -198,7 +217,7 @@ def encode(vectors: DataFrame, books: np.ndarray) -> DataFrame:
     rows = usable(vectors)
     types = dict(rows.dtypes)
     found = rows.mapInArrow(partial(_codes, books=books), _CODES.format(id=types["vec_id"], label=types["label"]))
-    return found.withColumn("error", F.col("error").cast("decimal(38,0)").try_cast("long"))
+    return found.withColumn("error", F.col("error").try_cast("long"))
 
 
 def decode(code: str, books: np.ndarray) -> list[int]:

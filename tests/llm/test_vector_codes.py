@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from barlake.llm import vector_codes as V
 
 def _brute(rows, parts=16, entries=64, rounds=2):
     """Plain distances in Python integers; rows of (vec_id, vector, label)."""
-    kept = [(i, [math.floor(256 * x) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    kept = [(i, [math.floor(256 * Fraction(x)) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     if not kept:
         return []
     d = max(1, -(-max(len(v) for _, v, _ in kept) // parts))
@@ -80,6 +81,24 @@ def test_few_vectors_ties_and_no_vectors(spark):
 
 def test_large_components_are_exact(spark):
     rows = _rows(80, 32, scale=3.0e6) + [(900, [2.0 ** 40 + 0.5] * 32, 1), (901, [-(2.0 ** 33)] * 32, 1)]
+    assert max(abs(x) for _, v, _ in rows for x in v) < 1 << 53
+    _check_against_brute(spark, rows)
+
+
+def test_components_of_any_size_take_part(spark):
+    """Beyond 64 bits, at the edge of the doubles, and as seeds: nothing that is finite is left out."""
+    huge = [(900, [1.0e18] * 32, 1), (901, [-1.0e300] * 31 + [0.3], 2), (902, [1.7e308] * 32, None), (903, [1.7e308] * 32, None), (904, [2.0 ** 54, -0.001] * 16, 4)]
+    _check_against_brute(spark, _rows(80, 32) + huge)
+    _check_against_brute(spark, [(i - 1000, v, label) for i, v, label in huge] + _rows(80, 32))
+
+
+def test_limbs_add_up():
+    for total in (0, -1, 1, 1 << 62, -(1 << 62), (1 << 62) - 1, 3 ** 500, -(3 ** 500)):
+        assert sum(x << V.BITS * i for i, x in enumerate(V.limbs(total))) == total
+        assert all(-(1 << 63) <= x < 1 << 63 for x in V.limbs(total))
+
+
+def _check_against_brute(spark, rows):
     got = {r[0]: r for r in _result(V.compress(_frame(spark, rows)))}
     for want in _brute(rows):
         fits = [x if x < 1 << 63 else None for x in want[2:4]]
