@@ -3,9 +3,14 @@
 Detected are e-mail addresses, payment cards, phone numbers, IPv4 addresses,
 social security numbers, IBANs, IPv6 addresses, access keys, assigned secrets
 (``password=``, ``token = "..."``), long hexadecimal tokens, and names of persons:
-a known given name or a title, then a surname, taken whole with its particles,
-apostrophes and inner capitals; after a neutral title (Dr) also any given name;
-known given names also in capitals.  An entity is its normalised form (digits of a number,
+a title, a given name and a surname, or a title or known given name and a
+surname, which is taken whole with its particles, apostrophes and inner capitals.
+Given names are known from a short list and learned from the corpus: a name that
+stands between a title and a surname in at least ``NAME_DOCS`` different texts,
+and in a share of ``NAME_SHARE`` of all texts that have it before a capitalised
+word, is known everywhere, with the gender that most of its titles have; a
+rarer one is known in the texts that have it with a title.  All texts
+are counted.  An entity is its normalised form (digits of a number,
 lower-case address, given name and surname on their own), so every mention of
 it, in whatever format, gets the same surrogate.
 
@@ -20,12 +25,15 @@ Distinctness is checked over the whole corpus: entities are counted once,
 surrogates that several entities would share are drawn again by all but one of
 them, and surrogates that are entities of the corpus, their own included, by all,
 until none is left.
-Attempts above 0 are rare; they are kept by document in a stored table, which
-Spark broadcasts if its size allows and otherwise joins by a shuffle.
+Attempts above 0 are rare; they are kept by document in a stored table, and the
+learned names by text, which Spark broadcasts if their sizes allow and otherwise
+joins by a shuffle.
 
 Edge cases: null texts stay null, empty ones empty; documents without
 entities are unchanged; repeated rows get equal results; a null doc_id is an id
-of its own; empty tables give empty results; extra columns are ignored.
+of its own; very long texts are scanned whole; empty tables give empty results;
+extra columns are ignored.  A capitalised word right after a title and a
+surname counts as the surname ("Mr Smith Road").
 """
 
 from __future__ import annotations
@@ -37,7 +45,10 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-# Given names that are recognised, by script and gender, titles, particles of surnames, and the syllables and endings of drawn names.
+#: Different texts that make a name known everywhere, and their share of the texts with the name before a capitalised word.
+NAME_DOCS, NAME_SHARE = 3, 0.01
+
+# Given names that are recognised from the start, by script and gender, titles, particles of surnames, and the syllables and endings of drawn names.
 GIVEN = {
     ("latin", "m"): "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Paul Mark Peter Hans Karl Jean Pierre Luis Carlos Juan".split(),
     ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Anna Emma Laura Maria Julia Claire Sophie Carmen Lucia".split(),
@@ -62,7 +73,6 @@ def _by_first(words: list[str]) -> str:
 
 _NAMES = _by_first([*_KNOWN, *(n.upper() for n in _KNOWN)])
 _TITLES = _by_first([t for titles in TITLES.values() for t in titles])
-_NEUTRAL, _GENDERED = _by_first(TITLES["any"]), _by_first(TITLES["m"] + TITLES["f"])
 _PARTICLES = "|".join(PARTICLES)
 #: A capitalised name: O'Brien, McDonald, Jean-Luc, SMITH; with particles before it: van der Berg.
 _CAPITALISED = r"\p{Lu}(?:['\u2019]\p{Lu})?\p{L}++(?:['\u2019-]\p{Lu}\p{L}++)*+"
@@ -80,13 +90,18 @@ PATTERNS = {
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
     "hex": r"[0-9a-f]{32,}+(?![0-9A-Za-z])",
     "ip6": r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}(?![0-9A-Za-z:])",
-    "name": rf"(?:{_NEUTRAL})\.? (?:{_CAPITALISED} )?{_SURNAME}|(?:{_GENDERED})\.? (?:(?:{_NAMES}) )?{_SURNAME}|(?:{_NAMES}) {_SURNAME}",
+    "name": rf"(?:{_TITLES})\.? (?:{_CAPITALISED} )?{_SURNAME}|(?:{_NAMES}) {_SURNAME}",
 }
 #: What a mention can be by its first character; types in the order of ``PATTERNS``.
 STARTS = {r"[a-z]": ("secret", "email", "hex", "ip6"), r"\d": ("email", "ip", "ssn", "card", "phone", "hex", "ip6"), r"[(+]": ("phone",),
           r"\p{Lu}|г": ("email", "access_key", "iban", "ip6", "name")}
 #: Nothing starts inside a word; the look-aheads let most positions fail at once.
-ANY = r"(?<![\p{L}\p{N}_@])(?:" + "|".join(f"(?={c})(?:{'|'.join(PATTERNS[t] for t in types)})" for c, types in STARTS.items()) + ")"
+_BEGIN_OF_WORD = r"(?<![\p{L}\p{N}_@])"
+_MENTIONS = "|".join(f"(?={c})(?:{'|'.join(PATTERNS[t] for t in types)})" for c, types in STARTS.items())
+ANY = f"{_BEGIN_OF_WORD}(?:{_MENTIONS})"
+#: A title and a given name, and a capitalised word, each before a surname.
+_TITLED = rf"{_BEGIN_OF_WORD}(?:{_TITLES})\.? {_CAPITALISED}(?= {_SURNAME})"
+_BEFORE_SURNAME = rf"{_BEGIN_OF_WORD}{_CAPITALISED}(?= {_SURNAME})"
 #: Characters that mark a mention's begin and end; texts that hold them are split the long way.
 BEGIN, END = "\ue000", "\ue001"
 MENTION = "struct<text:string,type:string>"
@@ -120,12 +135,17 @@ def _script(c: Column) -> Column:
     return F.when(c.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
 
 
-def _gender(mention: Column) -> Column:
-    """Of the title, else of a known given name; m where neither tells."""
+def _gender_of_title(mention: Column) -> Column:
+    """m or f; null for a neutral title and without one."""
+    return F.when(mention.rlike(rf"^(?:{_alternatives(TITLES['f'])})\b"), F.lit("f")).when(mention.rlike(rf"^(?:{_alternatives(TITLES['m'])})\b"), F.lit("m"))
+
+
+def _gender(mention: Column, women: Column) -> Column:
+    """Of the title, else of a known or learned given name; m where none tells."""
     names = GIVEN["latin", "f"] + GIVEN["cyrillic", "f"]
     female = _alternatives([*names, *(n.upper() for n in names)])
-    by_title = F.when(mention.rlike(rf"^(?:{_alternatives(TITLES['f'])})\b"), F.lit("f")).when(mention.rlike(rf"^(?:{_alternatives(TITLES['m'])})\b"), F.lit("m"))
-    return F.coalesce(by_title, F.when(mention.rlike(rf"^(?:(?:{_TITLES})\.? )?(?:{female}) "), F.lit("f")), F.lit("m"))
+    listed = mention.rlike(rf"^(?:(?:{_TITLES})\.? )?(?:{female}) ")
+    return F.coalesce(_gender_of_title(mention), F.when(listed | F.array_contains(women, F.lower(_given(mention))), F.lit("f")), F.lit("m"))
 
 
 def _title(mention: Column) -> Column:
@@ -148,12 +168,12 @@ def _surname(mention: Column) -> Column:
     return F.substring(_bare(mention), F.when(given != "", F.length(given) + 2).otherwise(F.lit(1)), F.length(mention))
 
 
-def entities_of(mention: Column, kind: Column) -> Column:
-    """Array of (type, entity) that a mention holds: two for a full name, else one."""
+def entities_of(mention: Column, kind: Column, women: Column) -> Column:
+    """Array of (type, entity) that a mention holds: two for a full name, else one; ``women`` has the text's learned names of women."""
     def one(t: Column, e: Column) -> Column:
         return F.struct(t.alias("type"), e.alias("entity"))
 
-    given = one(F.concat(F.lit("given_"), _gender(mention)), F.lower(_given(mention)))
+    given = one(F.concat(F.lit("given_"), _gender(mention, women)), F.lower(_given(mention)))
     # a Slavic surname's masculine and feminine forms are one entity
     surname = one(F.lit("surname"), F.regexp_replace(F.lower(_surname(mention)), "(?<=\\p{IsCyrillic}(?:ов|ев|ин))а$", ""))
     names = F.when(_given(mention) != "", F.array(given, surname)).otherwise(F.array(surname))
@@ -272,32 +292,55 @@ def _refill(mention: Column, text: Column, pattern: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(mention)), begin, step)["s"]
 
 
-def rendered(mention: Column, kind: Column, key: str, attempts: Column) -> Column:
+def rendered(mention: Column, kind: Column, key: str, attempts: Column, women: Column) -> Column:
     """What replaces a mention: the surrogates of its entities, in its format."""
     def drawn(e: Column) -> Column:
         tried = F.coalesce(F.try_element_at(attempts, F.concat_ws("\u0001", e["type"], e["entity"])), F.lit(0))
         return surrogate(e["type"], e["entity"], tried, key)
 
     def formatted(s: Column) -> Column:
-        ending = F.when(_script(mention) == "cyrillic", F.when(_gender(mention) == "f", F.lit(ENDINGS["cyrillic"]["f"])).otherwise(F.lit(ENDINGS["cyrillic"]["m"]))).otherwise(F.lit(ENDINGS["latin"]["m"]))
+        ending = F.when(_script(mention) == "cyrillic", F.when(_gender(mention, women) == "f", F.lit(ENDINGS["cyrillic"]["f"])).otherwise(F.lit(ENDINGS["cyrillic"]["m"]))).otherwise(F.lit(ENDINGS["latin"]["m"]))
         name = F.concat(F.array_join(s, " "), ending)
         upper = _bare(mention).rlike(r"^[\p{Lu} '\u2019-]+$")
         return (F.when(kind.isin("card", "phone", "ssn"), _refill(mention, s[0], "[0-9]")).when(kind == "iban", _refill(mention, s[0], "[0-9A-Z]"))
                 .when(kind == "secret", F.concat(_secret_prefix(mention), s[0])).when(kind == "name", F.concat(_title(mention), F.when(upper, F.upper(name)).otherwise(name))).otherwise(s[0]))
 
-    return _let(F.transform(entities_of(mention, kind), drawn), formatted)
+    return _let(F.transform(entities_of(mention, kind, women), drawn), formatted)
 
 
 def _mention(text: Column) -> Column:
     return F.struct(text.alias("text"), type_of(text).alias("type"))
 
 
-def mentions_of(text: Column) -> Column:
+def mentions_of(text: Column, pattern: Column) -> Column:
     """All mentions in a text, in order, with their types."""
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     return F.transform(F.coalesce(found, F.array().cast("array<string>")), _mention)
 
 
+# --- names ------------------------------------------------------------------------
+
+def learned_names(docs: DataFrame, min_docs: int = NAME_DOCS, min_share: float = NAME_SHARE) -> DataFrame:
+    """_text (hash of a text), _forms (learned given names in it, as written), _women (those of women, lower-case).
+
+    Equal texts count once.  Names are joined as a table, so their number has no
+    bound; a text's row holds the names of that text alone.
+    """
+    text = F.xxhash64("text").alias("_text")
+    titled = docs.select(text, F.explode(F.regexp_extract_all("text", F.lit(_TITLED), F.lit(0))).alias("m"))
+    titled = titled.select("_text", F.lower(_bare(F.col("m"))).alias("name"), _gender_of_title(F.col("m")).alias("gender"))
+    titled = stored(titled.groupBy("_text", "name").agg(*(F.max((F.col("gender") == g).cast("int")).alias(g) for g in "fm")), "titled-names")
+    names = titled.groupBy("name").agg(F.count(F.lit(1)).alias("n"), (F.coalesce(F.sum("f"), F.lit(0)) > F.coalesce(F.sum("m"), F.lit(0))).alias("female"))
+    names = stored(names, "names")
+    forms = docs.select(text, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_BEFORE_SURNAME), F.lit(0)))).alias("form"))
+    met = stored(forms.join(names, F.lower("form") == F.col("name")).select("_text", "form", "name", "female").distinct(), "names-met")
+    seen = met.select("_text", "name").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("seen"))
+    everywhere = names.join(seen, "name").where((F.col("n") >= min_docs) & (F.col("n") >= min_share * F.col("seen"))).select("name", F.lit(True).alias("_everywhere"))
+    here = titled.select("_text", "name", F.lit(True).alias("_here"))
+    taken = met.join(everywhere, "name", "left").join(here, ["_text", "name"], "left").where("_everywhere or _here")
+    return stored(taken.groupBy("_text").agg(F.array_sort(F.collect_set("form")).alias("_forms"), F.collect_set(F.when(F.col("female"), F.col("name"))).alias("_women")), "names-by-text")
+
+
 def attempts_needed(entities: DataFrame, key: str) -> DataFrame:
     """(type, entity, attempt) of the entities whose first surrogate is not theirs alone; ``entities`` has distinct (type, entity)."""
     given = stored(entities.withColumn("attempt", F.lit(0)), "entities")
@@ -318,18 +361,24 @@ def attempts_needed(entities: DataFrame, key: str) -> DataFrame:
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text (with surrogates), n_mentions, types (sorted) of every document; ``docs`` has doc_id and text."""
+    names = learned_names(docs)
+    named = docs.select("doc_id", "text").join(names, F.xxhash64("text") == F.col("_text"), "left")
+    learned = F.concat(F.lit(f"{_BEGIN_OF_WORD}(?:{_MENTIONS}|(?:"), F.array_join("_forms", "|"), F.lit(f") {_SURNAME})"))
+    pattern = F.coalesce(learned, F.lit(ANY))
+    women = F.coalesce("_women", F.array().cast("array<string>"))
     # one scan a pass: mentions are marked, and the marked text is split
-    marked = F.regexp_replace("text", ANY, f"{BEGIN}$0{END}")
+    marked = F.regexp_replace("text", pattern, F.lit(f"{BEGIN}$0{END}"))
     plain = F.col("text").rlike(f"[{BEGIN}{END}]")
-    found = docs.select("doc_id", "text", F.when(~plain, F.split(marked, f"[{BEGIN}{END}]", -1)).alias("_pieces"))
+    found = named.select("doc_id", "text", women.alias("_women"), pattern.alias("_pattern"), F.when(~plain, F.split(marked, f"[{BEGIN}{END}]", -1)).alias("_pieces"))
     numbered = F.sequence(F.lit(0), F.size("_pieces") - 1)
     gaps = F.transform(F.filter(numbered, lambda i: i % 2 == 0), lambda i: F.col("_pieces")[i])
     between = F.transform(F.filter(numbered, lambda i: i % 2 == 1), lambda i: _mention(F.col("_pieces")[i]))
     # the pieces are used several times: a generator keeps them from being computed again for each
-    found = found.select("doc_id", "text", F.explode(F.array("_pieces")).alias("_pieces"))
-    found = found.select("doc_id", "text", F.when(F.col("_pieces").isNull(), F.split("text", ANY, -1)).otherwise(gaps).alias("_gaps"),
-                         F.when(F.col("_pieces").isNull(), mentions_of(F.col("text"))).otherwise(between).alias("_found"))
-    held = found.where(F.size("_found") > 0).select("doc_id", F.explode("_found").alias("m")).select("doc_id", F.explode(entities_of(F.col("m.text"), F.col("m.type"))).alias("e"))
+    found = found.select("doc_id", "text", "_women", "_pattern", F.explode(F.array("_pieces")).alias("_pieces"))
+    found = found.select("doc_id", "text", "_women", F.when(F.col("_pieces").isNull(), F.split("text", F.col("_pattern"), -1)).otherwise(gaps).alias("_gaps"),
+                         F.when(F.col("_pieces").isNull(), mentions_of(F.col("text"), F.col("_pattern"))).otherwise(between).alias("_found"))
+    held = (found.where(F.size("_found") > 0).select("doc_id", "_women", F.explode("_found").alias("m"))
+            .select("doc_id", F.explode(entities_of(F.col("m.text"), F.col("m.type"), F.col("_women"))).alias("e")))
     held = stored(held.select("doc_id", "e.type", "e.entity").distinct(), "mentions")
     again = attempts_needed(held.select("type", "entity").distinct(), key)
     entry = F.struct(F.concat_ws("\u0001", held["type"], held["entity"]), F.col("attempt"))
@@ -337,6 +386,6 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
                     .groupBy(F.col("doc_id").alias("_id")).agg(F.map_from_entries(F.collect_list(entry)).alias("_attempts")), "attempts")
     found = found.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     attempts = F.coalesce("_attempts", F.create_map().cast("map<string,int>"))
-    parts = F.zip_with("_gaps", "_found", lambda g, m: F.concat(g, F.coalesce(F.when(m.isNotNull(), rendered(m["text"], m["type"], key, attempts)), F.lit(""))))
+    parts = F.zip_with("_gaps", "_found", lambda g, m: F.concat(g, F.coalesce(F.when(m.isNotNull(), rendered(m["text"], m["type"], key, attempts, F.col("_women"))), F.lit(""))))
     text = F.when(F.size("_found") > 0, F.array_join(parts, "")).otherwise(F.col("text"))
     return found.select("doc_id", text.alias("text"), F.size("_found").alias("n_mentions"), F.array_sort(F.array_distinct(F.transform("_found", lambda m: m["type"]))).alias("types"))

@@ -117,6 +117,31 @@ def test_whole_names_and_addresses(spark):
     assert len(re.findall(r"2001:db8(?::[0-9a-f]{1,4}){6}", got[1].text)) == 2
 
 
+def test_given_names_are_learned_from_titles(spark):
+    """A name with titles in three texts is known everywhere, a rarer one in its own text; common words are not."""
+    rows = [(i, f"Ms Keiko {s} wrote to Mr Tariq {s}") for i, s in enumerate(("Mori", "Sato", "Ito"))]
+    rows += [(3, "today Keiko Abe and KEIKO ABE met Tariq Aziz; Keiko left"), (4, "Dr Wanjiru Odhiambo spoke, then Wanjiru Odhiambo sat"), (5, "later Wanjiru Kamau"),
+             (6, "Yesterday Keiko Abe"), (7, "Mr Kenji Tanaka Jr"), *((100 + i, f"Prof June Moone{'abc'[i]}") for i in range(3)), *((200 + i, f"on June Xmas{i}") for i in range(400))]
+    got = _replace(spark, rows)
+    keiko, abe = re.match(r"today (\w+) (\w+) and ", got[3].text).groups()
+    assert keiko.endswith(tuple(S.GIVEN_ENDINGS["latin", "f"])) and got[3].text == f"today {keiko} {abe} and {keiko.upper()} {abe.upper()} met {got[3].text.split('met ')[1].split(';')[0]}; Keiko left"
+    assert got[0].text.startswith(f"Ms {keiko} ") and got[6].text == f"Yesterday {keiko} {abe}"
+    tariq = got[1].text.split()[-2]
+    assert got[1].text.split()[-3] == "Mr" and f"met {tariq} " in got[3].text and tariq.endswith(tuple(S.GIVEN_ENDINGS["latin", "m"]))
+    full = re.fullmatch(r"Dr (\w+ \w+) spoke, then (\w+ \w+) sat", got[4].text)
+    assert full[1] == full[2] != "Wanjiru Odhiambo" and got[5].text == "later Wanjiru Kamau"
+    assert "Kenji" not in got[7].text and "Tanaka" not in got[7].text
+    assert all(got[200 + i].text == f"on June Xmas{i}" for i in range(400)) and "June" not in got[100].text
+
+
+def test_learned_names_and_marks_in_one_text(spark):
+    rows = [(1, f"Dr Amara Obi {S.BEGIN} then Amara Obi"), (2, None), (3, ""), (None, "Dr Amara Obi then Amara Obi"), (1, f"Dr Amara Obi {S.BEGIN} then Amara Obi")]
+    found = S.replace_entities(documents(spark, rows), "k").collect()
+    texts = sorted(r.text for r in found if r.n_mentions)
+    assert len(found) == 5 and len(texts) == 3 and not any("Amara" in t or "Obi" in t for t in texts)
+    assert len({t.replace(f" {S.BEGIN}", "") for t in texts}) == 1
+
+
 def test_texts_that_hold_the_marks(spark):
     marked = f"mail a.b@corp.org {S.BEGIN} and {S.END}x"
     got = _replace(spark, [(1, marked), (2, "mail a.b@corp.org")])
