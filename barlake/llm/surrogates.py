@@ -99,9 +99,9 @@ STARTS = {r"[a-z]": ("secret", "email", "hex", "ip6"), r"\d": ("email", "ip", "s
 _BEGIN_OF_WORD = r"(?<![\p{L}\p{N}_@])"
 _MENTIONS = "|".join(f"(?={c})(?:{'|'.join(PATTERNS[t] for t in types)})" for c, types in STARTS.items())
 ANY = f"{_BEGIN_OF_WORD}(?:{_MENTIONS})"
-#: A title and a given name, and a capitalised word, each before a surname.
-_TITLED = rf"{_BEGIN_OF_WORD}(?:{_TITLES})\.? {_CAPITALISED}(?= {_SURNAME})"
-_BEFORE_SURNAME = rf"{_BEGIN_OF_WORD}{_CAPITALISED}(?= {_SURNAME})"
+#: A title and a given name, and a capitalised word, each before a surname; the look-aheads let most positions fail at once.
+_TITLED = rf"(?=[{''.join(sorted({t[0] for titles in TITLES.values() for t in titles}))}]){_BEGIN_OF_WORD}(?:{_TITLES})\.? {_CAPITALISED}(?= {_SURNAME})"
+_BEFORE_SURNAME = rf"(?=\p{{Lu}}){_BEGIN_OF_WORD}{_CAPITALISED}(?= {_SURNAME})"
 #: Characters that mark a mention's begin and end; texts that hold them are split the long way.
 BEGIN, END = "\ue000", "\ue001"
 MENTION = "struct<text:string,type:string>"
