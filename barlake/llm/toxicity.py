@@ -13,7 +13,10 @@ their weight is the log-odds ratio of the two document frequencies.  Greedy
 covering picks stems as long as they explain enough toxic documents that have
 fewer than ``COVER`` other matches; near copies of a document (equal minimum
 word hash) count once, so that words of an often copied document don't pass as
-lexicon.  The threshold is the one that separates the sample best.
+lexicon.  Words that begin with a picked stem, and their pairs with the word
+before or after, become exception phrases if different clean documents have
+them and toxic ones hardly do.  The threshold is the one that separates the
+sample best.
 
 Edge cases: a null or empty text, or one without letters, scores 0; without
 usable labels only the seed stems count; repeated rows are scored alike;
@@ -31,10 +34,11 @@ from functools import partial
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out
+from .common import bounded_batches, held_out, stored
 from .labelled import FOLDS, HELD_OUT, TRAIN_ROWS, labelled_sample
 
 THRESHOLD = 0.5
@@ -46,9 +50,11 @@ MIN_WEIGHT, MIN_PRECISION = 3.0, 0.9
 CLEAN_COST = 2
 #: Distinct matches that explain a toxic document.
 COVER = 2
+#: Counts that a task holds before it hands them on.
+COUNTED = 1 << 18
 #: Stems that count without any label, and their weight (a parameter: any words with weights will do).
 SEED_STEMS = {"idiot": 6.0, "moron": 6.0, "scumbag": 6.0, "asshole": 6.0, "bastard": 6.0}
-#: Phrases in which a stem is harmless (a parameter).
+#: Phrases in which a stem is harmless, besides those learned (a parameter).
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum", "oxymoron")
 
 # Letters of other scripts that look like Latin ones, and substitutions inside words.
@@ -100,46 +106,70 @@ def _stems(word: str) -> Iterator[str]:
             yield word[:n]
 
 
-def _toxic_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [sorted(_word_set(t)) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["words"])
+def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y, stem, copy, n): n rows of a task have the stem; copy is the copy key of a toxic row, null for clean ones.
+
+    The empty stem counts the rows themselves.  Counts are handed on whenever
+    there are ``COUNTED`` of them, so that memory has a bound besides one text.
+    """
+    schema = pa.schema([("y", pa.int32()), ("stem", pa.string()), ("copy", pa.int64()), ("n", pa.int64())])
+    counts: Counter[tuple] = Counter()
 
+    def counted() -> pa.RecordBatch:
+        y, stem, copy = zip(*counts, strict=True) if counts else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((y, stem, copy, list(counts.values())), schema, strict=True)], schema=schema)
 
-def _clean_counts(batches: Iterator[pa.RecordBatch], broadcast) -> Iterator[pa.RecordBatch]:
-    counts, rows = Counter(), 0
     for batch in batches:
+        for t, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            found = _word_set(t)
+            copy = _copy_key(found) if y else None
+            counts.update((y, s, copy) for s in {"", *(s for w in found for s in _stems(w))})
+            if len(counts) >= COUNTED:
+                yield counted()
+                counts.clear()
+    yield counted()
+
+
+def _matching_words(batches: Iterator[pa.RecordBatch], stems: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Copy key, and the words that begin with one of the stems, of each text that has any."""
+    for batch in batches:
+        copies, words = [], []
         for t in batch.column("text").to_pylist():
-            rows += 1
-            counts.update({s for w in _word_set(t) for s in _stems(w) if s in broadcast.value})
-    counts[""] = rows
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["stem", "n"])
-
-
-def _pick(toxic: list[set[str]], clean: dict[str, int]) -> dict[str, float]:
-    """Greedy covering of the toxic documents by stems that clean ones hardly have: stem -> weight."""
-    keys = [_copy_key(d) for d in toxic]
-    support: dict[str, set[int]] = defaultdict(set)
-    for d, k in zip(toxic, keys, strict=True):
-        for s in {s for w in d for s in _stems(w)}:
-            support[s].add(k)
-    n_toxic, n_clean = len(set(keys)), clean.get("", 0)
-    least = max(SUPPORT, math.ceil(SUPPORT_SHARE * n_toxic))
-    weights = {}
-    for s, of in support.items():
-        t, c = len(of), clean.get(s, 0)
-        weight = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
-        if t >= least and weight >= MIN_WEIGHT and t >= MIN_PRECISION * (t + c):
-            weights[s] = weight
-    left = [{w for w in d if any(s in weights for s in _stems(w))} for d in toxic]
+            found = _word_set(t)
+            matching = sorted(w for w in found if any(s in stems.value for s in _stems(w)))
+            if matching:
+                copies.append(_copy_key(found)), words.append(matching)
+        yield pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["copy", "words"])
+
+
+def _phrases_with_stems(batches: Iterator[pa.RecordBatch], stems: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """(y, copy, phrase): the distinct words that begin with a stem, alone and with the word before or after them, of each text."""
+    for batch in batches:
+        out = []
+        for t, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            words = fold(t or "").split()
+            phrases = set()
+            for i, w in enumerate(words):
+                if w.startswith(stems):
+                    phrases.update((w, *(" ".join(words[a:a + 2]) for a in (i - 1, i) if 0 <= a < len(words) - 1)))
+            if phrases:
+                copy = _copy_key(set(words))
+                out += [(y, copy, p) for p in phrases]
+        y, copy, phrase = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(copy, pa.int64()), pa.array(phrase, pa.string())], names=["y", "copy", "phrase"])
+
+
+def _cover(toxic: list[tuple[int, list[str]]], weights: dict[str, float], clean: dict[str, int], least: int) -> dict[str, float]:
+    """Greedy covering of the toxic documents (copy key, matching words) by stems: stem -> weight."""
+    left = [set(words) for _, words in toxic]
     covered = [0] * len(toxic)
     picked: dict[str, float] = {}
     while True:
         gain: dict[str, set[int]] = defaultdict(set)
-        for i, d in enumerate(left):
+        for i, (copy, _) in enumerate(toxic):
             if covered[i] < COVER:
-                for s in {s for w in d for s in _stems(w) if s in weights}:
-                    gain[s].add(keys[i])
+                for s in {s for w in left[i] for s in _stems(w) if s in weights}:
+                    gain[s].add(copy)
         best = max(gain, key=lambda s: (len(gain[s]) - CLEAN_COST * clean.get(s, 0), len(s), s), default=None)
         if best is None or len(gain[best]) < least:
             return picked
@@ -219,17 +249,42 @@ def _rates(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column("y")], names=["rate", "y"])
 
 
+def _exceptions(sample: DataFrame, stems: tuple[str, ...]) -> tuple[str, ...]:
+    """Words and word pairs with a stem that clean documents have and toxic ones hardly do; pairs only where their words are none."""
+    found = sample.select("text", "y").mapInArrow(partial(_phrases_with_stems, stems=stems), "y int, copy long, phrase string").distinct()
+    counts = found.groupBy("phrase").agg(F.count_if(F.col("y") == 0).alias("clean"), F.count(F.lit(1)).alias("n"))
+    rows = counts.where((F.col("clean") >= SUPPORT) & (F.col("clean") >= MIN_PRECISION * F.col("n"))).collect()
+    harmless = {r.phrase for r in rows} - set(stems)
+    return tuple(sorted(p for p in harmless if " " not in p or not harmless & set(p.split())))
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
-    """A lexicon fitted on at most ``rows`` labelled documents, none of them held out."""
+    """A lexicon fitted on at most ``rows`` labelled documents, none of them held out.
+
+    Stems and phrases are counted on Spark.  The driver gets the stems that pass,
+    of which there are at most 1 / ``SUPPORT_SHARE`` times those of a mean toxic
+    document, the words with such stems, and the phrases that pass.
+    """
     spark = bounded_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "toxic", rows)
-    toxic = [set(r.words) for r in sample.where("y = 1").mapInArrow(_toxic_words, "words array<string>").collect()]
-    support = Counter(s for d in toxic for s in {s for w in d for s in _stems(w)})
-    candidates = spark.sparkContext.broadcast({s for s, n in support.items() if n >= SUPPORT})
-    counted = sample.where("y = 0").mapInArrow(partial(_clean_counts, broadcast=candidates), "stem string, n long")
-    clean = {r.stem: r.n for r in counted.groupBy("stem").agg(F.sum("n").alias("n")).collect()}
-    lexicon = Lexicon({**{s: w for s, w in SEED_STEMS.items() if not clean.get(s)}, **_pick(toxic, clean)})
-    rates = [(r.rate, r.y) for r in sample.select("text", "y").mapInArrow(partial(_rates, lexicon=lexicon), "rate double, y int").collect()]
+    sample = labelled_sample(docs, labels, "toxic", rows).select("text", "y")
+    counted = sample.mapInArrow(_stem_counts, "y int, stem string, copy long, n long")
+    # copies of a toxic document count once: their key is grouped first
+    counts = stored(counted.groupBy("stem", "y", "copy").agg(F.sum("n").alias("n")).groupBy("stem").agg(
+        F.count_if(F.col("y") == 1).alias("toxic"), F.coalesce(F.sum(F.when(F.col("y") == 0, F.col("n"))), F.lit(0)).alias("clean")), "stem-counts")
+    n_toxic, n_clean = next(((r.toxic, r.clean) for r in counts.where("stem = ''").collect()), (0, 0))
+    least = max(SUPPORT, math.ceil(SUPPORT_SHARE * n_toxic))
+    precise = (F.col("toxic") >= least) & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean"))) & (F.col("stem") != "")
+    weights, clean = {}, {}
+    for r in counts.where(precise | F.col("stem").isin(*SEED_STEMS)).collect():
+        clean[r.stem] = r.clean
+        weight = math.log((r.toxic + 0.5) / (n_toxic + 1)) - math.log((r.clean + 0.5) / (n_clean + 1))
+        if weight >= MIN_WEIGHT and r.toxic >= least and r.toxic >= MIN_PRECISION * (r.toxic + r.clean):
+            weights[r.stem] = weight
+    matching = partial(_matching_words, stems=spark.sparkContext.broadcast(set(weights)))
+    toxic = [(r.copy, r.words) for r in sample.where("y = 1").mapInArrow(matching, "copy long, words array<string>").collect()]
+    stems = {**{s: w for s, w in SEED_STEMS.items() if not clean.get(s)}, **_cover(toxic, weights, clean, least)}
+    lexicon = Lexicon(stems, (*EXCEPTIONS, *_exceptions(sample, tuple(stems))))
+    rates = [(r.rate, r.y) for r in sample.mapInArrow(partial(_rates, lexicon=lexicon), "rate double, y int").collect()]
     lexicon.threshold = _threshold(rates, lexicon.threshold)
     return lexicon
 

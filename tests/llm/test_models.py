@@ -1,4 +1,5 @@
 """Learned operators: held-out accuracy on the test tables, and their rules on small inputs."""
+import hashlib
 import math
 import re
 import zlib
@@ -70,11 +71,46 @@ def test_toxicity_held_out(docs, labels):
     assert sum(p == y for p, y in pairs) >= 0.95 * len(pairs)
 
 
-def test_toxicity_learns_stems_once_per_copy():
-    clean_words = [f"clean{i}" for i in range(50)]
-    toxic = [{"badword" + s, f"rare{i}"} for i, s in enumerate(["", "s", "ly"] * 10)] + [{"copied", "badwords", "only"}] * 30
-    picked = X._pick(toxic, {"": 1000, **{w: 20 for w in clean_words}})
-    assert "badword" in picked and not {"copied", "only"} & set(picked)
+def _fitted(spark, toxic, clean):
+    texts = [(t, 1) for t in toxic] + [(t, 0) for t in clean]
+    ids = [i for i in range(2 * len(texts) + 20) if zlib.crc32(str(i).encode()) % 5][:len(texts)]
+    docs = documents(spark, [(i, t) for i, (t, _) in zip(ids, texts, strict=True)])
+    return X.learn(docs, spark.createDataFrame([(i, y) for i, (_, y) in zip(ids, texts, strict=True)], "doc_id long, toxic int"))
+
+
+def test_toxicity_learns_stems_once_per_copy(spark):
+    toxic = [f"badword{s} rare{chr(97 + i)}" for i, s in enumerate(["", "s", "ly"] * 8)] + ["copied badwords only"] * 30
+    clean = [f"clean{chr(97 + i % 25)} words {'bastard' if i < 3 else ''}" for i in range(300)]
+    stems = _fitted(spark, toxic, clean).stems
+    assert "badword" in stems and not {"copied", "only"} & set(stems)
+    assert "bastard" not in stems and "idiot" in stems                          # a seed that clean documents have doesn't count
+
+
+def test_toxicity_learns_exceptions_from_clean_documents(spark):
+    def own(*seed):                                                             # words of this text alone, in letters
+        return "".join(chr(97 + int(c, 16)) for c in hashlib.sha256(repr(seed).encode()).hexdigest())
+
+    def unlike(*seed):
+        return " ".join(own(*seed, j)[:10] for j in range(12))
+
+    toxic = [f"{unlike(i)} gronk {unlike(i, i)}" for i in range(120)]
+    clean = [f"{unlike('c', i)} the gronk valley {unlike('d', i)}" for i in range(8)] + [unlike("e", i) for i in range(300)]
+    lexicon = _fitted(spark, toxic, clean)
+    assert "gronk" in lexicon.stems and set(lexicon.exceptions) == {*X.EXCEPTIONS, "the gronk", "gronk valley"}
+    assert lexicon.rate("see the Gr0nk Valley") == 0 and lexicon.score("a gronk now") >= 0.5
+
+
+def test_toxicity_counts_do_not_depend_on_tasks(docs, labels, monkeypatch):
+    want = X.learn(docs, labels)
+    monkeypatch.setattr(X, "COUNTED", 50)
+    batches = [pa.RecordBatch.from_pydict({"text": ["bad worda", "bad wordb", None, "good"], "y": pa.array([1, 1, 0, 0], pa.int32())})]
+    parts = Counter()
+    for b in X._stem_counts(iter(batches * 5)):
+        for r in b.to_pylist():
+            parts[r["y"], r["stem"], r["copy"]] += r["n"]
+    assert parts[0, "", None] == 10 and parts[0, "goo", None] == 5 and sum(n for (y, s, _), n in parts.items() if y and s == "bad") == 10
+    again = X.learn(docs.repartition(7), labels)
+    assert (again.stems, again.exceptions, again.threshold) == (want.stems, want.exceptions, want.threshold)
 
 
 def test_toxicity_folding_exceptions_and_length():
