@@ -68,6 +68,22 @@ def test_wide_export_of_an_empty_matrix(spark, tmp_dir):
     assert read_long(spark, f"{tmp_dir}/wide").collect() == []
 
 
+def test_wide_export_takes_as_many_jobs_for_many_blocks(spark, tmp_dir):
+    """The number of Spark jobs doesn't grow with the blocks, nor the scans of the way back; null names and days are kept."""
+    names = [None, 'a"b\\', "A", "a", "trade_date", *[f"t{i:02d}" for i in range(35)]]
+    rows = [(D(2025, 1, 1 + d) if d else None, t, float(10 * i + d)) for i, t in enumerate(names) for d in range(4) if (i + d) % 3]
+    matrix = spark.createDataFrame(rows, "trade_date date, ticker string, ret_1d double")
+    scans = {}
+    for block_columns in (40, 1):
+        path = f"{tmp_dir}/wide-{block_columns}"
+        shape = matrix_shape(export_wide(matrix, path, block_columns=block_columns)).first()
+        back = read_long(spark, path)
+        scans[block_columns] = back._jdf.queryExecution().executedPlan().toString().count("Scan parquet")
+        assert tuple(shape) == (3, 39) and sorted(map(str, map(tuple, back.collect()))) == sorted(map(str, rows))
+        assert [e["columns"] for e in read_manifest(spark, path).orderBy("block").collect()] == ([39] if block_columns == 40 else [0] + [1] * 39)
+    assert scans == {40: 1, 1: 1}
+
+
 # --- duplicates -----------------------------------------------------------------------
 
 def test_one_row_of_each_duplicated_key_is_first(spark):
