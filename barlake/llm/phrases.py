@@ -19,8 +19,8 @@ and are expanded again at the end, so a repeated row costs a shard one text.
    ask the owner for it.
 4. Passages.  An owner gives its text of all asked windows once, neighbouring
    ones merged to one passage (cut every ``SPAN`` windows); a join hands it to
-   the shards that ask for that part of the owner, so a passage that very many
-   documents share is neither asked for nor answered in one task.
+   the shards that ask for that part of the owner.  All that is asked of one
+   part, at most ``SPAN`` numbers a shard, is in one task.
 5. Automata.  Each shard of documents compiles the windows of its passages
    into an Aho-Corasick automaton over words, and streams all of its documents
    through it: every occurrence, compared word by word, of a window whose owner
@@ -51,7 +51,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches
 from .runs import RunFirsts
 from .words import SPACED, WINDOW_BASES, Words, fits, slices, windows, words
 
@@ -352,9 +352,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     recurring = recurring.unionAll(copies.select(none.cast("long").alias("anchor"), "doc_id", "shard", "same"))
     candidates = by_shard(recurring, "shard", _candidate_windows, _WINDOWS, window=window, anchor=anchor)
     asked = candidates.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "doc_id", "at").mapInArrow(_asked_of_owners, _ddl(_ASKED))
-    asked = stored(asked, "asked-windows")                    # used twice
-    answers = by_shard(asked.select("owner", "at", "shard").distinct(), "shard", _answers, _PASSAGES, window=window)
-    asking = asked.select("owner", F.floor(F.col("at") / SPAN).cast("int").alias("part"), "asks").distinct()
+    # used twice, by one exchange: all is one query, or the documents would be dealt out again for the second half
+    asked = asked.withColumn("part", F.floor(F.col("at") / SPAN).cast("int")).repartition("owner", "part")
+    answers = by_shard(asked.select("owner", "part", "at", "shard").distinct(), "shard", _answers, _PASSAGES, window=window)
+    asking = asked.select("owner", "part", "asks").distinct()
     passages = asking.join(answers, ["owner", "part"]).select("asks", "owner", "passage", none.cast("binary").alias("same"))
     passages = passages.unionAll(copies.select(F.col("shard").alias("asks"), F.col("doc_id").alias("owner"), none.cast("string").alias("passage"), "same"))
     located = by_shard(passages, "asks", _stream, _LOCATED, window=window, with_text=with_text)

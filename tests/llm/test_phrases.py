@@ -66,3 +66,18 @@ def test_repeated_rows_and_ids_with_two_texts(spark, monkeypatch, tmp_path):
         found = Counter((r.doc_id, r.n_words, r.n_removed) for r in got)
         assert found == {(1, 20, 0): 1, (2, 20, 20): 1, (2, 20, 0): 1, (3, 20, 20): 120, (None, 0, 0): 70, (None, 20, 0): 60, (4, 40, 40): 1}
     assert max(int(f.name.split("-")[0]) for f in tmp_path.iterdir()) <= 7
+
+
+def test_documents_are_dealt_out_once(spark, monkeypatch, tmp_path):
+    """All steps share one exchange of the texts, so the shuffled texts are on disk once."""
+    folder, fewer = str(tmp_path), P._fewer
+
+    def noted(batches):
+        from uuid import uuid4
+        open(f"{folder}/{uuid4().hex}", "w").close()
+        return fewer(batches)
+
+    monkeypatch.setattr(P, "_fewer", noted)
+    rows = _passages()
+    assert _digest(P.remove_repeats(documents(spark, rows).repartition(3), shard_docs=16)) == without_repeats(rows, 13)
+    assert len(list(tmp_path.iterdir())) == 3
