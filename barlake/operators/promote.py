@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,7 +86,8 @@ def to_conformed(raw_rows: DataFrame, ingest_ts, batch_id: str | None = None,
     return add_row_hash(add_lineage(raw_rows, ingest_ts, batch_id, source_key, base_path), spec.hash_fields)
 
 
-def promote(raw_rows: DataFrame, conformed_existing: DataFrame | None, mode: str = "by_key") -> DataFrame:
+def promote(raw_rows: DataFrame, conformed_existing: DataFrame | None, mode: str = "by_key",
+            key: Sequence[str] = ("source_object_key",)) -> DataFrame:
     """Rows of ``raw_rows`` (already conformed-shaped) that the conformed zone lacks.
 
     ``by_key``     an object already promoted is never promoted again (append-only,
@@ -96,18 +98,21 @@ def promote(raw_rows: DataFrame, conformed_existing: DataFrame | None, mode: str
 
     The newest version is chosen by the order of latest-wins, combined on the
     map side; the zone is to be pruned to the touched partitions by the caller.
+    ``key`` may name columns that go with the object key, if rows are already
+    spread and sorted by them.
     """
+    key = list(key)
     if conformed_existing is None:
         return raw_rows
     if mode == "by_key":
-        return raw_rows.join(conformed_existing.select("source_object_key"), "source_object_key", "left_anti")
+        return raw_rows.join(conformed_existing.select(*key), key, "left_anti").select(*raw_rows.columns)
     if mode != "by_content":
         raise ValueError(f"unknown promotion mode {mode!r}")
     # a null time sorts first; a zone without ingest times has one version of an object
     order = F.struct(*[c for c in ("ingest_ts", "row_hash") if c in conformed_existing.columns])
-    newest = conformed_existing.groupBy("source_object_key").agg(F.max_by("row_hash", order).alias("_stored_hash"))
+    newest = conformed_existing.groupBy(*key).agg(F.max_by("row_hash", order).alias("_stored_hash"))
     changed = ~F.col("row_hash").eqNullSafe(F.col("_stored_hash"))
-    return raw_rows.join(newest, "source_object_key", "left").where(changed).select(*raw_rows.columns)
+    return raw_rows.join(newest, key, "left").where(changed).select(*raw_rows.columns)
 
 
 def object_part(key) -> Column:

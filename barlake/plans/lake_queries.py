@@ -70,9 +70,13 @@ def q_listing_stale_partitions(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- promotion --------------------------------------------------------------------
 
-def _deliveries(spark: SparkSession, sf: str) -> list[DataFrame]:
+def _source_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """The bars that all deliveries are made of, aggregated once."""
+    return stored(frames.user_bars(spark, sf).select(*RAW_BAR_SCHEMA.fieldNames()), "deliveries")
+
+
+def _deliveries(bars: DataFrame) -> list[DataFrame]:
     """Three deliveries of bars: the even days; all days, some with other prices; all days as they were first."""
-    bars = stored(frames.user_bars(spark, sf).select(*RAW_BAR_SCHEMA.fieldNames()), "deliveries")
     day = F.dayofmonth("trade_date")
     restated = F.when(day % RESTATED_DAY == 0, F.col("close") + RESTATED_BY).otherwise(F.col("close"))
     return [bars.where(day % 2 == 0), bars.withColumn("close", restated), bars]
@@ -82,9 +86,9 @@ RESTATED_DAY, RESTATED_BY = 7, 1.5
 DELIVERIES = ("first", "second", "third")
 
 
-def _promote_deliveries(spark: SparkSession, sf: str, paths: LakePaths, mode: str, refresh: bool = False) -> None:
+def _promote_deliveries(spark: SparkSession, source: DataFrame, paths: LakePaths, mode: str, refresh: bool = False) -> None:
     """Deliver, promote (the first by the stream itself, the others by batch runs into the same zone) and refresh."""
-    for number, (batch_id, bars) in enumerate(zip(DELIVERIES, _deliveries(spark, sf), strict=True)):
+    for number, (batch_id, bars) in enumerate(zip(DELIVERIES, _deliveries(source), strict=True)):
         write_raw_csv(bars, paths.table("raw"))
         stamp = frames.INGEST_TS + dt.timedelta(days=number)
         if number == 0:
@@ -102,10 +106,10 @@ def q_promote_incremental(spark: SparkSession, sf: str) -> DataFrame:
     Each mode keeps every object; ``by_content`` also the restated versions and
     the later ones that go back to the first value.
     """
-    zones = []
+    source, zones = _source_bars(spark, sf), []
     for mode in ("by_key", "by_content"):
         paths = LakePaths.under(scratch_path(spark, f"promote-{mode}"))
-        _promote_deliveries(spark, sf, paths, mode)
+        _promote_deliveries(spark, source, paths, mode)
         zones.append(read_zone(spark, paths.table("conformed"), CONFORMED_SCHEMA).select(
             F.lit(mode).alias("mode"), "source_object_key", "ticker", "trade_date", "close", "ingest_batch_id", "ingest_ts"))
     return zones[0].unionByName(zones[1])
@@ -114,7 +118,7 @@ def q_promote_incremental(spark: SparkSession, sf: str) -> DataFrame:
 def q_restated_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """The curated zone after three deliveries, refreshed after each from the zones' listings: restated bars are back at their first value."""
     paths = LakePaths.under(scratch_path(spark, "restated"))
-    _promote_deliveries(spark, sf, paths, "by_content", refresh=True)
+    _promote_deliveries(spark, _source_bars(spark, sf), paths, "by_content", refresh=True)
     return read_zone(spark, paths.table("curated"), CONFORMED_SCHEMA).select("ticker", "trade_date", "close", "ingest_batch_id")
 
 

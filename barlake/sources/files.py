@@ -24,6 +24,9 @@ from ..spec import CONFORMED_SCHEMA, OHLCV_DAILY, RAW_BAR_SCHEMA, DatasetSpec
 #: Column of a record that does not parse, and that of the names of the columns at fault.
 CORRUPT, FAULTS = "unparsed_record", "unparsed_columns"
 
+#: Hash of a row's business key.  Object keys all begin alike, so rows are sorted by it first.
+OBJECT_HASH = "_object_hash"
+
 
 # --- ticker universe ----------------------------------------------------------
 
@@ -106,6 +109,16 @@ def with_landing(raw: DataFrame) -> DataFrame:
     return raw.select("*", F.col("_metadata.file_modification_time").alias("_landed"), F.col("_metadata.file_path").alias("_file"))
 
 
+def with_object_hash(df: DataFrame, spec: DatasetSpec = OHLCV_DAILY) -> DataFrame:
+    """The rows with ``OBJECT_HASH`` of their business key."""
+    return df.withColumn(OBJECT_HASH, F.xxhash64(*spec.business_key))
+
+
+def object_columns(spec: DatasetSpec = OHLCV_DAILY) -> list[str]:
+    """The columns by which versions of an object are grouped and joined, the hash first."""
+    return [OBJECT_HASH, *spec.business_key, "source_object_key"]
+
+
 def current_raw_objects(raw: DataFrame, spec: DatasetSpec = OHLCV_DAILY) -> DataFrame:
     """Raw rows as logical objects: one current version per business key.
 
@@ -113,15 +126,15 @@ def current_raw_objects(raw: DataFrame, spec: DatasetSpec = OHLCV_DAILY) -> Data
     (``tabular/<dataset>/exchange=X/trade_date=D/ticker=T.csv`` for bars); when a
     row was landed more than once, the most recently landed file wins, as an
     overwritten object would.  ``raw`` comes straight from a file scan or through ``with_landing``.
+    The rows leave the aggregate spread and sorted by ``object_columns``, so that a join by these moves them no more.
     """
     from ..functions.keys import object_key
-    key = list(spec.business_key)
     rows = raw if "_landed" in raw.columns else with_landing(raw)
-    raw = rows.drop("_landed", "_file")
+    raw, key = rows.drop("_landed", "_file"), object_columns(spec)
     rest = [c for c in raw.columns if c not in key]
-    cur = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_landed", "_file")).alias("_v"))
-    return cur.select(*key, *[F.col("_v." + c).alias(c) for c in rest], object_key(spec).alias("source_object_key")
-                      ).select(*raw.columns, "source_object_key")
+    keyed = with_object_hash(rows.withColumn("source_object_key", object_key(spec)), spec)
+    cur = keyed.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_landed", "_file")).alias("_v"))
+    return cur.select(*key, *[F.col("_v." + c).alias(c) for c in rest]).select(*raw.columns, "source_object_key", OBJECT_HASH)
 
 
 def text_schema(schema: T.StructType) -> T.StructType:

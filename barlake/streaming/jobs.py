@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from ..operators import curate, promote
 from ..session import stored
-from ..sources.files import (CORRUPT, FAULTS, current_raw_objects, parsed, path_exists, read_zone, relative_key, text_schema,
-                             touched_partitions, with_landing, write_parquet_partitions)
+from ..sources.files import (CORRUPT, FAULTS, OBJECT_HASH, current_raw_objects, object_columns, parsed, path_exists, read_zone,
+                             relative_key, text_schema, touched_partitions, with_landing, with_object_hash, write_parquet_partitions)
 from ..spec import OHLCV_DAILY, DatasetSpec
 from .commits import stream_id, write_batch
 
@@ -58,15 +58,21 @@ def promote_batch(raw: DataFrame, conformed: str, ingest_ts: dt.datetime, batch_
     ``raw`` has each row's landing (``with_landing``).  Rows become logical
     objects (the most recently landed version of each key); the zone is read
     only in the touched partitions, and only key and version columns of it.  The
-    join makes a repeated delivery add nothing.
+    join makes a repeated delivery add nothing; it works on the exchange and the
+    order of the aggregate before it.
     """
     spark = raw.sparkSession
-    rows = promote.to_conformed(current_raw_objects(raw, spec), ingest_ts, batch_id, source_key="source_object_key", spec=spec)
+    rows = promote.add_lineage(current_raw_objects(raw, spec), ingest_ts, batch_id, source_key="source_object_key")
     existing = None
     if path_exists(spark, conformed):
         pairs = touched_partitions(raw, spec.partition_columns)
-        existing = read_zone(spark, conformed, spec.conformed_schema, pairs, spec.partition_columns)
-    new = stored(promote.promote(rows, existing, mode), "promoted")  # decided against the zone before appending to it
+        existing = with_object_hash(read_zone(spark, conformed, spec.conformed_schema, pairs, spec.partition_columns), spec)
+    if mode == "by_key":                                             # known objects need no row hash
+        new = promote.add_row_hash(promote.promote(rows, existing, mode, object_columns(spec)), spec.hash_fields)
+    else:
+        new = promote.promote(promote.add_row_hash(rows, spec.hash_fields), existing, mode, object_columns(spec))
+    new = new.drop(OBJECT_HASH)
+    new = stored(new, "promoted")                                    # decided against the zone before appending to it
     write_parquet_partitions(new, conformed, "append", spec.partition_columns)
     return new
 

@@ -63,6 +63,35 @@ def test_restatement_back_to_an_earlier_value(spark, tmp_dir, mode, want):
     assert [r["close"] for r in read_zone(spark, paths.table("curated"), CONFORMED_SCHEMA).collect()] == [want[-1]]
 
 
+@pytest.mark.parametrize("mode", ["by_content", "by_key"])
+def test_promotion_moves_rows_once_and_hashes_new_objects_only(spark, tmp_dir, monkeypatch, mode):
+    paths, day, plans, write = LakePaths.under(tmp_dir), D(2025, 1, 2), [], jobs.stored
+
+    def planned(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(jobs, "stored", planned)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for n, prices in enumerate(([("BHP", 1.0), ("CBA", 5.0)], [("BHP", 2.0), ("CBA", 5.0), ("CSL", 7.0)])):
+            write_raw_csv(_bars(spark, [(t, day, p) for t, p in prices]), paths.table("raw"))
+            lake_jobs.promote_raw(spark, paths, dt.datetime(2025, 1, 3 + n), f"b{n}", mode)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    plan = plans[-1]
+    assert plan.count("Exchange hashpartitioning") == 2                               # the rows and the zone, each once
+    if mode == "by_key":
+        assert plan.rindex("sha2(") < plan.index("SortMergeJoin")                    # above the join
+    got = {(r["ticker"], r["close"], r["ingest_batch_id"]) for r in read_zone(spark, paths.table("conformed"), CONFORMED_SCHEMA).collect()}
+    restated = {("BHP", 2.0, "b1")} if mode == "by_content" else set()
+    assert got == {("BHP", 1.0, "b0"), ("CBA", 5.0, "b0"), ("CSL", 7.0, "b1")} | restated
+
+
 def test_unknown_mode_raises(spark):
     rows = spark.createDataFrame([], CONFORMED_SCHEMA)
     with pytest.raises(ValueError):
